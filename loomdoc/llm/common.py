@@ -9,11 +9,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word of the whitespace kind: a run of anything but space and \t \n \v \f \r.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
+#: A-Z to lower case on UTF-8 bytes.
+LOWER = bytes(range(256)).lower()
+
 _own_dir: str | None = None
 
 
@@ -33,9 +37,27 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the shuffle files behind the table go with the next collection of the driver's garbage; they need not wait for it
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, equal in every process; a worker remembers so many distinct ones."""
+
+    REMEMBERED = 600_000
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        self[word] = h
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def map_rows(df: DataFrame, schema: pa.Schema, ddl: str, make: Callable[..., Iterator[tuple]]) -> DataFrame:
     """mapInArrow where make(*columns as lists) yields result rows; output goes out in batches of 2,000 rows."""
 

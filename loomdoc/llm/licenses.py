@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import LOWER, map_rows
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -45,7 +45,6 @@ TEMPLATES = (
 ANCHORS, COVERAGE = 3, 0.7
 
 TOKENS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = bytes(range(256)).lower()
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality_rules, token_counts, token_store
+from . import ann, licenses, line_crf, mixing, ngram_join, quality_rules, sentencepiece_lattice, substring_dedup, token_counts, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,25 +20,46 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "n_copies", "position")
 
 
+def op3_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
     return token_store.read(spark, store).drop("ids")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.score_documents(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    "op1_token_counts": op1_token_counts,
-    "op2_source_mixing": op2_source_mixing,
-    "op4_token_store": op4_token_store,
-    "op6_license_scan": op6_license_scan,
-    "op10_quality_rules": op10_quality_rules,
-}
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_source_mixing, op3_sentencepiece_lattice, op4_token_store, op5_substring_dedup,
+        op6_license_scan, op7_inverted_multi_index, op8_line_crf, op9_ngram_join, op10_quality_rules,
+    )
+}
 
 ORACLES: dict[str, str] = {}
