@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word of the whitespace kind: a run of anything but space and \t \n \v \f \r.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -39,7 +40,22 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     # the shuffle files behind the table go with the next collection of the driver's garbage; they need not wait for it
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for df in stashed:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """Tells rows of documents apart: equal only for rows with the same doc_id and text (64 bits)."""
+    return F.xxhash64(F.col(text).cast("string"), F.col(doc_id).cast("bigint"))
 
 
 class WordHashes(dict):

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import row_key, stash
 
 #: Weights of the sources in code-point order, repeating; and how often a document may be taken.
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
@@ -37,11 +37,11 @@ def n_words(text: Column) -> Column:
 
 
 def sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """doc_id, source, size, and the place in the queue: bucket and h."""
+    """doc_id, source, key, size, and the place in the queue: bucket and h."""
     h = F.xxhash64(F.col(doc_id))
     return docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        n_words(F.col(text)).alias("size"), F.shiftright(h, 64 - BUCKET_BITS).cast("int").alias("bucket"), h.alias("h"),
+        row_key(doc_id, text).alias("key"), n_words(F.col(text)).alias("size"), F.shiftright(h, 64 - BUCKET_BITS).cast("int").alias("bucket"), h.alias("h"),
     )
 
 
@@ -83,7 +83,7 @@ def position(words: Column, target: Column, slot: Column, slopes: tuple = SLOPES
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, n_copies, positions, position: a row for each row of docs, in training order.
+    """key, doc_id, size, source, source_size, target, taken, n_copies, positions, position: a row for each row of docs, in training order.
 
     taken: words that the mix takes of it, repeats counted; positions: when, one for
     each time it is begun; position: the first; null if it is never taken.
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     before = buckets.select("source", "bucket", (F.sum("bucket_size").over(queue) - F.col("bucket_size")).alias("before"))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs=max_epochs)
     plan = before.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target", "slot")
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("at", F.sum("size").over(within) - F.col("size"))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("at", F.col("at") + F.col("before"))
     quota = F.round("target").cast("bigint")
@@ -102,6 +102,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     begun = F.transform(epochs, lambda e: e * F.col("source_size") + F.col("at"))
     taken = F.aggregate(begun, F.lit(0).cast("bigint"), lambda n, x: n + F.least(F.greatest(quota - x, F.lit(0).cast("bigint")), F.col("size")))
     times = F.transform(F.filter(begun, lambda x: (x < quota) & (F.col("size") > 0)), lambda x: position(x, F.col("target"), F.col("slot")))
-    out = rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.size(times).alias("n_copies"), times.alias("positions"))
+    out = rows.select("key", "doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.size(times).alias("n_copies"), times.alias("positions"))
     out = out.withColumn("position", F.get("positions", F.lit(0)))
     return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """docs as the mix takes them, in training order: a row for each time a document is begun, none where it is not taken.
+
+    The document at which a source meets its target is cut after the last word taken.
+    """
+    plan = mix(docs, doc_id, text, source, max_epochs).where("n_copies > 0")
+    # equal rows share a key; each gets its own line of the plan by its number among them
+    same = Window.partitionBy("__key").orderBy(F.lit(0))
+    plan = plan.select(F.col("key").alias("__key"), "size", "taken", "positions").withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("positions")))
+    plan = plan.select("__key", "__nth", "size", "taken", F.posexplode("positions").alias("__epoch", "__position"))
+    plan = plan.select("__key", "__nth", "__position", F.least(F.col("taken") - F.col("__epoch") * F.col("size"), F.col("size")).cast("int").alias("__words"), F.col("size").alias("__size"))
+    rows = docs.withColumn("__key", row_key(doc_id, text)).withColumn("__nth", F.row_number().over(same)).join(plan, ["__key", "__nth"])
+    words = F.regexp_extract_all(F.col(text), F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    cut = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(words, F.lit(1), F.col("__words")), "")).otherwise(F.col(text))
+    rows = rows.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "__position")
+    return rows.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, gram_hashes, map_rows, stash, to_batch
+from .common import LOWER, WordHashes, discard, gram_hashes, map_rows, row_key, stash, to_batch
 from .components import components
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
@@ -82,7 +82,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """key, doc_id, same, text: key tells rows apart, same is equal for equal texts."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return docs.select(F.xxhash64("text", "doc_id").alias("key"), "doc_id", F.md5(F.encode("text", "UTF-8")).alias("same"), "text")
+    return docs.select(row_key("doc_id", "text").alias("key"), "doc_id", F.md5(F.encode("text", "UTF-8")).alias("same"), "text")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def verified(pairs: DataFrame, texts: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, and class_id: the least doc_id with the same text."""
+    """key, doc_id, n_shingles, component_id, and class_id: the least doc_id with the same text."""
     docs = keyed(docs, doc_id, text)
     scanned = stash(scan(docs), "ngram-scan")
     hot = hot_tokens(scanned)
@@ -217,8 +217,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = stash(verified(more, texts, hot), "ngram-more")
     if not found.isEmpty():
         labels = components(links.unionByName(found))
+    discard(b, texts)
     joined = nodes.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
     joined = joined.join(least, "root").select("same", "class_id", "component_id")
     out = rows.join(joined, "same", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    return out.select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose doc_id is the least of their component, with all their columns; of repeated rows one."""
+    own = join(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key"))
+    return docs.withColumn("__key", row_key(doc_id, text)).join(own, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

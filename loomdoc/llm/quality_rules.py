@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, gram_hashes, map_rows, stash
+from .common import WORD, gram_hashes, map_rows, row_key, stash
 
 MIN_WORDS = 20
 MAX_REPEAT = 0.30
@@ -77,15 +77,15 @@ def repeated_words(words: list[str], window: int) -> int:
 
 def count_rows(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """One row of counts for each row of docs."""
-    names = ("doc_id", "host", *COUNTS)
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((c, pa.int64()) for c in COUNTS)])
+    names = ("key", "doc_id", "host", *COUNTS)
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), *((c, pa.int64()) for c in COUNTS)])
 
-    def make(ids: list, hosts: list, texts: list) -> Iterator[tuple]:
-        for i, host_, text_ in zip(ids, hosts, texts, strict=True):
-            yield (i, host_, *text_counts(text_))
+    def make(keys: list, ids: list, hosts: list, texts: list) -> Iterator[tuple]:
+        for key, i, host_, text_ in zip(keys, ids, hosts, texts, strict=True):
+            yield (key, i, host_, *text_counts(text_))
 
-    kinds = ["bigint", "string", *["bigint"] * len(COUNTS)]
-    return map_rows(docs.select(F.col(doc_id).cast("bigint"), F.col(host).cast("string"), F.col(text)), schema, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), make)
+    kinds = ["bigint", "bigint", "string", *["bigint"] * len(COUNTS)]
+    return map_rows(docs.select(row_key(doc_id, text), F.col(doc_id).cast("bigint"), F.col(host).cast("string"), F.col(text)), schema, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), make)
 
 
 def failures(strict: float = 1.0) -> Column:
@@ -114,7 +114,7 @@ def host_rates(rows: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """doc_id, the counts, base_failed, n_rules_failed, host_rate, kept.
+    """key, doc_id, the counts, base_failed, n_rules_failed, host_rate, kept.
 
     kept is false if base_failed, or if a soft rule fails; in a host above
     max_host_rate the soft rules apply with half of their bounds.
@@ -125,7 +125,13 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     bad = F.col("shrunk_rate") > max_host_rate
     failed = F.when(bad, failures(0.5)).otherwise(failures())
     return joined.select(
-        "doc_id", *COUNTS[:5], base_failed().alias("base_failed"),
+        "key", "doc_id", *COUNTS[:5], base_failed().alias("base_failed"),
         failed.alias("n_rules_failed"), F.col("shrunk_rate").alias("host_rate"), bad.alias("host_bad"),
         (~base_failed() & (failed == 0)).alias("kept"),
     )
+
+
+def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    kept = judge(docs, doc_id, text, host).where("kept").select(F.col("key").alias("__key"))
+    return docs.withColumn("__key", row_key(doc_id, text)).join(kept, "__key", "left_semi").drop("__key")

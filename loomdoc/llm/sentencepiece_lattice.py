@@ -16,8 +16,8 @@ encode() gives the ids by document and word. The FREQUENT most frequent short wo
 joined by broadcast (bounded by their number and length), all others by a shuffle.
 
 Nulls: a null text is empty and has no words; it stays in digests with 0. A null doc_id
-is kept. Rows with the same doc_id and text are told apart by nothing and counted in one
-row each of digest(). An empty table gives an empty result.
+is kept. Rows with the same doc_id and text get equal rows
+of digest(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, row_key, stash
 
 SPACE = "▁"
 WORDS = " *[^ \\n]+|\\n| +"
@@ -94,13 +94,6 @@ def viterbi(lattice: Column, longest: int) -> Column:
     return F.aggregate(places, none, up, lambda acc: acc["ids"])
 
 
-def decode(ids: Column, table: dict[int, str], byte0: int) -> Column:
-    """The text of the ids of one or more words, the prefix space included; bytes join to characters."""
-    names = F.create_map(*[x for i, p in table.items() for x in (F.lit(i), F.lit(p))])
-    parts = F.transform(ids, lambda i: F.when(i.between(byte0, byte0 + 255), F.lpad(F.hex(i - byte0), 2, "0")).otherwise(F.hex(F.encode(names[i], "UTF-8"))))
-    return F.translate(F.decode(F.unhex(F.array_join(parts, "")), "UTF-8"), SPACE, " ")
-
-
 def lexicon(words: DataFrame, model: str) -> DataFrame:
     """word, n, ids, exact for each distinct word: n occurrences; exact: the ids' pieces join to the word again."""
     spark = words.sparkSession
@@ -124,13 +117,15 @@ def with_exact(lex: DataFrame, model: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text), F.col(doc_id)).alias("key"), F.posexplode(split_words(F.col(text))).alias("i", "word"))
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("key"), F.posexplode(split_words(F.col(text))).alias("i", "word"))
 
 
 def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables that hold together doc_id, key, i, ids, exact of every word i of every document; key tells documents apart."""
     words = occurrences(docs, doc_id, text)
-    lex = stash(with_exact(stash(lexicon(words.select("word"), model), "lattice-words"), model), "lattice-lexicon")
+    solved = stash(lexicon(words.select("word"), model), "lattice-words")
+    lex = stash(with_exact(solved, model), "lattice-lexicon")
+    discard(solved)
     frequent = lex.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids", "exact")
     frequent = F.broadcast(stash(frequent, "lattice-frequent"))
     often = words.join(frequent, "word").select("doc_id", "key", "i", "ids", "exact")
@@ -145,20 +140,29 @@ def ids_of(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     return grouped.select("doc_id", "key", F.flatten(F.col("x.ids")).alias("ids"))
 
 
+def decode(rows: DataFrame, model: str, key: str = "key", ids: str = "ids") -> DataFrame:
+    """key, text of each row of ids: the ids' pieces, looked up in the piece table, joined in order, without the prefix space."""
+    table, _, _, byte0 = pieces(rows.sparkSession, model)
+    parts = rows.select(F.col(key).alias("key"), F.posexplode(ids).alias("k", "i")).join(F.broadcast(table.select(F.col("id").alias("i"), "piece")), "i", "left")
+    code = F.coalesce(F.hex(F.encode("piece", "UTF-8")), F.lpad(F.hex(F.col("i") - byte0), 2, "0"))
+    texts = parts.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", code.alias("c")))), lambda x: x["c"]), "").alias("code"))
+    return texts.select("key", F.expr("substring(translate(decode(unhex(code), 'UTF-8'), '▁', ' '), 2)").alias("text"))
+
+
 def digest(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_tokens, ids_xor, exact of each row of docs.
+    """doc_id, n_words, n_tokens, ids_sum, exact of each row of docs.
 
-    ids_xor: xor of xxhash64(place of the word, its ids) over the words; exact: all words decode to themselves.
+    ids_sum: sum over the words of xxhash64(place of the word, its ids) mod 2147483647; exact: all words decode to themselves.
     """
     parts = [
-        t.groupBy("key").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.size("ids")).alias("n_tokens"), F.bit_xor(F.xxhash64("i", "ids")).alias("ids_xor"), F.bool_and("exact").alias("exact"), F.sum((F.col("i") == 0).cast("int")).alias("times"))
+        t.groupBy("key").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.size("ids")).alias("n_tokens"), F.sum(F.pmod(F.xxhash64("i", "ids"), F.lit(2147483647))).alias("ids_sum"), F.bool_and("exact").alias("exact"), F.sum((F.col("i") == 0).cast("int")).alias("times"))
         for t in encode(docs, model, doc_id, text)
     ]
-    # equal rows (text and doc_id) share a key and were counted together: shares of a sum, and an odd number of equal terms of an xor
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text), F.col(doc_id)).alias("key"))
-    sums = parts[0].unionByName(parts[1]).groupBy("key").agg(F.sum("n_words").alias("n_words"), F.sum("n_tokens").alias("n_tokens"), F.bit_xor("ids_xor").alias("ids_xor"), F.bool_and("exact").alias("exact"), F.sum("times").alias("times"))
+    # equal rows (text and doc_id) share a key and were counted together: each has its share of a sum
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("key"))
+    sums = parts[0].unionByName(parts[1]).groupBy("key").agg(F.sum("n_words").alias("n_words"), F.sum("n_tokens").alias("n_tokens"), F.sum("ids_sum").alias("ids_sum"), F.bool_and("exact").alias("exact"), F.sum("times").alias("times"))
     zero = F.lit(0).cast("bigint")
     return rows.join(sums, "key", "left").select(
-        "doc_id", F.coalesce((F.col("n_words") / F.col("times")).cast("bigint"), zero).alias("n_words"), F.coalesce((F.col("n_tokens") / F.col("times")).cast("bigint"), zero).alias("n_tokens"),
-        F.coalesce("ids_xor", zero).alias("ids_xor"), F.coalesce("exact", F.lit(True)).alias("exact"),
+        "doc_id", F.coalesce(F.expr("n_words div times"), zero).alias("n_words"), F.coalesce(F.expr("n_tokens div times"), zero).alias("n_tokens"),
+        F.coalesce(F.expr("ids_sum div times"), zero).alias("ids_sum"), F.coalesce("exact", F.lit(True)).alias("exact"),
     )

@@ -22,6 +22,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_rows, stash, to_batch
+from .common import WordHashes, discard, gram_hashes, map_rows, row_key, stash, to_batch
 
 WINDOW, GRAM = 50, 20
 #: Distinct segments of an anchor that one automaton takes.
@@ -130,7 +131,7 @@ def standing(words: list, automaton: Automaton, window: int = WINDOW) -> list[in
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return docs.select(F.xxhash64("text", "doc_id").alias("key"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "doc_id", "text")
+    return docs.select(row_key("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "doc_id", "text")
 
 
 def all_segments(docs: DataFrame) -> DataFrame:
@@ -210,12 +211,14 @@ def covered(docs: DataFrame) -> DataFrame:
     """key, runs: of each document with something to remove, [first window, number of windows] that stand earlier."""
     segs = stash(all_segments(docs), "substring-segments")
     shared = stash(shared_segments(segs), "substring-shared")
+    discard(segs)
     own = F.struct("doc", "key", "first", "count")
     distinct = shared.groupBy("anchor", "segment").agg(F.min(own).alias("r"), F.max("doc").alias("hi"))
     per = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     wanted = distinct.join(per, "anchor").select("anchor", "segment", "r.doc", "r.key", "r.first", "r.count", (F.col("n") > MAX_SEGMENTS).alias("hot"))
     cuts = stash(cut(docs, wanted), "substring-cuts")
     earlier = stash(by_automata(cuts).unionByName(by_windows(cuts)), "substring-earlier")
+    discard(cuts)
     # all windows of a segment that stands whole in an earlier document; else those that the shards found
     known = distinct.join(earlier, ["anchor", "segment"], "left").select("anchor", "segment", F.col("r.doc").alias("least"), "hi", "starts").where("hi > least or starts is not null")
     hits = shared.join(known, ["anchor", "segment"]).where("doc > least or starts is not null")
@@ -263,8 +266,6 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     A text that loses nothing stays as it is; else its kept words keep the white space
     before them. A document that loses all of its words goes.
     """
-    import re
-
     schema = pa.schema([("key", pa.int64()), ("kept_text", pa.string())])
     part = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+").findall
 
@@ -276,7 +277,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     plain = keyed(docs, doc_id, text)
     runs = stash(covered(plain), "substring-runs")
-    named = docs.withColumn("__key", F.xxhash64(F.col(text), F.col(doc_id).cast("bigint")))
+    named = docs.withColumn("__key", row_key(doc_id, text))
     joined = named.join(runs.withColumnRenamed("key", "__key").withColumnRenamed("runs", "__runs"), "__key", "left")
     kept = "__kept"
     cut_text = _cut(make)
