@@ -1,15 +1,59 @@
-"""A corpus pipeline of training-data operators over documents."""
+"""A corpus pipeline: quality rules, near copies, repeated passages, mixing, token ids."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from loomdoc.llm import mixing, ngram_join, quality_rules, sentencepiece_lattice, substring_dedup
+from loomdoc.llm.common import stash
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep(docs)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least doc_id stays."""
+    return ngram_join.first_of_each(docs)
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand in an earlier document go from the text; n_chars follows."""
+    out = substring_dedup.remove(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    out = mixing.mixed_documents(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids of each document."""
+    return sentencepiece_lattice.digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("substring dedup", drop_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
+]
+
+#: Near-copy components and suffix automata are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stash(docs, f"pipeline-{i}")
     return docs
