@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text is a chain of words: a run of other characters with the spaces before it, or a
-line feed. No piece of the vocabulary crosses such a cut (checked on the driver), so
+A text is a chain of words: a line feed, or a run of characters with the spaces before
+it, which ends where a sign follows a Latin letter. Signs are those that no piece of the
+vocabulary holds after such a letter; so no piece crosses a cut (checked on the driver),
 words are encoded by themselves, and each distinct word once: its substrings of bounded
 length are exploded and joined to the piece table; the matches, and bytes for characters
 that are no piece, are the edges of the word's lattice; grouped by word and sorted by
@@ -22,7 +23,9 @@ of digest(). An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
+import string
 
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import discard, row_key, stash
 
 SPACE = "▁"
-WORDS = " *[^ \\n]+|\\n| +"
+LETTER = "[A-Za-z\u00c0-\u024f]"
 #: Words that are joined by broadcast, and the longest of them.
 FREQUENT, LONGEST = 150_000, 32
 #: What a character that is no piece loses against the least score, as the library has it.
@@ -40,17 +43,32 @@ PENALTY = 10.0
 
 def pieces(spark: SparkSession, model: str) -> tuple[DataFrame, int, float, int]:
     """(piece, id, score; the longest piece; the least score; the id of byte 0)."""
+    sp, rows = vocabulary(model)
+    table = spark.createDataFrame(rows, "piece string, id int, score double")
+    return table, max(len(p) for p, _, _ in rows), min(s for _, _, s in rows), sp.piece_to_id("<0x00>")
+
+
+def vocabulary(model: str) -> tuple[sentencepiece.SentencePieceProcessor, list[tuple[str, int, float]]]:
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
     if any(re.search(f"[^{SPACE}]{SPACE}", p) or len(p) > 1 and "\n" in p for p, _, _ in rows):
         raise ValueError("pieces of this vocabulary cross words")
-    table = spark.createDataFrame(rows, "piece string, id int, score double")
-    return table, max(len(p) for p, _, _ in rows), min(s for _, _, s in rows), sp.piece_to_id("<0x00>")
+    return sp, rows
+
+
+def word_pattern(model: str) -> str:
+    """The pattern of words: one ends between a Latin letter and a sign that no piece holds after such a letter."""
+    pairs = {pair for piece, _, _ in vocabulary(model)[1] for pair in itertools.pairwise(piece)}
+    signs = {c for c in string.punctuation} - {b for a, b in pairs if re.match(LETTER, a)}
+    if not signs:
+        return " *[^ \\n]+|\\n| +"
+    own = "".join("\\" + c for c in sorted(signs))
+    return f" *(?:[^ \\n]*?{LETTER}(?=[{own}])|[^ \\n]+)|\\n| +"
 
 
-def split_words(text: Column) -> Column:
+def split_words(text: Column, pattern: str) -> Column:
     text = F.translate(text, SPACE, " ")
-    return F.when(F.length(text) > 0, F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(WORDS), F.lit(0)))
+    return F.when(F.length(text) > 0, F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(pattern), F.lit(0)))
 
 
 def edges(words: DataFrame, table: DataFrame, longest: int, least: float, byte0: int) -> DataFrame:
@@ -69,29 +87,20 @@ def edges(words: DataFrame, table: DataFrame, longest: int, least: float, byte0:
 def viterbi(lattice: Column, longest: int) -> Column:
     """The ids of the best path over edges sorted by (end, len); every end has an edge of length 1, which opens it.
 
-    State: the best scores of the last `longest` places, and of each place the last edge of its best path.
+    State: of the last `longest` places and the one before them, the best score and the ids of its path.
     """
-    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast("array<struct<len:int,ids:array<int>>>").alias("back"))
+    none = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))
 
     def step(acc: Column, e: Column) -> Column:
-        best, back = acc["best"], acc["back"]
-        edge = F.array(F.struct(e["len"].alias("len"), e["ids"].alias("ids")))
         opens = e["len"] == 1
-        total = F.element_at(best, F.when(opens, F.lit(-1)).otherwise(-1 - e["len"])) + e["score"]
-        opened = F.struct(F.concat(F.slice(best, F.greatest(F.lit(1), F.size(best) - longest), F.lit(longest + 1)), F.array(total)).alias("best"), F.concat(back, edge).alias("back"))
-        better = F.struct(F.concat(F.slice(best, F.lit(1), F.size(best) - 1), F.array(total)).alias("best"), F.concat(F.slice(back, F.lit(1), F.size(back) - 1), edge).alias("back"))
-        return F.when(opens, opened).when(total > F.element_at(best, -1), better).otherwise(acc)
-
-    back = F.aggregate(lattice, start, step, lambda acc: acc["back"])
-    # from the end: the place to read next, and the ids so far
-    none = F.struct(F.size(back).alias("at"), F.array().cast("array<int>").alias("ids"))
-
-    def up(acc: Column, x: Column) -> Column:
-        # x: (place, its last edge), places falling
-        return F.when(x["at"] == acc["at"], F.struct((acc["at"] - x["edge"]["len"]).alias("at"), F.concat(x["edge"]["ids"], acc["ids"]).alias("ids"))).otherwise(acc)
+        before = F.element_at(acc, F.when(opens, F.lit(-1)).otherwise(-1 - e["len"]))
+        total = before["score"] + e["score"]
+        entry = F.struct(total.alias("score"), F.concat(before["ids"], e["ids"]).alias("ids"))
+        opened = F.array_append(F.when(F.size(acc) > longest, F.slice(acc, -longest, longest)).otherwise(acc), entry)
+        better = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), entry)
+        return F.when(opens, opened).when(total > F.element_at(acc, -1)["score"], better).otherwise(acc)
 
-    places = F.reverse(F.transform(back, lambda x, i: F.struct((i + 1).alias("at"), x.alias("edge"))))
-    return F.aggregate(places, none, up, lambda acc: acc["ids"])
+    return F.aggregate(lattice, F.array(none), step, lambda acc: F.element_at(acc, -1)["ids"])
 
 
 def lexicon(words: DataFrame, model: str) -> DataFrame:
@@ -116,13 +125,13 @@ def with_exact(lex: DataFrame, model: str) -> DataFrame:
     return lex.join(again, "word")
 
 
-def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("key"), F.posexplode(split_words(F.col(text))).alias("i", "word"))
+def occurrences(docs: DataFrame, model: str, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("key"), F.posexplode(split_words(F.col(text), word_pattern(model))).alias("i", "word"))
 
 
 def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables that hold together doc_id, key, i, ids, exact of every word i of every document; key tells documents apart."""
-    words = occurrences(docs, doc_id, text)
+    words = occurrences(docs, model, doc_id, text)
     solved = stash(lexicon(words.select("word"), model), "lattice-words")
     lex = stash(with_exact(solved, model), "lattice-lexicon")
     discard(solved)
