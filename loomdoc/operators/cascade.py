@@ -20,7 +20,7 @@ def below(score: Column, threshold: float) -> Column:
 
 
 def shown(score: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", score), F.lit("None"))
+    return F.when(score.isNotNull(), F.format_string("%.4f", score)).otherwise(F.lit("None"))
 
 
 def plan(elements: DataFrame, probed: DataFrame, table_threshold: float = TABLE_THRESHOLD, text_threshold: float = TEXT_THRESHOLD) -> DataFrame:
