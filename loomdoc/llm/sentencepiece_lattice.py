@@ -143,9 +143,9 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
 
 
 def ids_of(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, key, ids: the ids of each document that has a word, in order."""
+    """doc_id, key, ids: the ids of each document that has a word, in order; rows with the same doc_id and text give one."""
     often, seldom = encode(docs, model, doc_id, text)
-    grouped = often.unionByName(seldom).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("x"))
+    grouped = often.unionByName(seldom).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("i", "ids"))).alias("x"))
     return grouped.select("doc_id", "key", F.flatten(F.col("x.ids")).alias("ids"))
 
 
