@@ -62,4 +62,26 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: Words of whole texts; null texts have none.
+SQL_WORDS = "w AS (SELECT doc_id, text, coalesce(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+'), CAST([] AS VARCHAR[])) AS ws FROM documents)"
+
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": "WITH " + SQL_WORDS.format(text="text") + """,
+ i AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS k FROM w WHERE len(ws) >= 50),
+ h AS (SELECT doc_id, k, md5(array_to_string(ws[k:k + 49], ' ')) AS h FROM i),
+ f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+ g AS (SELECT h.doc_id, unnest(generate_series(k, k + 49)) AS p FROM h JOIN f USING (h) WHERE first < h.doc_id),
+ d AS (SELECT doc_id, list(DISTINCT p) AS gone FROM g GROUP BY doc_id)
+ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ') ELSE array_to_string(list_filter(ws, lambda x, p: NOT list_contains(gone, p)), ' ') END) AS kept_sha256
+ FROM w LEFT JOIN d USING (doc_id)""",
+    "op9_ngram_join": "WITH RECURSIVE " + SQL_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """,
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS k FROM w WHERE len(ws) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ r AS (SELECT doc_id AS v, doc_id AS t FROM n UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.t)
+ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.m, w.doc_id) AS component_id, CASE WHEN n.n IS NULL THEN w.doc_id ELSE min(w.doc_id) OVER (PARTITION BY text) END AS class_id
+ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(t) AS m FROM r GROUP BY v) c ON c.v = w.doc_id""",
+}
