@@ -169,3 +169,6 @@ ORACLES: dict[str, str] = {
 ORACLES["kg_entity_rollup"] = base(ELEMENTS, ENTITIES) + """SELECT document_id, name, entity_type, count(*) AS occurrences, array_to_string(list_sort(list(DISTINCT page_number)), ',') AS pages, count(DISTINCT element_id) AS n_elements, CAST(max(confidence) AS DOUBLE) AS confidence,
  name || ' (' || entity_type || ') — referenced on page(s) ' || array_to_string(list_sort(list(DISTINCT page_number)), ', ') || '.' AS content_text FROM en GROUP BY document_id, name, entity_type"""
 ORACLES["chunk_entities"] = base(ELEMENTS, ENTITIES) + """SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY name, entity_type) - 1 AS chunk_no, name || ' (' || entity_type || ') — referenced on page(s) ' || array_to_string(list_sort(list(DISTINCT page_number)), ', ') || '.' AS content_text, min(page_number) AS page_start, max(page_number) AS page_end FROM en GROUP BY document_id, name, entity_type"""
+
+ORACLES["ingest_summary"] = base(ELEMENTS, PAGES, FLAGS, TASKS, ENTITIES) + """SELECT e.document_id, n_elements, coalesce(n_tasks, 0) AS n_tasks, coalesce(n_entities, 0) AS n_entities FROM (SELECT document_id, count(*) AS n_elements FROM el GROUP BY 1) e
+ LEFT JOIN (SELECT document_id, count(*) AS n_tasks FROM tk GROUP BY 1) t USING (document_id) LEFT JOIN (SELECT document_id, count(*) AS n_entities FROM en GROUP BY 1) n USING (document_id)"""

@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import cascade, chunking, graph, kg, probe, rbac, sampling, sessions, store, structure, tables, vectors
 from ..sources import manual
 from ..streaming import ingest
+from . import lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,3 +439,11 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     w = ingest.windowed_counts(manual.read(spark, d, "events"), "1 day")
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
+
+
+@query
+def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
+    e = manual.elements(spark, d)
+    none = F.array().cast("array<string>")
+    drafts = e.withColumn("components", F.when(F.col("component").isNotNull(), F.array("component")).otherwise(none)).withColumn("connections", F.when(F.col("connection").isNotNull(), F.array("connection")).otherwise(none))
+    return lifecycle.summary(lifecycle.ingest(drafts, manual.pages(spark, d))).select("document_id", "n_elements", "n_tasks", "n_entities")

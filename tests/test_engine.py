@@ -329,3 +329,22 @@ def test_windows(spark):
     e = spark.createDataFrame([(datetime(2024, 1, 1, 0, 5), 1, "a", 1.0), (datetime(2024, 1, 1, 0, 50), 1, "a", 2.0), (datetime(2024, 1, 1, 2, 0), 1, "a", 4.0)], "ts timestamp, user_id int, event_type string, value double")
     assert sorted(r.total for r in ingest.windowed_counts(e).collect()) == [3.0, 4.0]
     assert sorted(r.n for r in ingest.session_counts(e, "1 hour").collect()) == [1, 2]
+
+
+def test_files(spark, tmp_path):
+    from loomdoc.sources import files
+
+    (tmp_path / "a.pdf").write_bytes(b"one\ftwo")
+    (tmp_path / "b.pdf").write_bytes(b"one\ftwo")
+    (tmp_path / "c.pdf").write_bytes(b"old")
+    (tmp_path / "d.txt").write_bytes(b"no")
+    f = files.scan(spark, str(tmp_path))
+    parse = lambda: lambda content: [{"text": t, "width": 1, "height": 2} for t in content.decode().split("\f")]
+    facts = files.parse_pages(f, parse)
+    assert facts.count() == 5
+    import hashlib
+
+    known = spark.createDataFrame([(7, hashlib.sha256(b"old").hexdigest())], "id bigint, source_hash string")
+    assert {(r.filename, r.page_count, r.document_id, r.created) for r in files.upload_plan(f, known, facts).collect()} == {("a.pdf", 2, 8, True), ("b.pdf", 2, 8, True), ("c.pdf", 1, 7, False)}
+    files.export_json(known, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first().id == 7
