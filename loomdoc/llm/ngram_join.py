@@ -3,8 +3,8 @@
 A document's set is its distinct 5-word shingles as 64-bit hashes. Two sets of
 similarity t or more share a token among the first n - ceil(t n) + 1 of each, under any
 one order of all tokens; so they do under every order. Order 1 finds the candidates (by
-the shuffle), orders 2 and 3 are checked on those candidates before their sets are
-compared in full.
+the shuffle); candidates that do not meet under orders 2 and 3 as well go before texts
+are fetched and sets compared in full.
 
 All orders put frequent tokens last. Which those are is counted over all documents with
 lossy counting: each task reports what it saw at least LOCAL_MIN times, and the HOT most
@@ -12,10 +12,10 @@ frequent become a bounded broadcast. The list decides only how fast the join is:
 order gives the same links.
 
 A group of many near copies is not expanded into pairs. Exact copies collapse into one
-node. Then each node is compared with one neighbour of its buckets (the one with which
-it shares most prefix tokens), links are closed to components, and only pairs of a
-bucket that still stand in different components are compared; no pair that could add to
-a component is left out.
+node. Then, for some rounds, each node is compared with one leader of its buckets in
+another component (the one with which it shares most of them) and links are closed to
+components; last, all pairs of a bucket that still stand in different components are
+compared. No pair that could add to a component is left out.
 
 Nulls: a null text is an empty set, linked with nothing; rows with the same doc_id are
 documents each by itself; a null doc_id stands after all others. An empty table gives an
@@ -38,6 +38,8 @@ from .components import components
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
 #: Frequent tokens that the orders put last, and how often a task must see one to report it.
 HOT, LOCAL_MIN, HOT_MIN = 200_000, 3, 12
+#: Rounds of comparing each node with one leader before all pairs that are left.
+ROUNDS = 1
 #: A task counts so many tokens at a time.
 COUNTED = 3_000_000
 
@@ -121,81 +123,108 @@ def hot_tokens(scanned: DataFrame) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def buckets(docs: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """token, key, n, hot: which nodes have which token in their prefix under the first order; tokens of one node only are left out."""
+def prefixes(docs: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
+    """key, n, cold, hot, others: each node's prefix under the first order, and under the others, as 32-bit tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("cold", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("cold", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64())), ("others", pa.list_(pa.list_(pa.int32())))])
 
     def make(keys: list, texts: list) -> Iterator[tuple]:
         for key, text in zip(keys, texts, strict=True):
             s = shingles(text)
             if s.size:
                 frequent, other = prefix(s, 0, shared.value)
-                yield key, s.size, other.view(np.int64), frequent.view(np.int64)
+                rest = [(np.concatenate(prefix(s, o, shared.value)) >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in range(1, ORDERS)]
+                yield key, s.size, other.view(np.int64), frequent.view(np.int64), rest
 
-    rows = map_rows(docs.select("key", "text"), schema, "key bigint, n bigint, cold array<bigint>, hot array<bigint>", make)
-    rows = rows.join(nodes.select("key"), "key", "left_semi")
+    rows = map_rows(docs.select("key", "text"), schema, "key bigint, n bigint, cold array<bigint>, hot array<bigint>, others array<array<int>>", make)
+    return rows.join(nodes.select("key"), "key", "left_semi")
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """token, key, n: which nodes have which token in their prefix under the first order; tokens of one node only are left out."""
     per = Window.partitionBy("token")
     cold = rows.select(F.explode("cold").alias("token"), "key", "n").withColumn("c", F.count(F.lit(1)).over(per)).where("c > 1")
-    frequent = rows.select(F.explode("hot").alias("token"), "key", "n")
-    return cold.select("token", "key", "n", F.lit(False).alias("hot")).unionByName(frequent.withColumn("hot", F.lit(True)))
-
-
-def best_neighbours(b: DataFrame) -> DataFrame:
-    """a, b: for each node the one earlier node of its buckets with which it shares most of them."""
-    chain = Window.partitionBy("token").orderBy("n", "key")
-    cold = b.where(~F.col("hot")).select("key", "n", F.lag(F.struct("key", "n")).over(chain).alias("o")).where("o is not null")
-    # a frequent token's bucket is not gathered in one task: its leaders are minima, one for each class of sizes
-    step = F.floor(F.log("n") / F.log(F.lit(1.25)))
-    frequent = b.where("hot").select("token", "key", "n", step.alias("step"))
-    leaders = frequent.groupBy("token", "step").agg(F.min(F.struct("key", "n")).alias("o"))
-    leaders = leaders.select("token", "o", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
-    led = frequent.join(leaders, ["token", "step"]).select("key", "n", "o").where(F.col("o.key") != F.col("key"))
-    pairs = cold.unionByName(led).where(100 * F.least("n", "o.n") >= PERCENT * F.greatest("n", "o.n"))
-    pairs = pairs.groupBy("key", F.col("o.key").alias("other")).agg(F.count(F.lit(1)).alias("c"))
+    # a frequent token's bucket is not gathered in one task
+    return cold.select("token", "key", "n").unionByName(rows.select(F.explode("hot").alias("token"), "key", "n"))
+
+
+def best_neighbours(b: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """a, b: for each node a leader of its buckets in another component, the one with which it shares most buckets.
+
+    A bucket's leaders, for each class of sizes, are the nodes with the least and the
+    greatest (root, key): minima and maxima, so no bucket is gathered in one task.
+    """
+    step = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    b = rooted(b, labels).withColumn("step", step)
+    node = F.struct("root", "key", "n")
+    leaders = b.groupBy("token", "step").agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
+    leaders = leaders.select("token", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.array("lo", "hi").alias("os"))
+    led = b.join(leaders, ["token", "step"]).select("key", "n", "root", F.explode("os").alias("o")).where("o.root <> root")
+    led = led.where(100 * F.least("n", "o.n") >= PERCENT * F.greatest("n", "o.n"))
+    pairs = led.groupBy("key", F.col("o.key").alias("other")).agg(F.count(F.lit(1)).alias("c"))
     best = pairs.groupBy("key").agg(F.max(F.struct("c", "other")).alias("best"))
     return best.select(F.least("key", "best.other").alias("a"), F.greatest("key", "best.other").alias("b")).distinct()
 
 
-def remaining_pairs(b: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """a, b: pairs of a bucket in different components that have not been compared, of sizes that may be similar."""
-    b = b.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = b.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    b = b.join(mixed, "token").select("token", "key", "n", "root")
+def rooted(b: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return b.withColumn("root", F.col("key"))
+    return b.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def remaining_pairs(b: DataFrame, labels: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """a, b: pairs of a bucket in different components that have not been compared, of sizes that may be similar.
+
+    Buckets of the same nodes give the same pairs, so one of each such group stands for
+    all: they are told by the number and two checksums of their nodes.
+    """
+    b = rooted(b, labels)
+    code = F.xxhash64("key")
+    kinds = b.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 20)).alias("s")).where("lo <> hi")
+    b = b.join(kinds.groupBy("c", "x", "s").agg(F.min("token").alias("token")).select("token"), "token").select("token", "key", "n", "root")
     x, y = b.alias("x"), b.alias("y")
     fits = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    for d in done:
+        pairs = pairs.join(d, ["a", "b"], "left_anti")
+    return pairs
 
 
-def verified(pairs: DataFrame, texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """The pairs that share prefix tokens under the other orders too and are similar."""
-    shared = texts.sparkSession.sparkContext.broadcast(hot)
+def passing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs whose prefixes meet under every other order too."""
+    left, right = rows.select(F.col("key").alias("a"), F.col("others").alias("p")), rows.select(F.col("key").alias("b"), F.col("others").alias("q"))
+    meets = [F.arrays_overlap(F.col("p")[o], F.col("q")[o]) for o in range(ORDERS - 1)]
+    both = pairs.join(left, "a").join(right, "b")
+    for m in meets:
+        both = both.where(m)
+    return both.select("a", "b")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that pass the other orders and are similar."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def make(aa: list, bb: list, ta: list, tb: list) -> Iterator[tuple]:
-        sets: dict[int, tuple] = {}
+        sets: dict[int, np.ndarray] = {}
         held = 0
 
-        def of(key: int, text: str) -> tuple:
+        def of(key: int, text: str) -> np.ndarray:
             nonlocal held
             if key not in sets:
                 if held > COUNTED:
                     sets.clear()
                     held = 0
-                s = shingles(text)
-                held += s.size
-                sets[key] = (s, *(np.concatenate(prefix(s, o, shared.value)) for o in range(1, ORDERS)))
+                sets[key] = shingles(text)
+                held += sets[key].size
             return sets[key]
 
         for a, b, x, y in zip(aa, bb, ta, tb, strict=True):
-            u, v = of(a, x), of(b, y)
-            if all(np.intersect1d(p, q, assume_unique=True).size for p, q in zip(u[1:], v[1:], strict=True)) and similar(u[0], v[0]):
+            if similar(of(a, x), of(b, y)):
                 yield a, b
 
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), schema, "a bigint, b bigint", make)
+    return map_rows(passing(pairs, rows).join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), schema, "a bigint, b bigint", make)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,25 +232,36 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     docs = keyed(docs, doc_id, text)
     scanned = stash(scan(docs), "ngram-scan")
     hot = hot_tokens(scanned)
-    rows = scanned.where(F.col("n").isNotNull()).select("key", "doc_id", "same", "n")
+    counted = scanned.where(F.col("n").isNotNull()).select("key", "doc_id", "same", "n")
     # nodes: the least document of each text; nulls stand last
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    classes = rows.where("n > 0").groupBy("same").agg(F.min(order).alias("first"))
+    classes = counted.where("n > 0").groupBy("same").agg(F.min(order).alias("first"))
     nodes = stash(classes.select("same", F.col("first.key").alias("key"), F.col("first.doc_id").alias("class_id")), "ngram-nodes")
-    b = stash(buckets(docs, nodes, hot), "ngram-buckets")
-    texts = stash(docs.select("key", "text").join(b.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "ngram-texts")
-    first = stash(best_neighbours(b), "ngram-pairs")
-    links = stash(verified(first, texts, hot), "ngram-links")
-    labels = components(links)
-    more = stash(remaining_pairs(b, labels, first), "ngram-rest")
-    found = stash(verified(more, texts, hot), "ngram-more")
+    everything = stash(prefixes(docs, nodes, hot), "ngram-prefixes")
+    b = stash(buckets(everything), "ngram-buckets")
+    some = b.select("key").distinct()
+    rows = stash(everything.join(some, "key", "left_semi").select("key", "others"), "ngram-orders")
+    discard(everything)
+    texts = stash(docs.select("key", "text").join(some, "key", "left_semi").dropDuplicates(["key"]), "ngram-texts")
+    labels, links, done = None, None, []
+    for _ in range(ROUNDS):
+        pairs = stash(best_neighbours(b, labels), "ngram-pairs")
+        new = stash(verified(pairs, rows, texts), "ngram-links")
+        done.append(pairs)
+        links = new if links is None else links.unionByName(new)
+        if new.isEmpty():
+            break
+        labels = components(links)
+    labels = components(links) if labels is None else labels
+    more = stash(remaining_pairs(b, labels, done), "ngram-rest")
+    found = stash(verified(more, rows, texts), "ngram-more")
     if not found.isEmpty():
         labels = components(links.unionByName(found))
-    discard(b, texts)
+    discard(b, rows, texts, more)
     joined = nodes.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
     joined = joined.join(least, "root").select("same", "class_id", "component_id")
-    out = rows.join(joined, "same", "left")
+    out = counted.join(joined, "same", "left")
     return out.select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
