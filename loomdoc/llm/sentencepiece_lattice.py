@@ -72,16 +72,16 @@ def split_words(text: Column, pattern: str) -> Column:
 
 
 def edges(words: DataFrame, table: DataFrame, longest: int, least: float, byte0: int) -> DataFrame:
-    """word, e (end, len, score, ids): the lattice of every word."""
-    marked = words.select("word", F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n"))
-    starts = marked.select("word", "w", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("s"))
-    parts = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1))).alias("len"), "w").select("word", "s", "len", F.expr("substring(w, s, len)").alias("part"))
+    """word, times, e (end, len, score, ids): the lattice of every word."""
+    marked = words.select("word", "times", F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n"))
+    starts = marked.select("word", "times", "w", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("s"))
+    parts = starts.select("word", "times", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1))).alias("len"), "w").select("word", "times", "s", "len", F.expr("substring(w, s, len)").alias("part"))
     found = parts.join(F.broadcast(table), F.col("part") == F.col("piece"), "left").where("id is not null or len = 1")
     code = F.hex(F.encode("part", "UTF-8"))
     raw = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + byte0)
     ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(raw)
     score = F.coalesce("score", F.lit(least - PENALTY))
-    return found.select("word", F.struct((F.col("s") + F.col("len") - 1).alias("end"), "len", score.alias("score"), ids.alias("ids")).alias("e"))
+    return found.select("word", "times", F.struct((F.col("s") + F.col("len") - 1).alias("end"), "len", score.alias("score"), ids.alias("ids")).alias("e"))
 
 
 def viterbi(lattice: Column, longest: int) -> Column:
@@ -104,14 +104,13 @@ def viterbi(lattice: Column, longest: int) -> Column:
 
 
 def lexicon(words: DataFrame, model: str) -> DataFrame:
-    """word, n, ids, exact for each distinct word: n occurrences; exact: the ids' pieces join to the word again."""
+    """word, n, ids for each distinct word of n occurrences."""
     spark = words.sparkSession
     table, longest, least, byte0 = pieces(spark, model)
-    distinct = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    distinct = words.groupBy("word").agg(F.count(F.lit(1)).alias("times"))
     found = edges(distinct, table, longest, least, byte0)
-    grouped = found.groupBy("word").agg(F.array_sort(F.collect_list("e")).alias("lattice"))
-    solved = grouped.select("word", viterbi(F.col("lattice"), longest).alias("ids"))
-    return distinct.join(solved, "word")
+    grouped = found.groupBy("word").agg(F.first("times").alias("n"), F.array_sort(F.collect_list("e")).alias("lattice"))
+    return grouped.select("word", "n", viterbi(F.col("lattice"), longest).alias("ids"))
 
 
 def with_exact(lex: DataFrame, model: str) -> DataFrame:
