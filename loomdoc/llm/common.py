@@ -61,7 +61,7 @@ def row_key(doc_id: str, text: str) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, equal in every process; a worker remembers so many distinct ones."""
 
-    REMEMBERED = 600_000
+    REMEMBERED = 250_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -74,6 +74,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One for each worker, whichever operator runs in it.
+word_hashes = WordHashes()
+
+
 def map_rows(df: DataFrame, schema: pa.Schema, ddl: str, make: Callable[..., Iterator[tuple]]) -> DataFrame:
     """mapInArrow where make(*columns as lists) yields result rows; output goes out in batches of 2,000 rows."""
 

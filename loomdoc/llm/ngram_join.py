@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, discard, gram_hashes, map_rows, row_key, stash, to_batch
+from .common import LOWER, discard, gram_hashes, map_rows, row_key, stash, to_batch, word_hashes
 from .components import components
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
@@ -43,15 +43,13 @@ ROUNDS = 1
 #: A task counts so many tokens at a time.
 COUNTED = 3_000_000
 
-_hashes = WordHashes()
-
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """The distinct shingles of a whole text, sorted."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    h = _hashes.of(words)
+    h = word_hashes.of(words)
     return np.unique(gram_hashes(h, k)) if len(words) >= k else gram_hashes(h, len(words)) ^ np.uint64(len(words))
 
 

@@ -30,15 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, gram_hashes, map_rows, row_key, stash, to_batch
+from .common import discard, gram_hashes, map_rows, row_key, stash, to_batch, word_hashes
 
 WINDOW, GRAM = 50, 20
 #: Distinct segments of an anchor that one automaton takes.
 MAX_SEGMENTS = 400
 LAST = (1 << 63) - 1
 
-_hashes = WordHashes()
-
 
 def words_of(text: str | None) -> list[bytes]:
     """Words as UTF-8 bytes: bytes.split() parts at exactly space and 09-0D."""
@@ -50,7 +48,7 @@ def segments(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tupl
     n = len(words) - window + 1
     if n < 1:
         return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
-    h = _hashes.of(words)
+    h = word_hashes.of(words)
     grams = gram_hashes(h, gram)
     at = np.empty(n, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
