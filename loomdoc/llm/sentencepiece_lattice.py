@@ -1,44 +1,56 @@
-"""SentencePiece encoding and decoding as a relational lattice.
+"""SentencePiece encoding and decoding of whole documents by a relational lattice.
 
 A text is a chain of words: a line feed, or a run of characters with the spaces before
 it, which ends where a sign follows a Latin letter. Signs are those that no piece of the
 vocabulary holds after such a letter; so no piece crosses a cut (checked on the driver),
 words are encoded by themselves, and each distinct word once: its substrings of bounded
-length are exploded and joined to the piece table; the matches, and bytes for characters
-that are no piece, are the edges of the word's lattice; grouped by word and sorted by
-end, a higher-order aggregate folds them to the path of the greatest score (Viterbi).
-Of equal scores the path with the shorter last piece stays.
+length are exploded and joined to the piece table; the matches, and single characters that
+are no piece, are the edges of the word's lattice, grouped by word and folded to ids.
 
-That is the unigram rule over the pieces and scores of the file. A file that was made for
-merges (BPE) keeps its ids and its exact decoding, but the library may cut a word
-otherwise than by the greatest score.
+Two rules fold a lattice. "merges" is that of a BPE file: of all neighbours that join to
+an edge the pair with the best score is joined, the left one of equals, until none is
+left. "score" is that of a unigram file: the path of the greatest sum of scores (Viterbi
+in a higher-order aggregate); of equal scores the path with the shorter last piece stays.
 
-encode() gives the ids by document and word. The FREQUENT most frequent short words are
-joined by broadcast (bounded by their number and length), all others by a shuffle.
+documents() then puts the ids of every document together, in order, decodes them and
+compares the text. The FREQUENT most frequent short words go to the workers (bounded by
+their number and length); all others of a document meet their ids by shuffles.
 
-Nulls: a null text is empty and has no words; it stays in digests with 0. A null doc_id
-is kept. Rows with the same doc_id and text get equal rows
-of digest(). An empty table gives an empty result.
+Nulls: a null text is empty and has no words; it stays with no ids. A null doc_id is
+kept. Rows with the same doc_id and text get equal rows. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 import string
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, row_key, stash
+from .common import discard, map_rows, row_key, stash
 
 SPACE = "▁"
-LETTER = "[A-Za-z\u00c0-\u024f]"
-#: Words that are joined by broadcast, and the longest of them.
+LETTER = "[A-Za-zÀ-ɏ]"
+#: Words that every worker holds, and the longest of them.
 FREQUENT, LONGEST = 150_000, 32
 #: What a character that is no piece loses against the least score, as the library has it.
 PENALTY = 10.0
+#: Distinct words that a task counts, or remembers the ids of, at a time.
+COUNTED = 200_000
+#: In a packed edge: a character that is no piece.
+NO_PIECE = (1 << 24) - 1
+#: Tokens that go out in one batch.
+BATCH = 1_000_000
 
 
 def pieces(spark: SparkSession, model: str) -> tuple[DataFrame, int, float, int]:
@@ -66,17 +78,56 @@ def word_pattern(model: str) -> str:
     return f" *(?:[^ \\n]*?{LETTER}(?=[{own}])|[^ \\n]+)|\\n| +"
 
 
-def split_words(text: Column, pattern: str) -> Column:
-    text = F.translate(text, SPACE, " ")
-    return F.when(F.length(text) > 0, F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(pattern), F.lit(0)))
+#: Runs that the word pattern cuts further: each distinct one is cut once.
+runs = re.compile(" *[^ \n]+|\n| +").findall
 
 
-def edges(words: DataFrame, table: DataFrame, longest: int, least: float, byte0: int) -> DataFrame:
-    """word, times, e (end, len, score, ids): the lattice of every word."""
+def prefixed(text: str) -> str:
+    """The text as the library reads it: with a space before it, and its own sign for spaces is one."""
+    return " " + text.replace(SPACE, " ")
+
+
+def count_words(docs: DataFrame, model: str, text: str) -> DataFrame:
+    """word, times: every distinct word; each task counts a bounded number at a time."""
+    pattern = word_pattern(model)
+    schema = pa.schema([("word", pa.string()), ("times", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = re.compile(pattern).findall
+        seen: Counter = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words: Counter = Counter()
+            for r, n in seen.items():
+                for w in cut(r):
+                    words[w] += n
+            seen.clear()
+            rows = list(words.items())
+            for at in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for t in batch.column(0):
+                t = t.as_py()
+                if t:
+                    seen.update(runs(prefixed(t)))
+                    if len(seen) > COUNTED:
+                        yield from flush()
+        yield from flush()
+
+    return docs.select(F.col(text)).mapInArrow(run, "word string, times bigint").groupBy("word").agg(F.sum("times").alias("times"))
+
+
+def edges(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """word, times, s, len, part, id, score: the lattice of every word; id and score are null where a character is no piece."""
     marked = words.select("word", "times", F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n"))
     starts = marked.select("word", "times", "w", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("s"))
     parts = starts.select("word", "times", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1))).alias("len"), "w").select("word", "times", "s", "len", F.expr("substring(w, s, len)").alias("part"))
-    found = parts.join(F.broadcast(table), F.col("part") == F.col("piece"), "left").where("id is not null or len = 1")
+    return parts.join(F.broadcast(table), F.col("part") == F.col("piece"), "left").where("id is not null or len = 1")
+
+
+def scored(found: DataFrame, least: float, byte0: int) -> DataFrame:
+    """word, times, e (end, len, score, ids) of edges."""
     code = F.hex(F.encode("part", "UTF-8"))
     raw = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + byte0)
     ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(raw)
@@ -103,74 +154,200 @@ def viterbi(lattice: Column, longest: int) -> Column:
     return F.aggregate(lattice, F.array(none), step, lambda acc: F.element_at(acc, -1)["ids"])
 
 
-def lexicon(words: DataFrame, model: str) -> DataFrame:
+def merge(word: str, lattice: list[int], order: list[int], byte0: int) -> list[int]:
+    """The ids of a word by merges. lattice: packed edges, (start << 32) + (length << 24) + id; order: the place of each id by score."""
+    at = {e >> 24: e & NO_PIECE for e in lattice}  # (start << 8) + length -> id
+    none = len(order)
+    n = len(word)
+    ends = list(range(1, n + 1)) + [0]  # by start of a part: its end
+    before = list(range(-1, n))  # by start of a part: the start of the part before it
+    heap = []
+
+    def offer(a: int, b: int) -> None:
+        i = at.get((a << 8) + ends[b] - a, NO_PIECE) if ends[b] - a < 256 else NO_PIECE
+        if i != NO_PIECE and order[i] < none:
+            heap.append((order[i], a, b, ends[b])) if not ready else heapq.heappush(heap, (order[i], a, b, ends[b]))
+
+    ready = False
+    for a in range(n - 1):
+        offer(a, a + 1)
+    heapq.heapify(heap)
+    ready = True
+    gone = bytearray(n)
+    while heap:
+        _, a, b, end = heapq.heappop(heap)
+        if gone[a] or gone[b] or ends[a] != b or ends[b] != end:
+            continue
+        ends[a], gone[b] = end, 1
+        if end < n:
+            before[end] = a
+            offer(a, end)
+        if a:
+            offer(before[a], a)
+    out, a = [], 0
+    while a < n:
+        i = at[(a << 8) + ends[a] - a]
+        out += [i] if i != NO_PIECE else [byte0 + x for x in word[a].encode()]
+        a = ends[a]
+    return out
+
+
+def lexicon(distinct: DataFrame, model: str, rule: str) -> DataFrame:
     """word, n, ids for each distinct word of n occurrences."""
-    spark = words.sparkSession
+    spark = distinct.sparkSession
     table, longest, least, byte0 = pieces(spark, model)
-    distinct = words.groupBy("word").agg(F.count(F.lit(1)).alias("times"))
-    found = edges(distinct, table, longest, least, byte0)
-    grouped = found.groupBy("word").agg(F.first("times").alias("n"), F.array_sort(F.collect_list("e")).alias("lattice"))
-    return grouped.select("word", "n", viterbi(F.col("lattice"), longest).alias("ids"))
-
-
-def with_exact(lex: DataFrame, model: str) -> DataFrame:
-    """exact: whether the pieces of ids, looked up in the piece table again, join to the word."""
-    table, _, _, byte0 = pieces(lex.sparkSession, model)
-    back = F.broadcast(table.select(F.col("id").alias("i"), "piece"))
-    parts = lex.select("word", F.posexplode("ids").alias("k", "i")).join(back, "i", "left")
-    code = F.coalesce(F.hex(F.encode("piece", "UTF-8")), F.lpad(F.hex(F.col("i") - byte0), 2, "0"))
-    texts = parts.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", code.alias("c")))), lambda x: x["c"]), "").alias("code"))
-    again = texts.select("word", (F.translate(F.decode(F.unhex("code"), "UTF-8"), SPACE, " ") == F.col("word")).alias("exact"))
-    return lex.join(again, "word")
-
-
-def occurrences(docs: DataFrame, model: str, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("key"), F.posexplode(split_words(F.col(text), word_pattern(model))).alias("i", "word"))
-
-
-def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables that hold together doc_id, key, i, ids, exact of every word i of every document; key tells documents apart."""
-    words = occurrences(docs, model, doc_id, text)
-    solved = stash(lexicon(words.select("word"), model), "lattice-words")
-    lex = stash(with_exact(solved, model), "lattice-lexicon")
-    discard(solved)
-    frequent = lex.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids", "exact")
-    frequent = F.broadcast(stash(frequent, "lattice-frequent"))
-    often = words.join(frequent, "word").select("doc_id", "key", "i", "ids", "exact")
-    seldom = words.join(frequent.select("word"), "word", "left_anti").join(lex.select("word", "ids", "exact"), "word").select("doc_id", "key", "i", "ids", "exact")
-    return often, seldom
-
-
-def ids_of(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    found = edges(distinct, table, longest)
+    if rule == "score":
+        grouped = scored(found, least, byte0).groupBy("word").agg(F.first("times").alias("n"), F.array_sort(F.collect_list("e")).alias("lattice"))
+        return grouped.select("word", "n", viterbi(F.col("lattice"), longest).alias("ids"))
+    if rule != "merges" or longest > 255:
+        raise ValueError("no such rule for this file")
+    packed = F.shiftleft((F.col("s") - 1).cast("bigint"), 32) + F.shiftleft(F.col("len").cast("bigint"), 24) + F.coalesce("id", F.lit(NO_PIECE))
+    grouped = found.select("word", "times", packed.alias("e")).groupBy("word").agg(F.first("times").alias("n"), F.collect_list("e").alias("lattice"))
+    scores = {i: s for _, i, s in vocabulary(model)[1]}
+    place = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
+    order = [place[scores[i]] if i in scores else len(scores) * 2 for i in range(max(scores) + 1)]
+    shared = spark.sparkContext.broadcast(order)  # at most the vocabulary
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def make(words: list, counts: list, lattices: list) -> Iterator[tuple]:
+        order = shared.value
+        for w, n, lattice in zip(words, counts, lattices, strict=True):
+            yield w, n, merge(w, lattice, order, byte0)
+
+    return map_rows(grouped, schema, "word string, n bigint, ids array<int>", make)
+
+
+class Known(dict):
+    """run -> (its ids as bytes, or None where a word of it is seldom; its number of words; its words); a worker remembers so many."""
+
+    def __init__(self, frequent: dict[str, bytes], pattern: str):
+        self.frequent, self.cut = frequent, re.compile(pattern).findall
+
+    def __missing__(self, run: str) -> tuple:
+        words = self.cut(run)
+        ids = [self.frequent.get(w) for w in words]
+        value = self[run] = (None, len(words), words) if None in ids else (b"".join(ids), len(words), None)
+        return value
+
+    def look_up(self, text: str) -> tuple[list[tuple], list[str]]:
+        """(the values of all runs of a text in order, its distinct seldom words in order)."""
+        if len(self) > COUNTED:
+            self.clear()
+        found = list(map(self.__getitem__, runs(prefixed(text))))
+        return found, list(dict.fromkeys(w for x in found if x[0] is None for w in x[2] if w not in self.frequent))
+
+
+class Decoder:
+    """The pieces of ids as bytes, looked up and joined."""
+
+    def __init__(self, model: str):
+        sp, rows = vocabulary(model)
+        byte0 = sp.piece_to_id("<0x00>")
+        self.bytes = [b""] * sp.vocab_size()
+        for p, i, _ in rows:
+            self.bytes[i] = p.replace(SPACE, " ").encode()
+        for b in range(256):
+            self.bytes[byte0 + b] = bytes([b])
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids, without the space that was put before it."""
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+
+
+def documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", rule: str = "merges") -> DataFrame:
+    """doc_id, key, n_words, n_tokens, ids, exact, restored of each row of docs.
+
+    ids: of the whole document, in order. Its ids are decoded again: restored says whether that is the text,
+    exact whether it is the text with U+2581 read as a space, which is what the library encodes.
+    """
+    spark = docs.sparkSession
+    pattern = word_pattern(model)
+    lex = stash(lexicon(count_words(docs, model, text), model, rule), "lattice-lexicon")
+    top = lex.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids").toArrow()
+    held = {w: np.array(i, "<i4").tobytes() for w, i in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)}
+    frequent = spark.sparkContext.broadcast(held)
+    keyed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
+
+    def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(frequent.value, pattern)
+        for batch in batches:
+            keys, places, words = [], [], []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rare = known.look_up(t.as_py() or "")[1] if t.is_valid and len(t.as_py()) else []
+                keys += [key] * len(rare)
+                places += range(len(rare))
+                words += rare
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["key", "k", "word"])
+
+    rare = keyed.select("key", "text").mapInArrow(seldom, "key bigint, k int, word string")
+    rare = stash(rare.join(lex.select("word", "ids"), "word").select("key", F.struct("k", "ids").alias("x")), "lattice-seldom")
+    discard(lex)
+    # equal rows have equal seldom words; each place counts once
+    per = rare.groupBy("key").agg(F.array_sort(F.collect_set("x"))["ids"].alias("rare"))
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())])
+
+    def squeeze(keys: list, ids: list, texts: list) -> Iterator[tuple]:
+        z = zstandard.ZstdCompressor(level=1)
+        for key, i, t in zip(keys, ids, texts, strict=True):
+            yield key, i, z.compress(t.encode()) if t else None
+
+    squeezed = map_rows(keyed.select("key", "doc_id", "text"), schema, "key bigint, doc_id bigint, z binary", squeeze)
+    names = ["doc_id", "key", "n_words", "n_tokens", "ids", "exact", "restored"]
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, decoder, z = Known(frequent.value, pattern), Decoder(model), zstandard.ZstdDecompressor()
+        rows: list[tuple] = []
+        parts: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            i, k, w, n, e, r = zip(*rows, strict=True)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+            out = pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int64()), pa.array(w, pa.int64()), pa.array(n, pa.int64()), ids, pa.array(e), pa.array(r)], names=names)
+            rows.clear()
+            parts.clear()
+            return out
+
+        tokens = 0
+        for batch in batches:
+            for key, doc, packed, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                t = z.decompress(packed.as_py()).decode() if packed.is_valid else ""
+                found, words = known.look_up(t) if t else ([], [])
+                if words:
+                    its = dict(zip(words, (np.array(x, "<i4").tobytes() for x in own.as_py()), strict=True))
+                    code = b"".join([x[0] if x[0] is not None else b"".join([its.get(w) or known.frequent[w] for w in x[2]]) for x in found])
+                else:
+                    code = b"".join([x[0] for x in found])
+                ids = np.frombuffer(code, "<i4")
+                back = decoder.decode(ids.tolist())
+                rows.append((doc, key, sum([x[1] for x in found]), ids.size, back == t.replace(SPACE, " "), back == t))
+                parts.append(ids)
+                tokens += ids.size
+                if tokens > BATCH or len(rows) >= 2000:
+                    yield flush()
+                    tokens = 0
+        if rows:
+            yield flush()
+
+    return squeezed.join(per, "key", "left").select("key", "doc_id", "z", "rare").mapInArrow(assemble, "doc_id bigint, key bigint, n_words bigint, n_tokens bigint, ids array<int>, exact boolean, restored boolean")
+
+
+def ids_of(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", rule: str = "score") -> DataFrame:
     """doc_id, key, ids: the ids of each document that has a word, in order; rows with the same doc_id and text give one."""
-    often, seldom = encode(docs, model, doc_id, text)
-    grouped = often.unionByName(seldom).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("i", "ids"))).alias("x"))
-    return grouped.select("doc_id", "key", F.flatten(F.col("x.ids")).alias("ids"))
+    return documents(docs, model, doc_id, text, rule).where("n_words > 0").select("doc_id", "key", "ids").dropDuplicates(["key"])
 
 
 def decode(rows: DataFrame, model: str, key: str = "key", ids: str = "ids") -> DataFrame:
     """key, text of each row of ids: the ids' pieces, looked up in the piece table, joined in order, without the prefix space."""
-    table, _, _, byte0 = pieces(rows.sparkSession, model)
-    parts = rows.select(F.col(key).alias("key"), F.posexplode(ids).alias("k", "i")).join(F.broadcast(table.select(F.col("id").alias("i"), "piece")), "i", "left")
-    code = F.coalesce(F.hex(F.encode("piece", "UTF-8")), F.lpad(F.hex(F.col("i") - byte0), 2, "0"))
-    texts = parts.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", code.alias("c")))), lambda x: x["c"]), "").alias("code"))
-    return texts.select("key", F.expr("substring(translate(decode(unhex(code), 'UTF-8'), '▁', ' '), 2)").alias("text"))
 
+    def make(keys: list, lists: list) -> Iterator[tuple]:
+        decoder = Decoder(model)
+        for k, i in zip(keys, lists, strict=True):
+            yield k, decoder.decode(i)
 
-def digest(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_tokens, ids_sum, exact of each row of docs.
+    return map_rows(rows.select(F.col(key).cast("bigint"), ids), pa.schema([("key", pa.int64()), ("text", pa.string())]), "key bigint, text string", make)
 
-    ids_sum: sum over the words of xxhash64(place of the word, its ids) mod 2147483647; exact: all words decode to themselves.
-    """
-    parts = [
-        t.groupBy("key").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.size("ids")).alias("n_tokens"), F.sum(F.pmod(F.xxhash64("i", "ids"), F.lit(2147483647))).alias("ids_sum"), F.bool_and("exact").alias("exact"), F.sum((F.col("i") == 0).cast("int")).alias("times"))
-        for t in encode(docs, model, doc_id, text)
-    ]
-    # equal rows (text and doc_id) share a key and were counted together: each has its share of a sum
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("key"))
-    sums = parts[0].unionByName(parts[1]).groupBy("key").agg(F.sum("n_words").alias("n_words"), F.sum("n_tokens").alias("n_tokens"), F.sum("ids_sum").alias("ids_sum"), F.bool_and("exact").alias("exact"), F.sum("times").alias("times"))
-    zero = F.lit(0).cast("bigint")
-    return rows.join(sums, "key", "left").select(
-        "doc_id", F.coalesce(F.expr("n_words div times"), zero).alias("n_words"), F.coalesce(F.expr("n_tokens div times"), zero).alias("n_tokens"),
-        F.coalesce(F.expr("ids_sum div times"), zero).alias("ids_sum"), F.coalesce("exact", F.lit(True)).alias("exact"),
-    )
+
+def digest(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", rule: str = "merges") -> DataFrame:
+    """doc_id, n_words, n_tokens, ids, exact, restored of each row of docs: documents() without its key."""
+    return documents(docs, model, doc_id, text, rule).drop("key")

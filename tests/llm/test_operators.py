@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from loomdoc.llm import ann, components, licenses, line_crf, mixing, ngram_join, quality_rules, sentencepiece_lattice, substring_dedup, token_counts, token_store
 
@@ -171,6 +172,13 @@ def test_lattice(docs, none, spark):
     assert sentencepiece_lattice.digest(none, PIECES).count() == 0
 
 
+def test_lattice_by_merges_is_the_library(docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    agree(sentencepiece_lattice.digest(docs, PIECES).withColumn("ids", F.col("ids").cast("string")), lambda i, t: {"ids": str(sp.encode(t or "")), "n_tokens": len(sp.encode(t or ""))})
+
+
 def test_token_store(docs, none, spark):
     from tokenizers import Tokenizer
 
