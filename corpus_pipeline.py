@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids of each document."""
+    """The ids of each whole document, and whether they decode to its text."""
     return sentencepiece_lattice.digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
