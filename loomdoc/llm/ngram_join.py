@@ -11,11 +11,12 @@ lossy counting: each task reports what it saw at least LOCAL_MIN times, and the
 frequent become a bounded broadcast. The list decides only how fast the join is: any
 order gives the same links.
 
-A group of many near copies is not expanded into pairs. Exact copies collapse into one
-node. Then, for some rounds, each node is compared with one leader of its buckets in
-another component (the one with which it shares most of them) and links are closed to
-components; last, all pairs of a bucket that still stand in different components are
-compared. No pair that could add to a component is left out.
+Every pair of different texts that is similar is a link, and no link is left out. Exact
+copies collapse into one node. Nodes are told apart by clump: the most populous bucket that
+they stand in. Pairs of two clumps are listed and verified one by one; the pairs of one clump,
+which can be a large group of near copies, never become rows: a clump is cut into blocks of
+bounded size, and each two blocks are compared in one task, which gives the number of links
+of each node and as few rows as connect what it linked.
 
 Nulls: a null text is an empty set, linked with nothing; rows with the same doc_id are
 documents each by itself; a null doc_id stands after all others. An empty table gives an
@@ -38,8 +39,10 @@ from .components import components
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
 #: Frequent tokens that the orders put last, and how often a task must see one to report it.
 HOT, LOCAL_MIN, HOT_MIN = 200_000, 3, 12
-#: Rounds of comparing each node with one leader before all pairs that are left.
-ROUNDS = 1
+#: Nodes and shingles of a block, about.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 200_000
+#: Tokens in more nodes of two blocks than this are counted by products of matrices, of so many columns at a time.
+SHARED, COLUMNS = 8, 1024
 #: A task counts so many tokens at a time.
 COUNTED = 3_000_000
 
@@ -146,46 +149,104 @@ def buckets(rows: DataFrame) -> DataFrame:
     return cold.select("token", "key", "n").unionByName(rows.select(F.explode("hot").alias("token"), "key", "n"))
 
 
-def best_neighbours(b: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """a, b: for each node a leader of its buckets in another component, the one with which it shares most buckets.
-
-    A bucket's leaders, for each class of sizes, are the nodes with the least and the
-    greatest (root, key): minima and maxima, so no bucket is gathered in one task.
-    """
-    step = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
-    b = rooted(b, labels).withColumn("step", step)
-    node = F.struct("root", "key", "n")
-    leaders = b.groupBy("token", "step").agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
-    leaders = leaders.select("token", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.array("lo", "hi").alias("os"))
-    led = b.join(leaders, ["token", "step"]).select("key", "n", "root", F.explode("os").alias("o")).where("o.root <> root")
-    led = led.where(100 * F.least("n", "o.n") >= PERCENT * F.greatest("n", "o.n"))
-    pairs = led.groupBy("key", F.col("o.key").alias("other")).agg(F.count(F.lit(1)).alias("c"))
-    best = pairs.groupBy("key").agg(F.max(F.struct("c", "other")).alias("best"))
-    return best.select(F.least("key", "best.other").alias("a"), F.greatest("key", "best.other").alias("b")).distinct()
-
-
-def rooted(b: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return b.withColumn("root", F.col("key"))
-    return b.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-
+def clumps(b: DataFrame) -> DataFrame:
+    """key, root: the most populous bucket of each node."""
+    sizes = b.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    return b.join(sizes, "token").groupBy("key").agg(F.max(F.struct("c", "token"))["token"].alias("root"))
+
+
+def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which of the sets are similar, as a square table; where there are two sides, only of different sides."""
+    m = len(sets)
+    sizes = np.array([s.size for s in sets], np.int64)
+    both = np.zeros((m, m), np.int64)
+    tokens, node = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, node = tokens[order], node[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    count = np.diff(np.concatenate([first, [tokens.size]]))
+    per = np.repeat(count, count)
+    few = (per > 1) & (per <= SHARED)
+    t, v = tokens[few], node[few]
+    for k in range(1, SHARED):
+        same = t[k:] == t[:-k]
+        if not same.any():
+            break
+        both += np.bincount(v[:-k][same] * m + v[k:][same], minlength=m * m).reshape(m, m)
+    both += both.T
+    many = per > SHARED
+    if many.any():
+        column, v = np.repeat(np.arange(count.size), count)[many], node[many]
+        column = np.unique(column, return_inverse=True)[1]
+        for at in range(0, int(column[-1]) + 1, COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+            x = np.zeros((m, COLUMNS), np.float32)
+            x[v[lo:hi], column[lo:hi] - at] = 1
+            both += (x @ x.T).astype(np.int64)
+    out = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
+    if sides.min() != sides.max():
+        out &= sides[:, None] != sides[None, :]
+    np.fill_diagonal(out, False)
+    return out
+
+
+def links_in_clumps(labels: DataFrame, b: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, n: n links of a node a = b, and with n = 0 pairs that connect the nodes that are linked; of pairs of one clump."""
+    sized = labels.join(b.select("key", "n").distinct(), "key")
+    per = sized.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).where("c > 1")
+    per = per.select("root", F.ceil(F.greatest(F.col("c") / BLOCK_NODES, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("g"))
+    # a cut into blocks is by the key, so that all rows of a node agree
+    cut = sized.join(per, "root").select("key", "root", F.pmod(F.xxhash64("key"), "g").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    cut = cut.select("key", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = cut.join(texts, "key").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def compared(keys: list[int], sides: list[int], sets: list[np.ndarray]) -> list[tuple]:
+        if len(sets) < 2:
+            return []
+        table = linked(sets, np.array(sides))
+        counts = table.sum(1)
+        label = np.arange(len(sets))
+        while True:
+            new = np.minimum(label, np.where(table, label[None, :], len(sets)).min(1))
+            if (new == label).all():
+                break
+            label = new
+        return [(k, k, int(n)) for k, n in zip(keys, counts, strict=True) if n] + [(k, keys[x], 0) for k, x, at in zip(keys, label, range(len(keys)), strict=True) if x != at]
 
-def remaining_pairs(b: DataFrame, labels: DataFrame, done: list[DataFrame]) -> DataFrame:
-    """a, b: pairs of a bucket in different components that have not been compared, of sizes that may be similar.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, sides, sets, out = None, [], [], [], []
+        for batch in batches:
+            for key, own, root, i, j, text in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+                if (root, i, j) != now:
+                    out += compared(keys, sides, sets)
+                    now, keys, sides, sets = (root, i, j), [], [], []
+                    if len(out) > 2000:
+                        yield to_batch(out, schema)
+                        out = []
+                keys.append(key)
+                sides.append(own)
+                sets.append(shingles(text.as_py()))
+        out += compared(keys, sides, sets)
+        if out:
+            yield to_batch(out, schema)
+
+    return rows.select("key", "own", "root", "i", "j", "text").mapInArrow(run, "a bigint, b bigint, n bigint")
+
+
+def pairs_of_clumps(b: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: pairs of a bucket in different clumps, of sizes that may be similar.
 
     Buckets of the same nodes give the same pairs, so one of each such group stands for
     all: they are told by the number and two checksums of their nodes.
     """
-    b = rooted(b, labels)
+    b = b.join(labels, "key")
     code = F.xxhash64("key")
     kinds = b.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 20)).alias("s")).where("lo <> hi")
     b = b.join(kinds.groupBy("c", "x", "s").agg(F.min("token").alias("token")).select("token"), "token").select("token", "key", "n", "root")
     x, y = b.alias("x"), b.alias("y")
     fits = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    for d in done:
-        pairs = pairs.join(d, ["a", "b"], "left_anti")
-    return pairs
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
 def passing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -226,7 +287,7 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, doc_id, n_shingles, component_id, and class_id: the least doc_id with the same text."""
+    """key, doc_id, n_shingles, component_id, class_id: the least doc_id with the same text, and n_links: how many other texts are similar."""
     docs = keyed(docs, doc_id, text)
     scanned = stash(scan(docs), "ngram-scan")
     hot = hot_tokens(scanned)
@@ -241,26 +302,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     rows = stash(everything.join(some, "key", "left_semi").select("key", "others"), "ngram-orders")
     discard(everything)
     texts = stash(docs.select("key", "text").join(some, "key", "left_semi").dropDuplicates(["key"]), "ngram-texts")
-    labels, links, done = None, None, []
-    for _ in range(ROUNDS):
-        pairs = stash(best_neighbours(b, labels), "ngram-pairs")
-        new = stash(verified(pairs, rows, texts), "ngram-links")
-        done.append(pairs)
-        links = new if links is None else links.unionByName(new)
-        if new.isEmpty():
-            break
-        labels = components(links)
-    labels = components(links) if labels is None else labels
-    more = stash(remaining_pairs(b, labels, done), "ngram-rest")
-    found = stash(verified(more, rows, texts), "ngram-more")
-    if not found.isEmpty():
-        labels = components(links.unionByName(found))
-    discard(b, rows, texts, more)
-    joined = nodes.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    clump = stash(clumps(b), "ngram-clumps")
+    inside = stash(links_in_clumps(clump, b, texts), "ngram-inside")
+    pairs = stash(pairs_of_clumps(b, clump), "ngram-pairs")
+    across = stash(verified(pairs, rows, texts), "ngram-across")
+    discard(b, rows, texts, clump, pairs)
+    labels = components(across.unionByName(inside.where("n = 0").select("a", "b")))
+    one = F.lit(1).cast("bigint").alias("n")
+    ends = inside.where("n > 0").select(F.col("a").alias("key"), "n").unionByName(across.select(F.col("a").alias("key"), one)).unionByName(across.select(F.col("b").alias("key"), one))
+    n_links = ends.groupBy("key").agg(F.sum("n").alias("n_links"))
+    joined = nodes.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key")).join(n_links, "key", "left")
     least = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    joined = joined.join(least, "root").select("same", "class_id", "component_id")
+    joined = joined.join(least, "root").select("same", "class_id", "component_id", "n_links")
     out = counted.join(joined, "same", "left")
-    return out.select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    return out.select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

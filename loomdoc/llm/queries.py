@@ -47,6 +47,11 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("key", "n_links")
+
+
+def op9_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9_ngram_join returns, whose columns its SQL sets, and the number of links of each document."""
     return ngram_join.join(table(spark, sf_dir, "documents")).drop("key")
 
 
@@ -58,7 +63,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_source_mixing, op3_sentencepiece_lattice, op4_token_store, op5_substring_dedup,
-        op6_license_scan, op7_inverted_multi_index, op8_line_crf, op9_ngram_join, op10_quality_rules,
+        op6_license_scan, op7_inverted_multi_index, op8_line_crf, op9_ngram_join, op9_ngram_links, op10_quality_rules,
     )
 }
 

@@ -379,6 +379,30 @@ def test_ngram_join_of_many_near_copies(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, *want[i, t].values()) for i, t, _ in rows}
 
 
+def link_counts(rows: list[tuple]) -> list[int]:
+    """How many other texts are similar to each row's."""
+    s = shingle_sets(rows)
+    return [len({u for (_, u, _), y in zip(rows, s, strict=True) if u != t and y and 100 * len(x & y) >= 80 * len(x | y)}) if x else 0 for (_, t, _), x in zip(rows, s, strict=True)]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_ngram_links_inside_a_component(spark, monkeypatch, block):
+    r = random.Random(9)
+    base = prose(20, 150).split(" ")
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.choice((1, 2, 6, 9))):
+            w[r.randrange(len(w))] = f"z{r.randrange(40)}"
+        rows.append((i, " ".join(w), None))
+    rows += [(200, rows[0][1], None), *((300 + i, t, None) for i, t, _ in texts() if i is not None)]
+    monkeypatch.setattr(ngram_join, "HOT_MIN", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
+    got = ngram_join.join(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")).collect()
+    assert collections.Counter((x.doc_id, x.n_links) for x in got) == collections.Counter((i, n) for (i, _, _), n in zip(rows, link_counts(rows), strict=True))
+    assert max(x.n_links for x in got) > 20
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 360)]
