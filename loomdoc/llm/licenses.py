@@ -3,9 +3,9 @@
 Templates (licence notices) and base phrases are indexed by word and place. How rare
 each licence word is in the corpus is counted first, over all documents; it gives the
 words' IDF. In a file, the licence words with the highest IDF of each template are
-looked up; each occurrence proposes "template t begins at word p", proposals that agree
-are intersected by relative position, and a proposal is kept if the words at their
-places carry enough of the template's IDF and its mandatory key phrases stand there.
+looked up; each occurrence proposes "template t begins at word p", equal proposals
+become one (no agreement of several words is asked for, so a proposal of a single word
+is verified too), and a proposal is kept if the words at their places carry enough of the template's IDF and its mandatory key phrases stand there.
 
 Nulls: a null text is empty; a null doc_id is kept; repeated rows give a row each. An
 empty table gives an empty result.
