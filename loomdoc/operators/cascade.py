@@ -119,9 +119,10 @@ def parse_response(body: Column) -> Column:
 
 
 def markdown_text(prediction: Column) -> Column:
-    """The text of a prediction in JSON: markdown.markdown_texts, markdown.text, then text."""
+    """The text of a prediction in JSON: markdown itself where it is a string; else the first of markdown.markdown_texts, markdown.text and text that is not empty."""
+    kind = F.get_json_object(prediction, "$.markdown")
+    plain = F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json(prediction), "$.markdown", "variant")) == "STRING", kind)
     return F.coalesce(
-        F.get_json_object(prediction, "$.markdown.markdown_texts"), F.get_json_object(prediction, "$.markdown.text"),
-        F.when(~F.coalesce(F.get_json_object(prediction, "$.markdown"), F.lit("")).startswith("{"), filled(F.get_json_object(prediction, "$.markdown"))),
-        F.get_json_object(prediction, "$.text"), F.lit(""),
+        plain, filled(F.get_json_object(prediction, "$.markdown.markdown_texts")), filled(F.get_json_object(prediction, "$.markdown.text")),
+        filled(F.get_json_object(prediction, "$.text")), F.lit(""),
     )

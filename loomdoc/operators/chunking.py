@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_hash
-from ..schemas import CHUNK
+from ..schemas import CHUNK, STEPS
+from . import tables
 
 SOFT_LIMIT = 2000
 TEXT_KINDS = frozenset(("paragraph", "heading", "warning", "note"))
@@ -25,6 +27,9 @@ class Chunk:
     ids: list = field(default_factory=list)
     end: int = 0
     steps: list = field(default_factory=list)
+    own_text: str | None = None
+    image_uri: str | None = None
+    description: str | None = None
 
     def add(self, element_id: int, page: int, text: str | None) -> None:
         if text:
@@ -55,13 +60,16 @@ def fold(rows: list[dict]) -> list[Chunk]:
         if kind in ATTACHED and r["parent_id"] in home:
             chunk = home[r["parent_id"]]
         elif kind in ("table", "figure"):
+            # alone in its chunk, so its text stays as it is
             chunk, text, procedure = begin(kind, path, page), None, None
-            own = own or (r["description"] or "") if kind == "figure" else own
+            chunk.text = own or (r["description"] if kind == "figure" else "") or ""
+            chunk.own_text, chunk.image_uri, chunk.description = own, r.get("image_uri"), r["description"]
+            own = None
         elif kind == "list":
             if procedure is None or procedure.path != path:
                 procedure = begin("procedure", path, page)
             chunk, text = procedure, None
-            chunk.steps.append((r["element_id"], own or ""))
+            chunk.steps.append({"step_number": len(chunk.steps) + 1, "step_text": own or "", "element_id": r["element_id"]})
         elif kind in TEXT_KINDS:
             if text is None or text.path != path or len(text.text) >= SOFT_LIMIT:
                 text = begin("text", path, page)
@@ -74,6 +82,7 @@ def fold(rows: list[dict]) -> list[Chunk]:
 
 
 NEEDED = ("document_id", "element_id", "seq", "element_type", "text", "page_number", "section_path", "parent_id", "description")
+BUCKETS = 256
 
 
 def _rows(pdf: pd.DataFrame) -> list[dict]:
@@ -88,32 +97,39 @@ def build(elements: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         doc = pdf["document_id"].iloc[0]
-        out = [(doc, i, c.kind, list(c.path), c.page, c.end, c.text, c.ids, len(c.steps)) for i, c in enumerate(fold(_rows(pdf)))]
-        return pd.DataFrame(out, columns=["document_id", "chunk_no", "chunk_type", "section_path", "page_start", "page_end", "content_text", "element_ids", "n_steps"])
+        out = [(doc, i, c.kind, list(c.path), c.page, c.end, c.text, c.ids, len(c.steps), c.steps, c.own_text, c.image_uri, c.description) for i, c in enumerate(fold(_rows(pdf)))]
+        return pd.DataFrame(out, columns=["document_id", "chunk_no", "chunk_type", "section_path", "page_start", "page_end", "content_text", "element_ids", "n_steps", "steps", "own_text", "image_uri", "description"])
 
-    return elements.select(*NEEDED).groupBy("document_id").applyInPandas(run, CHUNK)
+    image = F.col("image_uri") if "image_uri" in elements.columns else F.lit(None).cast("string")
+    return elements.select(*NEEDED, image.alias("image_uri")).groupBy("document_id").applyInPandas(run, CHUNK)
 
 
 def hashed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("content_hash", chunk_hash(F.col("chunk_type"), F.col("section_path"), F.col("content_text"), F.col("element_ids")))
 
 
+def with_content(chunks: DataFrame) -> DataFrame:
+    """chunks with content_structured: a table's text and rows, a figure's image and description, a procedure's steps; null for other kinds."""
+    kind, table = F.col("chunk_type"), F.when(F.col("chunk_type") == "table", F.col("own_text"))
+    content = F.struct(
+        table.alias("markdown"), F.when(kind == "table", tables.parsed(table)).alias("rows"), F.when(kind == "figure", F.col("image_uri")).alias("image_uri"),
+        F.when(kind == "figure", F.col("description")).alias("description"), F.when(kind == "procedure", F.col("steps")).alias("steps"),
+    )
+    return chunks.withColumn("content_structured", F.when(kind.isin("table", "figure", "procedure"), content)).drop("own_text", "image_uri", "description", "steps")
+
+
 def steps(chunks: DataFrame, elements: DataFrame) -> DataFrame:
     """document_id, chunk_no, step_number, element_id, step_text of procedure chunks; attached elements are no steps."""
     ids = chunks.where(F.col("chunk_type") == "procedure").select("document_id", "chunk_no", F.posexplode("element_ids").alias("at", "element_id"))
     listed = elements.where(F.col("element_type") == "list").select("document_id", "element_id", F.coalesce("text", F.lit("")).alias("step_text"))
-    from pyspark.sql import Window
-
     number = F.row_number().over(Window.partitionBy("document_id", "chunk_no").orderBy("at"))
     return ids.join(listed, ["document_id", "element_id"]).withColumn("step_number", number).select("document_id", "chunk_no", "step_number", "element_id", "step_text")
 
 
 def entity_chunks(rolled: DataFrame) -> DataFrame:
     """Chunks of rolled-up entities, numbered by (name, type) within their document."""
-    from pyspark.sql import Window
-
     no = F.row_number().over(Window.partitionBy("document_id").orderBy("name", "entity_type")) - 1
-    return rolled.select("document_id", no.cast("int").alias("chunk_no"), F.lit("entity").alias("chunk_type"), F.array().cast("array<string>").alias("section_path"), "page_start", "page_end", "content_text", "element_ids", F.lit(0).alias("n_steps"))
+    return rolled.select("document_id", no.cast("int").alias("chunk_no"), F.lit("entity").alias("chunk_type"), F.array().cast("array<string>").alias("section_path"), "page_start", "page_end", "content_text", "element_ids", F.lit(0).alias("n_steps"), F.lit(None).cast(STEPS).alias("steps"), *[F.lit(None).cast("string").alias(c) for c in ("own_text", "image_uri", "description")])
 
 
 def all_chunks(structural: DataFrame, entity: DataFrame) -> DataFrame:
@@ -122,6 +138,19 @@ def all_chunks(structural: DataFrame, entity: DataFrame) -> DataFrame:
 
 
 def store(chunks: DataFrame, path: str) -> None:
-    """Replace the chunks of the documents in `chunks`, leaving other documents' as they are."""
-    out = hashed(chunks).withColumn("embedding_status", F.lit("pending"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+    """Replace the chunks of the documents in `chunks`, leaving other documents' as they are. Documents lie in BUCKETS folders by a hash; folders that change are written anew."""
+    spark = chunks.sparkSession
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
+    out = hashed(with_content(chunks)).withColumn("embedding_status", F.lit("pending")).withColumn("vector_id", F.lit(None).cast("string")).withColumn("bucket", bucket)
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:  # the first store finds no table
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        touched = out.select("bucket").distinct()
+        kept = stored.join(F.broadcast(touched), "bucket", "left_semi").join(out.select("document_id").distinct(), "document_id", "left_anti")  # BUCKETS rows at most
+        # a folder cannot be read while it is written: what stays is kept aside first
+        kept.write.mode("overwrite").parquet(f"{path}.kept")
+        out = out.unionByName(spark.read.schema(stored.schema).parquet(f"{path}.kept").select(*out.columns))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import element_label
@@ -30,6 +30,14 @@ def sections(elements: DataFrame) -> DataFrame:
     return elements.where(F.size("section_path") > 0).select("document_id", "section_path").distinct().select("document_id", F.explode(prefixes).alias("path")).distinct()
 
 
+def section_order(elements: DataFrame) -> DataFrame:
+    """document_id, path, place: sections numbered from 1 in the order in which a document first names them, upper ones first."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("section_path")), lambda n: F.slice("section_path", F.lit(1), n))
+    seen = elements.where(F.size("section_path") > 0).groupBy("document_id", "section_path").agg(F.min("seq").alias("seq"))
+    first = seen.select("document_id", "seq", F.explode(prefixes).alias("path")).groupBy("document_id", "path").agg(F.min("seq").alias("seq"))
+    return first.select("document_id", "path", F.row_number().over(Window.partitionBy("document_id").orderBy("seq", F.size("path"))).alias("place"))
+
+
 def nodes(documents: DataFrame, elements: DataFrame) -> DataFrame:
     """node_id, node_type, label, document_id, page_number, element_type, element_id. documents: document_id, title, page_count."""
     text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")

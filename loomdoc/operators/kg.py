@@ -1,15 +1,20 @@
 """Knowledge-graph candidates: identifiers, keywords, connections, confidence tiers and agreement of sources.
 
 One projection gives each element an array of candidates; one explode, one window and
-one aggregation do the rest. Patterns are read with Unicode classes ((?U)).
+one aggregation do the rest. The patterns run over Arrow batches, each text read once for
+all of them, with Unicode classes.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, strip
+from ..functions.text import strip
 from ..schemas import ENTITY
 
 #: Patterns, keywords and confidences. Fixed values.
@@ -30,89 +35,54 @@ KEYWORDS = {
 GLOSSARY_OVER = 5
 CONFIDENCE = {"keyword": 0.5, "glossary": 0.2, "identifier": 0.7, "error_table": 0.75, "error_anchored": 0.6, "error": 0.3, "vlm_component": 0.6, "vlm_connection": 0.5}
 
-def no_span() -> Column:
-    return F.lit(None).cast("array<int>")
-
-
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group))
-
-
-def spans(text: Column, pattern: str) -> Column:
-    """[start, end) of each match in code points: the parts between matches and the matches, added up."""
-    found = matches(text, pattern)
-    between = F.split(text, "(?U)" + pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+#: What the patterns find: the fields of a candidate that its text alone gives.
+FOUND = "name string, entity_type string, confidence double, extraction_method string, justification_span array<int>, context_anchor_matched boolean"
+_KEYWORDS = {k: re.compile(rf"\b{k}\b", re.IGNORECASE) for k in KEYWORDS}
+_SOME_KEYWORD = re.compile("|".join(KEYWORDS), re.IGNORECASE)
+_IDENTIFIERS = tuple(
+    (re.compile(pattern), kind, method)
+    for pattern, kind, method in ((SENSOR_TH, "Sensor", "regex_sensor_id"), (SENSOR_RT, "Sensor", "regex_sensor_id_daikin"), (CONNECTOR, "Connector", "regex_connector_id"), (TERMINAL, "Terminal", "regex_terminal_id"))
+)
+_ANCHOR, _MAIN, _SUB = re.compile(ANCHOR, re.IGNORECASE), re.compile(ERROR_MAIN), re.compile(ERROR_SUB)
 
-    def step(acc: Column, i: Column) -> Column:
-        a = acc["at"] + F.length(F.get(between, i))
-        b = a + F.length(F.get(found, i))
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.array(a, b))).alias("out"))
 
-    numbers = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(numbers, start, step)["out"]
-
-
-def anchored(text: Column, path: Column) -> Column:
-    """Whether an anchor phrase stands in the text or the section path."""
-    both = F.concat_ws(" ", F.coalesce(text, F.lit("")), F.array_join(F.coalesce(path, F.array().cast("array<string>")), " "))
-    return both.rlike("(?iU)" + ANCHOR)
+def found_in(text: str | None, kind: str | None, path: list | None, vlm: bool) -> Iterator[tuple]:
+    """The candidates of one text in emission order: keywords, TH, R#T, CN, X#M, main codes, sub-codes. VLM texts have no spans.
 
+    A keyword's name is the dictionary's spelling, its span that of its first match.
+    """
+    if not text:
+        return
+    suffix = "_vlm_description" if vlm else ""
 
-def keyword_hits(text: Column) -> Column:
-    """array of (keyword, type, first match) in dictionary order."""
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(t).alias("entity_type"), F.regexp_extract(text, rf"(?iU)\b{k}\b", 0).alias("found")) for k, t in KEYWORDS.items()])
-    return F.filter(table, lambda x: x["found"] != "")
+    def span(m: re.Match) -> list[int] | None:
+        return None if vlm else [m.start(), m.end()]
 
+    hits = [(k, m) for k, p in _KEYWORDS.items() if (m := p.search(text))] if _SOME_KEYWORD.search(text) else []
+    base = CONFIDENCE["glossary" if len(hits) > GLOSSARY_OVER else "keyword"]
+    for k, m in hits:
+        yield k, KEYWORDS[k], base, "dict_keyword" + suffix, span(m), None
+    for pattern, entity_type, method in _IDENTIFIERS:
+        for m in pattern.finditer(text):
+            yield m[0], entity_type, CONFIDENCE["identifier"], method + suffix, span(m), None
+    codes = list(_MAIN.finditer(text))
+    if codes:
+        anchor = bool(_ANCHOR.search(" ".join((text, *(path or ())))))
+        tier = CONFIDENCE["error" if not anchor else "error_table" if kind == "table" else "error_anchored"]
+        for m in codes:
+            yield m[1], "ErrorCode", tier, "regex_error_code" + suffix, span(m), anchor
+        for m in _SUB.finditer(text):
+            yield f"{m[1]}-{m[2]}", "ErrorCode", tier, "regex_error_code_subcode" + suffix, span(m), anchor
 
-def entity(name: Column, kind: Column, confidence: Column, method: str, suffix: Column, span: Column, anchor: Column) -> Column:
-    return F.struct(
-        name.alias("name"), kind.alias("entity_type"), confidence.cast("double").alias("confidence"), F.col("element_id").cast("bigint").alias("element_id"), F.col("page_number").cast("bigint").alias("page"),
-        F.concat(F.lit(method), suffix).alias("extraction_method"), span.alias("justification_span"), anchor.alias("context_anchor_matched"),
-        F.lit(False).alias("cross_source_corroborated"), F.lit(0).cast("bigint").alias("corroboration_count"),
-    )
 
+def found_type() -> pa.DataType:
+    return pa.list_(pa.struct([("name", pa.string()), ("entity_type", pa.string()), ("confidence", pa.float64()), ("extraction_method", pa.string()), ("justification_span", pa.list_(pa.int32())), ("context_anchor_matched", pa.bool_())]))
 
-def found_in(text: Column, kind: Column, path: Column, vlm: bool) -> Column:
-    """What the patterns find in one text, each evaluated once: a struct that entities_of() turns into candidates.
 
-    VLM texts have no spans. One test of all keywords stands before the test of each.
-    """
-    some = text.rlike("(?iU)" + "|".join(KEYWORDS))
-    none = "array<struct<keyword:string,entity_type:string,found:string>>"
-    anchor = anchored(text, path)
-    tier = F.when(anchor & (kind == "table"), CONFIDENCE["error_table"]).when(anchor, CONFIDENCE["error_anchored"]).otherwise(CONFIDENCE["error"])
-    at = lambda p: F.lit(None).cast("array<array<int>>") if vlm else spans(text, p)
-    has_code = text.rlike("(?U)" + ERROR_MAIN)
-    parts = {"hits": F.when(some, keyword_hits(text)).otherwise(F.array().cast(none)), "anchor": anchor, "tier": tier}
-    for name, pattern, group in (("th", SENSOR_TH, 0), ("rt", SENSOR_RT, 0), ("cn", CONNECTOR, 0), ("tm", TERMINAL, 0), ("main", ERROR_MAIN, 1)):
-        parts |= {name: matches(text, pattern, group), name + "_at": at(pattern)}
-    # sub-codes are looked for only where there is a main code
-    nothing = F.array().cast("array<string>")
-    parts |= {"head": F.when(has_code, matches(text, ERROR_SUB, 1)).otherwise(nothing), "tail": F.when(has_code, matches(text, ERROR_SUB, 2)).otherwise(nothing), "head_at": F.when(has_code, at(ERROR_SUB))}
-    return F.when(filled(text).isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()]))
-
-
-def entities_of(found: Column, text: Column, vlm: bool) -> Column:
-    """The candidates of one text, in emission order: keywords, TH, R#T, CN, X#M, main codes, sub-codes."""
-    suffix = F.lit("_vlm_description" if vlm else "")
-    no_anchor = F.lit(None).cast("boolean")
-    base = F.when(F.size(found["hits"]) > GLOSSARY_OVER, CONFIDENCE["glossary"]).otherwise(CONFIDENCE["keyword"])
-    words = F.transform(found["hits"], lambda x: entity(x["found"], x["entity_type"], base, "dict_keyword", suffix, no_span() if vlm else keyword_span(text, x["found"]), no_anchor))
-
-    def ids(name: str, entity_type: str, method: str) -> Column:
-        return F.transform(found[name], lambda x, i: entity(x, F.lit(entity_type), F.lit(CONFIDENCE["identifier"]), method, suffix, F.get(found[name + "_at"], i), no_anchor))
-
-    main = F.transform(found["main"], lambda x, i: entity(x, F.lit("ErrorCode"), found["tier"], "regex_error_code", suffix, F.get(found["main_at"], i), found["anchor"]))
-    sub = F.transform(found["head"], lambda x, i: entity(F.concat(x, F.lit("-"), F.get(found["tail"], i)), F.lit("ErrorCode"), found["tier"], "regex_error_code_subcode", suffix, F.get(found["head_at"], i), found["anchor"]))
-    out = F.concat(words, ids("th", "Sensor", "regex_sensor_id"), ids("rt", "Sensor", "regex_sensor_id_daikin"), ids("cn", "Connector", "regex_connector_id"), ids("tm", "Terminal", "regex_terminal_id"), main, sub)
-    return F.coalesce(out, F.array().cast(f"array<{ENTITY}>"))
-
-
-def keyword_span(text: Column, found: Column) -> Column:
-    """The span of a keyword's first match, which is where its matched spelling first stands as a word."""
-    a = F.length(F.element_at(F.split(text, F.concat(F.lit(r"(?U)\b"), found, F.lit(r"\b")), 2), 1))
-    return F.array(a, a + F.length(found))
+def _find_all(kinds: pa.Array, texts: pa.Array, descriptions: pa.Array, paths: pa.Array) -> pa.Array:
+    names = [f.name for f in found_type().value_type]
+    rows = zip(*(c.to_pylist() for c in (kinds, texts, descriptions, paths)), strict=True)
+    return pa.array([[dict(zip(names, x, strict=True)) for x in (*found_in(d, k, p, True), *found_in(t, k, p, False))] for k, t, d, p in rows], found_type())
 
 
 def connections(listed: Column) -> Column:
@@ -129,16 +99,25 @@ def extract(elements: DataFrame) -> DataFrame:
     element_type, text, section_path, components, connections, description.
     """
     empty = F.array().cast("array<string>")
-    parts = F.transform(F.coalesce("components", empty), lambda c: entity(c, F.lit("Component"), F.lit(CONFIDENCE["vlm_component"]), "vlm_component", F.lit(""), no_span(), F.lit(None).cast("boolean")))
-    kind, path = F.col("element_type"), F.col("section_path")
-    elements = elements.withColumn("_seen", found_in(F.col("description"), kind, path, True)).withColumn("_read", found_in(F.col("text"), kind, path, False))
-    seen, read = entities_of(F.col("_seen"), F.col("description"), True), entities_of(F.col("_read"), F.col("text"), False)
+    none, element, page = F.lit(None), F.col("element_id").cast("bigint"), F.col("page_number").cast("bigint")
+    # made here, not at import: workers import this module without a session
+    found = F.arrow_udf(_find_all, f"array<struct<{FOUND.replace(' ', ':').replace(',:', ',')}>>")
+    found = found(F.col("element_type"), F.col("text"), F.col("description"), F.coalesce("section_path", empty))
+
+    def whole(name: Column, kind: Column, confidence: Column, method: Column, span: Column, anchor: Column) -> Column:
+        return F.struct(
+            name.alias("name"), kind.alias("entity_type"), confidence.cast("double").alias("confidence"), element.alias("element_id"), page.alias("page"), method.alias("extraction_method"),
+            span.cast("array<int>").alias("justification_span"), anchor.cast("boolean").alias("context_anchor_matched"), F.lit(False).alias("cross_source_corroborated"), F.lit(0).cast("bigint").alias("corroboration_count"),
+        )
+
+    parts = F.transform(F.coalesce("components", empty), lambda c: whole(c, F.lit("Component"), F.lit(CONFIDENCE["vlm_component"]), F.lit("vlm_component"), none, none))
+    texts = F.transform(F.col("_found"), lambda x: whole(x["name"], x["entity_type"], x["confidence"], x["extraction_method"], x["justification_span"], x["context_anchor_matched"]))
     relations = F.transform(
         connections(F.coalesce("connections", empty)),
-        lambda p: F.struct(p["subject"].alias("subject"), F.lit("CONNECTED_TO").alias("predicate"), p["object"].alias("object"), F.lit(CONFIDENCE["vlm_connection"]).alias("confidence"), F.col("element_id").alias("element_id"), F.col("page_number").alias("page"), F.lit("vlm_connection").alias("extraction_method")),
+        lambda p: F.struct(p["subject"].alias("subject"), F.lit("CONNECTED_TO").alias("predicate"), p["object"].alias("object"), F.lit(CONFIDENCE["vlm_connection"]).alias("confidence"), element.alias("element_id"), page.alias("page"), F.lit("vlm_connection").alias("extraction_method")),
     )
-    rows = elements.withColumn("entities", F.concat(parts, seen, read)).withColumn("relations", relations).drop("_seen", "_read")
-    return rows
+    rows = elements.withColumn("_found", found)
+    return rows.withColumn("entities", F.concat(parts, texts).cast(f"array<{ENTITY}>")).withColumn("relations", relations).drop("_found")
 
 
 def candidates(extracted: DataFrame) -> DataFrame:

@@ -55,10 +55,24 @@ def missing(required: Column, held: Column) -> Column:
 
 def visible(required: Column, held: Column, match: Column) -> Column:
     """Whether a navigation entry shows: nothing required, or any or all of it held."""
+    required = F.coalesce(required, F.array().cast("array<string>"))
     every = F.forall(required, lambda r: F.array_contains(held, r))
     return F.when(F.size(required) == 0, True).when(match == "all", every).otherwise(F.arrays_overlap(required, held))
 
 
+def flatten_routes(tree: list[dict]) -> list[dict]:
+    """route, label, required_scopes, match and group_path of every leaf of a navigation tree, which is as small as a menu."""
+    out: list[dict] = []
+    open_ = [(node, ()) for node in reversed(tree)]
+    while open_:
+        node, path = open_.pop()
+        if node.get("isGroup"):
+            open_ += [(x, (*path, node.get("label"))) for x in reversed(node.get("children") or [])]
+        elif node.get("route"):
+            out.append({"route": node["route"], "label": node.get("label"), "required_scopes": list(node.get("requiredScopes") or []), "match": node.get("match") or "any", "group_path": list(path)})
+    return out
+
+
 def visible_groups(leaves: DataFrame, held: Column) -> DataFrame:
     """group: the groups on the path of at least one visible leaf. leaves: route, required_scopes, match, group_path."""
     return leaves.where(visible(F.col("required_scopes"), held, F.coalesce("match", F.lit("any")))).select(F.explode("group_path").alias("group")).distinct()

@@ -35,8 +35,10 @@ def first_of(classed: DataFrame, quota: DataFrame | None, per_category: int, per
         per_doc = quota.groupBy("category", "document_id").agg(F.count(F.lit(1)).alias("used"))
         per_cat = quota.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
         classed = classed.join(per_doc, ["category", "document_id"], "left").join(per_cat, "category", "left").fillna(0, ["used", "total"])
-    kept = classed.withColumn("in_doc", F.row_number().over(doc) + F.col("used")).where(F.col("in_doc") <= per_document)
-    return kept.withColumn("in_cat", F.row_number().over(cat) + F.col("total")).where(F.col("in_cat") <= per_category).select("category", "document_id", "page_number")
+    # the plain caps come first: they keep a few rows of each task before any shuffle by category
+    kept = classed.withColumn("in_doc", F.row_number().over(doc)).where(F.col("in_doc") <= per_document).where(F.col("in_doc") + F.col("used") <= per_document)
+    kept = kept.withColumn("in_cat", F.row_number().over(cat)).where(F.col("in_cat") <= per_category).where(F.col("in_cat") + F.col("total") <= per_category)
+    return kept.select("category", "document_id", "page_number")
 
 
 def sample(pages: DataFrame, per_category: int = PER_CATEGORY, per_document: int = PER_DOCUMENT, min_page: int = MIN_PAGE, min_drawings: int = MIN_DRAWINGS) -> DataFrame:

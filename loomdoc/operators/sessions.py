@@ -2,61 +2,80 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ATTEMPTS, WINDOW_SECONDS = 5, 900
 
 
 def login_limits(attempts: DataFrame, limit: int = ATTEMPTS, window: int = WINDOW_SECONDS) -> DataFrame:
-    """attempts(key, ts, seq, failed) with blocked and failures: a fixed window that opens with the first failure.
+    """attempts(key, ts, seq, failed) with failures, blocked and retry_after: a fixed window that opens with the first failure.
 
     An attempt while `limit` failures stand is blocked and changes nothing; a success
-    clears them. The fold runs in the JVM, a key's attempts in order of time.
+    clears them. retry_after: the seconds that are left of the window, rounded, where
+    blocked. A key's attempts stream by in order of time; only its count and its window's
+    start are held.
     """
-    listed = attempts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "failed"))).alias("a"))
-    out_type = "array<struct<ts:timestamp,seq:bigint,failures:int,blocked:boolean>>"
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("timestamp").alias("opened"), F.array().cast(out_type).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = acc["opened"].isNotNull() & (x["ts"] >= acc["opened"] + F.expr(f"INTERVAL {window} SECONDS"))
-        n = F.when(over, 0).otherwise(acc["n"])
-        opened = F.when(~over, acc["opened"])
-        blocked = n >= limit
-        n2 = F.when(blocked, n).when(x["failed"], n + 1).otherwise(0)
-        opened2 = F.when(blocked, opened).when(~x["failed"], F.lit(None).cast("timestamp")).otherwise(F.coalesce(opened, x["ts"]))
-        row = F.struct(x["ts"].alias("ts"), x["seq"].cast("bigint").alias("seq"), n2.cast("int").alias("failures"), blocked.alias("blocked"))
-        return F.struct(n2.alias("n"), opened2.alias("opened"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return listed.select("key", F.inline(F.aggregate("a", start, step)["out"]))
+    span = window * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, opened = None, 0, None
+        for batch in batches:
+            counts, stops, rests = [], [], []
+            for key, ts, failed in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True):
+                if key != now:
+                    now, n, opened = key, 0, None
+                if opened is not None and ts >= opened + span:
+                    n, opened = 0, None
+                stop = n >= limit
+                if not stop:
+                    n, opened = (n + 1, ts if opened is None else opened) if failed else (0, None)
+                counts.append(n)
+                stops.append(stop)
+                rests.append((opened + span - ts + 500_000) // 1_000_000 if stop else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(stops), pa.array(rests, pa.int64())], names=["key", "seq", "failures", "blocked", "retry_after"])
+
+    rows = attempts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("seq").cast("bigint"), "failed")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "ts", "seq")
+    return ordered.mapInArrow(run, f"key {attempts.schema['key'].dataType.simpleString()}, seq bigint, failures bigint, blocked boolean, retry_after bigint")
 
 
 def rotate_tokens(events: DataFrame) -> DataFrame:
-    """Outcome of each refresh: events(family, seq, token, new_token, ts) -> outcome rotated | reuse | unknown.
+    """Outcome of each refresh: events(family, seq, token, new_token and, if they can be, expired and inactive) -> outcome, family_revoked, replaced_by.
 
-    A family begins with its first event's token. Presenting the live token rotates it
-    to new_token; presenting a spent one revokes the whole family.
+    A family begins with its first event's token. A token that is not of the family is
+    unknown; presenting a spent one is reuse and revokes the whole family; then an expired
+    one and an inactive user are refused; the live token rotates to new_token, which
+    replaces it. A family's events stream by in order; its spent tokens are held.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        live, spent, out = None, set(), []
-        dead = False
-        for r in pdf.sort_values("seq").to_dict("records"):
-            if live is None and not spent:
-                live = r["token"]
-            if r["token"] in spent or (dead and r["token"] == live):
-                outcome, dead = "reuse", True
-            elif r["token"] == live:
-                outcome = "rotated"
-                spent.add(live)
-                live = r["new_token"]
-            else:
-                outcome = "unknown"
-            out.append((r["family"], r["seq"], r["token"], outcome, dead))
-        return pd.DataFrame(out, columns=["family", "seq", "token", "outcome", "family_revoked"])
-
-    return events.groupBy("family").applyInPandas(run, "family bigint, seq bigint, token string, outcome string, family_revoked boolean")
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in events.columns else F.lit(False).alias(c) for c in ("expired", "inactive")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, live, spent, dead = None, None, set(), False
+        for batch in batches:
+            out = []
+            for family, token, new, expired, inactive in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5)), strict=True):
+                if family != now:
+                    now, live, spent, dead = family, token, set(), False
+                replaced = None
+                if token in spent or dead and token == live:
+                    outcome, dead = "reuse", True
+                elif token != live:
+                    outcome = "unknown"
+                elif expired or inactive:
+                    outcome = "expired" if expired else "inactive"
+                else:
+                    outcome, live, replaced = "rotated", new, new
+                    spent.add(token)
+                out.append((outcome, dead, replaced))
+            outcome, dead_, replaced_ = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(outcome, pa.string()), pa.array(dead_, pa.bool_()), pa.array(replaced_, pa.string())], names=["family", "seq", "token", "outcome", "family_revoked", "replaced_by"])
+
+    rows = events.select("family", F.col("seq").cast("bigint"), "token", "new_token", *flags)
+    return rows.repartition("family").sortWithinPartitions("family", "seq").mapInArrow(run, f"family {events.schema['family'].dataType.simpleString()}, seq bigint, token string, outcome string, family_revoked boolean, replaced_by string")
 
 
 def revoke(tokens: DataFrame, match: Column, now: Column) -> DataFrame:
@@ -72,19 +91,23 @@ def refresh_status(presented: DataFrame, tokens: DataFrame, users: DataFrame, no
 
 
 def job_states(log: DataFrame) -> DataFrame:
-    """Latest state of each (document, stage) job: status, duration_ms, error. log: document_id, stage, status, ts, seq, error_message."""
-    order = F.struct("ts", "seq")
+    """A row for each run of a (document, stage): run, status, started_at, finished_at, error_message, duration_ms. log: document_id, stage, status, ts, seq, error_message.
+
+    A run begins with "running"; what ends before any begins is run 0, without a start.
+    """
+    order, upto = F.struct("ts", "seq"), Window.partitionBy("document_id", "stage").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.withColumn("run", F.sum((F.col("status") == "running").cast("bigint")).over(upto))
     ended = F.col("status").isin("done", "failed")
-    g = log.groupBy("document_id", "stage").agg(
-        F.max_by("status", order).alias("status"), F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"), F.max(F.when(ended, F.col("ts"))).alias("last_end"), F.max_by("error_message", order).alias("error_message")
+    g = rows.groupBy("document_id", "stage", "run").agg(
+        F.max_by("status", order).alias("status"), F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"), F.max(F.when(ended, F.col("ts"))).alias("finished_at"), F.max_by("error_message", order).alias("error_message")
     )
-    done = F.when(F.col("status").isin("done", "failed"), F.col("last_end"))
-    return g.select("document_id", "stage", "status", "started_at", done.alias("finished_at"), F.when(F.col("status") == "failed", F.col("error_message")).alias("error_message"), F.timestamp_diff("MILLISECOND", "started_at", done).alias("duration_ms"))
+    return g.select("document_id", "stage", "run", "status", "started_at", "finished_at", F.when(F.col("status") == "failed", F.col("error_message")).alias("error_message"), F.timestamp_diff("MILLISECOND", "started_at", "finished_at").alias("duration_ms"))
 
 
 def document_states(jobs: DataFrame) -> DataFrame:
-    """Status of each document: failed if a stage failed, processing while one runs, else ready."""
-    return jobs.groupBy("document_id").agg(F.when(F.bool_or(F.col("status") == "failed"), "failed").when(F.bool_or(F.col("status") == "running"), "processing").otherwise("ready").alias("status"))
+    """Status of each document by the last run of each stage: failed if one failed, processing while one runs, else ready."""
+    last = jobs.groupBy("document_id", "stage").agg(F.max_by("status", "run").alias("status"))
+    return last.groupBy("document_id").agg(F.when(F.bool_or(F.col("status") == "failed"), "failed").when(F.bool_or(F.col("status") == "running"), "processing").otherwise("ready").alias("status"))
 
 
 def list_jobs(jobs: DataFrame, document_id: int) -> DataFrame:

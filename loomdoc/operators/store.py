@@ -39,16 +39,60 @@ def apply_plan(stored: DataFrame, fresh: DataFrame, plan: DataFrame) -> DataFram
     return stored.join(skipped, keys, "left_semi").unionByName(fresh.join(changed, keys, "left_semi"))
 
 
-def store_summary(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("document_id").agg(F.count_if(F.col("action").isin("insert", "replace")).alias("pages_stored"), F.count_if(F.col("action") == "skip").alias("pages_skipped"))
+def store_summary(plan: DataFrame, elements: DataFrame) -> DataFrame:
+    """document_id, pages_stored, pages_skipped, elements_stored, crops_stored: of stored pages the elements, and the figures and icons with a box. elements: document_id, page_number, element_type, bbox."""
+    stored = F.col("action").isin("insert", "replace")
+    pages = plan.groupBy("document_id").agg(F.count_if(stored).alias("pages_stored"), F.count_if(F.col("action") == "skip").alias("pages_skipped"))
+    kept = elements.join(plan.where(stored).select("document_id", "page_number"), ["document_id", "page_number"], "left_semi")
+    counts = kept.groupBy("document_id").agg(F.count(F.lit(1)).alias("elements_stored"), F.count_if(crop_eligible(F.col("element_type"), F.col("bbox"))).alias("crops_stored"))
+    return pages.join(counts, "document_id", "left").fillna(0, ["elements_stored", "crops_stored"])
+
+
+def running_total(counts: DataFrame, key: str, n: str, bucket: Column) -> DataFrame:
+    """counts with before: the sum of n over all smaller keys. bucket rises with the key and takes a bounded number of values, so that no task holds all keys."""
+    rows = counts.withColumn("_bucket", bucket)
+    totals = rows.groupBy("_bucket").agg(F.sum(n).alias("_total"))
+    base = totals.select("_bucket", (F.sum("_total").over(Window.orderBy("_bucket")) - F.col("_total")).alias("_base"))
+    own = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(F.broadcast(base), "_bucket").withColumn("before", F.col("_base") + F.sum(n).over(own) - F.col(n)).drop("_bucket", "_base")
+
+
+def stored_drafts(elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """Stored elements as drafts, for a second extraction: local ids are the stored ones, missing paths are empty, a missing method is the parser's, in the order (page_number, id).
+
+    elements: id, document_id, page_id, element_type, text, parent_id, section_path,
+    extraction_method, extraction_confidence, visual_description; pages: id, page_number.
+    """
+    rows = elements.join(pages.select(F.col("id").alias("page_id"), "page_number"), "page_id")
+    seen = F.col("visual_description")
+    empty = F.array().cast("array<string>")
+    return rows.select(
+        "document_id", F.col("id").alias("element_id"), "page_number", "element_type", "text", F.col("parent_id").alias("parent_local_id"), F.coalesce("section_path", empty).alias("section_path"),
+        F.coalesce(F.nullif("extraction_method", F.lit("")), F.lit("docling")).alias("extraction_method"), F.col("extraction_confidence").alias("confidence"),
+        F.coalesce(seen["components"], empty).alias("components"), F.coalesce(seen["connections"], empty).alias("connections"), seen["description"].alias("description"),
+        F.when(seen.isNotNull(), F.struct(F.lit("visual_description").alias("task_type"), F.lit("kg_candidate_reextraction").alias("reason"))).alias("cascade_result"),
+    )
+
+
+def look_up(wanted: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """wanted keys with the row that each has, and missing where there is none."""
+    found = table.withColumn("_found", F.lit(True))
+    return wanted.join(found, key, "left").withColumn("missing", F.col("_found").isNull()).drop("_found")
+
+
+def require_none(rows: DataFrame, what: str) -> int:
+    """0, or an error that names how many rows stand against it: a guard before a delete."""
+    n = rows.count()
+    if n:
+        raise ValueError(f"{n} {what}")
+    return n
 
 
 def assign_ids(drafts: DataFrame, after: int = 0) -> DataFrame:
     """Database ids in reading order and parents by them; a parent must stand before its child. Parents on unchanged pages resolve too."""
     per = Window.partitionBy("document_id").orderBy("local_id")
     counts = drafts.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-    # documents are few against elements; their running sum is one short sorted pass
-    base = counts.select("document_id", (F.sum("n").over(Window.orderBy("document_id")) - F.col("n")).alias("base"))
+    base = running_total(counts, "document_id", "n", F.shiftright(F.col("document_id").cast("bigint"), 12)).select("document_id", F.col("before").alias("base"))
     numbered = drafts.join(base, "document_id").withColumn("id", F.row_number().over(per) + F.col("base") + after).drop("base")
     parents = numbered.select("document_id", F.col("local_id").alias("parent_local_id"), F.col("id").alias("parent_id"))
     joined = numbered.join(parents, ["document_id", "parent_local_id"], "left")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,13 @@ def box_size(bbox: Column) -> Column:
     return F.struct(w.alias("width"), h.alias("height"), (w * h).alias("area"))
 
 
+def first_box(provenance: Column) -> Column:
+    """struct(bbox, page_number): the box and page of the first provenance (l, t, r, b, page_no); no box and page 1 without one."""
+    p = F.get(provenance, F.lit(0))
+    box = F.struct(*[p[c].cast("double").alias(c) for c in "ltrb"])
+    return F.struct(F.when(p.isNotNull(), box).alias("bbox"), F.coalesce(p["page_no"], F.lit(1)).cast("bigint").alias("page_number"))
+
+
 def is_icon(width: Column, height: Column, page_width: Column, page_height: Column, ratio: float = ICON_RATIO, side: float = ICON_SIDE) -> Column:
     """Small against its page and in both sides; never where the page size is unknown."""
     page = F.nullif(page_width * page_height, F.lit(0.0))
@@ -47,19 +57,24 @@ def confidence(kind: Column, table: Column, layout: Column, parse: Column, mean:
 def heading_paths(elements: DataFrame) -> DataFrame:
     """Each element's heading path: a heading with text cuts the path to its level - 1 and adds itself, for all that follow.
 
-    The path at an element holds, of each depth, the last heading that no later cut
-    removed. One fold over a document's headings gives the path behind each; elements
-    take the last one by an ordered window.
+    The headings of a document stream by in order, with the present path alone held;
+    elements take the last one by an ordered window.
     """
     heads = elements.where((F.col("element_type") == "heading") & (F.coalesce("text", F.lit("")) != ""))
-    listed = heads.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.greatest(F.coalesce(F.nullif("level", F.lit(0)), F.lit(1)) - 1, F.lit(0)).cast("int").alias("keep"), "text"))).alias("heads"))
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<seq:bigint,path:array<string>>>").alias("out"))
-
-    def step(acc: Column, h: Column) -> Column:
-        path = F.concat(F.slice(acc["path"], F.lit(1), h["keep"]), F.array(h["text"]))
-        return F.struct(path.alias("path"), F.concat(acc["out"], F.array(F.struct(h["seq"].cast("bigint").alias("seq"), path.alias("path")))).alias("out"))
-
-    paths = listed.select("document_id", F.inline(F.aggregate("heads", start, step)["out"]))
+    keep = F.greatest(F.coalesce(F.nullif("level", F.lit(0)), F.lit(1)) - 1, F.lit(0)).cast("int")
+    ordered = heads.select(F.col("document_id").cast("bigint"), F.col("seq").cast("bigint"), keep.alias("keep"), "text").repartition("document_id").sortWithinPartitions("document_id", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, path = None, []
+        for batch in batches:
+            paths = []
+            for document, cut, text in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                path = [*(path[:cut] if document == now else ()), text]
+                now = document
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.list_(pa.string()))], names=["document_id", "seq", "path"])
+
+    paths = ordered.mapInArrow(run, "document_id bigint, seq bigint, path array<string>")
     joined = elements.join(paths, ["document_id", "seq"], "left")
     upto = Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn("section_path", F.coalesce(F.last("path", ignorenulls=True).over(upto), F.array().cast("array<string>"))).drop("path")

@@ -72,8 +72,34 @@ def embed(chunks: DataFrame, make_dense: Callable[[], Callable[[list[str]], list
 
 
 def sparse_terms(chunks: DataFrame, text: str = "content_text", buckets: int = 1 << 20) -> DataFrame:
-    """chunks with sparse struct<indices, values>: term counts by hashed word."""
+    """chunks with sparse struct<indices, values>: term counts by hashed word; the inverse document frequencies stand beside the collection (idf())."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0))
     codes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
     own = F.array_sort(F.array_distinct(codes))
     return chunks.withColumn("_codes", codes).withColumn("sparse", F.struct(own.alias("indices"), F.transform(own, lambda i: F.size(F.filter("_codes", lambda c: c == i)).cast("float")).alias("values"))).drop("_codes")
+
+
+def idf(vectors: DataFrame) -> DataFrame:
+    """index, idf over a collection's sparse vectors: ln((n - df + 0.5) / (df + 0.5) + 1)."""
+    n = vectors.agg(F.count(F.lit(1)).alias("n"))
+    df = vectors.select(F.explode("sparse.indices").alias("index")).groupBy("index").agg(F.count(F.lit(1)).alias("df"))
+    # one row: the join is a scalar look-up
+    return df.crossJoin(F.broadcast(n)).select("index", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+
+
+def embed_and_upsert(chunks: DataFrame, vectors: DataFrame, make_dense: Callable[[], Callable[[list[str]], list[list[float]]]], document_id: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks, vectors) after a document's pending chunks are embedded: their points replace those of the same id, and they are marked embedded.
+
+    chunks: id, document_id, content_text, embedding_status, vector_id and more. Other
+    documents' chunks stay pending. How many were embedded: embedded_count() before.
+    """
+    mine = chunks.where((F.col("document_id") == document_id) & (F.col("embedding_status") == "pending"))
+    points = sparse_terms(embed(mine, make_dense)).select("id", "document_id", "dense", "sparse")
+    done = (F.col("document_id") == document_id) & (F.col("embedding_status") == "pending")
+    marked = chunks.withColumn("vector_id", F.when(done, F.col("id").cast("string")).otherwise(F.col("vector_id"))).withColumn("embedding_status", F.when(done, "embedded").otherwise(F.col("embedding_status")))
+    return marked.select(*chunks.columns), upsert(vectors, points)
+
+
+def embedded_count(chunks: DataFrame, document_id: int) -> DataFrame:
+    """n: how many chunks of the document are pending, and so will be embedded."""
+    return chunks.where((F.col("document_id") == document_id) & (F.col("embedding_status") == "pending")).agg(F.count(F.lit(1)).alias("n"))

@@ -44,15 +44,15 @@ def entity_sql(text: str, vlm: bool) -> list[str]:
     words = "(VALUES " + ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in kg.KEYWORDS.items()) + ") kw(k, t)"
     hit = f"regexp_matches({text}, '(?i)\\b' || k || '\\b')"
     out = [
-        f"SELECT document_id, element_id, page_number, regexp_extract({text}, '(?i)\\b' || k || '\\b') AS name, t AS entity_type, CASE WHEN count(*) OVER (PARTITION BY element_id) > 5 THEN 0.2 ELSE 0.5 END AS confidence, 'dict_keyword{end}' AS method, CAST(NULL AS BOOLEAN) AS anchored FROM el, {words} WHERE {hit}"
+        f"SELECT document_id, element_id, page_number, k AS name, t AS entity_type, CASE WHEN count(*) OVER (PARTITION BY element_id) > 5 THEN 0.2 ELSE 0.5 END AS confidence, 'dict_keyword{end}' AS method, CAST(NULL AS BOOLEAN) AS anchored FROM st, {words} WHERE {hit}"
     ]
     for pattern, kind, method in ((kg.SENSOR_TH, "Sensor", "regex_sensor_id"), (kg.SENSOR_RT, "Sensor", "regex_sensor_id_daikin"), (kg.CONNECTOR, "Connector", "regex_connector_id"), (kg.TERMINAL, "Terminal", "regex_terminal_id")):
-        out.append(f"SELECT document_id, element_id, page_number, unnest(regexp_extract_all({text}, {quoted(pattern)})), '{kind}', 0.7, '{method}{end}', CAST(NULL AS BOOLEAN) FROM el")
-    anchor = f"regexp_matches({text}, {quoted('(?i)' + kg.ANCHOR)})"
+        out.append(f"SELECT document_id, element_id, page_number, unnest(regexp_extract_all({text}, {quoted(pattern)})), '{kind}', 0.7, '{method}{end}', CAST(NULL AS BOOLEAN) FROM st")
+    anchor = f"regexp_matches(coalesce({text}, '') || ' ' || array_to_string(path, ' '), {quoted('(?i)' + kg.ANCHOR)})"
     tier = f"CASE WHEN {anchor} AND element_type = 'table' THEN 0.75 WHEN {anchor} THEN 0.6 ELSE 0.3 END"
-    out.append(f"SELECT document_id, element_id, page_number, unnest(regexp_extract_all({text}, {quoted(kg.ERROR_MAIN)}, 1)), 'ErrorCode', {tier}, 'regex_error_code{end}', {anchor} FROM el")
+    out.append(f"SELECT document_id, element_id, page_number, unnest(regexp_extract_all({text}, {quoted(kg.ERROR_MAIN)}, 1)), 'ErrorCode', {tier}, 'regex_error_code{end}', {anchor} FROM st")
     pairs = f"unnest(list_transform(list_zip(regexp_extract_all({text}, {quoted(kg.ERROR_SUB)}, 1), regexp_extract_all({text}, {quoted(kg.ERROR_SUB)}, 2)), lambda x: x[1] || '-' || x[2]))"
-    out.append(f"SELECT document_id, element_id, page_number, {pairs}, 'ErrorCode', {tier}, 'regex_error_code_subcode{end}', {anchor} FROM el")
+    out.append(f"SELECT document_id, element_id, page_number, {pairs}, 'ErrorCode', {tier}, 'regex_error_code_subcode{end}', {anchor} FROM st")
     return out
 
 
@@ -110,17 +110,17 @@ ORACLES: dict[str, str] = {
     "label_types": base() + f"SELECT label, CASE WHEN label IN ('title', 'section_header') THEN 'heading' WHEN label = 'list_item' THEN 'list' WHEN label = 'table' THEN 'table' WHEN label IN ('picture', 'chart') THEN 'figure' WHEN label = 'caption' THEN 'figure_caption' ELSE 'paragraph' END AS element_type, count(*) AS n FROM (SELECT ({LIST((*LABELS, 'checkbox', 'marker'))})[pos % {len(LABELS) + 2} + 1] AS label FROM lines) GROUP BY ALL",
     "icon_sized": base(ELEMENTS, PAGES) + "SELECT document_id, element_id, coalesce(w * h / nullif(width * height, 0) < 0.02 AND w < 80 AND h < 80, false) AS is_icon FROM (SELECT *, (seq * 7) % 120 AS w, (seq * 11) % 120 AS h FROM el WHERE element_type = 'figure') LEFT JOIN pg USING (document_id, page_number)",
     "element_labels": base(ELEMENTS) + "SELECT document_id, element_id, CASE WHEN coalesce(text, '') = '' THEN '[' || element_type || ']' WHEN length(t) > 80 THEN regexp_replace(substr(t, 1, 80), '\\s+$', '') || '...' ELSE t END AS label FROM (SELECT *, replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS t FROM el)",
-    "kg_keywords": base(ELEMENTS, ENTITIES) + "SELECT document_id, element_id, name, entity_type, CAST(confidence AS DOUBLE) AS confidence, method AS extraction_method FROM en WHERE method LIKE 'dict_keyword%'",
-    "kg_identifiers": base(ELEMENTS, ENTITIES) + "SELECT document_id, element_id, name, entity_type, CAST(confidence AS DOUBLE) AS confidence, method AS extraction_method FROM en WHERE entity_type IN ('Sensor', 'Connector', 'Terminal') AND method LIKE 'regex%'",
-    "kg_error_codes": base(ELEMENTS, ENTITIES) + "SELECT document_id, element_id, name, CAST(confidence AS DOUBLE) AS confidence, method AS extraction_method, anchored FROM en WHERE entity_type = 'ErrorCode'",
+    "kg_keywords": base(ELEMENTS, PATHS, ENTITIES) + "SELECT document_id, element_id, name, entity_type, CAST(confidence AS DOUBLE) AS confidence, method AS extraction_method FROM en WHERE method LIKE 'dict_keyword%'",
+    "kg_identifiers": base(ELEMENTS, PATHS, ENTITIES) + "SELECT document_id, element_id, name, entity_type, CAST(confidence AS DOUBLE) AS confidence, method AS extraction_method FROM en WHERE entity_type IN ('Sensor', 'Connector', 'Terminal') AND method LIKE 'regex%'",
+    "kg_error_codes": base(ELEMENTS, PATHS, ENTITIES) + "SELECT document_id, element_id, name, CAST(confidence AS DOUBLE) AS confidence, method AS extraction_method, anchored FROM en WHERE entity_type = 'ErrorCode'",
     "kg_spans": base(ELEMENTS) + f"SELECT document_id, element_id, name, CAST(start AS BIGINT) AS start, CAST(start + length(name) AS BIGINT) AS stop FROM (SELECT document_id, element_id, m[i] AS name, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start FROM (SELECT document_id, element_id, regexp_extract_all(text, {CONN}) AS m, string_split_regex(text, {CONN}) AS parts, unnest(generate_series(1, len(regexp_extract_all(text, {CONN})))) AS i FROM el WHERE text IS NOT NULL))",
     "kg_relations": base(ELEMENTS, SIDES) + "SELECT document_id, element_id, subject, 'CONNECTED_TO' AS predicate, object, CAST(0.5 AS DOUBLE) AS confidence FROM re",
-    "kg_agreement": base(ELEMENTS, ENTITIES, AGREE) + "SELECT document_id, page_number AS page, entity_type, method AS extraction_method, count(*) AS n, CAST(sum(other) AS BIGINT) AS corroborations, count(*) FILTER (WHERE other > 0) AS corroborated FROM ag GROUP BY ALL",
-    "kg_entity_rollup": base(ELEMENTS, ENTITIES) + "SELECT document_id, name, entity_type, count(*) AS occurrences, string_agg(DISTINCT CAST(page_number AS VARCHAR), ',' ORDER BY CAST(page_number AS VARCHAR)) AS pages, count(DISTINCT element_id) AS n_elements, CAST(max(confidence) AS DOUBLE) AS confidence, '' AS content_text FROM en GROUP BY ALL",
-    "kg_reextract_summary": base(ELEMENTS, ENTITIES, SIDES) + "SELECT document_id, count(*) AS n_elements, count(*) FILTER (WHERE n > 0 OR r > 0) AS n_with_candidates, CAST(sum(n) AS BIGINT) AS n_entities, CAST(sum(r) AS BIGINT) AS n_relations FROM (SELECT e.document_id, coalesce(a.n, 0) AS n, coalesce(b.r, 0) AS r FROM el e LEFT JOIN (SELECT element_id, count(*) AS n FROM en GROUP BY 1) a USING (element_id) LEFT JOIN (SELECT element_id, count(*) AS r FROM re GROUP BY 1) b USING (element_id)) GROUP BY 1",
-    "kg_write_back": base(ELEMENTS, ENTITIES, SIDES) + "SELECT e.document_id, e.element_id, coalesce(a.n, 0) AS n_entities, coalesce(b.r, 0) AS n_relations FROM el e LEFT JOIN (SELECT element_id, count(*) AS n FROM en GROUP BY 1) a USING (element_id) LEFT JOIN (SELECT element_id, count(*) AS r FROM re GROUP BY 1) b USING (element_id)",
+    "kg_agreement": base(ELEMENTS, PATHS, ENTITIES, AGREE) + "SELECT document_id, page_number AS page, entity_type, method AS extraction_method, count(*) AS n, CAST(sum(other) AS BIGINT) AS corroborations, count(*) FILTER (WHERE other > 0) AS corroborated FROM ag GROUP BY ALL",
+    "kg_entity_rollup": base(ELEMENTS, PATHS, ENTITIES) + "SELECT document_id, name, entity_type, count(*) AS occurrences, string_agg(DISTINCT CAST(page_number AS VARCHAR), ',' ORDER BY CAST(page_number AS VARCHAR)) AS pages, count(DISTINCT element_id) AS n_elements, CAST(max(confidence) AS DOUBLE) AS confidence, '' AS content_text FROM en GROUP BY ALL",
+    "kg_reextract_summary": base(ELEMENTS, PATHS, ENTITIES, SIDES) + "SELECT document_id, count(*) AS n_elements, count(*) FILTER (WHERE n > 0 OR r > 0) AS n_with_candidates, CAST(sum(n) AS BIGINT) AS n_entities, CAST(sum(r) AS BIGINT) AS n_relations FROM (SELECT e.document_id, coalesce(a.n, 0) AS n, coalesce(b.r, 0) AS r FROM el e LEFT JOIN (SELECT element_id, count(*) AS n FROM en GROUP BY 1) a USING (element_id) LEFT JOIN (SELECT element_id, count(*) AS r FROM re GROUP BY 1) b USING (element_id)) GROUP BY 1",
+    "kg_write_back": base(ELEMENTS, PATHS, ENTITIES, SIDES) + "SELECT e.document_id, e.element_id, coalesce(a.n, 0) AS n_entities, coalesce(b.r, 0) AS n_relations FROM el e LEFT JOIN (SELECT element_id, count(*) AS n FROM en GROUP BY 1) a USING (element_id) LEFT JOIN (SELECT element_id, count(*) AS r FROM re GROUP BY 1) b USING (element_id)",
     "table_markdown_rows": base(ELEMENTS) + "SELECT document_id, element_id, CAST(r AS BIGINT) AS row_no, trim(h[c]) AS \"column\", trim(v[c]) AS value FROM (SELECT *, unnest(generate_series(1, least(len(h), len(v)))) AS c FROM (SELECT document_id, element_id, r, string_split(trim(t[1], '|'), '|') AS h, string_split(trim(t[r + 3], '|'), '|') AS v FROM (SELECT document_id, element_id, t, unnest(generate_series(0, len(t) - 3)) AS r FROM (SELECT document_id, element_id, string_split(text, chr(10)) AS t FROM el WHERE element_type = 'table'))))",
-    "table_html_rows": "SELECT doc_id, CAST(0 AS BIGINT) AS row_no, c AS \"column\", 'T' || CAST(doc_id AS VARCHAR) AS value FROM documents, (VALUES ('col_1'), ('col_2')) v(c) UNION ALL SELECT doc_id, 1, 'col_1', source FROM documents UNION ALL SELECT doc_id, 1, 'col_2', lang || ' & ' || CAST(n_chars AS VARCHAR) FROM documents",
+    "table_html_rows": "SELECT doc_id, CAST(0 AS BIGINT) AS row_no, c AS \"column\", 'T' || CAST(doc_id AS VARCHAR) AS value FROM documents, (VALUES ('col_0'), ('col_1')) v(c) UNION ALL SELECT doc_id, 1, 'col_0', source FROM documents UNION ALL SELECT doc_id, 1, 'col_1', lang || ' & ' || CAST(n_chars AS VARCHAR) FROM documents",
     "chunk_assignment": base(ELEMENTS, PATHS, FOLD) + "SELECT document_id, CAST(chunk AS BIGINT) AS chunk_no, chunk_type, element_id FROM fo",
     "chunk_procedure_steps": base(ELEMENTS, PATHS, FOLD) + "SELECT f.document_id, CAST(f.chunk AS BIGINT) AS chunk_no, row_number() OVER (PARTITION BY f.document_id, f.chunk ORDER BY n.seq) AS step_number, f.element_id, coalesce(n.text, '') AS step_text FROM fo f JOIN nx n USING (element_id) WHERE n.element_type = 'list'",
     "graph_nodes": base(ELEMENTS, PATHS) + """SELECT * FROM (
@@ -134,7 +134,8 @@ ORACLES: dict[str, str] = {
  UNION ALL SELECT 'HAS_CHILD', 'element:' || CAST(parent_id AS VARCHAR), 'element:' || CAST(element_id AS VARCHAR) FROM st WHERE parent_id IS NOT NULL""",
     "doc_dedupe": "SELECT doc_id AS id, coalesce(o, n) AS document_id, o IS NULL AND n = doc_id AS created FROM (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS n FROM documents WHERE doc_id % 10 <> 0) LEFT JOIN (SELECT text, min(doc_id) AS o FROM documents WHERE doc_id % 10 = 0 GROUP BY text) USING (text)",
     "page_change_plan": base(PAGES, PAGE_TEXT, HASHES, PLAN) + "SELECT document_id, page_number, action FROM pl",
-    "store_summary": base(PAGES, PAGE_TEXT, HASHES, PLAN) + "SELECT document_id, count(*) FILTER (WHERE action IN ('insert', 'replace')) AS pages_stored, count(*) FILTER (WHERE action = 'skip') AS pages_skipped FROM pl GROUP BY 1",
+    "store_summary": base(ELEMENTS, PAGES, PAGE_TEXT, HASHES, PLAN) + """SELECT document_id, pages_stored, pages_skipped, coalesce(e, 0) AS elements_stored, coalesce(c, 0) AS crops_stored FROM (SELECT document_id, count(*) FILTER (WHERE action IN ('insert', 'replace')) AS pages_stored, count(*) FILTER (WHERE action = 'skip') AS pages_skipped FROM pl GROUP BY 1)
+ LEFT JOIN (SELECT el.document_id, count(*) AS e, count(*) FILTER (WHERE element_type IN ('figure', 'icon') AND seq % 4 <> 2) AS c FROM el JOIN pl USING (document_id, page_number) WHERE action IN ('insert', 'replace') GROUP BY 1) USING (document_id)""",
     "page_hashes": base(PAGES, PAGE_TEXT, HASHES) + "SELECT * FROM ph",
     "element_ids": base(ELEMENTS, PATHS) + ", ids AS (SELECT element_id, row_number() OVER (ORDER BY document_id, seq) AS id FROM el) SELECT s.document_id, s.element_id, i.id, coalesce(p.id, -1) AS parent_id FROM st s JOIN ids i USING (element_id) LEFT JOIN ids p ON p.element_id = s.parent_id",
     "orphan_labels": "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)",
@@ -149,13 +150,19 @@ ORACLES: dict[str, str] = {
     "unknown_codes": "SELECT DISTINCT 'NO ' || n_name AS code FROM nation WHERE n_nationkey % 4 = 0 AND 'NO ' || n_name NOT IN (SELECT n_name FROM nation)",
     "authz_missing": f"SELECT id, array_to_string(list_filter(req, lambda r: NOT list_contains(held, r)), ',') AS missing, CASE WHEN id % 3 = 0 THEN list_has_all(held, req) ELSE list_has_any(held, req) END AS visible FROM (SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 = 0 THEN {LIST(rbac.SCOPES)} ELSE {LIST(rbac.USER_SCOPES)} END AS held, CASE WHEN c_custkey % 2 = 0 THEN ['admin:rbac:write', 'chat:read', 'documents:write'] ELSE ['chat:read'] END AS req FROM customer)",
     "login_rate_limit": """WITH RECURSIVE a AS (SELECT user_id AS key, event_id AS seq, ts, event_type IN ('error', 'click') AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
- r AS (SELECT key, k, seq, CASE WHEN failed THEN 1 ELSE 0 END AS n, CASE WHEN failed THEN ts END AS opened, false AS blocked FROM a WHERE k = 1 UNION ALL
-  SELECT key, k, seq, CASE WHEN b THEN n0 WHEN failed THEN n0 + 1 ELSE 0 END, CASE WHEN b THEN o0 WHEN failed THEN coalesce(o0, ts) END, b FROM (
+ r AS (SELECT key, k, seq, CASE WHEN failed THEN 1 ELSE 0 END AS n, CASE WHEN failed THEN ts END AS opened, false AS blocked, CAST(NULL AS BIGINT) AS retry FROM a WHERE k = 1 UNION ALL
+  SELECT key, k, seq, CASE WHEN b THEN n0 WHEN failed THEN n0 + 1 ELSE 0 END, CASE WHEN b THEN o0 WHEN failed THEN coalesce(o0, ts) END, b, CASE WHEN b THEN (epoch_us(o0) + 129600000000 - epoch_us(ts) + 500000) // 1000000 END FROM (
    SELECT *, n0 >= 3 AS b FROM (SELECT a.*, CASE WHEN r.opened IS NOT NULL AND a.ts >= r.opened + INTERVAL 36 HOUR THEN 0 ELSE r.n END AS n0, CASE WHEN r.opened IS NOT NULL AND a.ts >= r.opened + INTERVAL 36 HOUR THEN NULL ELSE r.opened END AS o0 FROM r JOIN a ON a.key = r.key AND a.k = r.k + 1)))
- SELECT key, seq, CAST(n AS BIGINT) AS failures, blocked FROM r""",
-    "job_status": """SELECT document_id, stage, status, CASE WHEN status = 'running' OR started IS NULL THEN -1 ELSE (epoch_us(ended) - epoch_us(started)) // 1000 END AS duration_ms, CASE WHEN status = 'failed' THEN error ELSE '' END AS error_message FROM (
- SELECT user_id AS document_id, event_type AS stage, CASE arg_max(event_id, (ts, event_id)) % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'done' ELSE 'failed' END AS status, min(ts) FILTER (WHERE event_id % 3 = 0) AS started, max(ts) FILTER (WHERE event_id % 3 <> 0) AS ended, 'E' || CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS error FROM events GROUP BY ALL)""",
+ SELECT key, seq, CAST(n AS BIGINT) AS failures, blocked, coalesce(retry, -1) AS retry_after FROM r""",
+    "job_status": """WITH e AS (SELECT *, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events)
+ SELECT user_id AS document_id, event_type AS stage, CAST(run AS BIGINT) AS run, CASE arg_max(event_id, (ts, event_id)) % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'done' ELSE 'failed' END AS status,
+  coalesce((epoch_us(max(ts) FILTER (WHERE event_id % 3 <> 0)) - epoch_us(min(ts) FILTER (WHERE event_id % 3 = 0))) // 1000, -1) AS duration_ms, CASE WHEN arg_max(event_id, (ts, event_id)) % 3 = 2 THEN 'E' || CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) ELSE '' END AS error_message FROM e GROUP BY user_id, event_type, run""",
     "document_status": """SELECT document_id, CASE WHEN bool_or(s = 2) THEN 'failed' WHEN bool_or(s = 0) THEN 'processing' ELSE 'ready' END AS status FROM (SELECT user_id AS document_id, event_type, arg_max(event_id, (ts, event_id)) % 3 AS s FROM events GROUP BY ALL) GROUP BY document_id""",
+    "token_rotation": """WITH RECURSIVE t AS (SELECT conv_id AS family, turn AS seq, 't' || CAST(CASE WHEN turn % 4 = 3 THEN turn - 2 ELSE turn END AS VARCHAR) AS token, 't' || CAST(turn + 1 AS VARCHAR) AS new_token, turn % 5 = 4 AS expired, conv_id % 7 = 3 AND turn % 3 = 2 AS inactive, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+ r AS (SELECT family, k, seq, token, CASE WHEN expired THEN 'expired' WHEN inactive THEN 'inactive' ELSE 'rotated' END AS outcome, false AS dead, CASE WHEN expired OR inactive THEN token ELSE new_token END AS live, CASE WHEN expired OR inactive THEN [] ELSE [token] END AS spent, CASE WHEN NOT (expired OR inactive) THEN new_token END AS replaced FROM t WHERE k = 1
+  UNION ALL SELECT t.family, t.k, t.seq, t.token, o, r.dead OR o = 'reuse', CASE WHEN o = 'rotated' THEN t.new_token ELSE r.live END, CASE WHEN o = 'rotated' THEN list_append(r.spent, t.token) ELSE r.spent END, CASE WHEN o = 'rotated' THEN t.new_token END
+  FROM (SELECT r.*, t.family AS f2, CASE WHEN list_contains(r.spent, t.token) OR r.dead AND t.token = r.live THEN 'reuse' WHEN t.token <> r.live THEN 'unknown' WHEN t.expired THEN 'expired' WHEN t.inactive THEN 'inactive' ELSE 'rotated' END AS o FROM r JOIN t ON t.family = r.family AND t.k = r.k + 1) r JOIN t ON t.family = r.family AND t.k = r.k + 1)
+ SELECT family, seq, token, outcome, dead AS family_revoked, coalesce(replaced, '') AS replaced_by FROM r""",
     "sample_pages": base(PAGES, FLAGS, PAGE_TEXT) + f""", sp AS (SELECT fl.*, 4 * drawings AS d4, text || CASE WHEN page_number % 6 = 0 THEN ' abnormal' WHEN page_number % 6 = 1 THEN ' Symptom and remedy' ELSE '' END AS tx FROM fl JOIN pt USING (document_id, page_number)),
  s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY document_id, page_number) AS c FROM (SELECT document_id, page_number, {SAMPLE_CLASS.format(trouble=STRICT)} AS category, row_number() OVER (PARTITION BY category, document_id ORDER BY page_number) AS i FROM sp) WHERE category IS NOT NULL AND i <= 3) WHERE c <= 10),
  s2 AS (SELECT document_id, page_number, {SAMPLE_CLASS.format(trouble=TROUBLE)} AS category FROM sp WHERE (document_id, page_number) NOT IN (SELECT (document_id, page_number) FROM s1)),
@@ -166,9 +173,47 @@ ORACLES: dict[str, str] = {
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
 
-ORACLES["kg_entity_rollup"] = base(ELEMENTS, ENTITIES) + """SELECT document_id, name, entity_type, count(*) AS occurrences, array_to_string(list_sort(list(DISTINCT page_number)), ',') AS pages, count(DISTINCT element_id) AS n_elements, CAST(max(confidence) AS DOUBLE) AS confidence,
+ORACLES["kg_entity_rollup"] = base(ELEMENTS, PATHS, ENTITIES) + """SELECT document_id, name, entity_type, count(*) AS occurrences, array_to_string(list_sort(list(DISTINCT page_number)), ',') AS pages, count(DISTINCT element_id) AS n_elements, CAST(max(confidence) AS DOUBLE) AS confidence,
  name || ' (' || entity_type || ') — referenced on page(s) ' || array_to_string(list_sort(list(DISTINCT page_number)), ', ') || '.' AS content_text FROM en GROUP BY document_id, name, entity_type"""
-ORACLES["chunk_entities"] = base(ELEMENTS, ENTITIES) + """SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY name, entity_type) - 1 AS chunk_no, name || ' (' || entity_type || ') — referenced on page(s) ' || array_to_string(list_sort(list(DISTINCT page_number)), ', ') || '.' AS content_text, min(page_number) AS page_start, max(page_number) AS page_end FROM en GROUP BY document_id, name, entity_type"""
+ORACLES["chunk_entities"] = base(ELEMENTS, PATHS, ENTITIES) + """SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY name, entity_type) - 1 AS chunk_no, name || ' (' || entity_type || ') — referenced on page(s) ' || array_to_string(list_sort(list(DISTINCT page_number)), ', ') || '.' AS content_text, min(page_number) AS page_start, max(page_number) AS page_end FROM en GROUP BY document_id, name, entity_type"""
 
-ORACLES["ingest_summary"] = base(ELEMENTS, PAGES, FLAGS, TASKS, ENTITIES) + """SELECT e.document_id, n_elements, coalesce(n_tasks, 0) AS n_tasks, coalesce(n_entities, 0) AS n_entities FROM (SELECT document_id, count(*) AS n_elements FROM el GROUP BY 1) e
+ORACLES["ingest_summary"] = base(ELEMENTS, PATHS, PAGES, FLAGS, TASKS, ENTITIES) + """SELECT e.document_id, n_elements, coalesce(n_tasks, 0) AS n_tasks, coalesce(n_entities, 0) AS n_entities FROM (SELECT document_id, count(*) AS n_elements FROM el GROUP BY 1) e
  LEFT JOIN (SELECT document_id, count(*) AS n_tasks FROM tk GROUP BY 1) t USING (document_id) LEFT JOIN (SELECT document_id, count(*) AS n_entities FROM en GROUP BY 1) n USING (document_id)"""
+
+BLANK = "E' \\t\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x1f'"
+#: A chunk's text: alone in it, a table or figure keeps its own; others are joined by lines, blanks going at every step.
+CHUNKS = f"""ch AS (SELECT f.document_id, f.chunk, f.chunk_type, any_value(n.path) AS path, arg_min(n.page_number, f.k) AS page_start, arg_max(n.page_number, f.k) AS page_end,
+  CASE WHEN f.chunk_type IN ('table', 'figure') THEN any_value(coalesce(nullif(n.text, ''), CASE WHEN f.chunk_type = 'figure' THEN n.description END, ''))
+   ELSE coalesce(ltrim(string_agg(rtrim(n.text, {BLANK}), chr(10) ORDER BY f.k) FILTER (WHERE rtrim(n.text, {BLANK}) <> ''), {BLANK}), '') END AS body,
+  string_agg(CAST(f.element_id AS VARCHAR), ',' ORDER BY f.k) AS ids FROM fo f JOIN nx n USING (element_id) GROUP BY f.document_id, f.chunk, f.chunk_type)"""
+ORACLES["chunk_summary"] = base(ELEMENTS, PATHS, FOLD, CHUNKS) + """SELECT document_id, CAST(chunk AS BIGINT) AS chunk_no, chunk_type, array_to_string(path, '>') AS path, page_start, page_end, length(body) AS n_chars,
+ sha256(concat(chunk_type, '|', array_to_string(path, '>'), '|', body, '|', ids)) AS content_hash FROM ch"""
+ORACLES["chunk_content"] = base(ELEMENTS, PATHS, FOLD) + """SELECT f.document_id, CAST(f.chunk AS BIGINT) AS chunk_no, 'table' AS kind, CAST(2 AS BIGINT) AS n, 'open' AS last FROM fo f WHERE chunk_type = 'table'
+ UNION ALL SELECT f.document_id, f.chunk, 'figure', 1, n.description FROM fo f JOIN nx n USING (element_id) WHERE chunk_type = 'figure'
+ UNION ALL SELECT f.document_id, f.chunk, 'procedure', count(*), arg_max(coalesce(n.text, ''), n.seq) FROM fo f JOIN nx n USING (element_id) WHERE n.element_type = 'list' GROUP BY f.document_id, f.chunk"""
+ORACLES["ingest_summary"] = base(ELEMENTS, PATHS, FOLD, PAGES, FLAGS, TASKS, ENTITIES) + """SELECT e.document_id, n_elements, coalesce(n_tasks, 0) AS n_tasks, coalesce(n_entities, 0) AS n_entities, coalesce(n_chunks, 0) + coalesce(n_names, 0) AS n_chunks FROM (SELECT document_id, count(*) AS n_elements FROM el GROUP BY 1) e
+ LEFT JOIN (SELECT document_id, count(*) AS n_tasks FROM tk GROUP BY 1) t USING (document_id) LEFT JOIN (SELECT document_id, count(*) AS n_entities, count(DISTINCT (name, entity_type)) AS n_names FROM en GROUP BY 1) n USING (document_id)
+ LEFT JOIN (SELECT document_id, count(DISTINCT chunk) AS n_chunks FROM fo GROUP BY 1) c USING (document_id)"""
+ORACLES |= {
+    "crop_rectangles": base(ELEMENTS, PAGES) + "SELECT document_id, element_id, seq % 4 <> 2 AS cropped, coalesce(10 * 200 / 72.0::DOUBLE * (seq % 4 <> 2)::INT, 0) AS x0, coalesce((height - 100) * (200 / 72.0::DOUBLE) * (seq % 4 <> 2)::INT, 0) AS y0 FROM el JOIN pg USING (document_id, page_number) WHERE element_type IN ('figure', 'icon')",
+    "first_boxes": base(ELEMENTS) + "SELECT document_id, element_id, CASE WHEN seq % 4 <> 2 THEN 50.0 * (seq % 7) ELSE -1 END AS area, CASE WHEN seq % 4 <> 2 THEN page_number ELSE 1 END AS page FROM el",
+    "cascade_reasons": base(ELEMENTS, PAGES) + """SELECT document_id, page_number, element_id, reason FROM (
+ SELECT document_id, page_number, element_id, 'table_score ' || coalesce(printf('%.4f', confidence), 'None') || ' < 0.9000' AS reason FROM el WHERE element_type = 'table' AND (confidence IS NULL OR confidence < 0.9)
+ UNION ALL SELECT document_id, page_number, -1, 'parse_score ' || coalesce(printf('%.4f', parse_score), 'None') || ' < 0.6000' FROM pg WHERE parse_score IS NULL OR parse_score < 0.6)""",
+    "dense_scores": base(PAGES) + "SELECT document_id, page_number, coalesce(s, -1) AS score FROM (SELECT document_id, unnest(generate_series(1, max(page_number) + 1)) AS page_number FROM pg GROUP BY document_id) LEFT JOIN (SELECT document_id, page_number, CASE WHEN page_number % 5 <> 0 THEN parse_score END AS s FROM pg) USING (document_id, page_number)",
+    "text_layers": base(PAGES, PAGE_TEXT) + "SELECT document_id, page_number, length(trim(text, E' \\t\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x1f')) > 0 AS present FROM pt",
+    "nav_groups": "SELECT DISTINCT c_custkey AS id, g AS \"group\" FROM customer, (VALUES ('Admin', 1), ('Roles', 1), ('Work', 2)) v(g, k) WHERE CASE WHEN c_nationkey % 3 = 0 THEN true ELSE k = 2 END",
+    "element_hashes": base(ELEMENTS) + "SELECT document_id, count(*) AS n, count(DISTINCT (element_type, text, page_number)) AS n_distinct FROM el GROUP BY document_id",
+    "csv_lists": "SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(string_split(lang || ' ,, ' || source || ',', ','), lambda x: trim(x)), lambda x: x <> ''), '|'), '') AS parts FROM documents",
+    "revoked_tokens": "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_id % 4 = 0 OR event_type = 'error') AS revoked FROM events GROUP BY user_id",
+    "refresh_validity": """SELECT event_id AS id, CASE WHEN event_id % 5 = 4 THEN 'unknown' WHEN event_type = 'error' THEN 'revoked' WHEN ts <= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) THEN 'expired' WHEN user_id % 3 = 0 THEN 'inactive' ELSE 'valid' END AS status FROM events""",
+    "missing_ids": "SELECT n AS id, n NOT IN (SELECT c_custkey FROM customer) AS missing, coalesce((SELECT c_name FROM customer WHERE c_custkey = n), '') AS username FROM (SELECT unnest(generate_series(1, (SELECT max(c_custkey) + 50 FROM customer), 7)) AS n)",
+    "insert_if_absent": "SELECT c_custkey AS id, c_name AS username FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new ' || c_name FROM customer WHERE c_custkey % 2 <> 0 AND c_custkey % 3 = 0",
+    "replaced_grants": "SELECT n_regionkey AS role_id, n_nationkey AS scope_id FROM nation WHERE n_nationkey % 6 <> 5 AND n_regionkey <> 1 UNION ALL SELECT 1, n_nationkey FROM nation WHERE n_nationkey IN (2, 3)",
+    "chunk_union": base(ELEMENTS, PATHS, FOLD, ENTITIES) + "SELECT document_id, chunk_type, count(*) AS n FROM (SELECT DISTINCT document_id, chunk, chunk_type FROM fo) GROUP BY ALL UNION ALL SELECT document_id, 'entity', count(DISTINCT (name, entity_type)) FROM en GROUP BY document_id",
+    "section_order": base(ELEMENTS, PATHS) + """SELECT document_id, array_to_string(p, '>') AS path, row_number() OVER (PARTITION BY document_id ORDER BY seq, len(p)) AS place FROM (SELECT document_id, path[1:i] AS p, min(seq) AS seq FROM (SELECT document_id, path, seq, unnest(generate_series(1, len(path))) AS i FROM st) GROUP BY ALL)""",
+    "stored_reextraction": base(ELEMENTS, PATHS, ENTITIES, SIDES) + "SELECT document_id, count(*) AS n_elements, count(*) FILTER (WHERE n > 0 OR r > 0) AS n_with_candidates, CAST(sum(n) AS BIGINT) AS n_entities, CAST(sum(r) AS BIGINT) AS n_relations FROM (SELECT e.document_id, coalesce(a.n, 0) AS n, coalesce(b.r, 0) AS r FROM el e LEFT JOIN (SELECT element_id, count(*) AS n FROM en GROUP BY 1) a USING (element_id) LEFT JOIN (SELECT element_id, count(*) AS r FROM re GROUP BY 1) b USING (element_id)) GROUP BY 1",
+    "embedding_lifecycle": "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 1 AND doc_id % 3 = 0 THEN 'embedded' WHEN doc_id % 3 = 0 THEN 'pending' ELSE 'embedded' END AS embedding_status, CASE WHEN doc_id % 4 = 1 AND doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 0 THEN '' ELSE 'old' END AS vector_id, CASE WHEN doc_id % 4 = 1 AND doc_id % 3 = 0 THEN CAST(length(coalesce(text, '')) AS DOUBLE) WHEN doc_id % 3 = 0 THEN -1 ELSE 0 END AS first FROM documents",
+    "response_defaults": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS description, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS n_components, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN source WHEN 2 THEN 'x' ELSE '' END AS markdown FROM documents",
+    "idf_weights": "SELECT w AS word, round(ln(((SELECT count(*) FROM documents) - n + 0.5) / (n + 0.5) + 1), 6) AS idf FROM (SELECT source AS w, count(*) AS n FROM documents GROUP BY 1)",
+}

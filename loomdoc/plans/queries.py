@@ -32,16 +32,16 @@ def structured(spark: SparkSession, d: str) -> DataFrame:
 
 
 def visual(e: DataFrame) -> DataFrame:
-    """Elements in the shape that kg.extract takes: no heading paths, as in a first pass."""
+    """Elements in the shape that kg.extract takes."""
     none = F.array().cast("array<string>")
     return e.select(
-        "document_id", "element_id", "page_number", "element_type", "text", "description", none.alias("section_path"),
+        "document_id", "element_id", "page_number", "element_type", "text", "description", "section_path",
         F.when(F.col("component").isNotNull(), F.array("component")).otherwise(none).alias("components"), F.when(F.col("connection").isNotNull(), F.array("connection")).otherwise(none).alias("connections"),
     )
 
 
 def extracted(spark: SparkSession, d: str) -> DataFrame:
-    return kg.extract(visual(manual.elements(spark, d)))
+    return kg.extract(visual(structure.heading_paths(manual.elements(spark, d))))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +54,14 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
+def boxed(spark: SparkSession, d: str) -> DataFrame:
+    """Manual elements with the first box of their provenance; some have none."""
+    box = F.expr("named_struct('l', 10.0D, 't', 100.0D, 'r', CAST(10 + seq % 7 AS double), 'b', 50.0D, 'page_no', page_number)")
+    none = F.array().cast("array<struct<l:double,t:double,r:double,b:double,page_no:bigint>>")
+    e = manual.elements(spark, d).withColumn("prov", F.when(F.col("seq") % 4 != 2, F.array(box, box)).otherwise(none))
+    return e.withColumn("first", structure.first_box(F.col("prov"))).withColumn("bbox", F.col("first.bbox"))
+
+
 # probes and the cascade
 
 
@@ -274,7 +282,7 @@ def page_change_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def store_summary(spark: SparkSession, d: str) -> DataFrame:
-    return store.store_summary(change_plan(spark, d))
+    return store.store_summary(change_plan(spark, d), boxed(spark, d))
 
 
 @query
@@ -392,14 +400,14 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def login_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.login_limits(attempts(spark, d), limit=3, window=36 * 3600).select("key", "seq", F.col("failures").cast("bigint").alias("failures"), "blocked")
+    return sessions.login_limits(attempts(spark, d), limit=3, window=36 * 3600).select("key", "seq", "failures", "blocked", F.coalesce("retry_after", F.lit(-1)).cast("bigint").alias("retry_after"))
 
 
 @query
 def token_rotation(spark: SparkSession, d: str) -> DataFrame:
     c = manual.read(spark, d, "conversations")
-    e = c.selectExpr("conv_id AS family", "turn AS seq", "'t' || CAST(CASE WHEN turn % 4 = 3 THEN turn - 2 ELSE turn END AS string) AS token", "'t' || CAST(turn + 1 AS string) AS new_token")
-    return sessions.rotate_tokens(e)
+    e = c.selectExpr("conv_id AS family", "turn AS seq", "'t' || CAST(CASE WHEN turn % 4 = 3 THEN turn - 2 ELSE turn END AS string) AS token", "'t' || CAST(turn + 1 AS string) AS new_token", "turn % 5 = 4 AS expired", "conv_id % 7 = 3 AND turn % 3 = 2 AS inactive")
+    return sessions.rotate_tokens(e).fillna("", ["replaced_by"])
 
 
 def job_log(spark: SparkSession, d: str) -> DataFrame:
@@ -410,7 +418,7 @@ def job_log(spark: SparkSession, d: str) -> DataFrame:
 @query
 def job_status(spark: SparkSession, d: str) -> DataFrame:
     j = sessions.job_states(job_log(spark, d))
-    return j.select("document_id", "stage", "status", F.coalesce("duration_ms", F.lit(-1)).cast("bigint").alias("duration_ms"), F.coalesce("error_message", F.lit("")).alias("error_message"))
+    return j.select("document_id", "stage", "run", "status", F.coalesce("duration_ms", F.lit(-1)).cast("bigint").alias("duration_ms"), F.coalesce("error_message", F.lit("")).alias("error_message"))
 
 
 @query
@@ -446,4 +454,179 @@ def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
     e = manual.elements(spark, d)
     none = F.array().cast("array<string>")
     drafts = e.withColumn("components", F.when(F.col("component").isNotNull(), F.array("component")).otherwise(none)).withColumn("connections", F.when(F.col("connection").isNotNull(), F.array("connection")).otherwise(none))
-    return lifecycle.summary(lifecycle.ingest(drafts, manual.pages(spark, d))).select("document_id", "n_elements", "n_tasks", "n_entities")
+    return lifecycle.summary(lifecycle.ingest(drafts, manual.pages(spark, d)))
+
+
+# what the queries above do not reach
+
+
+@query
+def crop_rectangles(spark: SparkSession, d: str) -> DataFrame:
+    e = boxed(spark, d).where("element_type in ('figure', 'icon')").join(manual.pages(spark, d), ["document_id", "page_number"])
+    c = cascade.crop_rectangle(F.col("bbox"), F.col("height"))
+    zero = F.lit(0.0)
+    return e.select("document_id", "element_id", store.crop_eligible(F.col("element_type"), F.col("bbox")).alias("cropped"), F.coalesce(c["x0"], zero).alias("x0"), F.coalesce(c["y0"], zero).alias("y0"))
+
+
+@query
+def first_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return boxed(spark, d).select("document_id", "element_id", F.coalesce(structure.box_size(F.col("bbox"))["area"], F.lit(-1.0)).alias("area"), F.col("first.page_number").alias("page"))
+
+
+@query
+def cascade_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return tasks(spark, d).where("task_type <> 'visual_description'").select("document_id", "page_number", F.coalesce("element_id", F.lit(-1)).cast("bigint").alias("element_id"), "reason")
+
+
+@query
+def dense_scores(spark: SparkSession, d: str) -> DataFrame:
+    p = manual.pages(spark, d)
+    n = p.groupBy("document_id").agg((F.max("page_number") + 1).alias("page_count"))
+    score = F.when(F.col("page_number") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("parse_score"))
+    rows = structure.dense_pages(n, p.select("document_id", "page_number", structure.clean_score(score).alias("score")))
+    return rows.select("document_id", "page_number", F.coalesce("score", F.lit(-1.0)).alias("score"))
+
+
+@query
+def text_layers(spark: SparkSession, d: str) -> DataFrame:
+    return page_texts(spark, d).select("document_id", "page_number", probe.text_layer_present(F.col("text")).alias("present"))
+
+
+#: A menu: two groups in one another for administrators, one for all.
+MENU = [
+    {"isGroup": True, "label": "Admin", "children": [{"isGroup": True, "label": "Roles", "children": [{"route": "/roles", "label": "Roles", "requiredScopes": ["admin:rbac:read", "admin:rbac:write"], "match": "all"}]}]},
+    {"isGroup": True, "label": "Work", "children": [{"route": "/chat", "label": "Chat", "requiredScopes": ["chat:read"]}, {"label": "no route"}]},
+    {"route": "/home", "label": "Home"},
+]
+
+
+@query
+def nav_groups(spark: SparkSession, d: str) -> DataFrame:
+    leaves = spark.createDataFrame(rbac.flatten_routes(MENU), "route string, label string, required_scopes array<string>, match string, group_path array<string>")
+    array = lambda names: F.array(*[F.lit(n) for n in names])
+    u = users(spark, d).select("id", F.when(F.col("role_id") == 0, array(rbac.SCOPES)).otherwise(array(rbac.USER_SCOPES)).alias("held"))
+    # a menu has a few leaves
+    shown = u.crossJoin(F.broadcast(leaves)).where(rbac.visible(F.col("required_scopes"), F.col("held"), F.col("match")))
+    return shown.select("id", F.explode("group_path").alias("group")).distinct()
+
+
+@query
+def element_hashes(spark: SparkSession, d: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    h = tx.element_hash(F.col("element_type"), F.col("text"), none, F.col("page_number"), F.lit("docling"))
+    return manual.elements(spark, d).select("document_id", h.alias("h")).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("h").alias("n_distinct"))
+
+
+@query
+def csv_lists(spark: SparkSession, d: str) -> DataFrame:
+    return manual.read(spark, d, "documents").select("doc_id", F.coalesce(F.array_join(tx.csv_list(F.expr("lang || ' ,, ' || source || ','")), "|"), F.lit("")).alias("parts"))
+
+
+@query
+def revoked_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = manual.read(spark, d, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_id") % 4 == 0, F.col("ts")).alias("revoked_at"))
+    out = sessions.revoke(t, F.col("event_type") == "error", F.lit("2030-01-01").cast("timestamp"))
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count("revoked_at").alias("revoked"))
+
+
+@query
+def refresh_validity(spark: SparkSession, d: str) -> DataFrame:
+    e = manual.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    least, most = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    now = F.timestamp_micros(F.lit(least + (most - least) // 2))
+    raw = F.col("event_id").cast("string")
+    stored = e.where("event_id % 5 <> 4").select(F.sha2(raw, 256).alias("token_hash"), F.col("user_id").cast("bigint").alias("user_id"), F.when(F.col("event_type") == "error", F.col("ts")).alias("revoked_at"), F.col("ts").alias("expires_at"))
+    people = e.select(F.col("user_id").alias("id")).distinct().withColumn("is_active", F.col("id") % 3 != 0)
+    return sessions.refresh_status(e.select(raw.alias("raw")), stored, people, now).select(F.col("raw").cast("bigint").alias("id"), "status")
+
+
+@query
+def missing_ids(spark: SparkSession, d: str) -> DataFrame:
+    u = users(spark, d).select("id", "username")
+    top = u.agg((F.max("id") + 50).alias("top")).select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("top"), F.lit(7).cast("bigint"))).alias("id"))
+    return store.look_up(top, u).select("id", "missing", F.coalesce("username", F.lit("")).alias("username"))
+
+
+@query
+def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    u = users(spark, d).select("id", "username")
+    return store.insert_missing(u.where("id % 2 = 0"), u.where("id % 3 = 0").withColumn("username", F.concat(F.lit("new "), "username")), ["id"])
+
+
+@query
+def replaced_grants(spark: SparkSession, d: str) -> DataFrame:
+    _, scopes, rs = grants(spark, d)
+    codes = [r.code for r in scopes.where("id in (2, 3)").collect()]
+    return rbac.replace_grants(rs, 1, codes, scopes)
+
+
+@query
+def chunk_union(spark: SparkSession, d: str) -> DataFrame:
+    both = chunking.all_chunks(chunking.build(structured(spark, d)), chunking.entity_chunks(kg.rollup(entities(spark, d))))
+    return both.groupBy("document_id", "chunk_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def chunk_content(spark: SparkSession, d: str) -> DataFrame:
+    c = chunking.with_content(chunking.build(structured(spark, d))).where("content_structured is not null")
+    s = F.col("content_structured")
+    n = F.when(F.col("chunk_type") == "table", F.size(s["rows"])).when(F.col("chunk_type") == "figure", 1).otherwise(F.size(s["steps"]))
+    last = F.when(F.col("chunk_type") == "table", F.element_at(F.map_values(F.element_at(s["rows"], -1)), -1)).when(F.col("chunk_type") == "figure", s["description"]).otherwise(F.element_at(s["steps"], -1)["step_text"])
+    return c.select("document_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("chunk_type").alias("kind"), n.cast("bigint").alias("n"), last.alias("last"))
+
+
+@query
+def section_order(spark: SparkSession, d: str) -> DataFrame:
+    return graph.section_order(structure.heading_paths(manual.elements(spark, d))).select("document_id", joined("path").alias("path"), F.col("place").cast("bigint").alias("place"))
+
+
+@query
+def stored_reextraction(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates from the engine's own store of elements and pages, as a second extraction reads them."""
+    e = structure.heading_paths(manual.elements(spark, d))
+    none = F.array().cast("array<string>")
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(none)
+    seen = F.when(F.coalesce("component", "connection", "description").isNotNull(), F.struct(one("component").alias("components"), one("connection").alias("connections"), "description"))
+    page_id = F.col("document_id") * 100_000 + F.col("page_number")
+    stored = e.select(F.col("element_id").alias("id"), "document_id", page_id.alias("page_id"), "element_type", "text", F.lit(None).cast("bigint").alias("parent_id"), "section_path", F.lit("").alias("extraction_method"), F.col("confidence").alias("extraction_confidence"), seen.alias("visual_description"))
+    pages = e.select(page_id.alias("id"), "page_number").distinct()
+    drafts = store.stored_drafts(stored, pages)
+    return kg.reextract_summary(kg.extract(drafts), drafts)
+
+
+def length_model() -> Callable[[list[str]], list[list[float]]]:
+    """A stand-in for a dense model: a text's length."""
+    return lambda texts: [[float(len(t))] for t in texts]
+
+
+@query
+def embedding_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """One document's pending chunks embedded and upserted; the others stay as they are."""
+    docs = manual.read(spark, d, "documents").withColumn("document_id", F.col("doc_id") % 4)
+    status = F.when(F.col("doc_id") % 3 == 0, "pending").otherwise("embedded")
+    chunks = docs.select(F.col("doc_id").alias("id"), "document_id", F.coalesce("text", F.lit("")).alias("content_text"), status.alias("embedding_status"), F.when(F.col("doc_id") % 3 != 0, "old").alias("vector_id"))
+    held = chunks.where("embedding_status = 'embedded'").select("id", "document_id", F.array(F.lit(0.0).cast("float")).alias("dense"))
+    held = held.withColumn("sparse", F.lit(None).cast("struct<indices:array<int>,values:array<float>>"))
+    marked, points = vectors.embed_and_upsert(chunks, held, length_model, 1)
+    return marked.join(points.select("id", "dense"), "id", "left").select("id", "embedding_status", F.coalesce("vector_id", F.lit("")).alias("vector_id"), F.coalesce(F.get("dense", F.lit(0)).cast("double"), F.lit(-1.0)).alias("first"))
+
+
+@query
+def response_defaults(spark: SparkSession, d: str) -> DataFrame:
+    docs = manual.read(spark, d, "documents")
+    none = F.lit(None)
+    body = F.to_json(F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("description"), F.when(F.col("doc_id") % 3 == 0, F.array("lang", "source")).alias("components")))
+    k = F.col("doc_id") % 4
+    texts = F.to_json(F.struct(F.struct(F.when(k == 0, F.col("lang")).when(k == 1, F.lit("")).alias("markdown_texts"), F.when(k == 1, F.col("source")).alias("text")).alias("markdown")))
+    plain = F.to_json(F.struct(F.when(k == 2, F.lit("x")).otherwise(F.lit("")).alias("markdown"), F.lit("never").alias("text")))
+    r = cascade.parse_response(body)
+    return docs.select("doc_id", r["description"].alias("description"), F.size(r["components"]).cast("bigint").alias("n_components"), cascade.markdown_text(F.when(k < 2, texts).otherwise(plain)).alias("markdown"), none.alias("_")).drop("_")
+
+
+@query
+def idf_weights(spark: SparkSession, d: str) -> DataFrame:
+    docs = manual.read(spark, d, "documents")
+    sparse = vectors.sparse_terms(docs.select(F.col("source").alias("content_text")))
+    words = docs.select(F.col("source").alias("word")).distinct().withColumn("content_text", F.col("word"))
+    code = vectors.sparse_terms(words).select("word", F.explode("sparse.indices").alias("index"))
+    return code.join(vectors.idf(sparse), "index").groupBy("word").agg(F.round(F.max("idf"), 6).alias("idf"))

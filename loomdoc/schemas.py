@@ -14,5 +14,6 @@ VISUAL = "struct<figure_type:string,components:array<string>,connections:array<s
 ENTITY = "struct<name:string,entity_type:string,confidence:double,element_id:bigint,page:bigint,extraction_method:string,justification_span:array<int>,context_anchor_matched:boolean,cross_source_corroborated:boolean,corroboration_count:bigint>"
 RELATION = "struct<subject:string,predicate:string,object:string,confidence:double,element_id:bigint,page:bigint,extraction_method:string>"
 ELEMENT = f"id bigint, document_id bigint, page_id bigint, element_type string, text string, bbox {BBOX}, parent_id bigint, section_path array<string>, image_uri string, source_hash string, extraction_method string, extraction_confidence double, visual_description {VISUAL}, kg_candidate_entities array<{ENTITY}>, kg_candidate_relations array<{RELATION}>"
-CHUNK = "document_id bigint, chunk_no int, chunk_type string, section_path array<string>, page_start bigint, page_end bigint, content_text string, element_ids array<bigint>, n_steps int"
+STEPS = "array<struct<step_number:int,step_text:string,element_id:bigint>>"
+CHUNK = f"document_id bigint, chunk_no int, chunk_type string, section_path array<string>, page_start bigint, page_end bigint, content_text string, element_ids array<bigint>, n_steps int, steps {STEPS}, own_text string, image_uri string, description string"
 JOB = "id bigint, document_id bigint, celery_task_id string, stage string, status string, started_at timestamp, finished_at timestamp, error_message string, stage_metrics struct<duration_ms:bigint>"

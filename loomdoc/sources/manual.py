@@ -44,7 +44,7 @@ ELEMENTS = {
     "level": "CASE WHEN pos % 8 = 0 THEN {div8} % 4 END",
     "text": f"CASE pos % 8 WHEN 5 THEN {TABLE} WHEN 6 THEN '' ELSE line || {INJECT} END",
     "confidence": "CASE WHEN pos % 11 = 0 THEN NULL ELSE CAST(80 + pos % 20 AS double) / 100 END",
-    "description": "CASE WHEN pos % 8 = 6 THEN 'TH' || CAST(document_id % 20 AS {s}) || ' PRINTED CIRCUIT BOARD, connected via CN105' END",
+    "description": "CASE WHEN pos % 8 = 6 THEN 'TH' || CAST(document_id % 20 AS {s}) || ' on a Printed Circuit Board, plug CN105' END",
     "component": "CASE WHEN pos % 8 = 6 THEN CASE WHEN pos % 16 = 6 THEN 'compressor' ELSE 'TH' || CAST(document_id % 20 AS {s}) END END",
     "connection": "CASE WHEN pos % 8 = 6 THEN CASE pos % 3 WHEN 0 THEN 'compressor -> TH3' WHEN 1 THEN 'TH3 to PCB' ELSE ' -> TH3' END END",
 }

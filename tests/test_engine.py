@@ -21,15 +21,15 @@ def names(spark, **row):
 
 
 def test_error_code_tiers(spark):
-    assert ("P8", "ErrorCode", 0.6, True) in names(spark, text="If error code P8 appears, check the water flow sensor.")
-    assert names(spark, text="The unit code is P8 for this configuration.") == [("P8", "ErrorCode", 0.3, False)]
+    assert ("P8", "ErrorCode", 0.6, True) in names(spark, text="With error code P8 on the panel, look at the pump first.")
+    assert names(spark, text="Panels of size P8 fit this frame.") == [("P8", "ErrorCode", 0.3, False)]
     assert names(spark, kind="table", text="P8", path=["Error code list"]) == [("P8", "ErrorCode", 0.75, True)]
     assert names(spark, text="The AC unit") == []
     assert [x[0] for x in names(spark, text="abnormal: A6-01 and E7 - 12")] == ["A6", "E7", "A6-01", "E7-12"]
 
 
 def test_keywords_and_glossary(spark):
-    assert names(spark, text="The Inverter PCB and pcbs") == [("PCB", "PCB", 0.5, None), ("Inverter PCB", "PCB", 0.5, None)]
+    assert names(spark, text="The Inverter PCB and pcbs") == [("pcb", "PCB", 0.5, None), ("inverter pcb", "PCB", 0.5, None)]
     many = "compressor condenser evaporator accumulator strainer muffler"
     assert {x[2] for x in names(spark, text=many)} == {0.2}
 
@@ -38,7 +38,7 @@ def test_spans_count_code_points(spark):
     text = "😀 Measure the resistance of TH3 connected via CN105."
     e = kg.exploded(kg.extract(elements(spark, {"text": text}))).collect()
     assert {text[r.justification_span[0] : r.justification_span[1]] for r in e} == {"TH3", "CN105"}
-    seen = kg.exploded(kg.extract(elements(spark, {"kind": "figure", "description": "A1P PRINTED CIRCUIT BOARD via CN105", "text": ""}))).collect()
+    seen = kg.exploded(kg.extract(elements(spark, {"kind": "figure", "description": "Printed Circuit Board seen beside plug CN105", "text": ""}))).collect()
     assert {r.extraction_method for r in seen} == {"dict_keyword_vlm_description", "regex_connector_id_vlm_description"} and all(r.justification_span is None for r in seen)
 
 
@@ -166,7 +166,7 @@ def test_html(html, rows):
 
 def test_table_dispatch(spark):
     df = spark.createDataFrame([("x <TABLE><tr><td>1</td></tr></TABLE>",), ("|A|\n|1|",), (None,)], "text string")
-    assert sorted(map(str, (r.rows for r in tables.table_rows(df).collect()))) == sorted(["[{'col_1': '1'}]", "[{'A': '1'}]", "[]"])
+    assert sorted(map(str, (r.rows for r in tables.table_rows(df).collect()))) == sorted(["[{'col_0': '1'}]", "[{'A': '1'}]", "[]"])
 
 
 def element(i, kind, text="x", page=1, parent=None, path=("Ch",), description=None):
