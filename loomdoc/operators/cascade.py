@@ -76,14 +76,21 @@ def crop_rectangle(bbox: Column, page_height: Column, dpi: int = 200) -> Column:
     return F.when(bbox.isNotNull(), F.struct((bbox["l"] * zoom).alias("x0"), ((page_height - bbox["t"]) * zoom).alias("y0"), (bbox["r"] * zoom).alias("x1"), ((page_height - bbox["b"]) * zoom).alias("y1")))
 
 
-def run_tasks(tasks: DataFrame, elements: DataFrame, make_client: Callable[[], object], retries: int = 1) -> DataFrame:
+def run_tasks(tasks: DataFrame, elements: DataFrame, make_client: Callable[[], object], retries: int = 1, pages: DataFrame | None = None) -> DataFrame:
     """Execute tasks with a client made once for each Python worker batch stream.
 
+    A row has the task, the element's text and, where elements have a bbox and pages
+    (document_id, page_number, height) are given, its crop rectangle; no crop is the full page.
+
     The client has describe_figure(row), reparse_table(row) and ocr_page(row), each
     returning text. ConnectionError and TimeoutError are tried again up to `retries`
     times; other errors end the job. Unknown task types give no row.
     """
-    rows = tasks.join(elements.select("document_id", "element_id", "text"), ["document_id", "element_id"], "left")
+    boxed = pages is not None and "bbox" in elements.columns
+    rows = tasks.join(elements.select("document_id", "element_id", "text", *(["bbox"] if boxed else [])), ["document_id", "element_id"], "left")
+    if boxed:
+        rows = rows.join(pages.select("document_id", "page_number", F.col("height").alias("_height")), ["document_id", "page_number"], "left")
+        rows = rows.withColumn("crop", crop_rectangle(F.col("bbox"), F.col("_height"))).drop("bbox", "_height")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,17 +22,22 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 m
 
 
 def ingest(source: DataFrame, target: str, checkpoint: str, content: str = "content") -> StreamingQuery:
-    """Append documents whose content hash the target lacks, batch by batch; the trigger takes what is there and ends."""
+    """Add documents whose content hash the target lacks, batch by batch; the trigger takes what is there and ends.
 
-    def upsert(batch: DataFrame, _: int) -> None:
+    Each batch writes a folder of its own, batch=<number>, anew: a batch that is played
+    again after a failure replaces what it wrote, and is held against the other batches' hashes.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         hashed = batch.withColumn("source_hash", store.content_hash(F.col(content))).dropDuplicates(["source_hash"])
         try:
-            known = spark.read.parquet(target).select("source_hash")
-            hashed = hashed.join(known, "source_hash", "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
+            known = spark.read.option("basePath", target).parquet(target)
+        except AnalysisException as e:  # the first batch finds no table
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        hashed.write.mode("append").parquet(target)
+        else:
+            hashed = hashed.join(known.where(F.col("batch") != number).select("source_hash"), "source_hash", "left_anti")
+        hashed.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return source.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -348,3 +348,109 @@ def test_files(spark, tmp_path):
     assert {(r.filename, r.page_count, r.document_id, r.created) for r in files.upload_plan(f, known, facts).collect()} == {("a.pdf", 2, 8, True), ("b.pdf", 2, 8, True), ("c.pdf", 1, 7, False)}
     files.export_json(known, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first().id == 7
+
+
+def test_objects_are_put_read_and_deleted(spark, tmp_path):
+    from loomdoc.sources.objects import Objects
+
+    o = Objects(spark, f"file://{tmp_path}/store")
+    uri = o.put("documents/1/pages/2/page.png", b"\x00\x01pixels")
+    assert uri == f"file://{tmp_path}/store/documents/1/pages/2/page.png" and o.exists(uri) and o.get(uri) == b"\x00\x01pixels"
+    o.put("documents/1/pages/2/page.png", b"new")
+    assert o.get(uri) == b"new" and [(r.key, r.length) for r in o.listing("documents").collect()] == [("documents/1/pages/2/page.png", 3)]
+    wanted = spark.createDataFrame([(uri,), (o.uri("documents/9/none"),)], "uri string")
+    assert {r.uri: (r.found, r.content and bytes(r.content)) for r in o.contents(wanted).collect()} == {uri: (True, b"new"), o.uri("documents/9/none"): (False, None)}
+    o.delete(uri)
+    o.delete(uri)
+    assert not o.exists(uri)
+    for bad in ("../x", "", "/x"):
+        with pytest.raises(ValueError):
+            o.put(bad, b"")
+    with pytest.raises(ValueError):
+        o.get("file:///etc/hostname")
+
+
+def test_html_cells_by_their_events():
+    rows = tables.parse_html_table
+    assert rows('<table><tr><td colspan="2">T</td></tr><tr><th>a</th></tr></table>') == [{"col_0": "T", "col_1": "T"}, {"col_0": "a", "col_1": ""}]
+    assert rows('<tr><td colspan="²">x</td><td colspan=" 2 ">y</td><td colspan="0">z</td></tr>') == [{"col_0": "x", "col_1": "y", "col_2": "y", "col_3": "z"}]
+    assert rows("<table><tr></td><td>b</td></tr>") == [{"col_0": "", "col_1": "b"}] and rows("<table><tr><td>never closed") == [] and rows("<tr></tr>") == []
+    assert rows("<tr><td>lost<td>kept</td></tr>") == [{"col_0": "kept"}]
+
+
+def test_table_chunks_keep_their_text():
+    (c,) = chunking.fold([element(1, "table", " |a|\n|b| \n")])
+    assert c.text == " |a|\n|b| \n" and c.own_text == c.text
+    (c,) = chunking.fold([element(1, "figure", "", description=" seen ")])
+    assert c.text == " seen "
+
+
+def test_content_of_chunks(spark):
+    rows = [(1, 1, 1, "list", "one", 1, ["S"], None, None), (1, 2, 2, "list", None, 1, ["S"], None, None), (1, 3, 3, "table", "|a|b|\n|-|-|\n|1|2|\n|3|", 1, ["S"], None, None), (1, 4, 4, "paragraph", "p", 2, ["S"], None, None)]
+    e = spark.createDataFrame(rows, "document_id bigint, element_id bigint, seq bigint, element_type string, text string, page_number bigint, section_path array<string>, parent_id bigint, description string")
+    got = [r.content_structured for r in chunking.with_content(chunking.build(e)).orderBy("chunk_no").collect()]
+    assert [(x.step_number, x.step_text, x.element_id) for x in got[0].steps] == [(1, "one", 1), (2, "", 2)] and got[1].rows == [{"a": "1", "b": "2"}, {"a": "3"}] and got[2] is None
+
+
+def test_chunks_are_replaced_by_document(spark, tmp_path):
+    def rows(document, text):
+        e = spark.createDataFrame([(document, 1, 1, "paragraph", text, 1, ["S"], None, None)], "document_id bigint, element_id bigint, seq bigint, element_type string, text string, page_number bigint, section_path array<string>, parent_id bigint, description string")
+        return chunking.build(e)
+
+    path = str(tmp_path / "chunks")
+    for d in range(5):
+        chunking.store(rows(d, "old"), path)
+    chunking.store(rows(3, "new"), path)
+    assert sorted((r.document_id, r.content_text) for r in spark.read.parquet(path).collect()) == [(d, "new" if d == 3 else "old") for d in range(5)]
+
+
+def test_markdown_is_preferred(spark):
+    bodies = ['{"markdown": "", "text": "t"}', '{"markdown": "{x", "text": "t"}', '{"markdown": {"markdown_texts": "", "text": "m"}, "text": "t"}', '{"markdown": {}, "text": "t"}', '{"text": "t"}', "{}"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    assert [r.m for r in df.select("i", cascade.markdown_text(F.col("b")).alias("m")).orderBy("i").collect()] == ["", "{x", "m", "t", "t", ""]
+
+
+def test_nothing_required_is_visible(spark):
+    df = spark.createDataFrame([(None, ["a"]), ([], ["a"]), (["b"], ["a"])], "r array<string>, h array<string>")
+    assert [x.v for x in df.select(rbac.visible(F.col("r"), F.col("h"), F.lit("any")).alias("v")).collect()] == [True, True, False]
+
+
+def test_crops_reach_the_client(spark):
+    class Sees(Client):
+        def describe_figure(self, row):
+            return str(tuple(row["crop"].values()) if isinstance(row["crop"], dict) else row["crop"] and tuple(row["crop"]))
+
+    t = spark.createDataFrame([(1, 1, 1, "visual_description", ""), (1, 2, 1, "visual_description", "")], "document_id bigint, element_id bigint, page_number bigint, task_type string, reason string")
+    e = spark.createDataFrame([(1, 1, "a", (10.0, 90.0, 20.0, 80.0)), (1, 2, "b", None)], "document_id bigint, element_id bigint, text string, bbox struct<l:double,t:double,r:double,b:double>")
+    p = spark.createDataFrame([(1, 1, 100.0)], "document_id bigint, page_number bigint, height double")
+    got = {r.element_id: r.result for r in cascade.run_tasks(t, e, Sees, pages=p).collect()}
+    assert got[1].startswith("(27.7") and got[2] in ("None", "")
+
+
+def test_ids_run_on_over_many_documents(spark):
+    d = spark.createDataFrame([(d * 5000, i, None) for d in range(6) for i in range(1, d + 2)], "document_id bigint, local_id bigint, parent_local_id bigint")
+    assert [r.id for r in store.assign_ids(d).orderBy("document_id", "local_id").collect()] == list(range(1, 22))
+
+
+def test_guard_names_what_stands_against_it(spark):
+    u = spark.createDataFrame([(1, 1)], "id int, role_id int")
+    assert store.require_none(u.where("role_id = 2"), "users have a seed role") == 0
+    with pytest.raises(ValueError, match="1 users"):
+        store.require_none(u.where("role_id = 1"), "users have a seed role")
+
+
+def test_runs_of_a_job_stand_by_themselves(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    log = [("running", 0), ("failed", 5), ("running", 100), ("done", 101)]
+    df = spark.createDataFrame([(1, "parse", s, t0 + timedelta(seconds=k), i, "boom") for i, (s, k) in enumerate(log)], "document_id bigint, stage string, status string, ts timestamp, seq bigint, error_message string")
+    jobs = sessions.job_states(df)
+    assert [(r.run, r.status, r.duration_ms, r.error_message) for r in jobs.orderBy("run").collect()] == [(1, "failed", 5000, "boom"), (2, "done", 1000, None)]
+    assert [r.status for r in sessions.document_states(jobs).collect()] == ["ready"]
+
+
+def test_refused_tokens(spark):
+    e = spark.createDataFrame([(1, 1, "a", "b", False, True), (1, 2, "a", "c", True, False), (1, 3, "a", "d", False, False), (1, 4, "a", "e", False, False), (1, 5, "d", "f", False, False)], "family bigint, seq bigint, token string, new_token string, expired boolean, inactive boolean")
+    got = [(r.outcome, r.replaced_by, r.family_revoked) for r in sessions.rotate_tokens(e).orderBy("seq").collect()]
+    assert got == [("inactive", None, False), ("expired", None, False), ("rotated", "d", False), ("reuse", None, True), ("reuse", None, True)]
