@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,19 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="loomdoc-")
     return _own_dir
 
 
+def release(spark: SparkSession, settle: float = 0.0) -> None:
+    """Let go of the shuffle files of finished plans: they go with the driver's garbage, which a driver with room to spare collects long after.
+
+    settle: seconds until the listeners have seen the end of the last job, whose plan they hold till then.
+    """
+    time.sleep(settle)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    release(spark)
     df.write.parquet(path)
-    # the shuffle files behind the table go with the next collection of the driver's garbage; they need not wait for it
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._stashed_at = path
     return out
 
@@ -53,29 +70,81 @@ def discard(*stashed: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    """Tells rows of documents apart: equal only for rows with the same doc_id and text (64 bits)."""
-    return F.xxhash64(F.col(text).cast("string"), F.col(doc_id).cast("bigint"))
+def row_key(doc_id: str, text: str, *more: str) -> Column:
+    """Tells rows of documents apart: equal only for rows with the same doc_id, text and further columns (128 bits)."""
+    own = [F.col(c).cast("string") for c in more]
+    sized = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(doc_id).cast("bigint").cast("string"), *own)]
+    return F.unhex(F.md5(F.encode(F.concat(*sized, F.coalesce(F.concat(F.lit("="), F.col(text).cast("string")), F.lit("-"))), "UTF-8")))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as df's columns ask for."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+#: Bytes of text that are taken apart at a time.
+SLICE = 2 << 20
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of about so many bytes, at least one row each."""
+    at, total = 0, np.cumsum(sizes)
+    while at < sizes.size:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def tidy() -> None:
+    """Give back what this process has freed: workers outlive their tasks, and several stand beside each other on a machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
 
+def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of stretches of a column of texts."""
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), most):
+        yield a, column.slice(a, b - a)
+    tidy()
 
-class WordHashes(dict):
-    """64-bit hashes of words, equal in every process; a worker remembers so many distinct ones."""
 
-    REMEMBERED = 250_000
+def unpacked(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of stretches of a column of zstandard frames."""
+    opener, at, texts, size = zstandard.ZstdDecompressor(), 0, [], 0
+    for z in column:
+        texts.append(opener.decompress(z.as_py()) if z.is_valid else None)
+        size += len(texts[-1] or b"")
+        if size > most:
+            yield at, pa.array(texts, pa.string())
+            at, texts, size = at + len(texts), [], 0
+    if texts:
+        yield at, pa.array(texts, pa.string())
+    tidy()
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = h
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.REMEMBERED:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, .. of each of the stretches."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if ends.size else 0)
 
 
-#: One for each worker, whichever operator runs in it.
-word_hashes = WordHashes()
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words of each text, the 64-bit hashes of all words in order, equal in every process); lower: of A-Z lower-cased texts."""
+    t = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(t) if lower else t)
+    flat = lists.flatten()
+    filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    d = flat.dictionary_encode()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, d.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(d.dictionary))
+    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))[filled]
+    return np.bincount(owner, minlength=len(texts)), h[d.indices.to_numpy()[filled]]
 
 
 def map_rows(df: DataFrame, schema: pa.Schema, ddl: str, make: Callable[..., Iterator[tuple]]) -> DataFrame:
