@@ -2,22 +2,26 @@
 
 Every line of a text is good (1) or bad (0). Its features are the line's own, the
 neighbouring lines' and a bias; transitions tie neighbours. A labelled document's lines
-all carry its label in training. A document's score is the mean of its lines'
+all carry its label in training, as labels are of documents: lines of both kinds side by
+side are never seen there, only in scoring. A document's score is the mean of its lines'
 forward-backward marginals for "good", weighted by length.
 
 Training takes at most MAX_TRAIN labelled documents (chosen by a hash of doc_id) with
-crc32(doc_id as text) mod 3 other than 1, and at most MAX_LINES lines of each; scoring
+crc32(doc_id as text) mod 3 other than 1, and of each at most MAX_LINES lines one after
+the other, from a place in the whole text that a hash of it gives. Tasks turn them into
+features, so the driver gets MAX_TRAIN x MAX_LINES rows of WIDTH numbers at most; scoring
 takes all lines of all documents. Only the text is an input of a score.
 
 Nulls: a null or empty text, or one without a word, gets the training sample's share of
 good documents; a null doc_id is not held out and not trained on. Labels that are null
-are left out; of several labels of a doc_id the largest counts. Without any usable label
+are left out; of several labels of a doc_id the largest counts, of several texts the least. Without any usable label
 every score is 0.5. Repeated rows give a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,11 +123,17 @@ def gradient(x: np.ndarray, mask: np.ndarray, y: np.ndarray, w: np.ndarray, pair
     return float(((own - z) * per).mean()), dw, dp
 
 
-def train(texts: list[str], labels: list[int]) -> dict:
+def stretch(text: str) -> np.ndarray:
+    """The features of the lines to train on: MAX_LINES of the text at most, one after the other."""
+    x = line_features(text)[0]
+    at = zlib.crc32(text.encode()) % (len(x) - MAX_LINES + 1) if len(x) > MAX_LINES else 0
+    return x[at : at + MAX_LINES]
+
+
+def train(chains: list[np.ndarray], labels: list[int]) -> dict:
     """Weights, transitions and the share of good documents, by Adam on the padded chains; runs agree."""
     share = float(np.mean(labels)) if labels else 0.5
-    docs = [(line_features(t)[0][:MAX_LINES], y) for t, y in zip(texts, labels, strict=True)]
-    docs = [(x, y) for x, y in docs if len(x)]
+    docs = [(x, y) for x, y in zip(chains, labels, strict=True) if len(x)]
     if len({y for _, y in docs}) < 2:
         return {"w": np.zeros(WIDTH), "pair": np.zeros((2, 2)), "share": share, "prior": share}
     n = max(len(x) for x, _ in docs)
@@ -142,13 +152,12 @@ def train(texts: list[str], labels: list[int]) -> dict:
     return {"w": theta[:WIDTH], "pair": theta[WIDTH:].reshape(2, 2), "share": share, "prior": None}
 
 
-def score(text: str | None, model: dict) -> float:
-    if model["prior"] is not None:
-        return model["prior"]
+def score(text: str | None, model: dict) -> tuple[float, int]:
+    """The score of a text and the number of its lines with a word."""
     x, sizes = line_features(text)
-    if not sizes.size:
-        return model["share"]
-    return float((marginals(x @ model["w"], model["pair"]) * sizes).sum() / sizes.sum())
+    if model["prior"] is not None or not sizes.size:
+        return (model["share"] if model["prior"] is None else model["prior"]), sizes.size
+    return float((marginals(x @ model["w"], model["pair"]) * sizes).sum() / sizes.sum()), sizes.size
 
 
 def fold(doc_id: Column) -> Column:
@@ -159,20 +168,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Train on a bounded sample of the labelled rows of the two training folds."""
     own = labels.select(F.col(doc_id).cast("bigint").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(fold(F.col("id")) != 1)
     own = own.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(MAX_TRAIN)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.substring(text, 1, 50_000).alias("text")).where("text is not null").join(F.broadcast(own), "id")
-    rows = sorted((r.id, r.text, r.y) for r in rows.limit(2 * MAX_TRAIN).collect())
-    return train([t for _, t, _ in rows], [y for _, _, y in rows])
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(own), "id")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+
+    def make(ids: list, texts: list, ys: list) -> Iterator[tuple]:
+        for i, t, y in zip(ids, texts, ys, strict=True):
+            yield i, y, stretch(t).ravel()
+
+    found = map_rows(rows.select("id", "text", "y"), schema, "id bigint, y int, x array<double>", make).toArrow().sort_by("id")
+    return train([np.array(x.as_py()).reshape(-1, WIDTH) for x in found.column("x")], found.column("y").to_pylist())
 
 
 def score_documents(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, n_lines of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH + 6 numbers
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_lines", pa.int64())])
 
     def make(ids: list, texts: list) -> Iterator[tuple]:
         for i, t in zip(ids, texts, strict=True):
-            yield i, score(t, shared.value)
+            yield i, *score(t, shared.value)
 
-    rows = map_rows(docs.select(F.col(doc_id).cast("bigint"), F.col(text)), schema, "doc_id bigint, score double", make)
+    rows = map_rows(docs.select(F.col(doc_id).cast("bigint"), F.col(text)), schema, "doc_id bigint, score double, n_lines bigint", make)
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
-    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines")
