@@ -4,8 +4,8 @@ Each source has a weight schedule over training time 0..1. Its share of all word
 the schedule's integral, the excess over max_epochs times its size going to the other
 sources. Words are demanded over time as the schedule's running integral; a document's
 place in its source's queue is a number of words, and the inverse of the cumulative
-demand at that number is its position in training. Queues run in the order of a hash of
-doc_id, epoch after epoch; the last epoch ends where the target is met, so one document
+demand at that number is its position in training. Queues run in the order of an MD5 of
+the row, epoch after epoch; the last epoch ends where the target is met, so one document
 of each source may be taken in part.
 
 Queues are cut into buckets by that hash, so that no task holds a whole source: bucket
@@ -13,7 +13,7 @@ totals are summed before the shuffle, and a running sum within a bucket starts f
 them.
 
 Nulls: a null text has size 0 and is taken 0 times; a null source is one of its own, after the
-others. Repeated rows are documents each by itself (ties in the hash go by doc_id, then size). An
+others. Repeated rows are documents each by itself, one after the other. An
 empty table gives an empty result. A null doc_id is kept.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, stash
+from .common import row_key, stash, unused
 
 #: Weights of the sources in code-point order, repeating; and how often a document may be taken.
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
@@ -37,12 +37,9 @@ def n_words(text: Column) -> Column:
 
 
 def sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """doc_id, source, key, size, and the place in the queue: bucket and h."""
-    h = F.xxhash64(F.col(doc_id))
-    return docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        row_key(doc_id, text).alias("key"), n_words(F.col(text)).alias("size"), F.shiftright(h, 64 - BUCKET_BITS).cast("int").alias("bucket"), h.alias("h"),
-    )
+    """doc_id, source, size, key (of doc_id, source and text), whose order is the queue's, and its first bits: the bucket."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), row_key(doc_id, text, source).alias("key"), n_words(F.col(text)).alias("size"))
+    return rows.withColumn("bucket", F.shiftright(F.conv(F.substring(F.hex("key"), 1, 4), 16, 10).cast("int"), 16 - BUCKET_BITS))
 
 
 def targets(by_source: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -94,7 +91,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     before = buckets.select("source", "bucket", (F.sum("bucket_size").over(queue) - F.col("bucket_size")).alias("before"))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs=max_epochs)
     plan = before.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target", "slot")
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("at", F.sum("size").over(within) - F.col("size"))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("at", F.col("at") + F.col("before"))
     quota = F.round("target").cast("bigint")
@@ -102,7 +99,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     begun = F.transform(epochs, lambda e: e * F.col("source_size") + F.col("at"))
     taken = F.aggregate(begun, F.lit(0).cast("bigint"), lambda n, x: n + F.least(F.greatest(quota - x, F.lit(0).cast("bigint")), F.col("size")))
     times = F.transform(F.filter(begun, lambda x: (x < quota) & (F.col("size") > 0)), lambda x: position(x, F.col("target"), F.col("slot")))
-    out = rows.select("key", "doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.size(times).alias("n_copies"), times.alias("positions"))
+    out = rows.select("key", "doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.size(times).cast("bigint").alias("n_copies"), times.alias("positions"))
     out = out.withColumn("position", F.get("positions", F.lit(0)))
     return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
@@ -113,13 +110,13 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     The document at which a source meets its target is cut after the last word taken.
     """
     plan = mix(docs, doc_id, text, source, max_epochs).where("n_copies > 0")
+    key, nth, at, n, size = unused(docs, "row_key", "nth", "position", "n_words", "size")
     # equal rows share a key; each gets its own line of the plan by its number among them
-    same = Window.partitionBy("__key").orderBy(F.lit(0))
-    plan = plan.select(F.col("key").alias("__key"), "size", "taken", "positions").withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("positions")))
-    plan = plan.select("__key", "__nth", "size", "taken", F.posexplode("positions").alias("__epoch", "__position"))
-    plan = plan.select("__key", "__nth", "__position", F.least(F.col("taken") - F.col("__epoch") * F.col("size"), F.col("size")).cast("int").alias("__words"), F.col("size").alias("__size"))
-    rows = docs.withColumn("__key", row_key(doc_id, text)).withColumn("__nth", F.row_number().over(same)).join(plan, ["__key", "__nth"])
+    plan = plan.select(F.col("key").alias(key), F.col("size").alias(size), "taken", "positions").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy("positions")))
+    plan = plan.select(key, nth, size, "taken", F.posexplode("positions").alias("epoch", at))
+    plan = plan.select(key, nth, at, F.least(F.col("taken") - F.col("epoch") * F.col(size), F.col(size)).cast("int").alias(n), size)
+    rows = docs.withColumn(key, row_key(doc_id, text, source)).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).join(plan, [key, nth])
     words = F.regexp_extract_all(F.col(text), F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    cut = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(words, F.lit(1), F.col("__words")), "")).otherwise(F.col(text))
-    rows = rows.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "__position")
-    return rows.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
+    cut = F.when(F.col(n) < F.col(size), F.array_join(F.slice(words, F.lit(1), F.col(n)), "")).otherwise(F.col(text))
+    rows = rows.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], at)
+    return rows.repartitionByRange(at).sortWithinPartitions(at).drop(at)
