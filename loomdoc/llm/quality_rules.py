@@ -1,9 +1,12 @@
 """Quality rules with host verdicts.
 
 Every whole text gets counts and rule failures. Failures are summed by host, the
-hosts' failure rates are shrunk towards a beta prior fitted to all hosts by moments,
-and the host's verdict goes back to its documents: in a host whose shrunk rate is
-above max_host_rate the rules apply with half of their bounds.
+hosts' failure rates are shrunk towards a beta prior fitted to all hosts by moments, and
+a host is judged against that prior: it is bad if, by its posterior, its rate is all but
+surely (SURE standard deviations of the posterior) above the prior's mean by a standard
+deviation of the prior. The verdict goes back to the host's documents: in a bad host the
+soft rules apply with half of their bounds. One document says next to nothing about its
+host, and hosts that differ by no more than chance are all good.
 
 Nulls: a null text has no words (and fails the word count); a null host is a host of
 its own; a null doc_id is kept. Repeated rows are judged each by itself. An empty
@@ -19,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, gram_hashes, map_rows, row_key, stash
+from .common import WORD, gram_hashes, map_rows, row_key, stash, unused
 
-MIN_WORDS = 20
-MAX_REPEAT = 0.30
-MAX_SYMBOLS = 0.10
-MAX_DUP_LINES = 0.50
-MAX_UPPER = 0.60
-MAX_HOST_RATE = 0.50
+#: A document fails below so many words, or with more than so many percent of its words in repeated windows.
+MIN_WORDS, MAX_REPEAT = 20, 30
+#: The soft rules: most symbols a character of words, repeated lines a line, upper-case words a word.
+MAX_SYMBOLS, MAX_DUP_LINES, MAX_UPPER = 0.10, 0.50, 0.60
+#: Standard deviations of the posterior for a bad host (a one-sided 95 %), and the most documents that the prior stands for.
+SURE, MAX_STRENGTH = 1.645, 1e6
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words")
@@ -76,16 +79,16 @@ def repeated_words(words: list[str], window: int) -> int:
 
 
 def count_rows(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """One row of counts for each row of docs."""
+    """key (of doc_id, text and host), doc_id, host and the counts of each row of docs."""
     names = ("key", "doc_id", "host", *COUNTS)
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), *((c, pa.int64()) for c in COUNTS)])
+    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("host", pa.string()), *((c, pa.int64()) for c in COUNTS)])
 
     def make(keys: list, ids: list, hosts: list, texts: list) -> Iterator[tuple]:
         for key, i, host_, text_ in zip(keys, ids, hosts, texts, strict=True):
             yield (key, i, host_, *text_counts(text_))
 
-    kinds = ["bigint", "bigint", "string", *["bigint"] * len(COUNTS)]
-    return map_rows(docs.select(row_key(doc_id, text), F.col(doc_id).cast("bigint"), F.col(host).cast("string"), F.col(text)), schema, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), make)
+    kinds = ["binary", "bigint", "string", *["bigint"] * len(COUNTS)]
+    return map_rows(docs.select(row_key(doc_id, text, host), F.col(doc_id).cast("bigint"), F.col(host).cast("string"), F.col(text)), schema, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), make)
 
 
 def failures(strict: float = 1.0) -> Column:
@@ -98,40 +101,50 @@ def failures(strict: float = 1.0) -> Column:
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
-    """host, n_docs, n_failed, shrunk_rate: the mean of each host's posterior under the beta prior of all hosts."""
+    """host, n_docs, n_failed, shrunk_rate (the mean of the host's posterior under the beta prior of all hosts), host_bad."""
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum((base_failed() | (failures() > 0)).cast("bigint")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    # strength a + b by moments, held to 1..1000; equal or extreme rates leave the moments without an answer
-    spread = F.col("m") * (1 - F.col("m"))
-    prior = prior.select("m", F.when((F.col("v") > 0) & (spread > F.col("v")), F.least(F.greatest(spread / F.nullif("v", F.lit(0.0)) - 1, F.lit(1.0)), F.lit(1000.0))).otherwise(F.lit(1000.0)).alias("k"))
+    # hosts weigh as their documents; what chance alone adds to the spread of the rates is taken off
+    n, f = F.col("n_docs"), F.col("n_failed")
+    total = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("q"))
+    m = F.col("f") / F.col("n")
+    total = total.select("h", "n", m.alias("m"), (F.col("q") - F.col("n") * m * m).alias("spread"))
+    chance = F.col("m") * (1 - F.col("m"))
+    v = F.greatest((F.col("spread") - F.col("h") * chance) / F.col("n"), F.lit(0.0))
+    strength = F.when(v > 0, F.least(F.greatest(chance / F.nullif(v, F.lit(0.0)) - 1, F.lit(1.0)), F.lit(MAX_STRENGTH))).otherwise(MAX_STRENGTH)
+    prior = total.select("m", v.alias("v"), strength.alias("k"))
     # one row: the join is a scalar look-up
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("m") * F.col("k")) / (F.col("n_docs") + F.col("k"))).alias("shrunk_rate"))
+    out = hosts.crossJoin(F.broadcast(prior)).withColumn("shrunk_rate", (f + F.col("m") * F.col("k")) / (n + F.col("k")))
+    rate = F.col("shrunk_rate")
+    least = rate - SURE * F.sqrt(rate * (1 - rate) / (n + F.col("k") + 1))
+    return out.select("host", "n_docs", "n_failed", "shrunk_rate", (least > F.col("m") + F.sqrt("v")).alias("host_bad"))
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """key, doc_id, the counts, base_failed, n_rules_failed, host_rate, kept.
+def verdict() -> Column:
+    """How many soft rules fail, by the host's verdict."""
+    return F.when(F.col("host_bad"), failures(0.5)).otherwise(failures())
 
-    kept is false if base_failed, or if a soft rule fails; in a host above
-    max_host_rate the soft rules apply with half of their bounds.
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """key, doc_id, the counts, base_failed, n_rules_failed, host_rate, host_bad, kept.
+
+    kept is false if base_failed, or if a soft rule fails; in a bad host the soft rules
+    apply with half of their bounds.
     """
     rows = stash(count_rows(docs, doc_id, text, host), "quality-counts")
     hosts = host_rates(rows).withColumnRenamed("host", "rated_host")
     joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("rated_host")), "left")
-    bad = F.col("shrunk_rate") > max_host_rate
-    failed = F.when(bad, failures(0.5)).otherwise(failures())
     return joined.select(
-        "key", "doc_id", *COUNTS[:5], base_failed().alias("base_failed"),
-        failed.alias("n_rules_failed"), F.col("shrunk_rate").alias("host_rate"), bad.alias("host_bad"),
-        (~base_failed() & (failed == 0)).alias("kept"),
-    )
+        "key", "doc_id", *COUNTS[:5], base_failed().alias("base_failed"), verdict().cast("bigint").alias("n_rules_failed"),
+        F.round("shrunk_rate", 9).alias("host_rate"), "host_bad", (~base_failed() & (verdict() == 0)).alias("kept"),
+    )
 
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
-    kept = judge(docs, doc_id, text, host).where("kept").select(F.col("key").alias("__key"))
-    return docs.withColumn("__key", row_key(doc_id, text)).join(kept, "__key", "left_semi").drop("__key")
+    """The rows of docs that judge() keeps, with all their columns. A copy in a bad host is judged by that host, whatever becomes of its twins."""
+    (key,) = unused(docs, "row_key")
+    kept = judge(docs, doc_id, text, host).where("kept").select(F.col("key").alias(key))
+    return docs.withColumn(key, row_key(doc_id, text, host)).join(kept, key, "left_semi").drop(key)
