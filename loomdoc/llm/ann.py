@@ -1,7 +1,8 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 A vector is cut into two halves, each quantised by a codebook of its own; the pair of
-centroids is its cell, so K x K cells come from two books of K. A query sorts the
+centroids is its cell, so K x K cells come from two books of K, which grows with the square
+root of the number of vectors (CELL of them to a cell, MOST_CENTROIDS at most). A query sorts the
 centroids of each half by inner product and walks the pairs by their sum with a heap,
 until the cells that it has passed hold enough entries. Those entries are ranked by
 their inner product in double precision.
@@ -9,7 +10,12 @@ their inner product in double precision.
 The books and the share of entries to pass are fitted on at most SAMPLE vectors (chosen
 by a hash of vec_id): the least share with which the sample's own queries find AIM of
 their true neighbours. All vectors are indexed. Cells are packed into shards of about
-SHARD entries; larger cells are split over several shards by a hash of vec_id.
+SHARD entries; larger cells are split over several shards by a hash of vec_id. The probes
+of a shard are split too, PROBES to a task, and each task gets the shard's entries.
+
+Candidates are found by matrix products, whose last bits depend on a column's place; the
+scores of those that reach the k-th one but for EPSILON are computed again, component by
+component in one order, and ranked.
 
 Of equal vectors the k + 1 with the least vec_id are kept as entries: no more of them can
 be among k neighbours, as ties go to the smaller vec_id.
@@ -32,15 +38,16 @@ from pyspark.sql import functions as F
 
 from .common import stash, to_batch
 
-CENTROIDS, SAMPLE, QUERIES, ROUNDS, AIM = 32, 20_000, 200, 6, 0.94
-LEAST, SHARD = 1000, 8192
+SAMPLE, QUERIES, ROUNDS, AIM = 20_000, 200, 6, 0.94
+CELL, LEAST_CENTROIDS, MOST_CENTROIDS = 2, 4, 1024
+SHARD, PROBES, EPSILON = 8192, 2048, 1e-9
 
 
 def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """vec_id, v of the vectors that take part but for their length."""
     v = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.where(finite & F.exists("v", lambda x: x != 0)).distinct()
+    return v.where(finite & F.exists("v", lambda x: x != 0))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -91,10 +98,10 @@ def walk(q: np.ndarray, books: tuple, counts: np.ndarray, enough: float) -> list
     return out
 
 
-def fit(x: np.ndarray, k: int) -> tuple[tuple, float]:
+def fit(x: np.ndarray, k: int, centroids: int) -> tuple[tuple, float]:
     """The books, and the share of entries to pass, from sample vectors."""
     half = (x.shape[1] + 1) // 2
-    books = (book(x[:, :half], CENTROIDS), book(x[:, half:], CENTROIDS) if x.shape[1] > half else np.zeros((1, 0)))
+    books = (book(x[:, :half], centroids), book(x[:, half:], centroids) if x.shape[1] > half else np.zeros((1, 0)))
     at = cells(x, books)
     counts = np.bincount(at, minlength=len(books[0]) * len(books[1]))
     needed = []
@@ -113,16 +120,18 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
     v = valid(vectors, vec_id, embedding)
     none = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     # the sample: ids by hash from a scan of ids, then their vectors; at most SAMPLE rows reach the driver
-    sample = [r.v for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
+    sample = [r.v for r in v.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()]
     if not sample:
         return none
+    n = v.count()
     sizes = np.bincount([len(r) for r in sample])
     dim = int(sizes.argmax())
-    books, share = fit(np.array([r for r in sample if len(r) == dim]), k)
+    books, share = fit(np.array([r for r in sample if len(r) == dim]), k, int(np.clip(np.sqrt(n / CELL), LEAST_CENTROIDS, MOST_CENTROIDS)))
     v = v.where(F.size("v") == dim)
+    # one shuffle: rows lie by vector for both
     few = Window.partitionBy("v").orderBy("vec_id")
-    entries = v.withColumn("copy", F.row_number().over(few)).where(F.col("copy") <= k + 1).drop("copy")
-    shared = spark.sparkContext.broadcast(books)  # 2 x CENTROIDS half vectors
+    entries = v.withColumn("copy", F.dense_rank().over(few)).where(F.col("copy") <= k + 1).select("v", "vec_id").distinct().select("vec_id", "v")
+    shared = spark.sparkContext.broadcast(books)  # 2 x MOST_CENTROIDS half vectors
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,10 +139,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
 
     entries = stash(entries.mapInArrow(assign, "vec_id bigint, v array<double>, cell int"), "ann-entries")
     counts = np.zeros(len(books[0]) * len(books[1]), np.int64)
-    for r in entries.groupBy("cell").count().collect():  # CENTROIDS squared rows at most
+    for r in entries.groupBy("cell").count().collect():  # MOST_CENTROIDS squared rows at most
         counts[r.cell] = r["count"]
     total = int(counts.sum())
-    enough = max(LEAST, k + 1, share * total)
+    enough = max(k + 1, share * total)
     # shards: a large cell has several of its own, small neighbouring cells share one
     parts = np.maximum(1, -(-counts // SHARD))
     first, at, held = np.zeros(counts.size, np.int64), 0, 0
@@ -191,18 +200,23 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
                 if ok.size > k:
                     # all that tie with the k-th stay, so ties go by vec_id
                     edge = np.partition(s, ok.size - k)[ok.size - k]
-                    ok = ok[s >= edge]
-                best = ok[np.lexsort((ids[ok], -scores[r, ok]))][:k]
-                out_q += [q] * best.size
-                out_v.append(ids[best])
-                out_s.append(scores[r, best])
+                    ok = ok[s >= edge - EPSILON * max(1.0, np.abs(s).max())]
+                own = (x[ok] * qv[k0 + r]).sum(axis=1)
+                order = np.lexsort((ids[ok], -own))[:k]
+                out_q += [q] * order.size
+                out_v.append(ids[ok[order]])
+                out_s.append(own[order])
         if not out_q:
             return schema.empty_table()
         return pa.table([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], schema=schema)
 
-    queries = v.where(F.col("vec_id") % every == 0)
+    queries = v.where(F.col("vec_id") % every == 0).distinct()
     placed = entries.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("h")).mapInArrow(place, "shard int, vec_id bigint, v array<double>, cell int")
-    probes = queries.mapInArrow(probe, "shard int, query_id bigint, q array<double>, cells array<int>")
-    found = placed.groupBy("shard").cogroup(probes.groupBy("shard")).applyInArrow(rerank, "query_id bigint, vec_id bigint, score double")
+    probes = stash(queries.mapInArrow(probe, "shard int, query_id bigint, q array<double>, cells array<int>"), "ann-probes")
+    per = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBES).cast("int").alias("parts"))  # a row for each shard
+    probes = probes.join(per, "shard").select("shard", F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("part"), "query_id", "q", "cells")
+    copies = per.select(F.col("shard").alias("wanted"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("copy"))
+    placed = placed.join(copies, F.col("shard") == F.col("wanted")).select("shard", F.col("copy").alias("part"), "vec_id", "v", "cell")
+    found = placed.groupBy("shard", "part").cogroup(probes.groupBy("shard", "part")).applyInArrow(rerank, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
