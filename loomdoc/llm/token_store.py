@@ -2,6 +2,7 @@
 
 Format: a table of blocks in ascending doc_id order. A block row holds
   part, block       place of the block: range partition, then number within it
+  first_doc, last_doc  least and greatest doc_id of the block, so that a reader's filter skips blocks and row groups
   base              ids of the part's earlier blocks
   dictionary_hash   sha256 of the dictionary that its frames need
   width             bytes of an id (2 where the vocabulary allows, else 4; little-endian)
@@ -11,8 +12,9 @@ Format: a table of blocks in ascending doc_id order. A block row holds
 so that a short document is read by one frame, without the others. The table lies in
 any storage that Spark writes. A second table holds the dictionary.
 
-Texts are cut at white space, which the tokenizer drops and no token crosses; each
-distinct piece is encoded once while it stays in the worker's bounded memory.
+Texts are cut at white space, which the tokenizer drops and no token crosses, some
+megabytes of text at a time; each distinct pre-token of a piece is encoded once while it stays
+in the worker's bounded memory, and documents are put together from their ids as whole columns.
 
 Nulls: a null text is empty and gets the end id alone; null doc_ids come first. Rows
 with the same doc_id stand by text. An empty table gives an empty store.
@@ -21,7 +23,7 @@ with the same doc_id stand by text. An empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import struct
 import uuid
 import zlib
@@ -29,43 +31,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, shared_dir
+from .common import release, shared_dir, spread, text_slices
 
-#: Pieces and pre-tokens a worker remembers, and the longest piece it remembers.
-REMEMBERED, REMEMBERED_WORDS, LONGEST = 600_000, 800_000, 64
+#: Pre-tokens a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 400_000, 64
 #: The dictionary: documents and ids of each that it is trained on, its bytes, the level of compression.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 1000, 2048, 112_640, 3
 BLOCK_BYTES = 4 << 20
 
-CONTROL = re.compile("[\x1c-\x1f]")
 #: Letters that are single code points under NFC, then ASCII signs without the apostrophe.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"
 #: The public byte-to-letter rule of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on, in order.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = dict(zip(_PLAIN, _PLAIN, strict=True)) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 BLOCKS = T.StructType([
-    T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("base", T.LongType()),
+    T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first_doc", T.LongType()), T.StructField("last_doc", T.LongType()), T.StructField("base", T.LongType()),
     T.StructField("dictionary_hash", T.StringType()), T.StructField("width", T.IntegerType()),
     T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("offsets", T.ArrayType(T.IntegerType())),
     T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("payload", T.BinaryType()),
 ])
 BLOCKS_ARROW = pa.schema([
-    ("part", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("dictionary_hash", pa.string()), ("width", pa.int32()),
+    ("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("base", pa.int64()), ("dictionary_hash", pa.string()), ("width", pa.int32()),
     ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("payload", pa.binary()),
 ])
 
 
+def parts_simply(spec: dict) -> bool:
+    """Whether a tokenizer file, by its own definition, lower-cases and then takes runs of letters and runs of signs (outside contractions) as pre-tokens in byte letters."""
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    normal, pre = normal.get("normalizers", []), pre.get("pretokenizers", [])
+    if [x["type"] for x in normal] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in pre] != ["Split", "ByteLevel"]:
+        return False
+    blank, split, letters = normal[1], pre[0], pre[1]
+    kinds = [x for x in split["pattern"].get("Regex", "").split("|") if not x.startswith("'")]
+    return (
+        blank["pattern"] == {"Regex": r"\s+"} and blank["content"] == " "
+        and split["invert"] and split["behavior"] == "Removed" and kinds == [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
+        and not letters["add_prefix_space"] and not letters["use_regex"]
+        and spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout") and not spec["model"].get("continuing_subword_prefix")
+    )
+
+
 class Encoder:
     """Whole texts to packed ids; one for each worker and tokenizer file.
 
     White space parts a text into pieces. A piece of letters and then signs is two
-    pre-tokens, each remembered by its lower case; the rest goes to the tokenizer whole.
+    pre-tokens, which the model encodes; other pieces go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -81,14 +99,8 @@ class Encoder:
         self.is_end = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         if suffix:
             self.is_end[[i for w, i in self.tok.get_vocab().items() if w.endswith(suffix)]] = True
-        self.simple = bool(suffix) and self.agrees()
+        self.simple = bool(suffix) and parts_simply(json.loads(self.tok.to_str()))
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def agrees(self) -> bool:
-        """Whether a probe of the short way gives what the tokenizer gives; else it is not taken."""
-        probe = ["Ab", "ÀÖß", "été", "ÿ", "a", "the", "...", "?!", "***", "|"]
-        return self.model_ids([self.letters(w.lower()) for w in probe]) == [self.pack(self.ids(w)) for w in probe]
 
     @staticmethod
     def letters(word: str) -> str:
@@ -100,38 +112,50 @@ class Encoder:
     def pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, self.kind).tobytes()
 
-    def encode(self, text: str | None, end: int) -> bytes:
-        """The packed ids of the text and the end id."""
-        if not text:
-            return self.pack([end])
-        # the tokenizer's white space is str.split's but for four control characters
-        pieces = WORD.findall(text) if CONTROL.search(text) else text.split()
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            merged = self.merge({p for p, x in zip(pieces, found, strict=True) if x is None})
-            found = [x if x is not None else merged[p] for p, x in zip(pieces, found, strict=True)]
-            if len(self.known) + len(merged) > REMEMBERED:
-                self.known = {}
-            self.known.update((p, x) for p, x in merged.items() if len(p) <= LONGEST)
-        found.append(self.pack([end]))
-        return b"".join(found)
-
-    def merge(self, pieces: set[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        parts: dict[str, tuple[str, str]] = {}
-        for p in pieces:
-            m = SIMPLE(p) if self.simple else None
-            if m:
-                parts[p] = (m[1].lower(), m[2])
-            else:
-                out[p] = self.pack(self.ids(p))
-        new = list({w for pair in parts.values() for w in pair if w and w not in self.words})
-        if len(self.words) + len(new) > REMEMBERED_WORDS:
-            self.words = {}
-            new = list({w for pair in parts.values() for w in pair if w})
-        self.words.update(zip(new, self.model_ids([self.letters(w) for w in new]), strict=True))
-        out.update((p, self.words.get(a, b"") + self.words.get(b, b"")) for p, (a, b) in parts.items())
-        return out
+    def encode(self, texts: pa.Array, end: int) -> list[bytes]:
+        """The packed ids of each text and the end id."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat = lists.flatten().dictionary_encode()
+        length, ids = self.pieces(flat.dictionary)
+        # the end id stands as one more piece behind each text
+        length, ids = np.append(length, 1), np.append(ids, np.array([end], self.kind))
+        start = np.cumsum(length) - length
+        ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
+        codes = np.insert(flat.indices.to_numpy().astype(np.int64), ends, length.size - 1)
+        raw = ids[spread(start[codes], length[codes])].tobytes()
+        to = np.cumsum(np.concatenate([[0], length[codes]]))[ends + np.arange(1, ends.size + 1)] * self.width
+        return [raw[a:b] for a, b in zip([0, *to.tolist()], to.tolist())]
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of distinct pieces."""
+        parts = pc.extract_regex(pieces, SIMPLE) if self.simple else pa.nulls(len(pieces), pa.struct([("letters", pa.string()), ("signs", pa.string())]))
+        simple = parts.is_valid().to_numpy(zero_copy_only=False)
+        whole = pieces.filter(parts.is_null()).to_pylist()
+        own = pa.concat_arrays([pc.utf8_lower(pc.struct_field(parts, "letters")).drop_null(), pc.struct_field(parts, "signs").drop_null()]).dictionary_encode()
+        packed = [*self.pre_tokens(own.dictionary.to_pylist()), *(self.pack(self.ids(p)) for p in whole)]
+        length = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        start = np.cumsum(length) - length
+        # each piece is two entries: its letters and its signs, or itself and nothing
+        first, second = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        n = int(simple.sum())
+        first[simple], second[simple] = own.indices.to_numpy()[:n], own.indices.to_numpy()[n:]
+        first[~simple] = len(own.dictionary) + np.arange(len(whole))
+        second[~simple] = first[~simple]
+        entries = np.stack([first, second], 1)
+        lengths, starts = length[entries], start[entries]
+        lengths[~simple, 1] = 0
+        return lengths.sum(1), np.frombuffer(b"".join(packed), self.kind)[spread(starts.ravel(), lengths.ravel())]
+
+    def pre_tokens(self, words: list[str]) -> list[bytes]:
+        """The packed ids of distinct lower-case pre-tokens of letters or of signs."""
+        found = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, found, strict=True) if x is None and w]
+        merged = dict(zip(new, self.model_ids([self.letters(w) for w in new]), strict=True)) if new else {}
+        merged[""] = b""
+        if len(self.known) + len(merged) > REMEMBERED:
+            self.known = {}
+        self.known.update((w, x) for w, x in merged.items() if len(w) <= LONGEST)
+        return [merged[w] if x is None else x for w, x in zip(words, found, strict=True)]
 
     def model_ids(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -158,7 +182,7 @@ def train(docs: DataFrame, path: str, doc_id: str, text: str, end: int) -> bytes
     at = [r.i for r in chosen.collect() if r.i is not None]
     texts = docs.where(F.col(doc_id).isin(at)).select(F.substring(text, 1, 8 * SAMPLE_IDS)).limit(2 * SAMPLE_DOCS).collect() if at else []
     enc = encoder(path)
-    samples = sorted(enc.encode(r[0], end)[: enc.width * SAMPLE_IDS] for r in texts)
+    samples = sorted(x[: enc.width * SAMPLE_IDS] for x in enc.encode(pa.array([r[0] for r in texts], pa.string()), end))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -187,28 +211,32 @@ def write(docs: DataFrame, path: str, end: int = 1, doc_id: str = "doc_id", text
 
         def flush() -> pa.RecordBatch:
             offsets = np.cumsum([0, *map(len, frames)]).tolist()
-            row = [part, block, base, mark, enc.width, ids, offsets, counts, b"".join(frames)]
+            row = [part, block, next((i for i in ids if i is not None), None), ids[-1], base, mark, enc.width, ids, offsets, counts, b"".join(frames)]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCKS_ARROW, strict=True)], schema=BLOCKS_ARROW)
 
         for batch in batches:
-            for p, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if frames and (size >= BLOCK_BYTES or p != part):
-                    yield flush()
-                    block, base, ids, counts, frames, size = block + 1, base + total, [], [], [], 0
-                    total = 0
-                if p != part:
-                    part, block, base, total = p, 0, 0, 0
-                packed = enc.encode(t, end)
-                frames.append(press.compress(packed))
-                ids.append(i)
-                counts.append(len(packed) // enc.width)
-                total += counts[-1]
-                size += len(frames[-1])
+            for first, texts in text_slices(batch.column(2)):
+                some = (batch.column(c).slice(first, len(texts)).to_pylist() for c in (0, 1))
+                for p, i, packed in zip(*some, enc.encode(texts, end), strict=True):
+                    if frames and (size >= BLOCK_BYTES or p != part):
+                        yield flush()
+                        block, base, ids, counts, frames, size = block + 1, base + total, [], [], [], 0
+                        total = 0
+                    if p != part:
+                        part, block, base, total = p, 0, 0, 0
+                    frames.append(press.compress(packed))
+                    ids.append(i)
+                    counts.append(len(packed) // enc.width)
+                    total += counts[-1]
+                    size += len(frames[-1])
         if frames:
             yield flush()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, BLOCKS).write.parquet(f"{out}/blocks")
+    # the beginning of the text parts rows of one doc_id; row groups are small, so that few blocks share one
+    ordered = docs.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    blocks = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, BLOCKS)
+    blocks.write.option("parquet.block.size", BLOCK_BYTES).parquet(f"{out}/blocks")
+    release(spark, settle=2)
     return out
 
 
@@ -255,7 +283,7 @@ def fetch(spark: SparkSession, store: str, doc_id: int) -> list[list[int]]:
     opener = zstandard.ZstdDecompressor(dict_data=made)
     at = F.col("i")
     found = (
-        spark.read.schema(BLOCKS).parquet(f"{store}/blocks").where(F.array_contains("doc_ids", F.lit(doc_id).cast("bigint")))
+        spark.read.schema(BLOCKS).parquet(f"{store}/blocks").where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
         .select("*", F.posexplode("doc_ids").alias("i", "d")).where(F.col("d") == doc_id)
         .select("width", F.col("counts")[at].alias("n"), F.expr("substring(payload, offsets[i] + 1, offsets[i + 1] - offsets[i])").alias("frame"))
     )
