@@ -11,8 +11,8 @@ anchor form a segment. Anchors of one document only are left out; equal segments
 once, with their least document. For each remaining anchor the distinct segments, least
 document first, are streamed through a suffix automaton of those before (matching
 statistics; a match of WINDOW words or more ends a window that stands there) and then
-added to it. Anchors with more than MAX_SEGMENTS distinct segments are split further, by
-the windows themselves: the least document of each window's 128-bit hash.
+added to it. The segments of an anchor with more than MAX_SEGMENTS distinct ones are cut
+again in the same way, by the 2, 4, .. least runs of each window in place of the least one.
 
 Nulls: a null text has no words; a null doc_id stands after all others, and never before
 another null. Rows with the same doc_id are not earlier than one another. An empty table
@@ -23,14 +23,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, map_rows, row_key, stash, to_batch, word_hashes
+from .common import discard, gram_hashes, hashed_words, map_rows, release, row_key, stash, text_slices, to_batch, unused
 
 WINDOW, GRAM = 50, 20
 #: Distinct segments of an anchor that one automaton takes.
@@ -43,26 +43,27 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def segments(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of each segment: anchor hash, hash of all its words, first window, number of windows."""
-    n = len(words) - window + 1
+def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM, level: int = 1) -> tuple[np.ndarray, ...]:
+    """Of each segment: anchor, hash of all its words, first window, number of windows. h: the words' hashes; level: how many least runs make an anchor."""
+    n = h.size - window + 1
     if n < 1:
         return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
-    h = word_hashes.of(words)
-    grams = gram_hashes(h, gram)
-    at = np.empty(n, np.int64)
+    grams, whole = gram_hashes(h, gram), gram_hashes(h, window)
     views = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
+    anchor = np.empty(n, np.uint64)
     for k in range(0, n, 1 << 16):
-        at[k : k + (1 << 16)] = views[k : k + (1 << 16)].argmin(axis=1)
-    at += np.arange(n)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        if level == 1:
+            anchor[k : k + (1 << 16)] = views[k : k + (1 << 16)].min(axis=1)
+        else:
+            least = np.sort(views[k : k + (1 << 16)], axis=1)[:, :level]
+            anchor[k : k + (1 << 16)] = [gram_hashes(x, x.size)[0] for x in least]
+    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     count = np.diff(np.concatenate((first, [n])))
-    whole = gram_hashes(h, window)
     with np.errstate(over="ignore"):
-        # first and last window hold every word of the segment; the anchor's place and the number of windows fix how they overlap
+        # first and last window hold every word of the segment; the number of windows fixes how they overlap
         own = (whole[first] * np.uint64(0x9E3779B97F4A7C15)) ^ (whole[first + count - 1] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        own = (own ^ (own >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F) + (at[first] - first).astype(np.uint64)
-    return grams[at[first]], own, first, count
+        own = (own ^ (own >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
+    return anchor[first], own, first, count
 
 
 class Automaton:
@@ -134,41 +135,47 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def all_segments(docs: DataFrame) -> DataFrame:
     """key, doc and, as arrays, the segments of each document that has a window."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("anchor", "segment")), *((c, pa.list_(pa.int32())) for c in ("first", "count"))])
+    schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("anchor", "segment")), *((c, pa.list_(pa.int32())) for c in ("first", "count"))])
 
-    def make(keys: list, ids: list, texts: list) -> Iterator[tuple]:
-        for key, doc, text in zip(keys, ids, texts, strict=True):
-            a, g, first, count = segments(words_of(text))
-            if a.size:
-                yield key, doc, a.view(np.int64), g.view(np.int64), first, count
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in text_slices(batch.column(2)):
+                n, h = hashed_words(texts)
+                ends = np.cumsum(n)
+                some = (batch.column(c).slice(at, len(texts)).to_pylist() for c in (0, 1))
+                rows = []
+                for key, doc, a, b in zip(*some, (ends - n).tolist(), ends.tolist(), strict=True):
+                    if b - a >= WINDOW:
+                        anchor, own, first, count = segments(h[a:b])
+                        rows.append((key, doc, anchor.view(np.int64), own.view(np.int64), first, count))
+                if rows:
+                    yield to_batch(rows, schema)
 
-    return map_rows(docs.select("key", "doc", "text"), schema, "key bigint, doc bigint, anchor array<bigint>, segment array<bigint>, first array<int>, count array<int>", make)
+    return docs.select("key", "doc", "text").mapInArrow(run, "key binary, doc bigint, anchor array<bigint>, segment array<bigint>, first array<int>, count array<int>")
 
 
 def shared_segments(segs: DataFrame) -> DataFrame:
     """anchor, segment, key, doc, first, count: a row for each segment whose anchor stands in two documents."""
-    rows = segs.select("key", "doc", F.explode(F.arrays_zip("anchor", "segment", "first", "count")).alias("s")).select("s.*", "key", "doc")
     anchors = segs.select("doc", F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
+    # written: a join of two plain shuffles can be split where an anchor is frequent
+    anchors = stash(anchors, "substring-anchors")
+    rows = segs.select("key", "doc", F.explode(F.arrays_zip("anchor", "segment", "first", "count")).alias("s")).select("s.*", "key", "doc")
     return rows.join(anchors, "anchor")
 
 
 def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, segment, doc, words, hashes: the words of the wanted segments, or of hot ones the hashes of their windows."""
+    """anchor, segment, doc, words, hot: the words of the wanted segments, joined by spaces."""
     by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "segment", "doc", "first", "count", "hot")).alias("wanted"))
-    schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("doc", pa.int64()), ("words", pa.binary()), ("hashes", pa.list_(pa.binary()))])
+    schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("doc", pa.int64()), ("words", pa.binary()), ("hot", pa.bool_())])
 
     def make(texts: list, lists: list) -> Iterator[tuple]:
         for text, wanted_ in zip(texts, lists, strict=True):
             words = words_of(text)
             for x in wanted_:
-                own = words[x["first"] : x["first"] + x["count"] + WINDOW - 1]
-                if x["hot"]:
-                    yield x["anchor"], x["segment"], x["doc"], None, [hashlib.blake2b(b" ".join(own[i : i + WINDOW]), digest_size=16).digest() for i in range(x["count"])]
-                else:
-                    yield x["anchor"], x["segment"], x["doc"], b" ".join(own), None
+                yield x["anchor"], x["segment"], x["doc"], b" ".join(words[x["first"] : x["first"] + x["count"] + WINDOW - 1]), x["hot"]
 
     one = docs.select("key", "text").join(by_doc, "key").dropDuplicates(["key"]).select("text", "wanted")
-    return map_rows(one, schema, "anchor bigint, segment bigint, doc bigint, words binary, hashes array<binary>", make)
+    return map_rows(one, schema, "anchor bigint, segment bigint, doc bigint, words binary, hot boolean", make)
 
 
 def by_automata(cuts: DataFrame) -> DataFrame:
@@ -194,15 +201,49 @@ def by_automata(cuts: DataFrame) -> DataFrame:
             if rows:
                 yield to_batch(rows, schema)
 
-    ordered = cuts.where("words is not null").select("anchor", "segment", "doc", "words").repartition("anchor").sortWithinPartitions("anchor", "doc")
+    ordered = cuts.select("anchor", "segment", "doc", "words").repartition("anchor").sortWithinPartitions("anchor", "doc")
     return ordered.mapInArrow(run, "anchor bigint, segment bigint, starts array<int>")
 
 
-def by_windows(cuts: DataFrame) -> DataFrame:
-    """The same for anchors with very many segments, split by window."""
-    rows = cuts.where("hashes is not null").select("anchor", "segment", "doc", F.posexplode("hashes").alias("i", "h"))
-    least = rows.groupBy("h").agg(F.min("doc").alias("least"))
-    return rows.join(least, "h").where("least < doc").groupBy("anchor", "segment").agg(F.collect_list("i").alias("starts"))
+def cut_again(units: DataFrame, level: int) -> DataFrame:
+    """k, s, owner (anchor and segment of the unit), doc, off, count, words: the segments of units under a higher level."""
+    schema = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64()), ("doc", pa.int64()), ("off", pa.int32()), ("count", pa.int32()), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in text_slices(batch.column(3).cast(pa.string())):
+                n, h = hashed_words(texts)
+                ends = np.cumsum(n)
+                some = (batch.column(c).slice(at, len(texts)).to_pylist() for c in range(4))
+                rows = []
+                for anchor, segment, doc, words, a, b in zip(*some, (ends - n).tolist(), ends.tolist(), strict=True):
+                    own = words.split(b" ")
+                    for k, s, off, count in zip(*(x.tolist() for x in segments(h[a:b], level=level)), strict=True):
+                        rows.append((np.uint64(k).view(np.int64), np.uint64(s).view(np.int64), anchor, segment, doc, off, count, b" ".join(own[off : off + count + WINDOW - 1])))
+                if rows:
+                    yield to_batch(rows, schema)
+
+    return units.select("anchor", "segment", "doc", "words").mapInArrow(run, "k bigint, s bigint, anchor bigint, segment bigint, doc bigint, off int, count int, words binary")
+
+
+def earlier_windows(cuts: DataFrame, level: int = 1) -> DataFrame:
+    """anchor, segment, starts: the windows of distinct segments that stand in a segment of their anchor with a smaller doc. cuts: anchor, segment, doc, words, hot."""
+    found = by_automata(cuts.where("not hot"))
+    units = cuts.where("hot")
+    if units.isEmpty():
+        return found
+    rows = stash(cut_again(units, 2 * level), "substring-again")
+    one = rows.groupBy("k", "s").agg(F.min("doc").alias("doc"), F.max("doc").alias("hi"), F.min_by("words", "doc").alias("words"))
+    per = one.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("k", "n")
+    # at the last level all windows of an anchor are equal
+    hot = F.lit(2 * level < WINDOW - GRAM + 1) & (F.col("n") > MAX_SEGMENTS)
+    one = stash(one.join(per, "k").select(F.col("k").alias("anchor"), F.col("s").alias("segment"), "doc", "words", "hi", "n", hot.alias("hot")), "substring-units")
+    deeper = earlier_windows(one.where("n > 1"), 2 * level)
+    known = one.join(deeper, ["anchor", "segment"], "left").where("hi > doc or starts is not null").select(F.col("anchor").alias("k"), F.col("segment").alias("s"), F.col("doc").alias("least"), "starts")
+    every = F.sequence(F.lit(0), F.col("count") - 1)
+    hits = rows.join(known, ["k", "s"]).withColumn("own", F.when(F.col("doc") > F.col("least"), every).otherwise(F.col("starts"))).where("own is not null")
+    again = hits.groupBy("anchor", "segment").agg(F.flatten(F.collect_list(F.transform("own", lambda i: (F.col("off") + i).cast("int")))).alias("starts"))
+    return found.unionByName(stash(again, "substring-deeper"))
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -211,18 +252,22 @@ def covered(docs: DataFrame) -> DataFrame:
     shared = stash(shared_segments(segs), "substring-shared")
     discard(segs)
     own = F.struct("doc", "key", "first", "count")
-    distinct = shared.groupBy("anchor", "segment").agg(F.min(own).alias("r"), F.max("doc").alias("hi"))
+    distinct = stash(shared.groupBy("anchor", "segment").agg(F.min(own).alias("r"), F.max("doc").alias("hi")), "substring-distinct")
     per = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     wanted = distinct.join(per, "anchor").select("anchor", "segment", "r.doc", "r.key", "r.first", "r.count", (F.col("n") > MAX_SEGMENTS).alias("hot"))
     cuts = stash(cut(docs, wanted), "substring-cuts")
-    earlier = stash(by_automata(cuts).unionByName(by_windows(cuts)), "substring-earlier")
+    earlier = stash(earlier_windows(cuts), "substring-earlier")
     discard(cuts)
     # all windows of a segment that stands whole in an earlier document; else those that the shards found
     known = distinct.join(earlier, ["anchor", "segment"], "left").select("anchor", "segment", F.col("r.doc").alias("least"), "hi", "starts").where("hi > least or starts is not null")
+    known = stash(known, "substring-known")
     hits = shared.join(known, ["anchor", "segment"]).where("doc > least or starts is not null")
     whole = F.array(F.struct(F.col("first").alias("f"), F.col("count").alias("c")))
     some = F.transform("starts", lambda i: F.struct((F.col("first") + i).alias("f"), F.lit(1).alias("c")))
-    return hits.groupBy("key").agg(F.flatten(F.collect_list(F.when(F.col("doc") > F.col("least"), whole).otherwise(some))).alias("runs"))
+    runs = stash(hits.groupBy("key").agg(F.flatten(F.collect_set(F.when(F.col("doc") > F.col("least"), whole).otherwise(some))).alias("runs")), "substring-runs")
+    discard(shared, distinct, earlier, known)
+    release(docs.sparkSession)
+    return runs
 
 
 def removed(n: int, runs: list | None) -> np.ndarray:
@@ -234,11 +279,6 @@ def removed(n: int, runs: list | None) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def with_runs(docs: DataFrame) -> DataFrame:
-    runs = stash(covered(docs), "substring-runs")
-    return docs.join(runs, "key", "left")
-
-
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -254,7 +294,8 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 kept = [w for w, x in zip(words, mask.tolist(), strict=True) if not x]
             yield i, len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    rows = with_runs(keyed(docs, doc_id, text)).select("doc_id", "text", "runs")
+    plain = keyed(docs, doc_id, text)
+    rows = plain.join(covered(plain), "key", "left").select("doc_id", "text", "runs")
     return map_rows(rows, schema, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", make)
 
 
@@ -264,31 +305,29 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     A text that loses nothing stays as it is; else its kept words keep the white space
     before them. A document that loses all of its words goes.
     """
-    schema = pa.schema([("key", pa.int64()), ("kept_text", pa.string())])
     part = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+").findall
 
-    def make(keys: list, texts: list, runs: list) -> Iterator[tuple]:
-        for key, t, r in zip(keys, texts, runs, strict=True):
+    def make(texts: list, runs: list) -> Iterator[str]:
+        for t, r in zip(texts, runs, strict=True):
             parts = part(t)
             mask = removed(len(parts), r).tolist()
-            yield key, "".join(p for p, x in zip(parts, mask, strict=True) if not x).lstrip("\x20\t\n\x0b\x0c\r")
+            yield "".join(p for p, x in zip(parts, mask, strict=True) if not x).lstrip("\x20\t\n\x0b\x0c\r")
 
     plain = keyed(docs, doc_id, text)
-    runs = stash(covered(plain), "substring-runs")
-    named = docs.withColumn("__key", row_key(doc_id, text))
-    joined = named.join(runs.withColumnRenamed("key", "__key").withColumnRenamed("runs", "__runs"), "__key", "left")
-    kept = "__kept"
-    cut_text = _cut(make)
-    out = joined.withColumn(kept, F.when(F.col("__runs").isNull(), F.col(text)).otherwise(cut_text(F.col("__key"), F.coalesce(F.col(text), F.lit("")), F.coalesce("__runs", F.array().cast("array<struct<f:int,c:int>>")))))
-    gone = F.col("__runs").isNotNull() & (F.col(kept) == "")
+    key, runs, kept = unused(docs, "row_key", "runs", "kept")
+    found = covered(plain).select(F.col("key").alias(key), F.col("runs").alias(runs))
+    joined = docs.withColumn(key, row_key(doc_id, text)).join(found, key, "left")
+    none = F.array().cast("array<struct<f:int,c:int>>")
+    out = joined.withColumn(kept, F.when(F.col(runs).isNull(), F.col(text)).otherwise(_cut(make)(F.coalesce(F.col(text), F.lit("")), F.coalesce(runs, none))))
+    gone = F.col(runs).isNotNull() & (F.col(kept) == "")
     return out.where(~gone).select(*[F.col(kept).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
-def _cut(make):
+def _cut(make: Callable[[list, list], Iterator[str]]) -> Callable[..., Column]:
     """make as a column function over Arrow batches."""
 
     @F.arrow_udf("string")
-    def run(keys: pa.Array, texts: pa.Array, runs: pa.Array) -> pa.Array:
-        return pa.array([t for _, t in make(keys.to_pylist(), texts.to_pylist(), runs.to_pylist())], pa.string())
+    def run(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        return pa.array(make(texts.to_pylist(), runs.to_pylist()), pa.string())
 
     return run
