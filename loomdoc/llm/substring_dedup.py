@@ -43,25 +43,35 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def least_of_each(x: np.ndarray, k: int) -> np.ndarray:
+    """The least of each k neighbours, by doubling."""
+    size = 1
+    while 2 * size <= k:
+        x, size = np.minimum(x[:-size], x[size:]), 2 * size
+    return np.minimum(x[: x.size - k + size], x[k - size :])
+
+
 def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM, level: int = 1) -> tuple[np.ndarray, ...]:
     """Of each segment: anchor, hash of all its words, first window, number of windows. h: the words' hashes; level: how many least runs make an anchor."""
     n = h.size - window + 1
     if n < 1:
         return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
     grams, whole = gram_hashes(h, gram), gram_hashes(h, window)
-    views = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
-    anchor = np.empty(n, np.uint64)
-    for k in range(0, n, 1 << 16):
-        if level == 1:
-            anchor[k : k + (1 << 16)] = views[k : k + (1 << 16)].min(axis=1)
-        else:
+    if level == 1:
+        anchor = least_of_each(grams, window - gram + 1)
+    else:
+        views = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
+        anchor = np.empty(n, np.uint64)
+        for k in range(0, n, 1 << 16):
             least = np.sort(views[k : k + (1 << 16)], axis=1)[:, :level]
             anchor[k : k + (1 << 16)] = [gram_hashes(x, x.size)[0] for x in least]
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     count = np.diff(np.concatenate((first, [n])))
     with np.errstate(over="ignore"):
-        # first and last window hold every word of the segment; the number of windows fixes how they overlap
-        own = (whole[first] * np.uint64(0x9E3779B97F4A7C15)) ^ (whole[first + count - 1] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        # all windows, each with its place: where an anchor repeats, a segment can be longer than its first and last window
+        place = np.arange(n, dtype=np.uint64) - np.repeat(first, count).astype(np.uint64)
+        mixed = (whole ^ (whole >> np.uint64(31))) * (np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0xD6E8FEB86659FD92))
+        own = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), first) + count.astype(np.uint64)
         own = (own ^ (own >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
     return anchor[first], own, first, count
 
@@ -266,7 +276,7 @@ def covered(docs: DataFrame) -> DataFrame:
     some = F.transform("starts", lambda i: F.struct((F.col("first") + i).alias("f"), F.lit(1).alias("c")))
     runs = stash(hits.groupBy("key").agg(F.flatten(F.collect_set(F.when(F.col("doc") > F.col("least"), whole).otherwise(some))).alias("runs")), "substring-runs")
     discard(shared, distinct, earlier, known)
-    release(docs.sparkSession)
+    release(docs.sparkSession, settle=2)
     return runs
 
 
