@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def large_star(e: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     e = stash(links.where("a <> b").select("a", "b").distinct(), "components")
     last = mark(e)
     for _ in range(rounds):
-        e = stash(small_star(large_star(e)), "components")
+        before, e = e, stash(small_star(large_star(e)), "components")
+        discard(before)
         now = mark(e)
         if now == last:
             break

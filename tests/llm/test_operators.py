@@ -437,9 +437,129 @@ def test_quality_rules(docs, none):
     assert quality_rules.judge(none).count() == 0 and quality_rules.keep(docs).columns == docs.columns
 
 
-def test_host_rates_shrink(spark):
-    rows = [("big", 50, 0) for _ in range(50)] + [("bad", 5, 0) for _ in range(40)] + [("one", 5, 0)]
-    names = ("host", *quality_rules.COUNTS)
-    df = spark.createDataFrame([(h, n, 5 * n, s, 0, 0, 1, 0) for h, n, s in rows], ", ".join(f"{c} {'string' if c == 'host' else 'bigint'}" for c in names))
-    rates = {r.host: r.shrunk_rate for r in quality_rules.host_rates(df).collect()}
-    assert rates["big"] < rates["one"] <= rates["bad"]
+def test_bad_hosts_decide(spark):
+    # a host where every second document fails, and one document in it and one elsewhere that only half of the bounds reject
+    clean = prose(1, 60)
+    some = clean + " " + "# " * int(0.07 * len(clean))
+    rows = [(1000 * (h + 20) + i, clean, f"h{h}") for h in range(8) for i in range(100)]
+    rows += [(9000 + i, clean if i % 2 else "too short", "bad") for i in range(100)] + [(1, some, "bad"), (2, some, "h0"), (1, some, "h0"), (3, "two words", "one"), (4, None, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = {(r.doc_id, r.source): r.kept for r in quality_rules.judge(d).where("doc_id <> 1").join(d, "doc_id").collect()}
+    assert kept[2, "h0"] and not kept[9000, "bad"] and kept[9001, "bad"] and not kept[3, "one"]
+    out = {(r.doc_id, r.source) for r in quality_rules.keep(d).collect()}
+    # copies fare as their own hosts do
+    assert (1, "h0") in out and (2, "h0") in out and (1, "bad") not in out
+
+    def rates() -> dict:
+        n, f = collections.Counter(), collections.Counter()
+        for _, t, h in rows:
+            n[h] += 1
+            f[h] += len(WORD.findall(t or "")) < 20
+        total, m = sum(n.values()), sum(f.values()) / sum(n.values())
+        v = max(0.0, (sum(n[h] * (f[h] / n[h] - m) ** 2 for h in n) - len(n) * m * (1 - m)) / total)
+        k = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v else 1e6
+        out = {}
+        for h in n:
+            r = (f[h] + m * k) / (n[h] + k)
+            out[h] = (r, r - 1.645 * (r * (1 - r) / (n[h] + k + 1)) ** 0.5 > m + v**0.5)
+        return out
+
+    got = {r.host: (r.shrunk_rate, r.host_bad) for r in quality_rules.host_rates(quality_rules.count_rows(d, "doc_id", "text", "source")).collect()}
+    assert all(got[h][0] == pytest.approx(r) and got[h][1] == bad for h, (r, bad) in rates().items()) and got["bad"][1] and not got["one"][1] and not got["h0"][1]
+
+
+def test_hosts_that_differ_by_chance_are_good(spark):
+    rows = [(100 * h + i, prose(1, 60) if (i + h) % 7 else "short", f"h{h}") for h in range(5) for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert not any(r.host_bad for r in quality_rules.judge(d).collect())
+
+
+def test_crf_scores_by_enumeration(spark):
+    rng = np.random.default_rng(4)
+    model = {"w": rng.normal(size=line_crf.WIDTH), "pair": rng.normal(size=(2, 2)), "share": 0.3, "prior": None}
+    rows = [(i, "\n".join(prose(10 * i + k, 3 + k) for k in range(i % 7)) + ("\n\n" if i % 2 else "")) for i in range(20)] + [(20, None), (21, " \n ")]
+    got = by_id(line_crf.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), model))
+    for i, t in rows:
+        x, sizes = line_crf.line_features(t)
+        want, z = (np.zeros(len(sizes)), 0.0) if len(sizes) else (np.array([0.3]), 1.0)
+        for y in itertools.product((0, 1), repeat=len(sizes)) if len(sizes) else ():
+            p = np.exp(sum((x @ model["w"])[k] for k in range(len(y)) if y[k]) + sum(model["pair"][a, b] for a, b in itertools.pairwise(y)))
+            z += p
+            want = want + p * np.array(y)
+        weights = sizes if len(sizes) else np.ones(1)
+        assert got[i][0].score == pytest.approx(float((want / z * weights).sum() / weights.sum())) and got[i][0].n_lines == len(sizes)
+
+
+def test_crf_trains_on_a_stretch_of_the_whole_text():
+    text = "\n".join(f"line {i} of the text" for i in range(200))
+    x, whole = line_crf.stretch(text), line_crf.line_features(text)[0]
+    at = zlib.crc32(text.encode()) % (200 - line_crf.MAX_LINES + 1)
+    assert len(x) == line_crf.MAX_LINES and (x == whole[at : at + line_crf.MAX_LINES]).all() and at > 0
+
+
+def test_licence_labels_by_brute_force(spark):
+    r = random.Random(3)
+    notices = [t.split() for _, t, _ in licenses.TEMPLATES]
+    rows = []
+    for i in range(120):
+        own = list(r.choice(notices))
+        for _ in range(r.choice((0, 0, 1, 2, 5))):
+            own[r.randrange(len(own))] = r.choice(("the", "license", "other", "word"))
+        own = own[r.choice((0, 0, 3)) :]
+        rows.append((i, " ".join([*prose(i, r.randrange(30)).split(), *own, *prose(i + 500, 10).split(), *(r.choice(notices) if i % 3 == 0 else [])])))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    idf = licenses.licence_idf(d, "text")
+    got = {x.doc_id: x for x in licenses.scan(d).collect()}
+    found = 0
+    for i, t in rows:
+        w = licenses.words_of(t)
+        labels = {label for p, label in licenses.BASE.items() if licenses.stands(licenses.split(p), w)}
+        score = 1.0 if labels else 0.0
+        for label, template, keys in licenses.TEMPLATES:
+            words = licenses.split(template)
+            anchors = sorted(set(words), key=lambda x: (-idf[x], x))[: licenses.ANCHORS]
+            for start in range(-len(words) + 1, len(w)):
+                place = {k: w[start + k] for k in range(len(words)) if 0 <= start + k < len(w)}
+                right = [k for k, x in place.items() if words[k] == x]
+                share = sum(idf[words[k]] for k in right) / sum(idf[x] for x in words)
+                there = [place[k] for k in sorted(place)]
+                if len({words[k] for k in right} & set(anchors)) >= min(licenses.AGREE, len(set(words))) and share >= licenses.COVERAGE and all(licenses.stands(licenses.split(x), there) for x in keys):
+                    labels.add(label)
+                    score = max(score, share)
+        assert got[i].labels == ",".join(sorted(labels)) and got[i].score == pytest.approx(min(score, 1.0)), i
+        found += bool(labels)
+    assert found > 60
+
+
+def test_columns_of_callers_are_left_alone(spark):
+    names = ("row_key", "nth", "position", "n_words", "size", "runs", "kept", "rated_host", "file", "key", "taken", "epoch")
+    rows = [(i, t, s, *range(len(names))) for i, t, s in texts()]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for f in (quality_rules.keep, ngram_join.first_of_each, substring_dedup.remove, mixing.mixed_documents):
+        out = f(d)
+        assert out.columns == d.columns, f
+        got = out.collect()
+        assert got and all(r[n] == k for r in got for k, n in enumerate(names)), f
+
+
+def test_required_tokens_hold_for_similar_sets():
+    r = np.random.default_rng(0)
+    none, tight = np.empty(0, np.uint64), 0
+    for _ in range(500):
+        a = np.unique(r.integers(0, 1 << 62, int(r.integers(1, 60))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.permutation(a.size)[: max(0, a.size - int(r.integers(0, 8)))]], r.integers(0, 1 << 62, int(r.integers(0, 8))).astype(np.uint64)]))
+        if b.size and ngram_join.similar(a, b):
+            x, y = (ngram_join.read_others(ngram_join.others(s, none)) for s in (a, b))
+            assert ngram_join.may_be_similar(x, y, a.size, b.size)
+            tight += ngram_join.common(x[0], y[0]) == ngram_join.required(a.size, b.size)
+    assert tight
+
+
+def test_lattice_of_long_and_odd_texts(docs, spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    odd = ["a  b   c    d", "  two before", "x \n\n  y \n", " ", "\n", "\x01 a\x02b  c", "日本語" * 300, "x" * 1200, "aB3/" * 200, "tab\there", "end  ", "▁▁a ▁b", "emoji 😀😀 \u200d"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in sentencepiece_lattice.digest(d, PIECES).collect()}
+    assert all(list(got[i].ids) == sp.encode(t) and got[i].exact for i, t in enumerate(odd))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 
 import corpus_pipeline
+import public_tokenizers
+import sentencepiece
 from tests.llm.test_operators import SCHEMA, WORD, brute_components, texts, windows_gone
 
 
@@ -16,6 +18,7 @@ def test_pipeline(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5 and SCHEMA
     for name, stage in corpus_pipeline.STAGES:
         before = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+        docs = docs if docs.inputFiles() else spark.read.parquet(str(tmp_path / "documents.parquet"))  # a stage reads what its predecessor wrote
         out = stage(spark, docs, str(tmp_path))
         out.write.parquet(str(tmp_path / name.replace(" ", "_")))
         out = spark.read.parquet(str(tmp_path / name.replace(" ", "_")))
@@ -33,6 +36,14 @@ def test_pipeline(spark, tmp_path):
             assert all(kept.get(i, 0) == gone[i, t]["n_words"] - gone[i, t]["n_removed"] for i, t, _ in before)
         if stage is corpus_pipeline.mix_sources:
             assert max(collections.Counter(i for i, _ in after).values()) <= 3
+            # the order of the files and of the rows in them is that of training: a source's schedule rises or falls
+            mixed = [r.source for r in out.select("source", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+        if stage is corpus_pipeline.encode:
+            sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+            rows = out.orderBy("position").collect()
+            assert collections.Counter((r.doc_id, tuple(r.ids)) for r in rows) == collections.Counter((i, tuple(sp.encode(t))) for i, t, _ in before)
+            source = {i: s for i, _, s in before}
+            assert [r.position for r in rows] == list(range(len(rows))) and [source[r.doc_id] for r in rows] == mixed
         docs = out
     assert docs.where("exact").count() == docs.count() > 0 and stages
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
