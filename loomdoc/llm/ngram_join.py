@@ -1,22 +1,23 @@
-"""N-gram Jaccard self-join under several global token orders, and the classes it links.
+"""N-gram Jaccard self-join under several global token orders, the classes it links and the links themselves.
 
 A document's set is its distinct 5-word shingles as 64-bit hashes. Two sets of
 similarity t or more share a token among the first n - ceil(t n) + 1 of each, under any
 one order of all tokens; so they do under every order. Order 1 finds the candidates (by
-the shuffle); candidates that do not meet under orders 2 and 3 as well go before texts
-are fetched and sets compared in full.
+the shuffle, in buckets of one token); candidates must meet under orders 2 and 3 as well,
+in as many tokens as their sizes ask for (required()), before sets are compared in full.
 
 All orders put frequent tokens last. Which those are is counted over all documents with
 lossy counting: each task reports what it saw at least LOCAL_MIN times, and the HOT most
 frequent become a bounded broadcast. The list decides only how fast the join is: any
 order gives the same links.
 
-Every pair of different texts that is similar is a link, and no link is left out. Exact
-copies collapse into one node. Nodes are told apart by clump: the most populous bucket that
-they stand in. Pairs of two clumps are listed and verified one by one; the pairs of one clump,
-which can be a large group of near copies, never become rows: a clump is cut into blocks of
-bounded size, and each two blocks are compared in one task, which gives the number of links
-of each node and as few rows as connect what it linked.
+Nodes are distinct texts. Pairs never become rows by the square of a bucket. What meets under
+all orders is first gathered into families: each bucket has a leader, to which those are held
+whose most populous bucket it is, again while buckets of more than BLOCK_NODES nodes reach into several families; the
+rest of such buckets is held against one another in blocks of bounded size, each of which
+gives as few pairs as connect what meets. All links lie inside a family. A family's sets are
+then compared in full, in blocks too, each two blocks in one task, which gives the number of
+links of each node and as few pairs as connect what is linked.
 
 Nulls: a null text is an empty set, linked with nothing; rows with the same doc_id are
 documents each by itself; a null doc_id stands after all others. An empty table gives an
@@ -25,35 +26,47 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, gram_hashes, map_rows, row_key, stash, to_batch, word_hashes
+from .common import discard, gram_hashes, hashed_words, release, row_key, stash, text_slices, to_batch, unpacked, unused
 from .components import components
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
 #: Frequent tokens that the orders put last, and how often a task must see one to report it.
-HOT, LOCAL_MIN, HOT_MIN = 200_000, 3, 12
-#: Nodes and shingles of a block, about.
-BLOCK_NODES, BLOCK_SHINGLES = 512, 200_000
+HOT, LOCAL_MIN, HOT_MIN = 400_000, 2, 12
+#: Nodes and shingles of a block, about; members that one task compares to a leader.
+BLOCK_NODES, BLOCK_SHINGLES, MEMBERS = 1000, 400_000, 1000
+#: Leaders of a bucket, one after the other.
+ROUNDS = 3
 #: Tokens in more nodes of two blocks than this are counted by products of matrices, of so many columns at a time.
-SHARED, COLUMNS = 8, 1024
+SHARED, COLUMNS = 32, 1024
 #: A task counts so many tokens at a time.
 COUNTED = 3_000_000
 
 
-def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """The distinct shingles of a whole text, sorted."""
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes.of(words)
-    return np.unique(gram_hashes(h, k)) if len(words) >= k else gram_hashes(h, len(words)) ^ np.uint64(len(words))
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingles of each whole text, sorted."""
+    counts, h = hashed_words(texts, lower=True)
+    grams = gram_hashes(h, k)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= k:
+            s = np.sort(grams[at : at + n - k + 1])
+            keep = np.ones(s.size, bool)
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            out.append(s[keep])
+        else:
+            out.append(gram_hashes(h[at : at + n], n) ^ np.uint64(n) if n else np.empty(0, np.uint64))
+        at += n
+    return out
 
 
 def ranks(s: np.ndarray, order: int, hot: np.ndarray) -> np.ndarray:
@@ -69,110 +82,286 @@ def ranks(s: np.ndarray, order: int, hot: np.ndarray) -> np.ndarray:
 
 def prefix(s: np.ndarray, order: int, hot: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """The prefix of a set under an order: its frequent and its other tokens."""
-    p = s.size - (percent * s.size + 99) // 100 + 1
+    p = prefix_size(s.size, percent)
     r = ranks(s, order, hot)
     first = np.argpartition(r, p - 1)[:p] if p < s.size else np.arange(s.size)
     frequent = (r[first] >> np.uint64(63)).astype(bool)
     return s[first[frequent]], s[first[~frequent]]
 
 
+def prefix_size(n: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
+    return n - (percent * n + 99) // 100 + 1
+
+
+def required(a: int | np.ndarray, b: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
+    """How many tokens the prefixes of similar sets of sizes a and b share under any order, at least.
+
+    Similar sets share s = ceil(percent (a + b) / (100 + percent)) tokens. Of these, those up to
+    the end of the prefix that ends first are in both, and what a set has behind its prefix is
+    its size less its prefix's.
+    """
+    shared = -(-percent * (a + b) // (100 + percent))
+    return shared - np.maximum(a - prefix_size(a, percent), b - prefix_size(b, percent))
+
+
+def others(s: np.ndarray, hot: np.ndarray) -> bytes:
+    """The prefixes of a set under all orders but the first, as 32-bit tokens."""
+    return b"".join((np.concatenate(prefix(s, o, hot)) >> np.uint64(32)).astype(np.uint32).tobytes() for o in range(1, ORDERS))
+
+
+def read_others(packed: bytes) -> list[np.ndarray]:
+    """The distinct tokens of others(), by order."""
+    return [np.unique(x) for x in np.frombuffer(packed, np.uint32).reshape(ORDERS - 1, -1)]
+
+
+def may_be_similar(a: list[np.ndarray], b: list[np.ndarray], n: int, m: int) -> bool:
+    """Whether nodes of sizes n and m meet under the other orders as similar ones must."""
+    # tokens that fell together when they were cut to 32 bits count as if they were shared
+    spare, need = prefix_size(n) + prefix_size(m), required(n, m)
+    return all(common(x, y) + spare - x.size - y.size >= need for x, y in zip(a, b, strict=True))
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    if not a.size or not b.size:
+        return 0
+    if a.size > b.size:
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, b.size - 1)] == a).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """100 |a and b| >= percent |a or b|."""
-    both = np.intersect1d(a, b, assume_unique=True).size
+    both = common(a, b)
     return 100 * both >= percent * (a.size + b.size - both) and both > 0
 
 
+def fits(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.coalesce((100 * a >= PERCENT * b) & (100 * b >= PERCENT * a), F.lit(False))
+
+
+@dataclass
+class Classes:
+    """nodes: id, same, key, class_id, n of each distinct text; labels: id, root, n_links of those with a link; rows: doc_id, same, key of each document."""
+
+    nodes: DataFrame
+    labels: DataFrame
+    rows: DataFrame
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """key, doc_id, same, text: key tells rows apart, same is equal for equal texts."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return docs.select(row_key("doc_id", "text").alias("key"), "doc_id", F.md5(F.encode("text", "UTF-8")).alias("same"), "text")
+    return docs.select(row_key("doc_id", "text").alias("key"), "doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("same"), "text")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """key, doc_id, same, n of every document; and rows with tokens only: what tasks counted often."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("same", pa.string()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("seen", pa.list_(pa.int64()))])
+    """id, same, key, class_id, n, z (the text as a zstandard frame) of the least document of each text; and rows with tokens only: what tasks counted often."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = docs.where("text is not null").groupBy("same").agg(F.min(order).alias("first")).select("same", F.col("first.key").alias("key"), F.col("first.doc_id").alias("class_id"))
+    one = docs.select("same", "key", "text").join(first, ["same", "key"]).dropDuplicates(["same", "key"])
+    schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("key", pa.binary()), ("class_id", pa.int64()), ("n", pa.int64()), ("z", pa.binary()), ("tokens", pa.list_(pa.int64())), ("seen", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
+        z = zstandard.ZstdCompressor(level=1)
 
-        def often() -> tuple:
+        def often() -> pa.RecordBatch:
             t, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
             sets.clear()
-            return None, None, None, None, t[n >= LOCAL_MIN].view(np.int64), n[n >= LOCAL_MIN]
+            return to_batch([(None,) * 6 + (t[n >= LOCAL_MIN].view(np.int64), n[n >= LOCAL_MIN])], schema)
 
         held = 0
         for batch in batches:
-            rows = []
-            for key, doc_id, same, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingles(text)
-                rows.append((key, doc_id, same, s.size, None, None))
-                sets.append(s)
-                held += s.size
+            for at, texts in text_slices(batch.column(4)):
+                own = shingle_sets(texts)
+                sizes = np.array([s.size for s in own], np.int64)
+                frames = pa.array([z.compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+                nothing = pa.nulls(len(texts), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(4)), pa.array(sizes), frames, nothing, nothing], schema=schema)
+                sets += own
+                held += int(sizes.sum())
                 if held > COUNTED:
-                    rows.append(often())
+                    yield often()
                     held = 0
-            yield to_batch(rows, schema)
-        yield to_batch([often()], schema)
+        yield often()
 
-    return docs.select("key", "doc_id", "same", "text").mapInArrow(run, "key bigint, doc_id bigint, same string, n bigint, tokens array<bigint>, seen array<bigint>")
+    return one.select(F.monotonically_increasing_id().alias("id"), "same", "key", "class_id", "text").mapInArrow(run, "id bigint, same binary, key binary, class_id bigint, n bigint, z binary, tokens array<bigint>, seen array<bigint>")
 
 
 def hot_tokens(scanned: DataFrame) -> np.ndarray:
-    """The HOT most frequent tokens, sorted: the driver gets no more than HOT numbers."""
+    """The most frequent tokens, sorted: the driver gets no more than HOT numbers. How many have which frequency, in bands, is read first."""
     counted = scanned.where(F.col("tokens").isNotNull()).select(F.explode(F.arrays_zip("tokens", "seen")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.seen").alias("n"))
-    rows = counted.where(F.col("n") >= HOT_MIN).orderBy(F.desc("n"), "token").limit(HOT).select("token").toArrow()
+    counted = stash(counted.where(F.col("n") >= HOT_MIN), "ngram-counts")
+    band = F.floor(F.log2("n") * 16)
+    total, lowest = 0, None
+    for r in sorted(counted.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r.band):
+        total += r.c
+        if total > HOT:
+            break
+        lowest = r.band
+    rows = counted.where(F.lit(lowest is not None) & (band >= F.lit(lowest or 0))).select("token").toArrow()
+    discard(counted)
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def prefixes(docs: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """key, n, cold, hot, others: each node's prefix under the first order, and under the others, as 32-bit tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("cold", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64())), ("others", pa.list_(pa.list_(pa.int32())))])
+def prefixes(nodes: DataFrame, hot: Broadcast) -> DataFrame:
+    """Of each node a row for each token of its prefix under the first order: token, id, frequent; and one with its prefixes under the others: id, others."""
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("frequent", pa.bool_()), ("others", pa.binary())])
 
-    def make(keys: list, texts: list) -> Iterator[tuple]:
-        for key, text in zip(keys, texts, strict=True):
-            s = shingles(text)
-            if s.size:
-                frequent, other = prefix(s, 0, shared.value)
-                rest = [(np.concatenate(prefix(s, o, shared.value)) >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in range(1, ORDERS)]
-                yield key, s.size, other.view(np.int64), frequent.view(np.int64), rest
-
-    rows = map_rows(docs.select("key", "text"), schema, "key bigint, n bigint, cold array<bigint>, hot array<bigint>, others array<array<int>>", make)
-    return rows.join(nodes.select("key"), "key", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in unpacked(batch.column(1)):
+                ids = batch.column(0).slice(at, len(texts))
+                tokens, owners, frequent, rest = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)], []
+                for i, s in zip(ids.to_numpy(), shingle_sets(texts), strict=True):
+                    parts = prefix(s, 0, hot.value)
+                    tokens += parts
+                    owners.append(np.full(sum(x.size for x in parts), i))
+                    frequent += [np.full(x.size, k == 0) for k, x in enumerate(parts)]
+                    rest.append(others(s, hot.value))
+                n = sum(map(len, owners))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(frequent)), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), ids, pa.nulls(len(ids), pa.bool_()), pa.array(rest, pa.binary())], schema=schema)
+
+    return nodes.where("n > 0").select("id", "z").mapInArrow(run, "token bigint, id bigint, frequent boolean, others binary")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """token, key, n: which nodes have which token in their prefix under the first order; tokens of one node only are left out."""
+    """token, id: which nodes have which token in their prefix under the first order; other than frequent tokens of one node only are left out."""
     per = Window.partitionBy("token")
-    cold = rows.select(F.explode("cold").alias("token"), "key", "n").withColumn("c", F.count(F.lit(1)).over(per)).where("c > 1")
+    shared = rows.where("not frequent").select("token", "id").withColumn("c", F.count(F.lit(1)).over(per)).where("c > 1").select("token", "id")
     # a frequent token's bucket is not gathered in one task
-    return cold.select("token", "key", "n").unionByName(rows.select(F.explode("hot").alias("token"), "key", "n"))
+    return shared.unionByName(rows.where("frequent").select("token", "id"))
+
 
+def kinds(b: DataFrame, nodes: DataFrame) -> DataFrame:
+    """token, id, n: buckets of two nodes or more; of those with the same nodes one, told by the number and two checksums of their nodes. Nodes without another of a fitting size go."""
+    code = F.xxhash64("id")
+    per = b.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 20)).alias("s")).where("c > 1")
+    one = per.groupBy("c", "x", "s").agg(F.min("token").alias("token")).select("token")
+    rows = b.join(one, "token").join(nodes.select("id", "n"), "id").select("token", "id", "n")
+    by_size = Window.partitionBy("token").orderBy("n")
+    near = rows.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    return near.where(fits(F.col("n"), F.col("less")) | fits(F.col("n"), F.col("more"))).select("token", "id", "n")
 
-def clumps(b: DataFrame) -> DataFrame:
-    """key, root: the most populous bucket of each node."""
-    sizes = b.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    return b.join(sizes, "token").groupBy("key").agg(F.max(F.struct("c", "token"))["token"].alias("root"))
 
+def to_leaders(rows: DataFrame, turn: int) -> DataFrame:
+    """leader, id: of each node the leader of its most populous bucket that has one of another family and of a fitting size. rows: token, id, n, root."""
+    chosen = F.struct(F.xxhash64(F.lit(turn), F.col("id")), F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("root").alias("lr"))
+    leaders = rows.groupBy("token").agg(F.min(chosen).alias("x"), F.count(F.lit(1)).alias("c")).select("token", "c", "x.leader", "x.ln", "x.lr")
+    held = rows.join(leaders, "token").where((F.col("root") != F.col("lr")) & fits(F.col("n"), F.col("ln")))
+    return held.groupBy("id").agg(F.max(F.struct("c", "leader"))["leader"].alias("leader")).select("leader", "id")
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Which of the sets are similar, as a square table; where there are two sides, only of different sides."""
+
+def held_to_leaders(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """a, b: the pairs leader, id that meet under the other orders. A leader is sent once for MEMBERS of its members. prefixes: id, n, others."""
+    parts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    members = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "id").join(prefixes, "id")
+    leaders = parts.join(prefixes.withColumnRenamed("id", "leader"), "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("leader").alias("id"), "n", "others")
+    rows = members.select(*leaders.columns).unionByName(leaders).repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
+        for batch in batches:
+            out = []
+            for leader, role, i, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if role == 0:
+                    own, size = read_others(packed), n
+                elif may_be_similar(read_others(packed), own, n, size):
+                    out.append((leader, i))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return rows.select("leader", "role", "id", "n", "others").mapInArrow(run, "a bigint, b bigint")
+
+
+def sets_of(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets) of stretches of a column of texts as zstandard frames."""
+    for at, texts in unpacked(column):
+        yield at, shingle_sets(texts)
+
+
+def others_of(column: pa.Array) -> Iterator[tuple[int, list]]:
+    yield 0, [read_others(x) for x in column.to_pylist()]
+
+
+def in_blocks(rows: DataFrame, payloads: DataFrame, sets_of: Callable, compared: Callable) -> DataFrame:
+    """a, b, n: what compared(block) gives for each group of rows (group, id, n, root), or for each two blocks of a large one. payloads: id and what sets_of reads."""
+    payload = next(c for c in payloads.columns if c != "id")
+    per = rows.groupBy("group").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    per = per.select("group", F.ceil(F.greatest(F.col("c") / BLOCK_NODES, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("g"))
+    # a cut into blocks is by the id, so that all rows of a node agree
+    cut = rows.join(per, "group").select("group", "id", "root", "n", F.pmod(F.xxhash64("id"), "g").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    cut = cut.select("group", "id", "root", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    full = cut.join(payloads, "id").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, out = None, Block(), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "n"])
+                out.clear()
+
+        for batch in batches:
+            for at, sets in sets_of(batch.column(7)):
+                some = [batch.column(c).slice(at, len(sets)).to_pylist() for c in range(7)]
+                for group, i, j, node, root, n, own, s in zip(*some, sets, strict=True):
+                    if (group, i, j) != now:
+                        out += compared(block) if len(block.ids) > 1 else []
+                        now, block = (group, i, j), Block()
+                        if len(out) > 5000:
+                            yield from flush()
+                    block.add(node, root, n, int(own != i), s)
+        out += compared(block) if len(block.ids) > 1 else []
+        yield from flush()
+
+    return full.select("group", "i", "j", "id", "root", "n", "own", payload).mapInArrow(run, "a bigint, b bigint, n bigint")
+
+
+class Block:
+    """Nodes that are compared with one another: their ids, families, sizes and sets; where sides differ, only across them."""
+
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.roots: list[int] = []
+        self.sizes: list[int] = []
+        self.sides: list[int] = []
+        self.sets: list = []
+
+    def add(self, node: int, root: int, size: int, side: int, s: object) -> None:
+        self.ids.append(node)
+        self.roots.append(root)
+        self.sizes.append(size)
+        self.sides.append(side)
+        self.sets.append(s)
+
+    def across(self) -> np.ndarray:
+        """Which pairs lie across the sides, where there are two; else all of different nodes."""
+        side = np.array(self.sides)
+        return side[:, None] != side[None, :] if side.any() else ~np.eye(side.size, dtype=bool)
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of the sets share."""
     m = len(sets)
-    sizes = np.array([s.size for s in sets], np.int64)
-    both = np.zeros((m, m), np.int64)
-    tokens, node = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    tokens, node = np.concatenate(sets), np.repeat(np.arange(m), [s.size for s in sets])
     order = np.argsort(tokens, kind="stable")
     tokens, node = tokens[order], node[order]
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if tokens.size else np.empty(0, np.int64)
     count = np.diff(np.concatenate([first, [tokens.size]]))
     per = np.repeat(count, count)
     few = (per > 1) & (per <= SHARED)
-    t, v = tokens[few], node[few]
+    t, v, pairs = tokens[few], node[few], [np.empty(0, np.int64)]
     for k in range(1, SHARED):
         same = t[k:] == t[:-k]
         if not same.any():
             break
-        both += np.bincount(v[:-k][same] * m + v[k:][same], minlength=m * m).reshape(m, m)
+        pairs.append(v[:-k][same] * m + v[k:][same])
+    both = np.bincount(np.concatenate(pairs), minlength=m * m).reshape(m, m).astype(np.float32)
     both += both.T
     many = per > SHARED
     if many.any():
@@ -180,145 +369,110 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT) ->
         column = np.unique(column, return_inverse=True)[1]
         for at in range(0, int(column[-1]) + 1, COLUMNS):
             lo, hi = np.searchsorted(column, [at, at + COLUMNS])
-            x = np.zeros((m, COLUMNS), np.float32)
+            x = np.zeros((m, min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
             x[v[lo:hi], column[lo:hi] - at] = 1
-            both += (x @ x.T).astype(np.int64)
-    out = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
-    if sides.min() != sides.max():
-        out &= sides[:, None] != sides[None, :]
-    np.fill_diagonal(out, False)
-    return out
-
+            both += x @ x.T
+    return both
+
+
+def connecting(ids: list[int], table: np.ndarray) -> list[tuple[int, int, int]]:
+    """(a, b, 0) of as few pairs as connect what a symmetric table connects."""
+    label = np.arange(len(ids))
+    while True:
+        new = np.minimum(label, np.where(table, label[None, :], len(ids)).min(1))
+        if (new == label).all():
+            return [(ids[a], ids[b], 0) for a, b in enumerate(label.tolist()) if a != b]
+        label = new
+
+
+def meeting(block: Block) -> list[tuple[int, int, int]]:
+    """For in_blocks, over prefixes under the other orders: pairs that connect nodes of different families that meet."""
+    r, n = np.array(block.roots), np.array(block.sizes)
+    pairs = block.across() & (r[:, None] != r[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :]))
+    need = required(n[:, None], n[None, :])
+    for o in range(ORDERS - 1):
+        if not pairs.any():
+            return []
+        own = [x[o] for x in block.sets]
+        lost = prefix_size(n) - np.array([x.size for x in own])
+        pairs &= shared_counts(own) + lost[:, None] + lost[None, :] >= need
+    return connecting(block.ids, pairs)
 
-def links_in_clumps(labels: DataFrame, b: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, n: n links of a node a = b, and with n = 0 pairs that connect the nodes that are linked; of pairs of one clump."""
-    sized = labels.join(b.select("key", "n").distinct(), "key")
-    per = sized.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).where("c > 1")
-    per = per.select("root", F.ceil(F.greatest(F.col("c") / BLOCK_NODES, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("g"))
-    # a cut into blocks is by the key, so that all rows of a node agree
-    cut = sized.join(per, "root").select("key", "root", F.pmod(F.xxhash64("key"), "g").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-    cut = cut.select("key", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = cut.join(texts, "key").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
-    def compared(keys: list[int], sides: list[int], sets: list[np.ndarray]) -> list[tuple]:
-        if len(sets) < 2:
-            return []
-        table = linked(sets, np.array(sides))
-        counts = table.sum(1)
-        label = np.arange(len(sets))
-        while True:
-            new = np.minimum(label, np.where(table, label[None, :], len(sets)).min(1))
-            if (new == label).all():
-                break
-            label = new
-        return [(k, k, int(n)) for k, n in zip(keys, counts, strict=True) if n] + [(k, keys[x], 0) for k, x, at in zip(keys, label, range(len(keys)), strict=True) if x != at]
+def linked(block: Block) -> list[tuple[int, int, int]]:
+    """For in_blocks, over whole sets: (node, node, number of links) of each node, and pairs that connect what is linked."""
+    n, both = np.array(block.sizes, np.float32), shared_counts(block.sets)
+    table = (both > 0) & (100 * both >= PERCENT * (n[:, None] + n[None, :] - both)) & block.across()
+    return [(i, i, c) for i, c in zip(block.ids, table.sum(1).tolist(), strict=True) if c] + connecting(block.ids, table)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, sides, sets, out = None, [], [], [], []
-        for batch in batches:
-            for key, own, root, i, j, text in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
-                if (root, i, j) != now:
-                    out += compared(keys, sides, sets)
-                    now, keys, sides, sets = (root, i, j), [], [], []
-                    if len(out) > 2000:
-                        yield to_batch(out, schema)
-                        out = []
-                keys.append(key)
-                sides.append(own)
-                sets.append(shingles(text.as_py()))
-        out += compared(keys, sides, sets)
-        if out:
-            yield to_batch(out, schema)
-
-    return rows.select("key", "own", "root", "i", "j", "text").mapInArrow(run, "a bigint, b bigint, n bigint")
-
-
-def pairs_of_clumps(b: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: pairs of a bucket in different clumps, of sizes that may be similar.
-
-    Buckets of the same nodes give the same pairs, so one of each such group stands for
-    all: they are told by the number and two checksums of their nodes.
-    """
-    b = b.join(labels, "key")
-    code = F.xxhash64("key")
-    kinds = b.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 20)).alias("s")).where("lo <> hi")
-    b = b.join(kinds.groupBy("c", "x", "s").agg(F.min("token").alias("token")).select("token"), "token").select("token", "key", "n", "root")
-    x, y = b.alias("x"), b.alias("y")
-    fits = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-
-
-def passing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose prefixes meet under every other order too."""
-    left, right = rows.select(F.col("key").alias("a"), F.col("others").alias("p")), rows.select(F.col("key").alias("b"), F.col("others").alias("q"))
-    meets = [F.arrays_overlap(F.col("p")[o], F.col("q")[o]) for o in range(ORDERS - 1)]
-    both = pairs.join(left, "a").join(right, "b")
-    for m in meets:
-        both = both.where(m)
-    return both.select("a", "b")
-
-
-def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that pass the other orders and are similar."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def make(aa: list, bb: list, ta: list, tb: list) -> Iterator[tuple]:
-        sets: dict[int, np.ndarray] = {}
-        held = 0
 
-        def of(key: int, text: str) -> np.ndarray:
-            nonlocal held
-            if key not in sets:
-                if held > COUNTED:
-                    sets.clear()
-                    held = 0
-                sets[key] = shingles(text)
-                held += sets[key].size
-            return sets[key]
+def rooted(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with root, their family: of the buckets that reach into several."""
+    if labels is None:
+        return rows.withColumn("root", F.col("id"))
+    rows = rows.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return rows.join(several, "token")
 
-        for a, b, x, y in zip(aa, bb, ta, tb, strict=True):
-            if similar(of(a, x), of(b, y)):
-                yield a, b
 
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    return map_rows(passing(pairs, rows).join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), schema, "a bigint, b bigint", make)
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classes:
+    """The distinct texts and the components of their links."""
+    docs = keyed(docs, doc_id, text)
+    scanned = stash(scan(docs), "ngram-nodes")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_tokens(scanned))  # HOT numbers at most
+    nodes = scanned.where(F.col("id").isNotNull())
+    first = stash(prefixes(nodes, hot), "ngram-prefixes")
+    b = stash(buckets(first.where("token is not null")), "ngram-buckets")
+    rows = stash(kinds(b, nodes), "ngram-kinds")
+    rest = first.where("token is null").select("id", "others").join(rows.select("id", "n").distinct(), "id").select("id", "n", "others")
+    rest = stash(rest, "ngram-others")
+    discard(first, b)
+    families = None
+    for turn in range(ROUNDS + 1):
+        several = stash(rooted(rows, families), "ngram-several")
+        if turn == ROUNDS or turn and several.groupBy("token").count().where(F.col("count") > BLOCK_NODES).isEmpty():
+            break
+        pairs = stash(to_leaders(several, turn), "ngram-pairs")
+        families = labelled(families, held_to_leaders(pairs, rest))
+        discard(several, pairs)
+    families = labelled(families, in_blocks(several.withColumnRenamed("token", "group"), rest.select("id", "others"), others_of, meeting).select("a", "b"))
+    discard(rows, several, rest)
+    group = families.join(nodes.select("id", "n"), "id").select(F.col("root").alias("group"), "id", "n", "root")
+    found = stash(in_blocks(group, nodes.select("id", "z"), sets_of, linked), "ngram-linked")
+    labels = labelled(None, found.where("n = 0").select("a", "b"))
+    n_links = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    release(docs.sparkSession, settle=2)
+    return Classes(nodes.drop("z", "tokens", "seen"), labels.join(n_links, "id", "left"), docs.select("doc_id", "same", "key"))
+
+
+def labelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """id, root of every node of the edges and of the components so far (labels)."""
+    if labels is None:
+        return stash(components(edges).withColumnRenamed("key", "id"), "ngram-labels")
+    new = stash(edges, "ngram-edges")
+    if new.isEmpty():
+        return labels
+    out = stash(components(labels.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(new)).withColumnRenamed("key", "id"), "ngram-labels")
+    discard(labels, new)
+    return out
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, doc_id, n_shingles, component_id, class_id: the least doc_id with the same text, and n_links: how many other texts are similar."""
-    docs = keyed(docs, doc_id, text)
-    scanned = stash(scan(docs), "ngram-scan")
-    hot = hot_tokens(scanned)
-    counted = scanned.where(F.col("n").isNotNull()).select("key", "doc_id", "same", "n")
-    # nodes: the least document of each text; nulls stand last
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    classes = counted.where("n > 0").groupBy("same").agg(F.min(order).alias("first"))
-    nodes = stash(classes.select("same", F.col("first.key").alias("key"), F.col("first.doc_id").alias("class_id")), "ngram-nodes")
-    everything = stash(prefixes(docs, nodes, hot), "ngram-prefixes")
-    b = stash(buckets(everything), "ngram-buckets")
-    some = b.select("key").distinct()
-    rows = stash(everything.join(some, "key", "left_semi").select("key", "others"), "ngram-orders")
-    discard(everything)
-    texts = stash(docs.select("key", "text").join(some, "key", "left_semi").dropDuplicates(["key"]), "ngram-texts")
-    clump = stash(clumps(b), "ngram-clumps")
-    inside = stash(links_in_clumps(clump, b, texts), "ngram-inside")
-    pairs = stash(pairs_of_clumps(b, clump), "ngram-pairs")
-    across = stash(verified(pairs, rows, texts), "ngram-across")
-    discard(b, rows, texts, clump, pairs)
-    labels = components(across.unionByName(inside.where("n = 0").select("a", "b")))
-    one = F.lit(1).cast("bigint").alias("n")
-    ends = inside.where("n > 0").select(F.col("a").alias("key"), "n").unionByName(across.select(F.col("a").alias("key"), one)).unionByName(across.select(F.col("b").alias("key"), one))
-    n_links = ends.groupBy("key").agg(F.sum("n").alias("n_links"))
-    joined = nodes.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key")).join(n_links, "key", "left")
-    least = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    joined = joined.join(least, "root").select("same", "class_id", "component_id", "n_links")
-    out = counted.join(joined, "same", "left")
-    return out.select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    """doc_id, n_shingles, component_id, class_id: the least doc_id with the same text, and n_links: how many other texts are similar."""
+    c = classes(docs, doc_id, text)
+    nodes = c.nodes.where("n > 0").select("id", "same", "class_id", "n").join(c.labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = nodes.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    nodes = nodes.join(least, "root").select("same", "class_id", "component_id", "n", "n_links")
+    zero = F.lit(0).cast("bigint")
+    own = lambda name: F.when(F.col("n").isNotNull(), F.col(name)).otherwise(F.col("doc_id")).alias(name)
+    return c.rows.join(nodes, "same", "left").select("doc_id", F.coalesce("n", zero).alias("n_shingles"), own("component_id"), own("class_id"), F.coalesce("n_links", zero).alias("n_links"))
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component, with all their columns; of repeated rows one."""
-    own = join(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key"))
-    return docs.withColumn("__key", row_key(doc_id, text)).join(own, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    """The rows of docs whose doc_id is the least of their component, with all their columns; of repeated rows one. Documents without words stay."""
+    c = classes(docs, doc_id, text)
+    (key,) = unused(docs, "row_key")
+    order = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "id")
+    first = c.nodes.where("n > 0").join(c.labels, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min_by("key", order).alias(key)).select(key)
+    wordless = c.rows.join(c.nodes.where("n > 0").select("same"), "same", "left_anti").select(F.col("key").alias(key))
+    return docs.withColumn(key, row_key(doc_id, text)).join(first.unionByName(wordless), key, "left_semi").dropDuplicates([key]).drop(key)
