@@ -45,7 +45,7 @@ SPACE = "▁"
 SIGN = SPACE.encode()
 LETTER = "[A-Za-zÀ-ɏ]"
 #: Words that every worker holds, at most, and the longest of them.
-FREQUENT, LONGEST = 500_000, 64
+FREQUENT, LONGEST = 300_000, 64
 #: What a character that is no piece loses against the least score, as the library has it.
 PENALTY = 10.0
 #: Distinct runs that a task counts at a time.
@@ -53,7 +53,7 @@ COUNTED = 250_000
 #: In a packed edge: a character that is no piece.
 NO_PIECE = (1 << 24) - 1
 #: Bytes of text that are taken apart at a time: the frequent words are looked up once for all of them.
-TAKEN = 6 << 20
+TAKEN = 2 << 20
 #: Words above LONG characters are cut between any neighbours that no piece holds; words are exploded BLOCK characters at a time.
 LONG, BLOCK = 64, 256
 #: The longest word that is merged together with others.
