@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, licenses, line_crf, mixing, ngram_join, quality_rules, sentencepiece_lattice, substring_dedup, token_counts, token_store
+from . import ann, impact_index, licenses, line_crf, mixing, ngram_join, packing, quality_rules, sentencepiece_lattice, substring_dedup, token_counts, token_store, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op11_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bit_sliced_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return packing.read(spark, packed).drop("ids")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_source_mixing, op3_sentencepiece_lattice, op4_token_store, op5_substring_dedup,
         op6_license_scan, op7_inverted_multi_index, op8_line_crf, op9_ngram_join, op10_quality_rules,
+        op11_tiled_whitening, op12_bit_sliced_impacts, op13_binary_packing,
     )
 }
 
@@ -116,4 +130,12 @@ ORACLES: dict[str, str] = {
  j AS (SELECT source, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > m + sqrt(v) AS bad FROM r)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN bad THEN half ELSE whole END AS n_rules_failed, round(rate, 9) AS host_rate, bad AS host_bad, NOT base_failed AND CASE WHEN bad THEN half ELSE whole END = 0 AS kept
  FROM v JOIN j ON v.source IS NOT DISTINCT FROM j.source""",
+    "op12_bit_sliced_impacts": """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+ p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+ d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+ s AS (SELECT count(*) AS many, CAST(sum(n) AS BIGINT) AS total FROM d),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * many + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, many),
+ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+ r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * many) // total)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (doc_id), s GROUP BY item_id, doc_id)
+ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50""",
 }
