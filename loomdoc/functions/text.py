@@ -67,3 +67,11 @@ def page_hash(text: Column, drawings: Column, images: Column) -> Column:
 def element_hash(kind: Column, text: Column, path: Column, page: Column, method: Column) -> Column:
     """Equal content, equal hash; identities have no part in it."""
     return F.sha2(F.to_json(F.struct(kind.alias("a"), text.alias("b"), path.alias("c"), page.alias("d"), method.alias("e")), {"ignoreNullFields": "false"}), 256)
+
+
+def strict_zip(*arrays: Column) -> Column:
+    """arrays_zip of arrays of one length; an error where lengths differ."""
+    sizes = [F.size(a) for a in arrays]
+    same = F.array_min(F.array(*sizes)) == F.array_max(F.array(*sizes))
+    said = F.concat(F.lit("arrays of different lengths: "), F.array_join(F.array(*[n.cast("string") for n in sizes]), ", "))
+    return F.when(same, F.arrays_zip(*arrays)).otherwise(F.raise_error(said))

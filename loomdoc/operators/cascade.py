@@ -46,6 +46,12 @@ def of_type(tasks: DataFrame, task_type: str) -> DataFrame:
     return tasks.where(F.col("task_type") == task_type)
 
 
+def first_tasks(tasks: DataFrame, n: int) -> DataFrame:
+    """The first n tasks in the order of the plan: by document, kind (tables, regions, pages), page and element."""
+    kind = F.array_position(F.array(*[F.lit(t) for t in TASK_TYPES]), F.col("task_type"))
+    return tasks.orderBy("document_id", kind, "page_number", "element_id").limit(n)
+
+
 def task_counts(tasks: DataFrame) -> DataFrame:
     counted = tasks.groupBy("task_type").count()
     names = tasks.sparkSession.createDataFrame([(t,) for t in TASK_TYPES], "task_type string")

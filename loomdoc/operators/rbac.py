@@ -78,7 +78,19 @@ def visible_groups(leaves: DataFrame, held: Column) -> DataFrame:
     return leaves.where(visible(F.col("required_scopes"), held, F.coalesce("match", F.lit("any")))).select(F.explode("group_path").alias("group")).distinct()
 
 
-def replace_grants(role_scopes: DataFrame, role_id: int, codes: list[str], scopes: DataFrame) -> DataFrame:
-    """role_scopes with the role's grants replaced."""
-    new = scopes.where(F.col("code").isin(*codes)).select(F.lit(role_id).alias("role_id"), F.col("id").alias("scope_id"))
+def replace_grants(role_scopes: DataFrame, role_id: int, codes: list[str] | DataFrame, scopes: DataFrame) -> DataFrame:
+    """role_scopes with the role's grants replaced by those of codes, a list or a table with a column code."""
+    wanted = scopes.join(codes.select("code").distinct(), "code", "left_semi") if isinstance(codes, DataFrame) else scopes.where(F.col("code").isin(*codes))
+    new = wanted.select(F.lit(role_id).alias("role_id"), F.col("id").alias("scope_id"))
     return role_scopes.where(F.col("role_id") != role_id).unionByName(new)
+
+
+def role_responses(roles: DataFrame) -> DataFrame:
+    """What a caller sees of roles."""
+    return roles.select("id", "name", "description")
+
+
+def user_responses(users: DataFrame, roles: DataFrame) -> DataFrame:
+    """What a caller sees of users: their role by name ('' where it is missing), when they came and were last here; no secret of theirs."""
+    names = roles.select(F.col("id").alias("role_id"), F.col("name").alias("role_name"))
+    return users.join(names, "role_id", "left").select("id", "username", "role_id", F.coalesce("role_name", F.lit("")).alias("role_name"), "is_active", "created_at", "last_login_at")

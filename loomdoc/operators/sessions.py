@@ -90,6 +90,13 @@ def refresh_status(presented: DataFrame, tokens: DataFrame, users: DataFrame, no
     return t.select("raw", "user_id", status.alias("status"))
 
 
+def login_status(presented: DataFrame, users: DataFrame) -> DataFrame:
+    """presented with user_id and status: unknown, inactive or allowed to go on to the password. presented: username and more; users: id, username, is_active."""
+    t = presented.join(users.select(F.col("id").alias("user_id"), "username", "is_active"), "username", "left")
+    status = F.when(F.col("user_id").isNull(), "unknown").when(~F.coalesce("is_active", F.lit(False)), "inactive").otherwise("allowed")
+    return t.withColumn("status", status).drop("is_active")
+
+
 def job_states(log: DataFrame) -> DataFrame:
     """A row for each run of a (document, stage): run, status, started_at, finished_at, error_message, duration_ms. log: document_id, stage, status, ts, seq, error_message.
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +78,19 @@ def sparse_terms(chunks: DataFrame, text: str = "content_text", buckets: int = 1
     """chunks with sparse struct<indices, values>: term counts by hashed word; the inverse document frequencies stand beside the collection (idf())."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0))
     codes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    own = F.array_sort(F.array_distinct(codes))
-    return chunks.withColumn("_codes", codes).withColumn("sparse", F.struct(own.alias("indices"), F.transform(own, lambda i: F.size(F.filter("_codes", lambda c: c == i)).cast("float")).alias("values"))).drop("_codes")
+    # made here, not at import: workers import this module without a session
+    counted = F.arrow_udf(_term_counts, "struct<indices:array<int>,values:array<float>>")
+    return chunks.withColumn("sparse", counted(codes))
+
+
+def _term_counts(codes: pa.Array) -> pa.Array:
+    """Distinct codes of each list in order, and how often each occurs, for a whole column at once. Words that share a code are one term."""
+    n = len(codes)
+    owner = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    both, count = np.unique((owner << 32) + codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+    ends = pa.array(np.searchsorted(both >> 32, np.arange(n + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.array((both & 0xFFFFFFFF).astype(np.int32)), pa.array(count.astype(np.float32)))]
+    return pa.StructArray.from_arrays(lists, ["indices", "values"])
 
 
 def idf(vectors: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import cascade, chunking, kg, probe, structure
+from ..sources import runs
 
 
 @dataclass
@@ -46,3 +47,19 @@ def summary(x: Ingested) -> DataFrame:
     for df, name in ((x.tasks, "n_tasks"), (x.entities, "n_entities"), (x.chunks, "n_chunks")):
         out = out.join(count(df, name), "document_id", "left").fillna(0, [name])
     return out
+
+
+#: What is measured of each table as it is written.
+MEASURES = {"pages": "parse_score", "tasks": None, "elements": "confidence", "entities": "confidence", "chunks": "length(content_text)"}
+
+
+def write(x: Ingested, root: str) -> dict[str, dict]:
+    """Write the tables below root and return for each n, least, mean and most of its measure, observed in the write's own scan."""
+    out = {}
+    for name, measure in MEASURES.items():
+        seen = Observation()
+        m = F.expr(measure).cast("double") if measure else F.lit(None).cast("double")
+        rows = getattr(x, name).observe(seen, F.count(F.lit(1)).alias("n"), F.min(m).alias("least"), F.avg(m).alias("mean"), F.max(m).alias("most"))
+        runs.write(rows, f"{root}/{name}")
+        out[name] = seen.get
+    return out

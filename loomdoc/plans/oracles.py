@@ -217,3 +217,49 @@ ORACLES |= {
     "response_defaults": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS description, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS n_components, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN source WHEN 2 THEN 'x' ELSE '' END AS markdown FROM documents",
     "idf_weights": "SELECT w AS word, round(ln(((SELECT count(*) FROM documents) - n + 0.5) / (n + 0.5) + 1), 6) AS idf FROM (SELECT source AS w, count(*) AS n FROM documents GROUP BY 1)",
 }
+
+STORED = """cs AS (SELECT document_id, page_number, CASE WHEN page_number % 7 <> 2 AND (page_number % 4 = 1 OR page_number % 3 = 0) THEN 2 ELSE 1 END AS stored_run,
+  CASE WHEN page_number % 7 = 2 AND page_number % 3 = 0 THEN 'x' || page_hash ELSE page_hash END AS page_hash FROM ph WHERE page_number % 7 <> 2 OR page_number % 4 <> 1)"""
+#: The live points of the collection after all its writes.
+POINTS = """lp AS (SELECT * FROM (
+  SELECT vec_id AS id, vec_id % 11 AS document_id, CASE WHEN vec_id % 14 = 3 THEN 'third' WHEN vec_id % 5 = 0 THEN 'second' ELSE CAST(label AS VARCHAR) END AS content_hash,
+   CAST(CASE WHEN vec_id % 14 <> 3 AND vec_id % 5 = 0 THEN list_reverse(embedding) ELSE embedding END AS DOUBLE[]) AS dense FROM embeddings WHERE vec_id % 14 = 3 OR vec_id % 7 <> 3 AND vec_id % 11 <> 4
+  UNION ALL SELECT vec_id + 1000000, vec_id % 11, CAST(label AS VARCHAR), CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 9 = 1) WHERE id NOT IN (1, 2, 12, 1000001))"""
+LENGTHS = """cl AS (SELECT length(body) AS n FROM ch UNION ALL SELECT length(name || ' (' || entity_type || ') — referenced on page(s) ' || string_agg(DISTINCT CAST(page_number AS VARCHAR), ', ' ORDER BY CAST(page_number AS VARCHAR)) || '.') FROM en GROUP BY document_id, name, entity_type)"""
+
+
+def measured(name: str, table: str, measure: str | None) -> str:
+    m = f"CAST({measure} AS DOUBLE)" if measure else "CAST(NULL AS DOUBLE)"
+    return f"SELECT '{name}' AS table_name, count(*) AS n, min({m}) AS least, round(avg({m}), 6) AS mean, max({m}) AS most FROM {table}"
+
+
+ORACLES |= {
+    "canonical_pages": base(ELEMENTS, PAGES, PAGE_TEXT, HASHES, STORED) + "SELECT document_id, page_number, CAST(stored_run AS BIGINT) AS stored_run, page_hash, count(element_id) AS n_elements FROM cs LEFT JOIN el USING (document_id, page_number) GROUP BY ALL",
+    "canonical_elements": base(ELEMENTS, PAGES, PAGE_TEXT, HASHES, STORED) + "SELECT document_id, page_number, CAST(stored_run AS BIGINT) AS stored_run, element_id AS id, element_type, md5(CASE stored_run WHEN 1 THEN 'old ' ELSE '' END || text) AS text_md5 FROM cs JOIN el USING (document_id, page_number)",
+    "vector_collection_points": f"WITH {POINTS} SELECT id, document_id, content_hash, round(dense[1], 6) AS first FROM lp",
+    "vector_collection_topk": f"WITH {POINTS} SELECT id, round(list_cosine_similarity(dense, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM lp WHERE document_id = 3 ORDER BY score DESC, id LIMIT 20",
+    "vector_collection_stats": f"WITH {POINTS} SELECT count(*) AS vector_count, CAST(max(len(dense)) AS BIGINT) AS dimension FROM lp",
+    "embedding_states": "SELECT id, document_id, CASE WHEN e THEN CAST(id AS VARCHAR) ELSE '' END AS vector_id, CASE WHEN e THEN 'embedded' ELSE 'pending' END AS embedding_status FROM (SELECT doc_id AS id, doc_id % 4 AS document_id, doc_id % 4 = 1 OR doc_id % 4 = 2 AND doc_id % 3 <> 0 AS e FROM documents)",
+    "embedding_counts": "SELECT CAST(c AS BIGINT) AS call, count(doc_id) AS n FROM (VALUES (0), (1), (2), (3)) v(c) LEFT JOIN documents ON CASE c WHEN 0 THEN doc_id % 4 = 1 WHEN 1 THEN doc_id % 4 = 2 WHEN 2 THEN doc_id % 4 = 1 AND doc_id % 3 = 0 ELSE false END GROUP BY c",
+    "vector_payloads": "SELECT doc_id AS id, doc_id AS chunk_id, CAST(2 AS BIGINT) AS document_id, 'text' AS chunk_type, 'M' AS model_family, md5(coalesce(text, '')) AS content_hash FROM documents WHERE doc_id % 4 = 2",
+    "login_rate_limit_live": ORACLES["login_rate_limit"],
+    "token_rotation_live": ORACLES["token_rotation"],
+    "ingested_documents": "SELECT DISTINCT sha256(text) AS source_hash, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents",
+    "ledger_results": base(ELEMENTS, PAGES, FLAGS, TASKS) + "SELECT tk.document_id, task_type, tk.page_number, CAST(tk.element_id AS BIGINT) AS element_id, CASE task_type WHEN 'visual_description' THEN 'figure of ' || coalesce(nullif(text, ''), 'nothing') WHEN 'table_reparse' THEN 'table ' || CAST(length(text) AS VARCHAR) ELSE '' END AS result FROM tk LEFT JOIN el ON el.document_id = tk.document_id AND el.element_id = tk.element_id",
+    "object_contents": "SELECT doc_id, doc_id % 5 <> 2 AS found, CASE WHEN doc_id % 5 <> 2 THEN CAST(strlen(coalesce(text, '')) AS BIGINT) ELSE -1 END AS length, CASE WHEN doc_id % 5 <> 2 THEN sha256(coalesce(text, '')) ELSE '' END AS sha256 FROM documents",
+    "ingest_metrics": base(ELEMENTS, PATHS, FOLD, PAGES, FLAGS, TASKS, ENTITIES, CHUNKS, LENGTHS) + " UNION ALL ".join((measured("pages", "pg", "parse_score"), measured("tasks", "tk", None), measured("elements", "el", "confidence"), measured("entities", "en", "confidence"), measured("chunks", "cl", "n"))),
+    "first_tasks": base(ELEMENTS, PAGES, FLAGS, TASKS) + "SELECT document_id, task_type, page_number, CAST(element_id AS BIGINT) AS element_id FROM tk ORDER BY document_id, CASE task_type WHEN 'table_reparse' THEN 1 WHEN 'visual_description' THEN 2 ELSE 3 END, page_number, element_id LIMIT 40",
+    "role_responses": "SELECT r_regionkey AS id, r_name AS name, r_name || ' role' AS description FROM region",
+    "user_responses": """SELECT c_custkey AS id, c_name AS username, c_nationkey % 3 AS role_id, coalesce(r_name, '') AS role_name, c_custkey % 2 = 0 AS is_active, strftime(DATE '2024-01-01' + CAST(c_custkey AS INTEGER), '%Y-%m-%d') AS created_at,
+ CASE WHEN c_custkey % 3 = 0 THEN strftime(DATE '2024-01-01' + CAST(c_custkey AS INTEGER), '%Y-%m-%d') ELSE '' END AS last_login_at FROM customer LEFT JOIN region ON r_regionkey = c_nationkey % 3 AND r_regionkey < 2""",
+    "login_preconditions": "SELECT c_custkey AS attempt, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE c_custkey END AS user_id, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' WHEN c_custkey % 2 = 0 THEN 'allowed' ELSE 'inactive' END AS status FROM customer",
+    "strict_zips": "SELECT doc_id, count(*) AS n, CAST(sum(length(w) * k) AS BIGINT) AS weighed, CAST(0 AS BIGINT) AS apart FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents WHERE text IS NOT NULL) GROUP BY doc_id",
+    "job_listing": "SELECT event_id AS id, user_id AS document_id, event_type AS stage, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS started_at, CASE WHEN event_id % 2 = 0 THEN strftime(ts + INTERVAL 90 SECOND, '%Y-%m-%dT%H:%M:%S.%f') ELSE '' END AS finished_at FROM events WHERE user_id = 7",
+    "stored_chunks": base(ELEMENTS, PATHS, FOLD) + "SELECT DISTINCT document_id, CAST(chunk AS BIGINT) AS chunk_no, chunk_type, 'pending' AS embedding_status, '' AS vector_id FROM fo WHERE document_id % 3 <> 1 OR chunk < 2",
+    "seeded_grants": "WITH t AS (SELECT CASE n_nationkey WHEN 1 THEN 'chat:read' WHEN 3 THEN 'chat:write' WHEN 5 THEN 'documents:read' ELSE n_name END AS code FROM nation WHERE n_nationkey < 6) SELECT code, true AS was_there FROM t UNION ALL SELECT code, false FROM (SELECT unnest(" + LIST(rbac.SCOPES) + ") AS code) WHERE code NOT IN (SELECT code FROM t)",
+    "guarded_counts": "SELECT CAST(r AS BIGINT) AS role_id, CASE WHEN count(c_custkey) > 0 THEN CAST(count(c_custkey) AS VARCHAR) || ' users have the role' ELSE '' END AS said FROM (VALUES (0), (1), (2), (3)) v(r) LEFT JOIN customer ON c_nationkey % 3 = r GROUP BY r",
+    "upload_plans": """WITH f AS (SELECT doc_id, sha256(text) AS h, (len(string_split(text, chr(10))) - 1) // 5 + 1 AS pages FROM documents WHERE text IS NOT NULL), k AS (SELECT h, min(doc_id) AS known FROM f WHERE doc_id % 10 = 0 GROUP BY h),
+ n AS (SELECT h, (SELECT max(doc_id) FROM f WHERE doc_id % 10 = 0) + row_number() OVER (ORDER BY h) AS made FROM (SELECT DISTINCT h FROM f WHERE h NOT IN (SELECT h FROM k)))
+ SELECT CAST(doc_id AS VARCHAR) || '.pdf' AS filename, CAST(pages AS BIGINT) AS page_count, coalesce(known, made) AS document_id, known IS NULL AS created FROM f LEFT JOIN k USING (h) LEFT JOIN n USING (h)""",
+    "element_hash_paths": base(ELEMENTS, PATHS) + "SELECT document_id, count(DISTINCT (element_type, text, path, page_number)) AS n_distinct FROM st GROUP BY document_id",
+}

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import cascade, chunking, graph, kg, probe, rbac, sampling, sessions, store, structure, tables, vectors
-from ..sources import manual
+from ..operators import canonical, cascade, chunking, collection, graph, kg, ledger, probe, rbac, sampling, sessions, store, structure, tables, vectors
+from ..sources import files, manual, runs
+from ..sources.objects import Objects
 from ..streaming import ingest
+from ..streaming import sessions as live
 from . import lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -448,13 +450,16 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-
-@query
-def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
+def ingested(spark: SparkSession, d: str) -> lifecycle.Ingested:
     e = manual.elements(spark, d)
     none = F.array().cast("array<string>")
     drafts = e.withColumn("components", F.when(F.col("component").isNotNull(), F.array("component")).otherwise(none)).withColumn("connections", F.when(F.col("connection").isNotNull(), F.array("connection")).otherwise(none))
-    return lifecycle.summary(lifecycle.ingest(drafts, manual.pages(spark, d)))
+    return lifecycle.ingest(drafts, manual.pages(spark, d))
+
+
+@query
+def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.summary(ingested(spark, d))
 
 
 # what the queries above do not reach
@@ -556,8 +561,7 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
 @query
 def replaced_grants(spark: SparkSession, d: str) -> DataFrame:
     _, scopes, rs = grants(spark, d)
-    codes = [r.code for r in scopes.where("id in (2, 3)").collect()]
-    return rbac.replace_grants(rs, 1, codes, scopes)
+    return rbac.replace_grants(rs, 1, scopes.where("id in (2, 3)").select("code"), scopes)
 
 
 @query
@@ -630,3 +634,289 @@ def idf_weights(spark: SparkSession, d: str) -> DataFrame:
     words = docs.select(F.col("source").alias("word")).distinct().withColumn("content_text", F.col("word"))
     code = vectors.sparse_terms(words).select("word", F.explode("sparse.indices").alias("index"))
     return code.join(vectors.idf(sparse), "index").groupBy("word").agg(F.round(F.max("idf"), 6).alias("idf"))
+
+
+# what is stored and changed
+
+
+def hashed_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = page_texts(spark, d).join(manual.pages(spark, d), ["document_id", "page_number"])
+    return p.select("document_id", "page_number", tx.page_hash(F.col("text"), F.col("drawings"), F.col("images")).alias("page_hash"), probe.text_layer_present(F.col("text")).alias("text_layer_present"))
+
+
+def canonical_store(spark: SparkSession, d: str) -> canonical.CanonicalStore:
+    """A store after two runs: of three pages in four, a third of them older; then of six pages in seven."""
+    fresh = hashed_pages(spark, d)
+    e = boxed(spark, d).select("document_id", "page_number", F.col("element_id").alias("id"), "element_type", "text", "bbox", "confidence")
+    old = fresh.where("page_number % 4 <> 1").withColumn("page_hash", F.when(F.col("page_number") % 3 == 0, F.concat(F.lit("x"), "page_hash")).otherwise(F.col("page_hash")))
+    out = canonical.CanonicalStore(spark, runs.workspace(spark, "canonical"), buckets=8)
+    out.store(old, e.withColumn("text", F.concat(F.lit("old "), "text")))
+    out.store(fresh.where("page_number % 7 <> 2"), e)
+    return out
+
+
+@query
+def canonical_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The stored pages after both runs: unchanged ones keep their run, pages that the second run does not name stay."""
+    return canonical_store(spark, d).pages().select("document_id", "page_number", "stored_run", "page_hash", F.size("elements").cast("bigint").alias("n_elements"))
+
+
+@query
+def canonical_elements(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_store(spark, d).elements().select("document_id", "page_number", "stored_run", "id", "element_type", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+def vector_collection(spark: SparkSession, d: str) -> collection.Collection:
+    """A collection after upserts, both deletes, a compaction and upserts after it."""
+    p = points(spark, d).select("id", (F.col("id") % 11).alias("document_id"), "dense", F.col("label").cast("string").alias("content_hash"))
+    c = collection.Collection(spark, runs.workspace(spark, "collection"), 64)
+    c.upsert_vectors(p)
+    c.upsert_vectors(p.where("id % 5 = 0").withColumn("content_hash", F.lit("second")).withColumn("dense", F.reverse("dense")))
+    c.delete(p.where("id % 7 = 3").select("id"))
+    c.delete_by_document(4)
+    c.compact()
+    c.upsert_vectors(p.where("id % 14 = 3").withColumn("content_hash", F.lit("third")))
+    c.upsert_vectors(p.where("id % 9 = 1").select((F.col("id") + 1_000_000).alias("id"), "document_id", "dense", "content_hash"))
+    c.delete([1, 2, 12, 1_000_001])
+    return c
+
+
+@query
+def vector_collection_points(spark: SparkSession, d: str) -> DataFrame:
+    """The live points: of each id the last write, deleted ones gone."""
+    return vector_collection(spark, d).points().select("id", "document_id", "content_hash", F.round(F.get("dense", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query
+def vector_collection_topk(spark: SparkSession, d: str) -> DataFrame:
+    return vector_collection(spark, d).query(target(spark, d), 20, {"document_id": 3}).select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_collection_stats(spark: SparkSession, d: str) -> DataFrame:
+    return vector_collection(spark, d).get_collection_stats()
+
+
+def letters_model() -> Callable[[list[str]], list[list[float]]]:
+    """A stand-in for a dense model: how often a text holds each of eight letters, one more in the first."""
+    return lambda texts: [[float(t.count(c) + (c == "a")) for c in "abcdefgh"] for t in texts]
+
+
+def embedded(spark: SparkSession, d: str) -> tuple[DataFrame, collection.Collection, list[int]]:
+    """Chunks whose documents 1 and 2 were embedded, then changed in part, and 1 embedded again; the counts of each call."""
+    docs = manual.read(spark, d, "documents")
+    first = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("document_id"), F.coalesce("text", F.lit("")).alias("content_text"), F.lit("text").alias("chunk_type"), F.lit("M").alias("model_family"))
+    hashed = lambda c: c.withColumn("content_hash", F.md5(F.encode("content_text", "UTF-8")))
+    out = collection.Collection(spark, runs.workspace(spark, "embedded"), 8)
+    counts = [collection.embed_and_upsert(hashed(first), out, letters_model, 1), collection.embed_and_upsert(hashed(first), out, letters_model, 2)]
+    now = hashed(first.withColumn("content_text", F.when(F.col("id") % 3 == 0, F.concat("content_text", F.lit(" a"))).otherwise(F.col("content_text"))))
+    counts.append(collection.embed_and_upsert(now, out, letters_model, 1))
+    counts.append(collection.embed_and_upsert(now, out, letters_model, 1))
+    return now, out, counts
+
+
+@query
+def embedding_states(spark: SparkSession, d: str) -> DataFrame:
+    """What of the chunks is embedded: a changed chunk is pending until it is embedded again."""
+    chunks, held, _ = embedded(spark, d)
+    return collection.states(chunks, held).select("id", "document_id", F.coalesce("vector_id", F.lit("")).alias("vector_id"), "embedding_status")
+
+
+@query
+def embedding_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many chunks each call embedded: all of a document's, then the changed ones, then none."""
+    return spark.createDataFrame(list(enumerate(embedded(spark, d)[2])), "call bigint, n bigint")
+
+
+@query
+def vector_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """The payload that a point carries of its chunk."""
+    _, held, _ = embedded(spark, d)
+    p = F.col("payload")
+    return held.points({"document_id": 2}).select("id", p["chunk_id"].alias("chunk_id"), p["document_id"].alias("document_id"), p["chunk_type"].alias("chunk_type"), p["model_family"].alias("model_family"), p["content_hash"].alias("content_hash"))
+
+
+# streams
+
+
+def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files, one for a batch. A pattern, as the path may be one file."""
+    return spark.readStream.schema(manual.read(spark, d, name).schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name[:-1]}[{name[-1]}].parquet")
+
+
+def landed(rows: DataFrame) -> DataFrame:
+    """What a stream gives for all that is there, written and read again."""
+    spark, at = rows.sparkSession, runs.workspace(rows.sparkSession, "stream")
+    with live.rocksdb(spark):
+        rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows")
+
+
+@query
+def login_rate_limit_live(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream through keyed state: row by row what the fold over the whole log gives."""
+    e = streamed(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), F.col("event_type").isin("error", "click").alias("failed"))
+    return landed(live.limited(e, limit=3, window=36 * 3600, late="60 days")).withColumn("retry_after", F.coalesce("retry_after", F.lit(-1)).cast("bigint"))
+
+
+@query
+def token_rotation_live(spark: SparkSession, d: str) -> DataFrame:
+    c = streamed(spark, d, "conversations")
+    e = c.selectExpr("conv_id AS family", "timestamp_seconds(1700000000 + turn) AS ts", "turn AS seq", "'t' || CAST(CASE WHEN turn % 4 = 3 THEN turn - 2 ELSE turn END AS string) AS token", "'t' || CAST(turn + 1 AS string) AS new_token", "turn % 5 = 4 AS expired", "conv_id % 7 = 3 AND turn % 3 = 2 AS inactive")
+    return landed(live.rotated(e)).fillna("", ["replaced_by"])
+
+
+@query
+def ingested_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as a stream into a store, told apart by the hash of their text."""
+    at = runs.workspace(spark, "ingest")
+    ingest.ingest(streamed(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), at).awaitTermination()
+    return spark.read.parquet(at).select("source_hash", F.length("content").cast("bigint").alias("n_bytes"))
+
+
+# paid calls, objects, metrics
+
+
+class Reader:
+    """A stand-in for the OCR client; what it has no answer for is an error until `answers` says otherwise."""
+
+    def __init__(self, answers: bool = True):
+        self.answers = answers
+
+    def describe_figure(self, row: dict) -> str:
+        return f"figure of {row['text'] or 'nothing'}"
+
+    def reparse_table(self, row: dict) -> str:
+        if not self.answers and "3" in row["key"][:2]:
+            raise ValueError("no answer")
+        return f"table {len(row['text'])}"
+
+    def ocr_page(self, row: dict) -> str:
+        return ""
+
+
+@query
+def ledger_results(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks answered over two runs, the first of which fails in part: each distinct question is asked once more at most."""
+    t = tasks(spark, d).join(manual.elements(spark, d).select("document_id", "element_id", "text"), ["document_id", "element_id"], "left")
+    t = t.select("document_id", "task_type", "page_number", "element_id", "text", ledger.key_of(F.col("task_type"), F.coalesce(F.col("text"), F.concat_ws("/", "document_id", "page_number"))).alias("key"))
+    at = runs.workspace(spark, "ledger")
+    try:
+        ledger.run(t, lambda: Reader(False), at)
+    except ledger.OpenCalls:
+        pass
+    out = ledger.run(t, Reader, at)
+    return out.select("document_id", "task_type", "page_number", F.coalesce("element_id", F.lit(-1)).cast("bigint").alias("element_id"), "result")
+
+
+@query
+def object_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents put as objects, all but every fifth; then all of them asked for."""
+    docs = manual.read(spark, d, "documents").select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit("/source.txt")).alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    store_ = Objects(spark, runs.workspace(spark, "objects"))
+    store_.put_all(docs.where("doc_id % 5 <> 2")).write.format("noop").mode("overwrite").save()
+    got = store_.contents(docs.select("doc_id", F.concat(F.lit(f"{store_.root}/"), "key").alias("uri")))
+    return got.select("doc_id", "found", F.coalesce("length", F.lit(-1)).alias("length"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256"))
+
+
+@query
+def ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, minima, means and maxima of the whole ingest, observed as it is written."""
+    seen = lifecycle.write(ingested(spark, d), runs.workspace(spark, "ingested"))
+    rows = [(k, v["n"], *(None if v[c] is None else float(v[c]) for c in ("least", "mean", "most"))) for k, v in seen.items()]
+    return spark.createDataFrame(rows, "table_name string, n bigint, least double, mean double, most double").withColumn("mean", F.round("mean", 6))
+
+
+# listings, projections, guards
+
+
+@query
+def first_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return cascade.first_tasks(tasks(spark, d), 40).select("document_id", "task_type", "page_number", F.coalesce("element_id", F.lit(-1)).cast("bigint").alias("element_id"))
+
+
+@query
+def role_responses(spark: SparkSession, d: str) -> DataFrame:
+    return rbac.role_responses(manual.read(spark, d, "region").selectExpr("r_regionkey AS id", "r_name AS name", "r_name || ' role' AS description"))
+
+
+@query
+def user_responses(spark: SparkSession, d: str) -> DataFrame:
+    at = "CAST(date_add(DATE '2024-01-01', CAST(id AS int)) AS string)"
+    u = users(spark, d).selectExpr("*", f"{at} AS created_at", f"CASE WHEN id % 3 = 0 THEN {at} ELSE '' END AS last_login_at")
+    return rbac.user_responses(u, grants(spark, d)[0].where("id < 2"))
+
+
+@query
+def login_preconditions(spark: SparkSession, d: str) -> DataFrame:
+    asked = manual.read(spark, d, "customer").selectExpr("c_custkey AS attempt", "CASE WHEN c_custkey % 5 = 0 THEN 'nobody' ELSE c_name END AS username")
+    return sessions.login_status(asked, users(spark, d)).select("attempt", F.coalesce("user_id", F.lit(-1)).cast("bigint").alias("user_id"), "status")
+
+
+@query
+def strict_zips(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, dense and sparse parts of one length, put together by place."""
+    words = F.split("text", " ", -1)
+    docs = manual.read(spark, d, "documents").where("text is not null").select("doc_id", words.alias("a"), F.transform(words, lambda w: F.length(w)).alias("b"))
+    z = docs.select("doc_id", F.posexplode(tx.strict_zip(F.col("a"), F.col("b"))).alias("at", "z"))
+    return z.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z.b") * (F.col("at") + 1)).cast("bigint").alias("weighed"), F.count_if(F.length("z.a") != F.col("z.b")).alias("apart"))
+
+
+@query
+def job_listing(spark: SparkSession, d: str) -> DataFrame:
+    """A document's jobs by id, with times as text."""
+    e = manual.read(spark, d, "events").selectExpr("event_id AS id", "user_id AS document_id", "event_type AS stage", "CAST(ts AS timestamp) AS started_at", "CASE WHEN event_id % 2 = 0 THEN CAST(ts AS timestamp) + INTERVAL 90 SECONDS END AS finished_at")
+    j = sessions.list_jobs(e, 7)
+    return j.select("id", "document_id", "stage", "started_at", F.coalesce("finished_at", F.lit("")).alias("finished_at"))
+
+
+@query
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The stored chunks after some documents were chunked anew: theirs are replaced, the others' stay."""
+    at = runs.workspace(spark, "chunks")
+    chunks = chunking.build(structured(spark, d))
+    chunking.store(chunks, at)
+    chunking.store(chunks.where("document_id % 3 = 1 AND chunk_no < 2"), at)
+    return spark.read.parquet(at).select("document_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk_type", "embedding_status", F.coalesce("vector_id", F.lit("")).alias("vector_id"))
+
+
+@query
+def seeded_grants(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds laid over what is there, twice: what exists stays, what lacks comes once."""
+    roles, scopes, rs = rbac.seed(spark)
+    there = manual.read(spark, d, "nation").where("n_nationkey < 6").selectExpr("CAST(100 + n_nationkey AS int) AS id", "CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE element_at(array('chat:read', 'chat:write', 'documents:read'), CAST(n_nationkey div 2 + 1 AS int)) END AS code")
+    out = store.insert_missing(store.insert_missing(there, scopes, ["code"]), scopes, ["code"])
+    return out.select("code", (F.col("id") >= 100).alias("was_there"))
+
+
+@query
+def guarded_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many users stand against the removal of each role; a removal with any is an error."""
+    u = users(spark, d)
+    rows = []
+    for role in range(4):
+        try:
+            store.require_none(u.where(F.col("role_id") == role), "users have the role")
+            rows.append((role, ""))
+        except ValueError as e:
+            rows.append((role, str(e)))
+    return spark.createDataFrame(rows, "role_id bigint, said string")
+
+
+@query
+def upload_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as uploaded files, some known before: page counts, one document for each distinct content."""
+    docs = manual.read(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.sha2(F.encode("text", "UTF-8"), 256).alias("source_hash"), F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"))
+    files_ = docs.select("filename", F.col("filename").alias("uri"), "source_hash")
+    facts = docs.select("source_hash", F.expr("(n_lines - 1) div 5 + 1").alias("page_number"))
+    known = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), "source_hash")
+    out = files.upload_plan(files_, known, facts)
+    return out.select("filename", "page_count", "document_id", "created")
+
+
+@query
+def element_hash_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct element hashes of each document, their section paths counted in."""
+    e = structure.heading_paths(manual.elements(spark, d))
+    h = tx.element_hash(F.col("element_type"), F.col("text"), F.col("section_path"), F.col("page_number"), F.lit("docling"))
+    return e.select("document_id", h.alias("h")).groupBy("document_id").agg(F.countDistinct("h").alias("n_distinct"))

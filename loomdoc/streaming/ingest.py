@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import store
+from .sessions import rocksdb
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -21,23 +21,18 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 m
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def ingest(source: DataFrame, target: str, checkpoint: str, content: str = "content") -> StreamingQuery:
-    """Add documents whose content hash the target lacks, batch by batch; the trigger takes what is there and ends.
+def ingest(source: DataFrame, target: str, checkpoint: str | None = None, content: str = "content") -> StreamingQuery:
+    """Add documents whose content hash has not been seen, batch by batch; the trigger takes what is there and ends.
 
-    Each batch writes a folder of its own, batch=<number>, anew: a batch that is played
-    again after a failure replaces what it wrote, and is held against the other batches' hashes.
+    Which hashes were seen is keyed state in RocksDB: a batch looks up its own hashes and reads nothing
+    of what is stored, however much that is. State and target belong together, so the checkpoint lies
+    in the target unless another place is given. Each batch writes a folder of its own, batch=<number>, anew: a
+    batch that is played again after a failure meets the state of the batch before it and replaces what it wrote.
     """
+    hashed = source.withColumn("source_hash", store.content_hash(F.col(content))).dropDuplicates(["source_hash"])
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hashed = batch.withColumn("source_hash", store.content_hash(F.col(content))).dropDuplicates(["source_hash"])
-        try:
-            known = spark.read.option("basePath", target).parquet(target)
-        except AnalysisException as e:  # the first batch finds no table
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-        else:
-            hashed = hashed.join(known.where(F.col("batch") != number).select("source_hash"), "source_hash", "left_anti")
-        hashed.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return source.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    with rocksdb(source.sparkSession):
+        return hashed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{target}/_checkpoint").trigger(availableNow=True).start()
