@@ -44,7 +44,7 @@ class Limiter(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle, self.state = handle, handle.getValueState("window", "failures bigint, opened bigint")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         held = self.state.get() if self.state.exists() else None
         n, opened = (held[0], held[1]) if held else (0, None)
         begun = opened
@@ -62,10 +62,10 @@ class Limiter(StatefulProcessor):
         if opened != begun:
             self.handle.registerTimer((opened + self.span) // 1000 + 1)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         # a later window may have opened since
         held = self.state.get() if self.state.exists() else None
-        if held and (held[1] + self.span) // 1000 < expired.getExpiryTimeInMs():
+        if held and (held[1] + self.span) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
         yield from ()
 
@@ -84,7 +84,7 @@ class Rotation(StatefulProcessor):
         self.state = handle.getValueState("family", "live string, revoked boolean, last bigint")
         self.spent = handle.getMapState("spent", "token string", "seq bigint")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         held = self.state.get() if self.state.exists() else None
         live, dead, last = (held[0], held[1], held[2]) if held else (None, False, 0)
         begun = held is not None
@@ -110,9 +110,9 @@ class Rotation(StatefulProcessor):
         self.state.update((live, dead, last))
         self.handle.registerTimer(last + self.idle)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         held = self.state.get() if self.state.exists() else None
-        if held and held[2] + self.idle <= expired.getExpiryTimeInMs():
+        if held and held[2] + self.idle <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
             self.spent.clear()
         yield from ()
