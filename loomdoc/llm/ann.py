@@ -20,10 +20,10 @@ component in one order, and ranked.
 Of equal vectors the k + 1 with the least vec_id are kept as entries: no more of them can
 be among k neighbours, as ties go to the smaller vec_id.
 
-Nulls: vectors that are null, zero, of another length than most of the sample, or hold
+Nulls: vectors that are null, zero, of another length than most (of equally many the longest), or hold
 null or non-finite components take no part, as queries or candidates; nor do null
-vec_ids. Repeated rows of one vec_id and vector count once. An empty table gives an
-empty result.
+vec_ids. A vec_id stands for one vector: repeated rows count once, and of different vectors under one
+vec_id the least in the order of their components takes part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,18 +119,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
     spark = vectors.sparkSession
     v = valid(vectors, vec_id, embedding)
     none = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    # the sample: ids by hash from a scan of ids, then their vectors; at most SAMPLE rows reach the driver
-    sample = [r.v for r in v.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()]
-    if not sample:
+    most = v.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if most is None:
         return none
+    v = v.where(F.size("v") == most.dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    # by a hash of the id: at most SAMPLE rows reach the driver
+    sample = np.array([r.v for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
     n = v.count()
-    sizes = np.bincount([len(r) for r in sample])
-    dim = int(sizes.argmax())
-    books, share = fit(np.array([r for r in sample if len(r) == dim]), k, int(np.clip(np.sqrt(n / CELL), LEAST_CENTROIDS, MOST_CENTROIDS)))
-    v = v.where(F.size("v") == dim)
+    books, share = fit(sample, k, int(np.clip(np.sqrt(n / CELL), LEAST_CENTROIDS, MOST_CENTROIDS)))
     # one shuffle: rows lie by vector for both
     few = Window.partitionBy("v").orderBy("vec_id")
-    entries = v.withColumn("copy", F.dense_rank().over(few)).where(F.col("copy") <= k + 1).select("v", "vec_id").distinct().select("vec_id", "v")
+    entries = v.withColumn("copy", F.dense_rank().over(few)).where(F.col("copy") <= k + 1).select("v", "vec_id").select("vec_id", "v")
     shared = spark.sparkContext.broadcast(books)  # 2 x MOST_CENTROIDS half vectors
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +209,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
             return schema.empty_table()
         return pa.table([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], schema=schema)
 
-    queries = v.where(F.col("vec_id") % every == 0).distinct()
+    queries = v.where(F.col("vec_id") % every == 0)
     placed = entries.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("h")).mapInArrow(place, "shard int, vec_id bigint, v array<double>, cell int")
     probes = stash(queries.mapInArrow(probe, "shard int, query_id bigint, q array<double>, cells array<int>"), "ann-probes")
     per = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBES).cast("int").alias("parts"))  # a row for each shard

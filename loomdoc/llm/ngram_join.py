@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, hashed_words, release, row_key, stash, text_slices, to_batch, unpacked, unused
+from .common import discard, gram_hashes, hashed_words, row_key, stash, text_slices, to_batch, unpacked, unused
 from .components import components
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
@@ -361,7 +361,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
         if not same.any():
             break
         pairs.append(v[:-k][same] * m + v[k:][same])
-    both = np.bincount(np.concatenate(pairs), minlength=m * m).reshape(m, m).astype(np.float32)
+    both = np.bincount(np.concatenate(pairs), minlength=m * m).reshape(m, m).astype(np.int64)
     both += both.T
     many = per > SHARED
     if many.any():
@@ -371,7 +371,8 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
             lo, hi = np.searchsorted(column, [at, at + COLUMNS])
             x = np.zeros((m, min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
             x[v[lo:hi], column[lo:hi] - at] = 1
-            both += x @ x.T
+            # COLUMNS at most, so exact
+            both += (x @ x.T).astype(np.int64)
     return both
 
 
@@ -399,10 +400,14 @@ def meeting(block: Block) -> list[tuple[int, int, int]]:
     return connecting(block.ids, pairs)
 
 
+def similar(n: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Which sets of sizes n are linked that share so many tokens, in whole numbers."""
+    return (both > 0) & (100 * both >= PERCENT * (n[:, None] + n[None, :] - both))
+
+
 def linked(block: Block) -> list[tuple[int, int, int]]:
     """For in_blocks, over whole sets: (node, node, number of links) of each node, and pairs that connect what is linked."""
-    n, both = np.array(block.sizes, np.float32), shared_counts(block.sets)
-    table = (both > 0) & (100 * both >= PERCENT * (n[:, None] + n[None, :] - both)) & block.across()
+    table = similar(np.array(block.sizes, np.int64), shared_counts(block.sets)) & block.across()
     return [(i, i, c) for i, c in zip(block.ids, table.sum(1).tolist(), strict=True) if c] + connecting(block.ids, table)
 
 
@@ -441,7 +446,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Clas
     found = stash(in_blocks(group, nodes.select("id", "z"), sets_of, linked), "ngram-linked")
     labels = labelled(None, found.where("n = 0").select("a", "b"))
     n_links = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-    release(docs.sparkSession, settle=2)
     return Classes(nodes.drop("z", "tokens", "seen"), labels.join(n_links, "id", "left"), docs.select("doc_id", "same", "key"))
 
 

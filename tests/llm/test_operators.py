@@ -277,6 +277,16 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_ann_of_one_id_with_several_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    least = {0: min(x[0].tolist(), x[50].tolist()), 7: min(x[7].tolist(), x[51].tolist())}
+    got = ann.search(spark.createDataFrame([*rows, (0, x[50].tolist()), (7, x[51].tolist())], "vec_id bigint, embedding array<double>"), k=5)
+    want = ann.search(spark.createDataFrame([(i, least.get(i, v)) for i, v in rows], "vec_id bigint, embedding array<double>"), k=5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 15
+
+
 def test_ann_walk_is_by_sum():
     rng = np.random.default_rng(1)
     books = (rng.normal(size=(6, 3)), rng.normal(size=(6, 3)))
@@ -385,6 +395,22 @@ def link_counts(rows: list[tuple]) -> list[int]:
     return [len({u for (_, u, _), y in zip(rows, s, strict=True) if u != t and y and 100 * len(x & y) >= 80 * len(x | y)}) if x else 0 for (_, t, _), x in zip(rows, s, strict=True)]
 
 
+def test_links_of_millions_of_shingles_are_exact():
+    r = random.Random(4)
+    for n in (2_700_000, 3_000_000, 40_000_000):
+        m = n + r.randrange(1000)
+        edge = -(-80 * (n + m) // 180)
+        for i in (edge - 2, edge - 1, edge, edge + 1):
+            got = ngram_join.similar(np.array([n, m]), np.array([[n, i], [i, m]]))
+            assert got[0, 1] == got[1, 0] == (100 * i >= 80 * (n + m - i))
+    n = 3_000_000
+    for i in (-(-80 * 2 * n // 180), -(-80 * 2 * n // 180) - 1):
+        b = ngram_join.Block()
+        for node, first in ((1, 0), (2, n - i)):
+            b.add(node, 1, n, 0, np.arange(first, first + n).astype(np.uint64))
+        assert bool(ngram_join.linked(b)) == (100 * i >= 80 * (2 * n - i))
+
+
 @pytest.mark.parametrize("block", [512, 7])
 def test_ngram_links_inside_a_component(spark, monkeypatch, block):
     r = random.Random(9)
