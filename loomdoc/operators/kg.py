@@ -7,8 +7,9 @@ all of them, with Unicode classes.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,8 +38,26 @@ CONFIDENCE = {"keyword": 0.5, "glossary": 0.2, "identifier": 0.7, "error_table":
 
 #: What the patterns find: the fields of a candidate that its text alone gives.
 FOUND = "name string, entity_type string, confidence double, extraction_method string, justification_span array<int>, context_anchor_matched boolean"
-_KEYWORDS = {k: re.compile(rf"\b{k}\b", re.IGNORECASE) for k in KEYWORDS}
-_SOME_KEYWORD = re.compile("|".join(KEYWORDS), re.IGNORECASE)
+
+
+class Words:
+    """A dictionary of keywords and their entity types, and its stamp: equal dictionaries have equal stamps."""
+
+    def __init__(self, types: dict[str, str]):
+        self.types = dict(types)
+        self.patterns = {k: re.compile(rf"\b{k}\b", re.IGNORECASE) for k in self.types}
+        self.some = re.compile("|".join(self.types) or "(?!)", re.IGNORECASE)
+        rules = [PATTERNS_VERSION, *sorted(f"{k}={t}" for k, t in self.types.items())]
+        self.stamp = hashlib.sha256("\n".join(rules).encode()).hexdigest()
+
+    def changed(self, before: Words) -> list[str]:
+        """The keywords that one of two dictionaries has and the other has not, or has as another type."""
+        return sorted(k for k in {*self.types, *before.types} if self.types.get(k) != before.types.get(k))
+
+
+#: Goes up when a pattern or a confidence changes: all elements are then stale.
+PATTERNS_VERSION = "1"
+WORDS = Words(KEYWORDS)
 _IDENTIFIERS = tuple(
     (re.compile(pattern), kind, method)
     for pattern, kind, method in ((SENSOR_TH, "Sensor", "regex_sensor_id"), (SENSOR_RT, "Sensor", "regex_sensor_id_daikin"), (CONNECTOR, "Connector", "regex_connector_id"), (TERMINAL, "Terminal", "regex_terminal_id"))
@@ -46,7 +65,7 @@ _IDENTIFIERS = tuple(
 _ANCHOR, _MAIN, _SUB = re.compile(ANCHOR, re.IGNORECASE), re.compile(ERROR_MAIN), re.compile(ERROR_SUB)
 
 
-def found_in(text: str | None, kind: str | None, path: list | None, vlm: bool) -> Iterator[tuple]:
+def found_in(text: str | None, kind: str | None, path: list | None, vlm: bool, words: Words = WORDS) -> Iterator[tuple]:
     """The candidates of one text in emission order: keywords, TH, R#T, CN, X#M, main codes, sub-codes. VLM texts have no spans.
 
     A keyword's name is the dictionary's spelling, its span that of its first match.
@@ -58,10 +77,10 @@ def found_in(text: str | None, kind: str | None, path: list | None, vlm: bool) -
     def span(m: re.Match) -> list[int] | None:
         return None if vlm else [m.start(), m.end()]
 
-    hits = [(k, m) for k, p in _KEYWORDS.items() if (m := p.search(text))] if _SOME_KEYWORD.search(text) else []
+    hits = [(k, m) for k, p in words.patterns.items() if (m := p.search(text))] if words.some.search(text) else []
     base = CONFIDENCE["glossary" if len(hits) > GLOSSARY_OVER else "keyword"]
     for k, m in hits:
-        yield k, KEYWORDS[k], base, "dict_keyword" + suffix, span(m), None
+        yield k, words.types[k], base, "dict_keyword" + suffix, span(m), None
     for pattern, entity_type, method in _IDENTIFIERS:
         for m in pattern.finditer(text):
             yield m[0], entity_type, CONFIDENCE["identifier"], method + suffix, span(m), None
@@ -79,10 +98,20 @@ def found_type() -> pa.DataType:
     return pa.list_(pa.struct([("name", pa.string()), ("entity_type", pa.string()), ("confidence", pa.float64()), ("extraction_method", pa.string()), ("justification_span", pa.list_(pa.int32())), ("context_anchor_matched", pa.bool_())]))
 
 
-def _find_all(kinds: pa.Array, texts: pa.Array, descriptions: pa.Array, paths: pa.Array) -> pa.Array:
-    names = [f.name for f in found_type().value_type]
-    rows = zip(*(c.to_pylist() for c in (kinds, texts, descriptions, paths)), strict=True)
-    return pa.array([[dict(zip(names, x, strict=True)) for x in (*found_in(d, k, p, True), *found_in(t, k, p, False))] for k, t, d, p in rows], found_type())
+def finder(words: Words) -> Callable[..., pa.Array]:
+    """The candidates of a column of texts, as columns."""
+
+    def find_all(kinds: pa.Array, texts: pa.Array, descriptions: pa.Array, paths: pa.Array) -> pa.Array:
+        ends, rows = [0], []
+        for k, t, d, p in zip(*(c.to_pylist() for c in (kinds, texts, descriptions, paths)), strict=True):
+            rows += found_in(d, k, p, True, words)
+            rows += found_in(t, k, p, False, words)
+            ends.append(len(rows))
+        fields = list(found_type().value_type)
+        columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields))
+
+    return find_all
 
 
 def connections(listed: Column) -> Column:
@@ -92,7 +121,7 @@ def connections(listed: Column) -> Column:
     return F.filter(pairs, lambda p: (p["subject"] != "") & (p["object"] != ""))
 
 
-def extract(elements: DataFrame) -> DataFrame:
+def extract(elements: DataFrame, words: Words = WORDS) -> DataFrame:
     """Elements with entities and relations (arrays, empty where there are none); candidates() leaves out elements with neither.
 
     Visual candidates come first. elements: document_id, element_id, page_number,
@@ -101,7 +130,7 @@ def extract(elements: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     none, element, page = F.lit(None), F.col("element_id").cast("bigint"), F.col("page_number").cast("bigint")
     # made here, not at import: workers import this module without a session
-    found = F.arrow_udf(_find_all, f"array<struct<{FOUND.replace(' ', ':').replace(',:', ',')}>>")
+    found = F.arrow_udf(finder(words), f"array<struct<{FOUND.replace(' ', ':').replace(',:', ',')}>>")
     found = found(F.col("element_type"), F.col("text"), F.col("description"), F.coalesce("section_path", empty))
 
     def whole(name: Column, kind: Column, confidence: Column, method: Column, span: Column, anchor: Column) -> Column:
@@ -167,3 +196,22 @@ def rollup(entities: DataFrame) -> DataFrame:
     )
     pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), ", ")
     return g.withColumn("content_text", F.concat("name", F.lit(" ("), "entity_type", F.lit(") — referenced on page(s) "), pages, F.lit("."))).withColumn("page_start", F.element_at("pages", 1)).withColumn("page_end", F.element_at("pages", -1))
+
+
+def stale(stored: DataFrame, words: Words, known: list[Words]) -> Column:
+    """Whether an element's stored candidates may differ under words: those without a stamp or with an unknown one, and those in whose text or description a changed keyword stands. stored: text, description, kg_stamp; known: the dictionaries of earlier runs."""
+    flag = ~F.coalesce(F.col("kg_stamp").isin(words.stamp, *(w.stamp for w in known)), F.lit(False))
+    for before in known:
+        if changed := words.changed(before):
+            pattern = "(?iU)\\b(?:" + "|".join(changed) + ")\\b"
+            hit = F.coalesce(F.col("text").rlike(pattern), F.lit(False)) | F.coalesce(F.col("description").rlike(pattern), F.lit(False))
+            flag |= (F.col("kg_stamp") == before.stamp) & hit
+    return F.coalesce(flag, F.lit(True))
+
+
+def reextract(stored: DataFrame, words: Words, known: list[Words]) -> DataFrame:
+    """stored with the candidates of stale elements made anew and `extracted` telling which; all others keep theirs, and take the new stamp. stored: what extract() takes, with entities, relations and kg_stamp."""
+    rows = stored.withColumn("_stale", stale(stored, words, known))
+    kept = rows.where(~F.col("_stale")).drop("_stale").withColumn("extracted", F.lit(False))
+    again = extract(rows.where("_stale").drop("_stale", "entities", "relations"), words).withColumn("extracted", F.lit(True))
+    return kept.unionByName(again).withColumn("kg_stamp", F.lit(words.stamp))

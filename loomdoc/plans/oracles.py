@@ -263,3 +263,26 @@ ORACLES |= {
  SELECT CAST(doc_id AS VARCHAR) || '.pdf' AS filename, CAST(pages AS BIGINT) AS page_count, coalesce(known, made) AS document_id, known IS NULL AS created FROM f LEFT JOIN k USING (h) LEFT JOIN n USING (h)""",
     "element_hash_paths": base(ELEMENTS, PATHS) + "SELECT document_id, count(DISTINCT (element_type, text, path, page_number)) AS n_distinct FROM st GROUP BY document_id",
 }
+
+#: BM25 in whole numbers: postings (sc) of documents, terms of benchmark items (qt).
+BM25 = """WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts FROM documents),
+ av AS (SELECT avg(len(ts)) AS avgdl, count(*) AS n_docs FROM t),
+ tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ sc AS (SELECT id, term, CAST(floor(1000000.0::DOUBLE * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS BIGINT) AS s FROM tf JOIN df USING (term), av),
+ qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+ lx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, CAST(sum(s) AS BIGINT) AS score FROM qt JOIN sc USING (term) GROUP BY ALL) WHERE score > 0)"""
+SECTIONS = """se AS (SELECT document_id, p AS path, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_chars FROM (SELECT document_id, length(body) AS n, path, unnest(list_transform(generate_series(1, len(path)), lambda i: path[1:i])) AS p FROM ch WHERE len(path) > 0) GROUP BY ALL)"""
+ORACLES |= {
+    "bm25_topk": BM25 + " SELECT query_id, id, score, rank FROM lx WHERE rank <= 10",
+    "bm25_short_topk": BM25 + " SELECT term, id, score, rank FROM (SELECT term, id, s AS score, row_number() OVER (PARTITION BY term ORDER BY s DESC, id) AS rank FROM sc WHERE s > 0 AND term IN (SELECT term FROM qt)) WHERE rank <= 10",
+    "hybrid_topk": BM25 + """,
+ e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT item_id AS query_id, e.id, round(list_cosine_similarity(e.v, q.v), 9) AS score FROM benchmark JOIN e q ON q.id = item_id, e)),
+ fu AS (SELECT query_id, id, CAST(sum(1000000000000 // (60 + rank)) AS BIGINT) AS score FROM (SELECT query_id, id, rank FROM lx WHERE rank <= 30 UNION ALL SELECT query_id, id, rank FROM dn WHERE rank <= 30) GROUP BY ALL)
+ SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fu) WHERE rank <= 10""",
+    "container_sections": base(ELEMENTS, PATHS, FOLD, CHUNKS, SECTIONS) + "SELECT document_id, array_to_string(path, '>') AS path, array_to_string(path[1:len(path) - 1], '>') AS parent, len(path) AS level, n_chunks, n_chars, n_chars <= 1500 AS fits FROM se",
+    "container_assignment": base(ELEMENTS, PATHS, FOLD, CHUNKS, SECTIONS) + """SELECT c.document_id, CAST(c.chunk AS BIGINT) AS chunk_no, coalesce(array_to_string(arg_min(s.path, len(s.path)), '>'), '') AS container
+ FROM ch c LEFT JOIN se s ON s.document_id = c.document_id AND s.n_chars <= 1500 AND c.path[1:len(s.path)] = s.path GROUP BY ALL""",
+    "stale_elements": base(ELEMENTS, PATHS, ENTITIES) + "SELECT e.document_id, e.element_id, e.element_id % 10 = 3 OR regexp_matches(coalesce(e.text, '') || ' | ' || coalesce(e.description, ''), '(?i)\\bmuffler\\b') AS extracted, coalesce(n, 0) AS n_entities, true AS stamped FROM el e LEFT JOIN (SELECT element_id, count(*) AS n FROM en GROUP BY 1) USING (element_id)",
+}

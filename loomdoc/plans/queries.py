@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import canonical, cascade, chunking, collection, graph, kg, ledger, probe, rbac, sampling, sessions, store, structure, tables, vectors
+from ..operators import canonical, cascade, chunking, collection, containers, graph, hybrid, kg, ledger, probe, rbac, sampling, sessions, store, structure, tables, vectors
 from ..sources import files, manual, runs
 from ..sources.objects import Objects
 from ..streaming import ingest
@@ -920,3 +920,74 @@ def element_hash_paths(spark: SparkSession, d: str) -> DataFrame:
     e = structure.heading_paths(manual.elements(spark, d))
     h = tx.element_hash(F.col("element_type"), F.col("text"), F.col("section_path"), F.col("page_number"), F.lit("docling"))
     return e.select("document_id", h.alias("h")).groupBy("document_id").agg(F.countDistinct("h").alias("n_distinct"))
+
+
+# search, containers, second extractions
+
+
+def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(postings as written, their maxima, the number of documents, the terms of each benchmark item)."""
+    docs = manual.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    at = runs.workspace(spark, "postings")
+    hybrid.write(hybrid.postings(docs), at)
+    rows = spark.read.schema("term string, id bigint, r double, band int").parquet(at)
+    asked = manual.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(hybrid.terms_of(F.col("text")))).alias("term"))
+    return rows, hybrid.maxima(rows), docs.agg(F.count(F.lit(1)).alias("n_docs")), asked
+
+
+@query
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents of each benchmark item by BM25, from the bands that can hold them."""
+    rows, bands, n, asked = indexed(spark, d)
+    return hybrid.lexical(rows, bands, asked, n, 10).select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def bm25_short_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents of each term of a benchmark item by itself."""
+    rows, bands, n, asked = indexed(spark, d)
+    one = asked.select("term").distinct().select(F.col("term").alias("query_id"), "term")
+    return hybrid.lexical(rows, bands, one, n, 10).select(F.col("query_id").alias("term"), "id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def bm25_share_read(spark: SparkSession, d: str) -> DataFrame:
+    """How many postings of the queries' terms a search reads, whole items and single terms: the read ones never exceed the whole."""
+    _, bands, n, asked = indexed(spark, d)
+    one = asked.select("term").distinct().select(F.col("term").alias("query_id"), "term")
+    out = lambda kind, a: hybrid.wanted(a, bands, n, 10).agg(F.sum("n").alias("n_postings"), F.sum(F.when(F.col("needed"), F.col("n"))).alias("n_read")).select(F.lit(kind).alias("queries"), "n_postings", "n_read")
+    return out("items", asked).unionByName(out("terms", one))
+
+
+@query
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal-rank fusion of BM25 and of the cosine to the vector of the item's number."""
+    rows, bands, n, asked = indexed(spark, d)
+    p = points(spark, d).select("id", "dense")
+    vectors_ = manual.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(p.select(F.col("id").alias("query_id"), F.col("dense").alias("vector")), "query_id")
+    both = hybrid.fused(hybrid.lexical(rows, bands, asked, n, 30), hybrid.dense(p, vectors_, 30), k=10)
+    return both.select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def container_sections(spark: SparkSession, d: str) -> DataFrame:
+    tree = containers.sections(chunking.build(structured(spark, d)), 1500)
+    return tree.select("document_id", joined("section_path").alias("path"), F.coalesce(joined("parent_path"), F.lit("")).alias("parent"), F.col("level").cast("bigint").alias("level"), "n_chunks", F.col("n_chars").cast("bigint").alias("n_chars"), "fits")
+
+
+@query
+def container_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """The widest section around each chunk that fits the budget."""
+    chunks = chunking.build(structured(spark, d))
+    out = containers.assigned(chunks, containers.sections(chunks, 1500))
+    return out.select("document_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.coalesce(joined("container_path"), F.lit("")).alias("container"))
+
+
+@query
+def stale_elements(spark: SparkSession, d: str) -> DataFrame:
+    """A second extraction with one keyword more: its elements alone are read again, and all have what a whole extraction gives."""
+    before = kg.Words({k: t for k, t in kg.KEYWORDS.items() if k != "muffler"})
+    e = visual(structure.heading_paths(manual.elements(spark, d)))
+    stored = kg.extract(e, before).withColumn("kg_stamp", F.when(F.col("element_id") % 10 != 3, F.lit(before.stamp)))
+    out = kg.reextract(stored, kg.WORDS, [before])
+    return out.select("document_id", "element_id", "extracted", F.size("entities").cast("bigint").alias("n_entities"), (F.col("kg_stamp") == kg.WORDS.stamp).alias("stamped"))
