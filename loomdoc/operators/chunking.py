@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import chunk_hash
 from ..schemas import CHUNK, STEPS
+from ..sources import runs
 from . import tables
 
 SOFT_LIMIT = 2000
@@ -23,7 +27,8 @@ class Chunk:
     kind: str
     path: tuple
     page: int
-    text: str = ""
+    parts: list = field(default_factory=list)
+    size: int = 0
     ids: list = field(default_factory=list)
     end: int = 0
     steps: list = field(default_factory=list)
@@ -31,12 +36,26 @@ class Chunk:
     image_uri: str | None = None
     description: str | None = None
 
+    def begin(self, text: str) -> None:
+        """The text of a chunk that stands alone, as it is."""
+        self.parts = [text] if text else []
+
     def add(self, element_id: int, page: int, text: str | None) -> None:
+        """One element more; white space goes from both ends of what has gathered, at every step."""
         if text:
-            self.text = f"{self.text}\n{text}".strip()
+            if len(self.parts) == 1:
+                self.parts = [self.parts[0].strip()] if self.parts[0].strip() else []
+            more = text.rstrip() if self.parts else text.strip()
+            if more:
+                self.size += len(more) + bool(self.parts)
+                self.parts.append(more)
         self.ids.append(element_id)
         self.end = page
 
+    @property
+    def text(self) -> str:
+        return "\n".join(self.parts)
+
 
 def fold(rows: list[dict]) -> list[Chunk]:
     """The chunks of one document's elements in reading order.
@@ -62,7 +81,7 @@ def fold(rows: list[dict]) -> list[Chunk]:
         elif kind in ("table", "figure"):
             # alone in its chunk, so its text stays as it is
             chunk, text, procedure = begin(kind, path, page), None, None
-            chunk.text = own or (r["description"] if kind == "figure" else "") or ""
+            chunk.begin(own or (r["description"] if kind == "figure" else "") or "")
             chunk.own_text, chunk.image_uri, chunk.description = own, r.get("image_uri"), r["description"]
             own = None
         elif kind == "list":
@@ -71,7 +90,7 @@ def fold(rows: list[dict]) -> list[Chunk]:
             chunk, text = procedure, None
             chunk.steps.append({"step_number": len(chunk.steps) + 1, "step_text": own or "", "element_id": r["element_id"]})
         elif kind in TEXT_KINDS:
-            if text is None or text.path != path or len(text.text) >= SOFT_LIMIT:
+            if text is None or text.path != path or text.size >= SOFT_LIMIT:
                 text = begin("text", path, page)
             chunk, procedure = text, None
         else:
@@ -85,23 +104,37 @@ NEEDED = ("document_id", "element_id", "seq", "element_type", "text", "page_numb
 BUCKETS = 256
 
 
-def _rows(pdf: pd.DataFrame) -> list[dict]:
-    rows = pdf.sort_values("seq").to_dict("records")
-    for r in rows:
-        r["parent_id"] = None if pd.isna(r["parent_id"]) else int(r["parent_id"])
-    return rows
-
-
 def build(elements: DataFrame) -> DataFrame:
-    """Structural chunks of every document; one document is one group (a manual has some thousand elements)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = pdf["document_id"].iloc[0]
-        out = [(doc, i, c.kind, list(c.path), c.page, c.end, c.text, c.ids, len(c.steps), c.steps, c.own_text, c.image_uri, c.description) for i, c in enumerate(fold(_rows(pdf)))]
-        return pd.DataFrame(out, columns=["document_id", "chunk_no", "chunk_type", "section_path", "page_start", "page_end", "content_text", "element_ids", "n_steps", "steps", "own_text", "image_uri", "description"])
+    """Structural chunks of every document. Elements stream by in order; one document's (a manual has some thousand) are held at a time."""
+    schema = to_arrow_schema(T.StructType.fromDDL(CHUNK))
+
+    def made(document: int, rows: list[dict]) -> list[tuple]:
+        return [(document, i, c.kind, list(c.path), c.page, c.end, c.text, c.ids, len(c.steps), c.steps, c.own_text, c.image_uri, c.description) for i, c in enumerate(fold(rows))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
+        for batch in batches:
+            names = batch.schema.names
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                r = dict(zip(names, values, strict=True))
+                if r["document_id"] != now:
+                    out += made(now, rows) if rows else []
+                    now, rows = r["document_id"], []
+                    if len(out) > 2000:
+                        yield to_batch(out, schema)
+                        out = []
+                rows.append(r)
+        out += made(now, rows) if rows else []
+        if out:
+            yield to_batch(out, schema)
 
     image = F.col("image_uri") if "image_uri" in elements.columns else F.lit(None).cast("string")
-    return elements.select(*NEEDED, image.alias("image_uri")).groupBy("document_id").applyInPandas(run, CHUNK)
+    ordered = elements.select(*NEEDED, image.alias("image_uri")).repartition("document_id").sortWithinPartitions("document_id", "seq")
+    return ordered.mapInArrow(run, CHUNK)
+
+
+def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def hashed(chunks: DataFrame) -> DataFrame:
@@ -142,6 +175,7 @@ def store(chunks: DataFrame, path: str) -> None:
     spark = chunks.sparkSession
     bucket = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
     out = hashed(with_content(chunks)).withColumn("embedding_status", F.lit("pending")).withColumn("vector_id", F.lit(None).cast("string")).withColumn("bucket", bucket)
+    aside = None
     try:
         stored = spark.read.parquet(path)
     except AnalysisException as e:  # the first store finds no table
@@ -150,7 +184,11 @@ def store(chunks: DataFrame, path: str) -> None:
     else:
         touched = out.select("bucket").distinct()
         kept = stored.join(F.broadcast(touched), "bucket", "left_semi").join(out.select("document_id").distinct(), "document_id", "left_anti")  # BUCKETS rows at most
-        # a folder cannot be read while it is written: what stays is kept aside first
-        kept.write.mode("overwrite").parquet(f"{path}.kept")
-        out = out.unionByName(spark.read.schema(stored.schema).parquet(f"{path}.kept").select(*out.columns))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        # a folder cannot be read while it is written: what stays is kept aside first, in a folder of this call's own
+        aside = runs.workspace(spark, "chunks-kept")
+        runs.write(kept, aside)
+        out = out.unionByName(spark.read.schema(stored.schema).parquet(aside).select(*out.columns))
+    # a folder's rows are written by one task, so that few files come of it
+    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if aside:
+        runs.remove(spark, aside)

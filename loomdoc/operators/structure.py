@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labels of the parser and the element types they stand for. Fixed values.
 LABELS = {
@@ -57,27 +58,32 @@ def confidence(kind: Column, table: Column, layout: Column, parse: Column, mean:
 def heading_paths(elements: DataFrame) -> DataFrame:
     """Each element's heading path: a heading with text cuts the path to its level - 1 and adds itself, for all that follow.
 
-    The headings of a document stream by in order, with the present path alone held;
-    elements take the last one by an ordered window.
+    One shuffle: the elements of a document stream by in order, with the present path alone held.
     """
-    heads = elements.where((F.col("element_type") == "heading") & (F.coalesce("text", F.lit("")) != ""))
+    elements = elements.drop("section_path")
+    head = (F.col("element_type") == "heading") & (F.coalesce("text", F.lit("")) != "")
     keep = F.greatest(F.coalesce(F.nullif("level", F.lit(0)), F.lit(1)) - 1, F.lit(0)).cast("int")
-    ordered = heads.select(F.col("document_id").cast("bigint"), F.col("seq").cast("bigint"), keep.alias("keep"), "text").repartition("document_id").sortWithinPartitions("document_id", "seq")
+    names, n = elements.columns, len(elements.columns)
+    ordered = elements.withColumn("_keep", F.when(head, keep)).repartition("document_id").sortWithinPartitions("document_id", "seq")
+    at, text = names.index("document_id"), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, path = None, []
         for batch in batches:
-            paths = []
-            for document, cut, text in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
-                path = [*(path[:cut] if document == now else ()), text]
-                now = document
-                paths.append(path)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.list_(pa.string()))], names=["document_id", "seq", "path"])
-
-    paths = ordered.mapInArrow(run, "document_id bigint, seq bigint, path array<string>")
-    joined = elements.join(paths, ["document_id", "seq"], "left")
-    upto = Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn("section_path", F.coalesce(F.last("path", ignorenulls=True).over(upto), F.array().cast("array<string>"))).drop("path")
+            documents, keeps = batch.column(at).to_pylist(), batch.column(n).to_pylist()
+            texts, paths, places = batch.column(text), [path], []
+            for i, (document, cut) in enumerate(zip(documents, keeps, strict=True)):
+                if document != now:
+                    now, path = document, []
+                    paths.append(path)
+                if cut is not None:
+                    path = [*path[:cut], texts[i].as_py()]
+                    paths.append(path)
+                places.append(len(paths) - 1)
+            own = pa.array(paths, pa.list_(pa.string())).take(pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], own], names=[*names, "section_path"])
+
+    return ordered.mapInArrow(run, T.StructType([*elements.schema.fields, T.StructField("section_path", T.ArrayType(T.StringType()))]))
 
 
 def icon_parents(elements: DataFrame) -> DataFrame:
