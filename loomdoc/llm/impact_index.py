@@ -55,24 +55,45 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), F.lit(PATTERN), F.lit(0))
 
 
+def plain_bytes(texts: pa.Array) -> tuple[np.ndarray, bytes]:
+    """(where each text begins and the last ends, all texts one after the other with what parts terms as spaces, A-Z in lower case)."""
+    t = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1]
+    raw = memoryview(t.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], bytes(raw).translate(PLAIN)
+
+
 def statistics(docs: DataFrame) -> tuple[int, int]:
     """(N, L) of docs (text)."""
-    own = docs.select(F.regexp_count("text", F.lit(PATTERN)).cast("bigint").alias("n"))
-    r = own.where("n > 0").agg(F.count("n"), F.sum("n")).first()
-    return r[0], r[1] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = total = 0
+        for batch in batches:
+            for _, texts in text_slices(batch.column(0)):
+                offsets, raw = plain_bytes(texts)
+                inside = np.frombuffer(raw, np.uint8) != 0x20
+                begins = inside.copy()
+                begins[1:] &= ~inside[:-1]
+                # a term does not run from one text into the next
+                first = offsets[:-1][np.diff(offsets) > 0]
+                begins[first] = inside[first]
+                n = np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets])
+                many, total = many + int((n > 0).sum()), total + int(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([many], pa.int64()), pa.array([total], pa.int64())], names=["many", "total"])
+
+    r = docs.select("text").mapInArrow(run, "many bigint, total bigint").agg(F.sum("many"), F.sum("total")).first()
+    return r[0] or 0, r[1] or 0
 
 
 def term_frequencies(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(document, code, tf) of each document's distinct terms, and the terms by code."""
-    t = pc.fill_null(texts, "").cast(pa.large_string())
-    offsets = np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1]
-    raw = memoryview(t.buffers()[2] or b"")[offsets[0] : offsets[-1]]
-    plain = pa.LargeStringArray.from_buffers(len(t), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(bytes(raw).translate(PLAIN)))
+    offsets, raw = plain_bytes(texts)
+    plain = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw))
     lists = pc.ascii_split_whitespace(plain)
     flat = lists.flatten()
     filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     d = flat.dictionary_encode()
-    owner = np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))[filled]
+    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))[filled]
     size = max(len(d.dictionary), 1)
     both, tf = np.unique(owner * size + d.indices.to_numpy()[filled], return_counts=True)
     return both // size, both % size, tf, d.dictionary.cast(pa.string())

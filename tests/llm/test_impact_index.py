@@ -87,6 +87,12 @@ def test_arithmetic_on_slices():
         assert sorted(impact_index.top(sliced(a), k)) == sorted(sorted(((i, n) for i, n in enumerate(a) if n), key=lambda x: (-x[1], x[0]))[:k])
 
 
+def test_statistics(spark):
+    rows = [*documents(), (1, "ab"), (2, "cd"), (3, "é"), (4, " x"), (5, "y ")]
+    bags = [len(terms(t)) for _, t in rows]
+    assert impact_index.statistics(spark.createDataFrame([(t,) for _, t in rows], "text string").coalesce(1)) == (sum(n > 0 for n in bags), sum(bags))
+
+
 def test_all_terms_are_indexed(spark):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in documents()], DOCS).repartition(2)
     index = impact_index.build(docs, impact_index.statistics(docs))
