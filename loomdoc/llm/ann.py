@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import stash, to_batch
 
 SAMPLE, QUERIES, ROUNDS, AIM = 20_000, 200, 6, 0.94
-CELL, LEAST_CENTROIDS, MOST_CENTROIDS = 2, 4, 1024
-SHARD, PROBES, EPSILON = 8192, 2048, 1e-9
+CELL, LEAST_CENTROIDS, MOST_CENTROIDS = 32, 4, 1024
+SHARD, PROBES, WALKS, EPSILON = 8192, 2048, 256, 1e-9
 
 
 def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -125,8 +125,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
     v = v.where(F.size("v") == most.dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     # by a hash of the id: at most SAMPLE rows reach the driver
     sample = np.array([r.v for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
-    n = v.count()
-    books, share = fit(sample, k, int(np.clip(np.sqrt(n / CELL), LEAST_CENTROIDS, MOST_CENTROIDS)))
+    n_vectors = v.count()
+    books, share = fit(sample, k, int(np.clip(np.sqrt(n_vectors / CELL), LEAST_CENTROIDS, MOST_CENTROIDS)))
     # one shuffle: rows lie by vector for both
     few = Window.partitionBy("v").orderBy("vec_id")
     entries = v.withColumn("copy", F.dense_rank().over(few)).where(F.col("copy") <= k + 1).select("v", "vec_id").select("vec_id", "v")
@@ -209,7 +209,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
             return schema.empty_table()
         return pa.table([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], schema=schema)
 
-    queries = v.where(F.col("vec_id") % every == 0)
+    # a task walks for about WALKS queries
+    queries = v.where(F.col("vec_id") % every == 0).repartition(-(-n_vectors // (every * WALKS)), "vec_id")
     placed = entries.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("h")).mapInArrow(place, "shard int, vec_id bigint, v array<double>, cell int")
     probes = stash(queries.mapInArrow(probe, "shard int, query_id bigint, q array<double>, cells array<int>"), "ann-probes")
     per = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBES).cast("int").alias("parts"))  # a row for each shard
