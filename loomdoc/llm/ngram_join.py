@@ -367,12 +367,17 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     if many.any():
         column, v = np.repeat(np.arange(count.size), count)[many], node[many]
         column = np.unique(column, return_inverse=True)[1]
-        for at in range(0, int(column[-1]) + 1, COLUMNS):
+        part = np.zeros((m, m), np.float32)
+        for i, at in enumerate(range(0, int(column[-1]) + 1, COLUMNS), 1):
             lo, hi = np.searchsorted(column, [at, at + COLUMNS])
             x = np.zeros((m, min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
             x[v[lo:hi], column[lo:hi] - at] = 1
-            # COLUMNS at most, so exact
-            both += (x @ x.T).astype(np.int64)
+            part += x @ x.T
+            # exact while a float tells whole numbers apart: up to 2^24 columns
+            if i * COLUMNS % (1 << 24) == 0:
+                both += part.astype(np.int64)
+                part[:] = 0
+        both += part.astype(np.int64)
     return both
 
 
