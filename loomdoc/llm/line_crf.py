@@ -7,10 +7,12 @@ side are never seen there, only in scoring. A document's score is the mean of it
 forward-backward marginals for "good", weighted by length.
 
 Training takes at most MAX_TRAIN labelled documents (chosen by a hash of doc_id) with
-crc32(doc_id as text) mod 3 other than 1, and of each at most MAX_LINES lines one after
-the other, from a place in the whole text that a hash of it gives. Tasks turn them into
-features, so the driver gets MAX_TRAIN x MAX_LINES rows of WIDTH numbers at most; scoring
-takes all lines of all documents. Only the text is an input of a score.
+crc32(doc_id as text) mod 3 other than 1, and of each all lines of the whole text. Tasks
+turn them into OWN numbers a line, so the driver gets those of MAX_TRAIN documents. The
+likelihood is that of pieces of PIECE lines, whose features still see the neighbours across
+a seam: long texts need no wide padding, and only the tie over each seam is left out.
+Scoring takes the whole chain of all lines of all documents. Only the text is an input of
+a score.
 
 Nulls: a null or empty text, or one without a word, gets the training sample's share of
 good documents; a null doc_id is not held out and not trained on. Labels that are null
@@ -21,7 +23,6 @@ every score is 0.5. Repeated rows give a row each; an empty table gives an empty
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-MAX_TRAIN, MAX_LINES, STEPS, L2 = 3000, 40, 150, 1e-4
+#: Documents of the training sample; lines of a piece in training; steps and damping of the fit.
+MAX_TRAIN, PIECE, STEPS, L2 = 3000, 40, 150, 1e-4
 SIGNS = "#*$%&|<>!"
 OWN = 9
 #: own features, those of the line before and after, whether there is one, bias
@@ -54,8 +56,8 @@ def own_features(line: str, words: list[str], again: bool) -> list[float]:
     ]
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x WIDTH features, line lengths) of the lines that have a word."""
+def own_lines(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(lines x OWN features, line lengths) of the lines that have a word."""
     own, sizes = [], []
     seen: set[str] = set()
     for line in text.split("\n") if text else ():
@@ -64,14 +66,23 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             own.append(own_features(line, words, line in seen))
             seen.add(line)
             sizes.append(len(line))
-    x = np.zeros((len(own), WIDTH))
-    if own:
-        o = np.array(own)
-        x[:, :OWN] = o
-        x[1:, OWN : 2 * OWN], x[1:, 3 * OWN] = o[:-1], 1
-        x[:-1, 2 * OWN : 3 * OWN], x[:-1, 3 * OWN + 1] = o[1:], 1
-        x[:, -1] = 1
-    return x, np.array(sizes, float)
+    return np.array(own).reshape(-1, OWN), np.array(sizes, float)
+
+
+def with_neighbours(o: np.ndarray) -> np.ndarray:
+    """lines x WIDTH features from the lines' own."""
+    x = np.zeros((len(o), WIDTH))
+    x[:, :OWN] = o
+    x[1:, OWN : 2 * OWN], x[1:, 3 * OWN] = o[:-1], 1
+    x[:-1, 2 * OWN : 3 * OWN], x[:-1, 3 * OWN + 1] = o[1:], 1
+    x[:, -1] = 1
+    return x
+
+
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(lines x WIDTH features, line lengths) of the lines that have a word."""
+    own, sizes = own_lines(text)
+    return with_neighbours(own), sizes
 
 
 def marginals(scores: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -92,8 +103,8 @@ def marginals(scores: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return odds / (1 + odds)
 
 
-def gradient(x: np.ndarray, mask: np.ndarray, y: np.ndarray, w: np.ndarray, pair: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Mean log-likelihood of chains whose lines all have label y, and its gradient. x: docs x lines x WIDTH, padded; mask: docs x lines."""
+def gradient(x: np.ndarray, mask: np.ndarray, y: np.ndarray, w: np.ndarray, pair: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted log-likelihood of chains whose lines all have label y, and its gradient. x: chains x lines x WIDTH, padded; mask: chains x lines; weight: of each chain, or their mean a line."""
     d, n, _ = x.shape
     s = x @ w
     node = np.stack([np.zeros_like(s), s], -1)
@@ -112,40 +123,43 @@ def gradient(x: np.ndarray, mask: np.ndarray, y: np.ndarray, w: np.ndarray, pair
     good = np.exp(a[:, :, 1] + b[:, :, 1] - z[:, None]) * mask
     steps = mask[:, 1:].sum(1)
     own = np.where(y == 1, (s * mask).sum(1), 0) + steps * pair[y, y]
-    # each document counts once, however many lines it has
-    per = 1 / mask.sum(1)
-    dw = np.einsum("dn,dnk->k", (y[:, None] * mask - good) * per[:, None], x) / d
+    per = 1 / mask.sum(1) / d if weight is None else weight
+    dw = np.einsum("dn,dnk->k", (y[:, None] * mask - good) * per[:, None], x)
     dp = np.zeros((2, 2))
     for i in (0, 1):
         for j in (0, 1):
             both = np.exp(a[:, :-1, i] + pair[i, j] + node[:, 1:, j] + b[:, 1:, j] - z[:, None]) * mask[:, 1:]
-            dp[i, j] = ((np.where((y == i) & (y == j), steps, 0) - both.sum(1)) * per).mean()
-    return float(((own - z) * per).mean()), dw, dp
+            dp[i, j] = ((np.where((y == i) & (y == j), steps, 0) - both.sum(1)) * per).sum()
+    return float(((own - z) * per).sum()), dw, dp
 
 
-def stretch(text: str) -> np.ndarray:
-    """The features of the lines to train on: MAX_LINES of the text at most, one after the other."""
-    x = line_features(text)[0]
-    at = zlib.crc32(text.encode()) % (len(x) - MAX_LINES + 1) if len(x) > MAX_LINES else 0
-    return x[at : at + MAX_LINES]
+def pieces(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces x lines x WIDTH features, padded; which lines are there; the chain of each piece; its weight) of all lines of the chains, each of which counts once however long it is."""
+    at = [(i, k) for i, o in enumerate(chains) for k in range(0, len(o), PIECE)]
+    n = min(PIECE, max(map(len, chains)))
+    x, mask = np.zeros((len(at), n, WIDTH)), np.zeros((len(at), n), bool)
+    whole, last = np.empty((0, WIDTH)), -1
+    for j, (i, k) in enumerate(at):
+        if i != last:
+            whole, last = with_neighbours(chains[i]), i
+        part = whole[k : k + PIECE]
+        x[j, : len(part)], mask[j, : len(part)] = part, True
+    chain = np.array([i for i, _ in at])
+    return x, mask, chain, 1 / (np.array([len(o) for o in chains])[chain] * len(chains))
 
 
 def train(chains: list[np.ndarray], labels: list[int]) -> dict:
-    """Weights, transitions and the share of good documents, by Adam on the padded chains; runs agree."""
+    """Weights, transitions and the share of good documents, by Adam on the pieces of the chains (lines x OWN); runs agree."""
     share = float(np.mean(labels)) if labels else 0.5
-    docs = [(x, y) for x, y in zip(chains, labels, strict=True) if len(x)]
+    docs = [(o, y) for o, y in zip(chains, labels, strict=True) if len(o)]
     if len({y for _, y in docs}) < 2:
         return {"w": np.zeros(WIDTH), "pair": np.zeros((2, 2)), "share": share, "prior": share}
-    n = max(len(x) for x, _ in docs)
-    x = np.zeros((len(docs), n, WIDTH))
-    mask = np.zeros((len(docs), n), bool)
-    for i, (f, _) in enumerate(docs):
-        x[i, : len(f)], mask[i, : len(f)] = f, True
-    y = np.array([y for _, y in docs])
+    x, mask, chain, weight = pieces([o for o, _ in docs])
+    y = np.array([y for _, y in docs])[chain]
     theta = np.zeros(WIDTH + 4)
     m = v = np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        _, dw, dp = gradient(x, mask, y, theta[:WIDTH], theta[WIDTH:].reshape(2, 2))
+        _, dw, dp = gradient(x, mask, y, theta[:WIDTH], theta[WIDTH:].reshape(2, 2), weight)
         g = np.concatenate([dw, dp.ravel()]) - L2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -174,10 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def make(ids: list, texts: list, ys: list) -> Iterator[tuple]:
         for i, t, y in zip(ids, texts, ys, strict=True):
-            yield i, y, stretch(t).ravel()
+            yield i, y, own_lines(t)[0].ravel()
 
     found = map_rows(rows.select("id", "text", "y"), schema, "id bigint, y int, x array<double>", make).toArrow().sort_by("id")
-    return train([np.array(x.as_py()).reshape(-1, WIDTH) for x in found.column("x")], found.column("y").to_pylist())
+    return train([np.array(x.as_py()).reshape(-1, OWN) for x in found.column("x")], found.column("y").to_pylist())
 
 
 def score_documents(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -516,11 +516,17 @@ def test_crf_scores_by_enumeration(spark):
         assert got[i][0].score == pytest.approx(float((want / z * weights).sum() / weights.sum())) and got[i][0].n_lines == len(sizes)
 
 
-def test_crf_trains_on_a_stretch_of_the_whole_text():
-    text = "\n".join(f"line {i} of the text" for i in range(200))
-    x, whole = line_crf.stretch(text), line_crf.line_features(text)[0]
-    at = zlib.crc32(text.encode()) % (200 - line_crf.MAX_LINES + 1)
-    assert len(x) == line_crf.MAX_LINES and (x == whole[at : at + line_crf.MAX_LINES]).all() and at > 0
+def test_crf_trains_on_all_lines_of_the_whole_text():
+    rng = np.random.default_rng(5)
+    chains = [rng.normal(size=(n, line_crf.OWN)) for n in (200, 1, 40, 41)]
+    x, mask, chain, weight = line_crf.pieces(chains)
+    for i, o in enumerate(chains):
+        assert (x[chain == i][mask[chain == i]] == line_crf.with_neighbours(o)).all()
+        assert (weight[chain == i] * mask[chain == i].sum(1)).sum() == pytest.approx(1 / len(chains))
+    # a chain of one piece has the likelihood of the whole chain
+    w, pair = rng.normal(size=line_crf.WIDTH), rng.normal(size=(2, 2))
+    one = line_crf.with_neighbours(chains[2])[None]
+    assert line_crf.gradient(one, np.ones((1, 40), bool), np.array([1]), w, pair)[0] == pytest.approx(line_crf.gradient(*line_crf.pieces(chains[2:3])[:2], np.array([1]), w, pair, np.array([1 / 40]))[0])
 
 
 def test_licence_labels_by_brute_force(spark):
