@@ -1,4 +1,9 @@
-"""Connected components by alternating large and small stars, on tables alone."""
+"""Connected components by alternating large and small stars, on tables alone.
+
+Nulls: a link with a null end links nothing. Repeated links and links of a key with itself
+change nothing; no links give no rows. The stars are repeated until they stand still,
+however often that takes.
+"""
 
 from __future__ import annotations
 
@@ -28,18 +33,13 @@ def mark(e: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """key, root of every node that has a link: the least key that it reaches. links: a, b."""
     e = stash(links.where("a <> b").select("a", "b").distinct(), "components")
-    last = mark(e)
-    for _ in range(rounds):
+    last, now = None, mark(e)
+    while now != last:
         before, e = e, stash(small_star(large_star(e)), "components")
         discard(before)
-        now = mark(e)
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError("the components did not settle")
+        last, now = now, mark(e)
     roots = e.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(roots)
