@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, shared_dir, spread, text_slices
+from .common import shared_dir, spread, text_slices
 
 #: Pre-tokens a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 64
@@ -176,13 +176,30 @@ def encoder(path: str) -> Encoder:
 
 
 def train(docs: DataFrame, path: str, doc_id: str, text: str, end: int) -> bytes:
-    """The shared dictionary, from the packed ids of SAMPLE_DOCS documents chosen by a hash of their doc_id; empty where that is too little."""
+    """The shared dictionary, from packed ids of SAMPLE_DOCS documents, chosen by a hash of their doc_id (of one doc_id's texts the least); empty where that is too little.
+
+    A document gives all its ids, or SAMPLE_IDS of them one after the other, from a place
+    that a hash of its text gives. Tasks encode the whole texts; the driver gets the ids.
+    """
     # the ids come from a scan of one column; then one filtered scan fetches at most SAMPLE_DOCS texts
-    chosen = docs.select(F.col(doc_id).alias("i")).orderBy(F.xxhash64("i"), "i").limit(SAMPLE_DOCS)
-    at = [r.i for r in chosen.collect() if r.i is not None]
-    texts = docs.where(F.col(doc_id).isin(at)).select(F.substring(text, 1, 8 * SAMPLE_IDS)).limit(2 * SAMPLE_DOCS).collect() if at else []
-    enc = encoder(path)
-    samples = sorted(x[: enc.width * SAMPLE_IDS] for x in enc.encode(pa.array([r[0] for r in texts], pa.string()), end))
+    chosen = docs.select(F.col(doc_id).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(SAMPLE_DOCS)
+    at = [r.i for r in chosen.collect()]
+    if not at:
+        return b""
+    texts = docs.where(F.col(doc_id).isin(at)).groupBy(doc_id).agg(F.min(text).alias("text")).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            for _, some in text_slices(batch.column(0)):
+                out = []
+                for t, packed in zip(some.to_pylist(), enc.encode(some, end), strict=True):
+                    spare = len(packed) // enc.width - SAMPLE_IDS
+                    begin = zlib.crc32((t or "").encode()) % (spare + 1) * enc.width if spare > 0 else 0
+                    out.append(packed[begin : begin + enc.width * SAMPLE_IDS])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+
+    samples = sorted(bytes(r.ids) for r in texts.mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -236,7 +253,6 @@ def write(docs: DataFrame, path: str, end: int = 1, doc_id: str = "doc_id", text
     ordered = docs.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     blocks = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, BLOCKS)
     blocks.write.option("parquet.block.size", BLOCK_BYTES).parquet(f"{out}/blocks")
-    release(spark, settle=2)
     return out
 
 
