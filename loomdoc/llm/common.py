@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,21 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def release(spark: SparkSession, settle: float = 0.0) -> None:
-    """Let go of the shuffle files of finished plans: they go with the driver's garbage, which a driver with room to spare collects long after.
-
-    settle: seconds until the listeners have seen the end of the last job, whose plan they hold till then.
-    """
-    time.sleep(settle)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation of what came before."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    release(spark)
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._stashed_at = path

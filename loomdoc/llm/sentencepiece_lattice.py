@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, release, row_key, spread, stash, text_slices, tidy, unpacked
+from .common import discard, map_rows, row_key, spread, stash, text_slices, tidy, unpacked
 
 SPACE = "▁"
 SIGN = SPACE.encode()
@@ -464,7 +464,6 @@ def documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "
     rare = keyed.select("key", "text").mapInArrow(seldom, "key binary, k int, word string")
     rare = stash(rare.join(lex.select("word", "ids"), "word").select("key", F.concat(F.array("k"), "ids").alias("x")), "lattice-seldom")
     discard(lex)
-    release(spark, settle=2)
     # equal rows have equal seldom words; each place, which stands before the ids, counts once
     per = rare.repartition("key").groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("rare"))
     schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("position", pa.int64()), ("z", pa.binary())])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, hashed_words, map_rows, release, row_key, stash, text_slices, to_batch, unused
+from .common import discard, gram_hashes, hashed_words, map_rows, row_key, stash, text_slices, to_batch, unused
 
 WINDOW, GRAM = 50, 20
 #: Distinct segments of an anchor that one automaton takes.
@@ -276,7 +276,6 @@ def covered(docs: DataFrame) -> DataFrame:
     some = F.transform("starts", lambda i: F.struct((F.col("first") + i).alias("f"), F.lit(1).alias("c")))
     runs = stash(hits.groupBy("key").agg(F.flatten(F.collect_set(F.when(F.col("doc") > F.col("least"), whole).otherwise(some))).alias("runs")), "substring-runs")
     discard(shared, distinct, earlier, known)
-    release(docs.sparkSession, settle=2)
     return runs
 
 
