@@ -47,3 +47,11 @@ def test_pipeline(spark, tmp_path):
         docs = out
     assert docs.where("exact").count() == docs.count() > 0 and stages
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for name, rows in (("empty", []), ("nulls", [(None,) * 5] * 3 + [(1, "", None, "a", 0)])):
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert out.count() == 0 and {"doc_id", "ids", "position"} <= set(out.columns)
