@@ -50,6 +50,8 @@ ROUNDS = 3
 SHARED, COLUMNS = 32, 1024
 #: A task counts so many tokens at a time.
 COUNTED = 3_000_000
+#: Prefixes of up to so many tokens are compared by 16 bits of each, longer ones by 32.
+NARROW = 4096
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -105,18 +107,27 @@ def required(a: int | np.ndarray, b: int | np.ndarray, percent: int = PERCENT) -
 
 
 def others(s: np.ndarray, hot: np.ndarray) -> bytes:
-    """The prefixes of a set under all orders but the first, as 32-bit tokens."""
-    return b"".join((np.concatenate(prefix(s, o, hot)) >> np.uint64(32)).astype(np.uint32).tobytes() for o in range(1, ORDERS))
+    """The prefixes of a set under all orders but the first: the leading 16 bits of their tokens, of prefixes above NARROW 32 bits."""
+    kind = np.uint32 if prefix_size(s.size) > NARROW else np.uint16
+    return b"".join((np.concatenate(prefix(s, o, hot)) >> np.uint64(64 - 8 * kind().itemsize)).astype(kind).tobytes() for o in range(1, ORDERS))
 
 
 def read_others(packed: bytes) -> list[np.ndarray]:
     """The distinct tokens of others(), by order."""
-    return [np.unique(x) for x in np.frombuffer(packed, np.uint32).reshape(ORDERS - 1, -1)]
+    kind = np.uint32 if len(packed) > 2 * NARROW * (ORDERS - 1) else np.uint16
+    return [np.unique(x) for x in np.frombuffer(packed, kind).reshape(ORDERS - 1, -1)]
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Distinct tokens cut to 16 bits."""
+    return x if x.dtype == np.uint16 else np.unique((x >> np.uint32(16)).astype(np.uint16))
 
 
 def may_be_similar(a: list[np.ndarray], b: list[np.ndarray], n: int, m: int) -> bool:
     """Whether nodes of sizes n and m meet under the other orders as similar ones must."""
-    # tokens that fell together when they were cut to 32 bits count as if they were shared
+    if a[0].dtype != b[0].dtype:
+        a, b = [narrow(x) for x in a], [narrow(x) for x in b]
+    # tokens that fell together when they were cut count as if they were shared
     spare, need = prefix_size(n) + prefix_size(m), required(n, m)
     return all(common(x, y) + spare - x.size - y.size >= need for x, y in zip(a, b, strict=True))
 
@@ -131,12 +142,6 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, b.size - 1)] == a).sum())
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """100 |a and b| >= percent |a or b|."""
-    both = common(a, b)
-    return 100 * both >= percent * (a.size + b.size - both) and both > 0
-
-
 def fits(a: Column, b: Column) -> Column:
     """Whether sets of these sizes can be similar."""
     return F.coalesce((100 * a >= PERCENT * b) & (100 * b >= PERCENT * a), F.lit(False))
@@ -157,16 +162,24 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(row_key("doc_id", "text").alias("key"), "doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("same"), "text")
 
 
+def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """same, key, z of rows same, key, text: texts are shuffled as zstandard frames."""
+    z = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for at, texts in text_slices(batch.column(2)):
+            own = pa.array([z.compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(2)), own], names=["same", "key", "z"])
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """id, same, key, class_id, n, z (the text as a zstandard frame) of the least document of each text; and rows with tokens only: what tasks counted often."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = docs.where("text is not null").groupBy("same").agg(F.min(order).alias("first")).select("same", F.col("first.key").alias("key"), F.col("first.doc_id").alias("class_id"))
-    one = docs.select("same", "key", "text").join(first, ["same", "key"]).dropDuplicates(["same", "key"])
+    one = docs.where("text is not null").select("same", "key", "text").mapInArrow(frames, "same binary, key binary, z binary").join(first, ["same", "key"]).dropDuplicates(["same", "key"])
     schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("key", pa.binary()), ("class_id", pa.int64()), ("n", pa.int64()), ("z", pa.binary()), ("tokens", pa.list_(pa.int64())), ("seen", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
-        z = zstandard.ZstdCompressor(level=1)
 
         def often() -> pa.RecordBatch:
             t, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -175,12 +188,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
         held = 0
         for batch in batches:
-            for at, texts in text_slices(batch.column(4)):
-                own = shingle_sets(texts)
+            for at, own in sets_of(batch.column(4)):
                 sizes = np.array([s.size for s in own], np.int64)
-                frames = pa.array([z.compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
-                nothing = pa.nulls(len(texts), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(4)), pa.array(sizes), frames, nothing, nothing], schema=schema)
+                nothing = pa.nulls(len(own), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(own)) for c in range(4)), pa.array(sizes), batch.column(4).slice(at, len(own)), nothing, nothing], schema=schema)
                 sets += own
                 held += int(sizes.sum())
                 if held > COUNTED:
@@ -188,7 +199,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     held = 0
         yield often()
 
-    return one.select(F.monotonically_increasing_id().alias("id"), "same", "key", "class_id", "text").mapInArrow(run, "id bigint, same binary, key binary, class_id bigint, n bigint, z binary, tokens array<bigint>, seen array<bigint>")
+    return one.select(F.monotonically_increasing_id().alias("id"), "same", "key", "class_id", "z").mapInArrow(run, "id bigint, same binary, key binary, class_id bigint, n bigint, z binary, tokens array<bigint>, seen array<bigint>")
 
 
 def hot_tokens(scanned: DataFrame) -> np.ndarray:
@@ -207,34 +218,37 @@ def hot_tokens(scanned: DataFrame) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def prefixes(nodes: DataFrame, hot: Broadcast) -> DataFrame:
-    """Of each node a row for each token of its prefix under the first order: token, id, frequent; and one with its prefixes under the others: id, others."""
-    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("frequent", pa.bool_()), ("others", pa.binary())])
+def first_prefixes(nodes: DataFrame, hot: Broadcast) -> DataFrame:
+    """token, id, alone: a row for each token of each node's prefix under the first order; alone is the id where the token is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in unpacked(batch.column(1)):
-                ids = batch.column(0).slice(at, len(texts))
-                tokens, owners, frequent, rest = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)], []
-                for i, s in zip(ids.to_numpy(), shingle_sets(texts), strict=True):
-                    parts = prefix(s, 0, hot.value)
-                    tokens += parts
-                    owners.append(np.full(sum(x.size for x in parts), i))
-                    frequent += [np.full(x.size, k == 0) for k, x in enumerate(parts)]
-                    rest.append(others(s, hot.value))
-                n = sum(map(len, owners))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(frequent)), pa.nulls(n, pa.binary())], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), ids, pa.nulls(len(ids), pa.bool_()), pa.array(rest, pa.binary())], schema=schema)
-
-    return nodes.where("n > 0").select("id", "z").mapInArrow(run, "token bigint, id bigint, frequent boolean, others binary")
+            for at, sets in sets_of(batch.column(1)):
+                parts = [x for s in sets for x in prefix(s, 0, hot.value)]
+                sizes = np.array([x.size for x in parts], np.int64)
+                ids = np.repeat(batch.column(0).slice(at, len(sets)).to_numpy(), sizes.reshape(-1, 2).sum(1))
+                seldom = np.repeat(np.arange(sizes.size) % 2 == 1, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(ids), pa.array(ids, mask=seldom)], names=["token", "id", "alone"])
+
+    return nodes.where("n > 0").select("id", "z").mapInArrow(run, "token bigint, id bigint, alone bigint")
+
+
+def other_prefixes(nodes: DataFrame, hot: Broadcast) -> DataFrame:
+    """id, n, others: of each node its prefixes under all orders but the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, sets in sets_of(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(sets)) for c in range(2)), pa.array([others(s, hot.value) for s in sets], pa.binary())], names=["id", "n", "others"])
+
+    return nodes.where("n > 0").select("id", "n", "z").mapInArrow(run, "id bigint, n bigint, others binary")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
     """token, id: which nodes have which token in their prefix under the first order; other than frequent tokens of one node only are left out."""
-    per = Window.partitionBy("token")
-    shared = rows.where("not frequent").select("token", "id").withColumn("c", F.count(F.lit(1)).over(per)).where("c > 1").select("token", "id")
-    # a frequent token's bucket is not gathered in one task
-    return shared.unionByName(rows.where("frequent").select("token", "id"))
+    # a frequent token's bucket is not gathered in one task: each of its rows stands alone
+    shared = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token", "alone")))
+    return shared.where("c > 1 or alone is not null").select("token", "id")
 
 
 def kinds(b: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -399,9 +413,14 @@ def meeting(block: Block) -> list[tuple[int, int, int]]:
     for o in range(ORDERS - 1):
         if not pairs.any():
             return []
-        own = [x[o] for x in block.sets]
+        own = [narrow(x[o]) for x in block.sets]
         lost = prefix_size(n) - np.array([x.size for x in own])
         pairs &= shared_counts(own) + lost[:, None] + lost[None, :] >= need
+        wide = np.flatnonzero(prefix_size(n) > NARROW)
+        if wide.size > 1:
+            own = [block.sets[k][o] for k in wide]
+            lost = prefix_size(n[wide]) - np.array([x.size for x in own])
+            pairs[np.ix_(wide, wide)] &= shared_counts(own) + lost[:, None] + lost[None, :] >= need[np.ix_(wide, wide)]
     return connecting(block.ids, pairs)
 
 
@@ -431,12 +450,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Clas
     scanned = stash(scan(docs), "ngram-nodes")
     hot = docs.sparkSession.sparkContext.broadcast(hot_tokens(scanned))  # HOT numbers at most
     nodes = scanned.where(F.col("id").isNotNull())
-    first = stash(prefixes(nodes, hot), "ngram-prefixes")
-    b = stash(buckets(first.where("token is not null")), "ngram-buckets")
+    # prefixes are made twice, so that they are never written: few nodes share a bucket
+    b = stash(buckets(first_prefixes(nodes, hot)), "ngram-buckets")
     rows = stash(kinds(b, nodes), "ngram-kinds")
-    rest = first.where("token is null").select("id", "others").join(rows.select("id", "n").distinct(), "id").select("id", "n", "others")
-    rest = stash(rest, "ngram-others")
-    discard(first, b)
+    rest = stash(other_prefixes(nodes, hot).join(rows.select("id").distinct(), "id", "left_semi"), "ngram-others")
+    discard(b)
     families = None
     for turn in range(ROUNDS + 1):
         several = stash(rooted(rows, families), "ngram-several")

@@ -574,15 +574,23 @@ def test_columns_of_callers_are_left_alone(spark):
         assert got and all(r[n] == k for r in got for k, n in enumerate(names)), f
 
 
-def test_required_tokens_hold_for_similar_sets():
+@pytest.mark.parametrize("narrow", [4096, 5, 1])
+def test_required_tokens_hold_for_similar_sets(monkeypatch, narrow):
+    """Under prefixes of 16 bits, of 32 bits, and where one of two sets has each."""
+    monkeypatch.setattr(ngram_join, "NARROW", narrow)
     r = np.random.default_rng(0)
     none, tight = np.empty(0, np.uint64), 0
     for _ in range(500):
         a = np.unique(r.integers(0, 1 << 62, int(r.integers(1, 60))).astype(np.uint64))
         b = np.unique(np.concatenate([a[r.permutation(a.size)[: max(0, a.size - int(r.integers(0, 8)))]], r.integers(0, 1 << 62, int(r.integers(0, 8))).astype(np.uint64)]))
-        if b.size and ngram_join.similar(a, b):
+        both = np.intersect1d(a, b).size
+        if both and 100 * both >= 80 * (a.size + b.size - both):
             x, y = (ngram_join.read_others(ngram_join.others(s, none)) for s in (a, b))
             assert ngram_join.may_be_similar(x, y, a.size, b.size)
+            block = ngram_join.Block()
+            for node, (s, packed) in enumerate(((a, x), (b, y))):
+                block.add(node, node, s.size, 0, packed)
+            assert len(ngram_join.meeting(block)) == 1
             tight += ngram_join.common(x[0], y[0]) == ngram_join.required(a.size, b.size)
     assert tight
 
