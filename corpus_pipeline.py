@@ -42,9 +42,9 @@ def in_file_order(docs: DataFrame, name: str) -> DataFrame:
     """docs, read from files, with the number of each row in the order of the files' names and of the rows in them."""
     file, row, base = unused(docs, "file", "row", "base")
     rows = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
-    # a row for each file
+    # a row for each file: sent to the texts, which stay where they are
     before = rows.groupBy(file).agg(F.count(F.lit(1)).alias(base)).withColumn(base, F.sum(base).over(Window.orderBy(file)) - F.col(base))
-    return rows.join(before, file).withColumn(name, F.col(base) + F.col(row)).drop(file, row, base)
+    return rows.join(F.broadcast(before), file).withColumn(name, F.col(base) + F.col(row)).drop(file, row, base)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

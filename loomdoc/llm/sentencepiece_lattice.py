@@ -65,7 +65,9 @@ MORE, CUT = "\x01", "\x02"
 def pieces(spark: SparkSession, model: str) -> tuple[DataFrame, int, float, int]:
     """(piece, id, score; the longest piece; the least score; the id of byte 0)."""
     sp, rows = vocabulary(model)
-    table = spark.createDataFrame(rows, "piece string, id int, score double")
+    # from Arrow: rows of Python objects would start workers of another kind, which stay beside those of the operator
+    piece, i, score = zip(*rows, strict=True)
+    table = spark.createDataFrame(pa.table({"piece": pa.array(piece, pa.string()), "id": pa.array(i, pa.int32()), "score": pa.array(score, pa.float64())}))
     return table, max(len(p) for p, _, _ in rows), min(s for _, _, s in rows), sp.piece_to_id("<0x00>")
 
 
