@@ -49,11 +49,13 @@ FREQUENT, LONGEST = 300_000, 64
 #: What a character that is no piece loses against the least score, as the library has it.
 PENALTY = 10.0
 #: Distinct runs that a task counts at a time.
-COUNTED = 250_000
+COUNTED = 500_000
 #: In a packed edge: a character that is no piece.
 NO_PIECE = (1 << 24) - 1
+#: How a seldom word's place among those of its document is packed: in bytes that sort as the places do.
+PLACE = np.dtype(">u4")
 #: Bytes of text that are taken apart at a time: the frequent words are looked up once for all of them.
-TAKEN = 2 << 20
+TAKEN = 3 << 19
 #: Words above LONG characters are cut between any neighbours that no piece holds; words are exploded BLOCK characters at a time.
 LONG, BLOCK = 64, 256
 #: The longest word that is merged together with others.
@@ -345,15 +347,34 @@ def int_lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int32()))
 
 
+def id_type(model: str) -> np.dtype:
+    """What the ids of a vocabulary are packed as: two bytes each, where that holds them."""
+    return np.dtype("<u2" if vocabulary(model)[0].vocab_size() <= 1 << 16 else "<u4")
+
+
+def packed_lists(lengths: np.ndarray, values: np.ndarray, kind: np.dtype) -> pa.Array:
+    """Lists of numbers as binary values."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]) * kind.itemsize
+    return pa.Array.from_buffers(pa.binary(), lengths.size, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.astype(kind))])
+
+
 def lexicon(counted: DataFrame, model: str, rule: str) -> DataFrame:
-    """word, n, ids for each distinct word of n occurrences. counted: word, times, with any number of rows a word."""
+    """word, n, ids (packed) for each distinct word of n occurrences. counted: word, times, with any number of rows a word."""
     spark = counted.sparkSession
     table, longest, least, byte0 = pieces(spark, model)
+    kind = id_type(model)
     found = edges(distinct_words(counted), table, longest)
     own = (F.max("word").alias("word"), F.max("times").alias("n"))
     if rule == "score":
         grouped = scored(found, least, byte0).groupBy("h", "g").agg(*own, F.array_sort(F.collect_list("e")).alias("lattice"))
-        return grouped.select("word", "n", viterbi(F.col("lattice"), longest).alias("ids"))
+        paths = grouped.select("word", "n", viterbi(F.col("lattice"), longest).alias("ids"))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column(2)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed_lists(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), kind)], names=["word", "n", "ids"])
+
+        return paths.mapInArrow(pack, "word string, n bigint, ids binary")
     if rule != "merges" or longest > 255:
         raise ValueError("no such rule for this file")
     packed = F.shiftleft((F.col("s") - 1).cast("bigint"), 32) + F.shiftleft(F.col("len").cast("bigint"), 24) + F.coalesce("id", F.lit(NO_PIECE))
@@ -366,9 +387,9 @@ def lexicon(counted: DataFrame, model: str, rule: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), int_lists(*fold_by_merges(b.column(0).to_pylist(), b.column(2), shared.value, byte0))], names=["word", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed_lists(*fold_by_merges(b.column(0).to_pylist(), b.column(2), shared.value, byte0), kind)], names=["word", "n", "ids"])
 
-    return grouped.mapInArrow(run, "word string, n bigint, ids array<int>")
+    return grouped.mapInArrow(run, "word string, n bigint, ids binary")
 
 
 class Decoder:
@@ -394,18 +415,62 @@ class Decoder:
         return self.bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")[1:]
 
 
-class Frequent:
-    """The most frequent words and their ids."""
+def raw_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(where each value begins and the last one ends, the bytes) of a column of strings or binary values without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return at, np.frombuffer(data or b"", np.uint8)
+
 
-    def __init__(self, table: pa.Table):
-        ids = table.column("ids").combine_chunks()
-        self.words = table.column("word").combine_chunks()
-        self.length = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-        self.pool = ids.flatten().to_numpy()
+def unpacked_lists(column: pa.Array, kind: np.dtype, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids, ids) of binary values, which have so many bytes before the ids."""
+    at, raw = raw_values(column)
+    lengths, raw = np.diff(at), raw[at[0] : at[-1]]
+    if head:
+        raw = raw[spread(np.cumsum(lengths) - lengths + head, lengths - head)]
+    return (lengths - head) // kind.itemsize, raw.view(kind).astype(np.int32)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, equal in every process: polynomials of their bytes."""
+    at, raw = raw_values(words)
+    lengths = np.diff(at)
+    if not lengths.sum():
+        return np.zeros(lengths.size, np.uint64)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+        terms = powers[spread(np.zeros(lengths.size, np.int64), lengths)] * (raw[at[0] : at[-1]] + np.uint64(1))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+        h = sums[at[1:] - at[0]] - sums[at[:-1] - at[0]]
+        return h ^ (h >> np.uint64(32))
+
+
+class Frequent:
+    """The most frequent words and their ids, by the words' hashes; of words of one hash the first stays."""
+
+    def __init__(self, table: pa.Table, kind: np.dtype):
+        words = table.column("word").combine_chunks()
+        self.hash, first = np.unique(word_hashes(words), return_index=True)
+        self.words = words.take(pa.array(first))
+        length, self.pool = unpacked_lists(table.column("ids").combine_chunks().take(pa.array(first)), kind)
+        #: by place; the last is that of a word that is not here
+        self.length = np.append(length, 0)
         self.start = np.cumsum(self.length) - self.length
 
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each word among the frequent ones, or -1."""
+        if not self.hash.size:
+            return np.full(len(words), -1, np.int64)
+        h = word_hashes(words)
+        at = np.minimum(np.searchsorted(self.hash, h), self.hash.size - 1)
+        some = np.flatnonzero(self.hash[at] == h)
+        same = pc.equal(words.take(pa.array(some)), self.words.take(pa.array(at[some]))).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), -1, np.int64)
+        out[some[same]] = at[some[same]]
+        return out
+
 
-def frequent_words(lex: DataFrame) -> Frequent:
+def frequent_words(lex: DataFrame, kind: np.dtype) -> Frequent:
     """Of words up to LONGEST characters the most frequent, FREQUENT at most: the driver first reads how many have which frequency, in bands."""
     band = F.floor(F.log2("n") * 16)
     short = lex.where(F.length("word") <= LONGEST)
@@ -415,7 +480,7 @@ def frequent_words(lex: DataFrame) -> Frequent:
         if total > FREQUENT:
             break
         lowest = r.band
-    return Frequent(short.where(F.lit(lowest is not None) & (band >= F.lit(lowest or 0))).select("word", "ids").toArrow())
+    return Frequent(short.where(F.lit(lowest is not None) & (band >= F.lit(lowest or 0))).select("word", "ids").toArrow(), kind)
 
 
 class Taken:
@@ -431,7 +496,7 @@ class Taken:
         self.words = own.indices.to_numpy().astype(np.int64)[spread(first[code], per[code])]
         ends = np.cumsum(np.concatenate([[0], per[code]]))[np.cumsum(n_runs)]
         self.n_words = np.diff(np.concatenate([[0], ends]))
-        known = pc.fill_null(pc.index_in(self.distinct, value_set=frequent.words), -1).to_numpy().astype(np.int64)
+        known = frequent.places(self.distinct)
         #: each word's place among the frequent ones, or -1
         self.known = known[self.words]
         seldom = np.flatnonzero(self.known < 0)
@@ -450,32 +515,35 @@ def documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "
     ids: of the whole document, in order. Its ids are decoded again: restored says whether that is the text,
     exact whether it is the text with U+2581 read as a space, which is what the library encodes.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, id_type(model)
     lex = stash(lexicon(count_words(docs, model, text), model, rule), "lattice-lexicon")
-    frequent = spark.sparkContext.broadcast(frequent_words(lex))
+    frequent = spark.sparkContext.broadcast(frequent_words(lex, kind))
     keyed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"), (F.col(order) if order else F.lit(None)).cast("bigint").alias("position"))
+    keyed = keyed.withColumn("h", F.xxhash64("key"))
 
     def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = Cuts(model)
         for batch in batches:
             for at, texts in text_slices(batch.column(1), TAKEN):
                 t = Taken(texts, cuts, frequent.value)
-                first = np.searchsorted(t.owner, t.owner)  # owners ascend
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at).take(pa.array(t.owner)), pa.array(np.arange(t.owner.size) - first, pa.int32()), t.distinct.take(pa.array(t.word))], names=["key", "k", "word"])
+                place = np.arange(t.owner.size) - np.searchsorted(t.owner, t.owner)  # owners ascend
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at).take(pa.array(t.owner)), packed_lists(np.ones(place.size, np.int64), place, PLACE), t.distinct.take(pa.array(t.word))], names=["h", "k", "word"])
 
-    rare = keyed.select("key", "text").mapInArrow(seldom, "key binary, k int, word string")
-    rare = stash(rare.join(lex.select("word", "ids"), "word").select("key", F.concat(F.array("k"), "ids").alias("x")), "lattice-seldom")
+    rare = keyed.select("h", "text").mapInArrow(seldom, "h bigint, k binary, word string")
+    rare = stash(rare.join(lex.select("word", "ids"), "word").select("h", F.concat("k", "ids").alias("x")), "lattice-seldom")
     discard(lex)
-    # equal rows have equal seldom words; each place, which stands before the ids, counts once
-    per = rare.repartition("key").groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("rare"))
-    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("position", pa.int64()), ("z", pa.binary())])
+    # equal rows have equal seldom words; each place, which stands before the ids, counts once. Rows of one h that are not equal
+    # would have more places than words, which assemble() refuses
+    per = rare.repartition("h").groupBy("h").agg(F.array_sort(F.collect_set("x")).alias("rare"))
 
-    def squeeze(keys: list, ids: list, places: list, texts: list) -> Iterator[tuple]:
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for key, i, at, t in zip(keys, ids, places, texts, strict=True):
-            yield key, i, at, z.compress(t.encode()) if t else None
+        for batch in batches:
+            for at, texts in text_slices(batch.column(4), TAKEN):
+                frames = pa.array([z.compress(t) if t else None for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:4]), frames], names=["h", "key", "doc_id", "position", "z"])
 
-    squeezed = map_rows(keyed.select("key", "doc_id", "position", "text"), schema, "key binary, doc_id bigint, position bigint, z binary", squeeze)
+    squeezed = keyed.select("h", "key", "doc_id", "position", "text").mapInArrow(squeeze, "h bigint, key binary, doc_id bigint, position bigint, z binary")
     names = ["doc_id", "key", "position", "n_words", "n_tokens", "ids", "exact", "restored"]
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,9 +555,9 @@ def documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "
             lists = rare.flatten()
             if not np.array_equal(pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False), np.bincount(t.owner, minlength=len(texts))):
                 raise ValueError("the seldom words of a document are not those that were looked up")
-            length = np.diff(lists.offsets.to_numpy()).astype(np.int64) - 1
-            pool = np.concatenate([common.pool, lists.flatten().to_numpy()])
-            start = np.cumsum(length + 1) - length + common.pool.size
+            length, own_ids = unpacked_lists(lists, kind, PLACE.itemsize)
+            pool = np.concatenate([common.pool, own_ids])
+            start = np.cumsum(length) - length + common.pool.size
             lengths, starts = common.length[t.known], common.start[t.known]
             rest = t.known < 0
             lengths[rest], starts[rest] = length[t.which], start[t.which]
@@ -507,7 +575,7 @@ def documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "
             for at, texts in unpacked(batch.column(3), TAKEN):
                 yield put_together(batch.slice(at, len(texts)), texts)
 
-    return squeezed.join(per, "key", "left").select("key", "doc_id", "position", "z", "rare").mapInArrow(assemble, "doc_id bigint, key binary, position bigint, n_words bigint, n_tokens bigint, ids array<int>, exact boolean, restored boolean")
+    return squeezed.join(per, "h", "left").select("key", "doc_id", "position", "z", "rare").mapInArrow(assemble, "doc_id bigint, key binary, position bigint, n_words bigint, n_tokens bigint, ids array<int>, exact boolean, restored boolean")
 
 
 def ids_of(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", rule: str = "score") -> DataFrame:
