@@ -75,6 +75,37 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bits of a hashed sieve for each key, and at most.
+SIEVE, MOST_BITS = 16, 1 << 28
+
+
+def bitmaps(rows: DataFrame, place: Column) -> DataFrame:
+    """at, bits: the places (whole numbers) that occur, a bit each, 32,768 to a row: what is sent to all tasks in place of keys."""
+    return rows.where(place.isNotNull()).groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+
+
+def flagged(rows: DataFrame, place: Column, bits: DataFrame, name: str) -> DataFrame:
+    """rows, which stay where they are, with a column that tells whether bitmaps() hold their place; false for null."""
+    own, at, bit, byte = unused(rows, "own", "at", "bits", "byte")
+    within = F.bitmap_bit_position(place)
+    out = rows.withColumn(own, F.bitmap_bucket_number(place)).join(F.broadcast(bits.toDF(at, bit)), F.col(own) == F.col(at), "left")
+    out = out.withColumn(byte, F.conv(F.hex(F.substring(bit, (within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int"))
+    found = F.floor(F.col(byte) / F.pow(F.lit(2), within % 8)) % 2 == 1
+    return out.withColumn(name, F.coalesce(found, F.lit(False))).drop(own, at, bit, byte)
+
+
+def among(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """The rows whose id is one of the ids, without a shuffle: a bit for each id goes to all tasks. Ids are whole numbers in few dense stretches."""
+    return flagged(rows, F.col(column), bitmaps(ids.select(column), F.col(column)), "_among").where("_among").drop("_among")
+
+
+def sieve(keys: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """(bitmaps, place of a key) of hashed keys: rows whose place isn't there have none of the keys, others may have. keys: a written table."""
+    size = min(MOST_BITS, max(1, SIEVE * keys.count()))
+    place = F.pmod(F.xxhash64(column), F.lit(size)) + 1
+    return bitmaps(keys, place), place
+
+
 #: Bytes of text that are taken apart at a time.
 SLICE = 2 << 20
 

@@ -14,7 +14,9 @@ order gives the same links.
 Nodes are distinct texts. Pairs never become rows by the square of a bucket. What meets under
 all orders is first gathered into families: each bucket has a leader, to which those are held
 whose most populous bucket it is, again while buckets of more than BLOCK_NODES nodes reach into several families; the
-rest of such buckets is held against one another in blocks of bounded size, each of which
+rest of such buckets is held against one another: buckets of FEW nodes or less give a row for each two nodes,
+and what shares too few tokens under the first order for similar sets (required(), again) goes before
+anything is compared; larger ones are compared in blocks of bounded size, each of which
 gives as few pairs as connect what meets. All links lie inside a family. A family's sets are
 then compared in full, in blocks too, each two blocks in one task, which gives the number of
 links of each node and as few pairs as connect what is linked.
@@ -36,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, hashed_words, row_key, stash, text_slices, to_batch, unpacked, unused
+from .common import among, discard, flagged, gram_hashes, hashed_words, row_key, sieve, stash, text_slices, to_batch, unpacked, unused
 from .components import components
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
@@ -48,6 +50,8 @@ BLOCK_NODES, BLOCK_SHINGLES, MEMBERS = 1000, 400_000, 1000
 ROUNDS = 3
 #: Tokens in more nodes of two blocks than this are counted by products of matrices, of so many columns at a time.
 SHARED, COLUMNS = 32, 1024
+#: Buckets of up to so many nodes give a row for each two of them.
+FEW = 32
 #: A task counts so many tokens at a time.
 COUNTED = 3_000_000
 #: Prefixes of up to so many tokens are compared by 16 bits of each, longer ones by 32.
@@ -163,19 +167,29 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """same, key, z of rows same, key, text: texts are shuffled as zstandard frames."""
+    """same, key, class_id, z of rows same, key, doc_id, text: texts are shuffled as zstandard frames."""
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        for at, texts in text_slices(batch.column(2)):
+        for at, texts in text_slices(batch.column(3)):
             own = pa.array([z.compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(2)), own], names=["same", "key", "z"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(3)), own], names=["same", "key", "class_id", "z"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """id, same, key, class_id, n, z (the text as a zstandard frame) of the least document of each text; and rows with tokens only: what tasks counted often."""
+def least(docs: DataFrame) -> DataFrame:
+    """same, key, class_id, z of the least document of each text. Texts that one document has by itself stay where they are: what a sieve of the others lets through is shuffled."""
+    docs = docs.where("text is not null")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    first = docs.where("text is not null").groupBy("same").agg(F.min(order).alias("first")).select("same", F.col("first.key").alias("key"), F.col("first.doc_id").alias("class_id"))
-    one = docs.where("text is not null").select("same", "key", "text").mapInArrow(frames, "same binary, key binary, z binary").join(first, ["same", "key"]).dropDuplicates(["same", "key"])
+    per = docs.groupBy("same").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("c"))
+    per = stash(per.select("same", F.col("first.key").alias("key"), "c"), "ngram-first")
+    bits, place = sieve(per.where("c > 1"), "same")
+    told = flagged(docs, place, bits, "maybe")
+    framed = lambda d: d.select("same", "key", "doc_id", "text").mapInArrow(frames, "same binary, key binary, class_id bigint, z binary")
+    several = framed(told.where("maybe")).join(per.select("same", "key"), ["same", "key"]).dropDuplicates(["same", "key"])
+    return framed(told.where("not maybe")).unionByName(several)
+
+
+def scan(one: DataFrame) -> DataFrame:
+    """id, same, key, class_id, n, z (the text as a zstandard frame) of the least document of each text; and rows with tokens only: what tasks counted often."""
     schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("key", pa.binary()), ("class_id", pa.int64()), ("n", pa.int64()), ("z", pa.binary()), ("tokens", pa.list_(pa.int64())), ("seen", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,14 +266,33 @@ def buckets(rows: DataFrame) -> DataFrame:
 
 
 def kinds(b: DataFrame, nodes: DataFrame) -> DataFrame:
-    """token, id, n: buckets of two nodes or more; of those with the same nodes one, told by the number and two checksums of their nodes. Nodes without another of a fitting size go."""
+    """token, id, n, alike: buckets of two nodes or more; of those with the same nodes one, told by the number and two checksums of their nodes, and how many are alike. Nodes without another of a fitting size go."""
     code = F.xxhash64("id")
     per = b.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 20)).alias("s")).where("c > 1")
-    one = per.groupBy("c", "x", "s").agg(F.min("token").alias("token")).select("token")
-    rows = b.join(one, "token").join(nodes.select("id", "n"), "id").select("token", "id", "n")
+    one = per.groupBy("c", "x", "s").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("alike")).select("token", "alike")
+    rows = b.join(one, "token").join(among(nodes.select("id", "n"), b), "id").select("token", "id", "n", "alike")
     by_size = Window.partitionBy("token").orderBy("n")
     near = rows.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
-    return near.where(fits(F.col("n"), F.col("less")) | fits(F.col("n"), F.col("more"))).select("token", "id", "n")
+    return near.where(fits(F.col("n"), F.col("less")) | fits(F.col("n"), F.col("more"))).select("token", "id", "n", "alike")
+
+
+def needed(a: str, b: str) -> Column:
+    """required() of two columns of sizes."""
+    return F.expr(f"({PERCENT} * ({a} + {b}) + {99 + PERCENT}) div {100 + PERCENT} - greatest(({PERCENT} * {a} + 99) div 100, ({PERCENT} * {b} + 99) div 100) + 1")
+
+
+def of_few(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leader, id: two nodes of different families that share as many tokens under the first order as similar ones must, in buckets of FEW nodes or less; the rows of the other buckets).
+
+    Similar nodes that are in no larger bucket together share all these tokens in small ones. rows: token, id, n, root, alike.
+    """
+    per = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    few, more = (rows.join(per.where(x).select("token"), "token") for x in (f"c <= {FEW}", f"c > {FEW}"))
+    one = few.groupBy("token", "alike").agg(F.array_sort(F.collect_list(F.struct("id", "n", "root"))).alias("x"))
+    one = one.select("alike", "x", F.posexplode("x").alias("at", "p")).select("alike", F.col("p").alias("a"), F.explode(F.expr("slice(x, at + 2, size(x))")).alias("b"))
+    one = one.where((F.col("a.root") != F.col("b.root")) & fits(F.col("a.n"), F.col("b.n")))
+    shared = one.groupBy(F.col("a.id").alias("leader"), F.col("b.id").alias("id"), F.col("a.n").alias("an"), F.col("b.n").alias("bn")).agg(F.sum("alike").alias("seen"))
+    return shared.where(F.col("seen") >= needed("an", "bn")).select("leader", "id"), more
 
 
 def to_leaders(rows: DataFrame, turn: int) -> DataFrame:
@@ -273,8 +306,8 @@ def to_leaders(rows: DataFrame, turn: int) -> DataFrame:
 def held_to_leaders(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """a, b: the pairs leader, id that meet under the other orders. A leader is sent once for MEMBERS of its members. prefixes: id, n, others."""
     parts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "id").join(prefixes, "id")
-    leaders = parts.join(prefixes.withColumnRenamed("id", "leader"), "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("leader").alias("id"), "n", "others")
+    members = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "id").join(among(prefixes, pairs), "id")
+    leaders = parts.join(among(prefixes.withColumnRenamed("id", "leader"), pairs, "leader"), "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("leader").alias("id"), "n", "others")
     rows = members.select(*leaders.columns).unionByName(leaders).repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +343,7 @@ def in_blocks(rows: DataFrame, payloads: DataFrame, sets_of: Callable, compared:
     # a cut into blocks is by the id, so that all rows of a node agree
     cut = rows.join(per, "group").select("group", "id", "root", "n", F.pmod(F.xxhash64("id"), "g").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
     cut = cut.select("group", "id", "root", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = cut.join(payloads, "id").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    full = cut.join(among(payloads, rows), "id").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block, out = None, Block(), []
@@ -447,13 +480,13 @@ def rooted(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classes:
     """The distinct texts and the components of their links."""
     docs = keyed(docs, doc_id, text)
-    scanned = stash(scan(docs), "ngram-nodes")
+    scanned = stash(scan(least(docs)), "ngram-nodes")
     hot = docs.sparkSession.sparkContext.broadcast(hot_tokens(scanned))  # HOT numbers at most
     nodes = scanned.where(F.col("id").isNotNull())
-    # prefixes are made twice, so that they are never written: few nodes share a bucket
+    # prefixes are made twice, so that they are never written: few nodes share a bucket, and bits tell which
     b = stash(buckets(first_prefixes(nodes, hot)), "ngram-buckets")
     rows = stash(kinds(b, nodes), "ngram-kinds")
-    rest = stash(other_prefixes(nodes, hot).join(rows.select("id").distinct(), "id", "left_semi"), "ngram-others")
+    rest = stash(other_prefixes(among(nodes, rows), hot), "ngram-others")
     discard(b)
     families = None
     for turn in range(ROUNDS + 1):
@@ -463,9 +496,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Clas
         pairs = stash(to_leaders(several, turn), "ngram-pairs")
         families = labelled(families, held_to_leaders(pairs, rest))
         discard(several, pairs)
-    families = labelled(families, in_blocks(several.withColumnRenamed("token", "group"), rest.select("id", "others"), others_of, meeting).select("a", "b"))
-    discard(rows, several, rest)
-    group = families.join(nodes.select("id", "n"), "id").select(F.col("root").alias("group"), "id", "n", "root")
+    shared, more = of_few(several)
+    shared = stash(shared, "ngram-shared")
+    blocks = in_blocks(more.withColumnRenamed("token", "group"), rest.select("id", "others"), others_of, meeting).select("a", "b")
+    families = labelled(families, held_to_leaders(shared, rest).unionByName(blocks))
+    discard(rows, several, shared, rest)
+    group = families.join(among(nodes.select("id", "n"), families), "id").select(F.col("root").alias("group"), "id", "n", "root")
     found = stash(in_blocks(group, nodes.select("id", "z"), sets_of, linked), "ngram-linked")
     labels = labelled(None, found.where("n = 0").select("a", "b"))
     n_links = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
