@@ -532,10 +532,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component, with all their columns; of repeated rows one. Documents without words stay."""
+    """The rows of docs whose doc_id is the least of their component, with all their columns; of repeated rows one. Documents without words stay.
+
+    Rows stay where they are unless a sieve of those that go or are repeated lets them through.
+    """
     c = classes(docs, doc_id, text)
-    (key,) = unused(docs, "row_key")
+    key, maybe = unused(docs, "row_key", "maybe")
     order = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "id")
-    first = c.nodes.where("n > 0").join(c.labels, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min_by("key", order).alias(key)).select(key)
-    wordless = c.rows.join(c.nodes.where("n > 0").select("same"), "same", "left_anti").select(F.col("key").alias(key))
-    return docs.withColumn(key, row_key(doc_id, text)).join(first.unionByName(wordless), key, "left_semi").dropDuplicates([key]).drop(key)
+    first = c.nodes.where("n > 0").join(c.labels, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min_by("key", order).alias("key")).select("key")
+    wordless = c.rows.join(c.nodes.where("n > 0").select("same"), "same", "left_anti").select("key")
+    kept = stash(first.unionByName(wordless.distinct()), "ngram-kept")
+    per = c.rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).join(kept.withColumn("kept", F.lit(True)), "key", "left")
+    bits, place = sieve(stash(per.where("c > 1 or kept is null").select(F.col("key").alias(key)), "ngram-unsure"), key)
+    told = flagged(docs.withColumn(key, row_key(doc_id, text)), place, bits, maybe)
+    unsure = told.where(F.col(maybe)).join(kept.withColumnRenamed("key", key), key, "left_semi").dropDuplicates([key])
+    return told.where(~F.col(maybe)).unionByName(unsure).select(*docs.columns)

@@ -36,6 +36,11 @@ def test_texts_of_one_document_are_not_shuffled(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), (F.col("id") % 390).cast("string")).alias("text"))
     least = ngram_join.least(ngram_join.keyed(docs, "doc_id", "text")).collect()
     assert sorted(r.class_id for r in least) == list(range(390))
+    kept = ngram_join.first_of_each(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(390))
+    # a part of the rows reaches the result without any shuffle, what a sieve lets through after a join
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.count("LeftSemi") == 1 and "LeftSemi" not in plan.split("\n+- ")[0]
 
 
 def sets(r: random.Random, many: int) -> list[np.ndarray]:
