@@ -932,7 +932,7 @@ def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     hybrid.write(hybrid.postings(docs), at)
     rows = spark.read.schema("term string, id bigint, r double, band int").parquet(at)
     asked = manual.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(hybrid.terms_of(F.col("text")))).alias("term"))
-    return rows, hybrid.maxima(rows), docs.agg(F.count(F.lit(1)).alias("n_docs")), asked
+    return rows, hybrid.maxima(rows, asked), docs.agg(F.count(F.lit(1)).alias("n_docs")), asked
 
 
 @query
