@@ -276,9 +276,12 @@ def dense(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n = queries.count()
     if n > MOST_QUERIES:
         raise ValueError(f"{n} queries at once; ask for {MOST_QUERIES} at most")
-    lists = queries.agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
-    one = points.crossJoin(F.broadcast(lists)).select("id", "dense", F.explode("qs").alias("q"))
-    scored = one.select(F.col("q.query_id").alias("query_id"), "id", F.round(vectors.cosine(F.col("dense"), F.col("q.vector")), 9).alias("score")).where("score is not null")
+    # lengths are taken once for each vector, not for each two
+    length = lambda x: F.sqrt(vectors.dot(F.col(x), F.col(x))).alias("length")
+    lists = queries.select("query_id", "vector", length("vector")).agg(F.collect_list(F.struct("query_id", "vector", "length")).alias("qs"))
+    one = points.select("id", "dense", length("dense")).crossJoin(F.broadcast(lists)).select("id", "dense", "length", F.explode("qs").alias("q"))
+    cosine = vectors.dot(F.col("dense"), F.col("q.vector")) / F.nullif(F.col("length") * F.col("q.length"), F.lit(0.0))
+    scored = one.select(F.col("q.query_id").alias("query_id"), "id", F.round(cosine, 9).alias("score")).where("score is not null")
     return ranked(scored, k)
 
 

@@ -7,8 +7,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from loomdoc.operators import hybrid
+from loomdoc.operators import hybrid, vectors
 
 from .test_search import plain
 
@@ -53,3 +54,13 @@ def test_scores_are_not_shuffled(spark, tmp_path):
     assert out.count() == 150
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[query_id", plan) and "MapInArrow" in plan
+
+
+def test_lengths_of_vectors_are_taken_once(spark):
+    p = spark.createDataFrame([(i, [float(i % 7), 1.0, -float(i % 3)]) for i in range(30)] + [(30, [0.0, 0.0, 0.0]), (31, None)], "id bigint, dense array<float>")
+    q = p.select(F.col("id").alias("query_id"), F.col("dense").alias("vector")).where("id > 26")
+    out = hybrid.dense(p, q, 4)
+    a, b = p.alias("a"), q.alias("b")
+    want = a.crossJoin(b).select("query_id", "id", F.round(vectors.cosine(F.col("dense"), F.col("vector")), 9).alias("score")).where("score is not null")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, hybrid.ranked(want, 4).select(*out.columns).collect()))
+    assert re.search(r"length#\d+ \* q#\d+\.length", out._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0])
