@@ -47,9 +47,18 @@ class Words:
         self.types = dict(types)
         self.patterns = {k: re.compile(rf"\b{k}\b", re.IGNORECASE) for k in self.types}
         self.some = re.compile("|".join(self.types) or "(?!)", re.IGNORECASE)
+        #: Where all keywords are plain, an ASCII text in lower case tells which of them can match.
+        self.plain = all(re.fullmatch("[a-z0-9 -]+", k) for k in self.types)
         rules = [PATTERNS_VERSION, *sorted(f"{k}={t}" for k, t in self.types.items())]
         self.stamp = hashlib.sha256("\n".join(rules).encode()).hexdigest()
 
+    def first_matches(self, text: str) -> list[tuple[str, re.Match]]:
+        """Each keyword that the text has, and where it has it first."""
+        if self.plain and text.isascii():
+            low = text.lower()
+            return [(k, m) for k, p in self.patterns.items() if k in low and (m := p.search(text))]
+        return [(k, m) for k, p in self.patterns.items() if (m := p.search(text))] if self.some.search(text) else []
+
     def changed(self, before: Words) -> list[str]:
         """The keywords that one of two dictionaries has and the other has not, or has as another type."""
         return sorted(k for k in {*self.types, *before.types} if self.types.get(k) != before.types.get(k))
@@ -58,13 +67,25 @@ class Words:
 #: Goes up when a pattern or a confidence changes: all elements are then stale.
 PATTERNS_VERSION = "1"
 WORDS = Words(KEYWORDS)
+#: With what each match holds for certain: texts without it need not be matched.
 _IDENTIFIERS = tuple(
-    (re.compile(pattern), kind, method)
-    for pattern, kind, method in ((SENSOR_TH, "Sensor", "regex_sensor_id"), (SENSOR_RT, "Sensor", "regex_sensor_id_daikin"), (CONNECTOR, "Connector", "regex_connector_id"), (TERMINAL, "Terminal", "regex_terminal_id"))
-)
+    (re.compile(pattern), kind, method, parts)
+    for pattern, kind, method, parts in (
+        (SENSOR_TH, "Sensor", "regex_sensor_id", ("TH",)), (SENSOR_RT, "Sensor", "regex_sensor_id_daikin", ("R", "T")), (CONNECTOR, "Connector", "regex_connector_id", ("CN",)), (TERMINAL, "Terminal", "regex_terminal_id", ("X", "M")),
+    )
+)
+#: What every main code begins with.
+_CODE = re.compile(r"[PEULFHACJ][\dAHJ]")
+_ANCHORS = re.findall(r"[a-z ]{2,}", ANCHOR)
 _ANCHOR, _MAIN, _SUB = re.compile(ANCHOR, re.IGNORECASE), re.compile(ERROR_MAIN), re.compile(ERROR_SUB)
 
 
+def anchored(text: str) -> bool:
+    if text.isascii() and not any(a in text.lower() for a in _ANCHORS):
+        return False
+    return bool(_ANCHOR.search(text))
+
+
 def found_in(text: str | None, kind: str | None, path: list | None, vlm: bool, words: Words = WORDS) -> Iterator[tuple]:
     """The candidates of one text in emission order: keywords, TH, R#T, CN, X#M, main codes, sub-codes. VLM texts have no spans.
 
@@ -77,16 +98,18 @@ def found_in(text: str | None, kind: str | None, path: list | None, vlm: bool, w
     def span(m: re.Match) -> list[int] | None:
         return None if vlm else [m.start(), m.end()]
 
-    hits = [(k, m) for k, p in words.patterns.items() if (m := p.search(text))] if words.some.search(text) else []
+    hits = words.first_matches(text)
     base = CONFIDENCE["glossary" if len(hits) > GLOSSARY_OVER else "keyword"]
     for k, m in hits:
         yield k, words.types[k], base, "dict_keyword" + suffix, span(m), None
-    for pattern, entity_type, method in _IDENTIFIERS:
+    for pattern, entity_type, method, parts in _IDENTIFIERS:
+        if not all(part in text for part in parts):
+            continue
         for m in pattern.finditer(text):
             yield m[0], entity_type, CONFIDENCE["identifier"], method + suffix, span(m), None
-    codes = list(_MAIN.finditer(text))
+    codes = list(_MAIN.finditer(text)) if _CODE.search(text) else []
     if codes:
-        anchor = bool(_ANCHOR.search(" ".join((text, *(path or ())))))
+        anchor = anchored(" ".join((text, *(path or ()))))
         tier = CONFIDENCE["error" if not anchor else "error_table" if kind == "table" else "error_anchored"]
         for m in codes:
             yield m[1], "ErrorCode", tier, "regex_error_code" + suffix, span(m), anchor

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -18,6 +19,8 @@ class Ingested:
     elements: DataFrame
     entities: DataFrame
     chunks: DataFrame
+    #: All of it again, where each table goes through a function of its name and plan before later ones are derived from it.
+    again: Callable[[Callable[[str, DataFrame], DataFrame]], Ingested]
 
 
 def ingest(drafts: DataFrame, pages: DataFrame, results: DataFrame | None = None) -> Ingested:
@@ -27,17 +30,20 @@ def ingest(drafts: DataFrame, pages: DataFrame, results: DataFrame | None = None
     with parse_score; results: cascade results (document_id, element_id, task_order,
     table_markdown, visual_text), if a cascade has run.
     """
-    probed = probe.probe(pages)
-    tasks = cascade.plan(drafts, probed)
+    return derived(drafts, pages, results, lambda name, df: df)
+
+
+def derived(drafts: DataFrame, pages: DataFrame, results: DataFrame | None, held: Callable[[str, DataFrame], DataFrame]) -> Ingested:
+    probed = held("pages", probe.probe(pages))
+    tasks = held("tasks", cascade.plan(drafts, probed))
     elements = drafts
     if results is not None:
         seen = cascade.override(drafts, results)
         elements = seen.withColumn("description", F.coalesce("visual_description", "description")).drop("visual_description")
-    elements = structure.icon_parents(structure.heading_paths(elements))
-    extracted = kg.extract(elements)
-    entities = kg.agree(kg.exploded(extracted))
-    chunks = chunking.all_chunks(chunking.build(elements), chunking.entity_chunks(kg.rollup(entities)))
-    return Ingested(probed, tasks, elements, entities, chunks)
+    elements = held("elements", structure.icon_parents(structure.heading_paths(elements)))
+    entities = held("entities", kg.agree(kg.exploded(kg.extract(elements))))
+    chunks = held("chunks", chunking.all_chunks(chunking.build(elements), chunking.entity_chunks(kg.rollup(entities))))
+    return Ingested(probed, tasks, elements, entities, chunks, lambda other: derived(drafts, pages, results, other))
 
 
 def summary(x: Ingested) -> DataFrame:
@@ -54,12 +60,15 @@ MEASURES = {"pages": "parse_score", "tasks": None, "elements": "confidence", "en
 
 
 def write(x: Ingested, root: str) -> dict[str, dict]:
-    """Write the tables below root and return for each n, least, mean and most of its measure, observed in the write's own scan."""
+    """Write the tables below root and return for each n, least, mean and most of its measure, observed in the write's own scan. Later tables are derived from the written ones."""
     out = {}
-    for name, measure in MEASURES.items():
-        seen = Observation()
+
+    def written(name: str, rows: DataFrame) -> DataFrame:
+        seen, measure = Observation(), MEASURES[name]
         m = F.expr(measure).cast("double") if measure else F.lit(None).cast("double")
-        rows = getattr(x, name).observe(seen, F.count(F.lit(1)).alias("n"), F.min(m).alias("least"), F.avg(m).alias("mean"), F.max(m).alias("most"))
-        runs.write(rows, f"{root}/{name}")
+        runs.write(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.min(m).alias("least"), F.avg(m).alias("mean"), F.max(m).alias("most")), f"{root}/{name}")
         out[name] = seen.get
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+    x.again(written)
     return out

@@ -454,3 +454,25 @@ def test_refused_tokens(spark):
     e = spark.createDataFrame([(1, 1, "a", "b", False, True), (1, 2, "a", "c", True, False), (1, 3, "a", "d", False, False), (1, 4, "a", "e", False, False), (1, 5, "d", "f", False, False)], "family bigint, seq bigint, token string, new_token string, expired boolean, inactive boolean")
     got = [(r.outcome, r.replaced_by, r.family_revoked) for r in sessions.rotate_tokens(e).orderBy("seq").collect()]
     assert got == [("inactive", None, False), ("expired", None, False), ("rotated", "d", False), ("reuse", None, True), ("reuse", None, True)]
+
+
+def test_texts_that_cannot_match_are_not_matched(monkeypatch):
+    """What is looked for before a pattern runs changes nothing: the patterns alone give the same."""
+    import random
+    import re
+
+    r = random.Random(5)
+    parts = ["TH", "th 4", "TH-12", "R1T", "R 2T", "CN105", "cn 7", "X2M", "XM", "P8", "E7 - 12", "AH", "H٣", "error code", "ERROR  CODE", "Abnormal", "check codes", "malfunction", "pcb", "PCB", "Muffler", "ſtrainer", "four-way valve", "oilK", "thermistors", "x", "é", "-", "->", "\n"]
+    texts = ["".join(r.choice(parts) + r.choice(("", " ", ". ")) for _ in range(r.randrange(9))) for _ in range(3000)]
+    got = [[*kg.found_in(t, "table", ["abnormal"] if len(t) % 3 == 0 else None, len(t) % 2 == 0)] for t in texts]
+
+    def plainly(words, text):
+        return [(k, m) for k, p in words.patterns.items() if (m := p.search(text))]
+
+    with monkeypatch.context() as m:
+        m.setattr(kg.Words, "first_matches", plainly)
+        m.setattr(kg, "anchored", lambda t: bool(kg._ANCHOR.search(t)))
+        m.setattr(kg, "_CODE", re.compile(""))
+        m.setattr(kg, "_IDENTIFIERS", tuple((*x[:3], ()) for x in kg._IDENTIFIERS))
+        assert got == [[*kg.found_in(t, "table", ["abnormal"] if len(t) % 3 == 0 else None, len(t) % 2 == 0)] for t in texts]
+    assert len({x[3] for g in got for x in g}) > 9

@@ -356,3 +356,20 @@ def test_graph_as_json(spark):
 
     got = [json.loads(r[0]) for r in graph.as_json(graph.nodes(d, e)).collect()]
     assert {x["node_type"] for x in got} == {"Document", "Page", "Section", "Element"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_later_tables_of_an_ingest_read_the_written_ones(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    drafts = queries.ingested(spark, SF).again(lambda name, df: df).elements.drop("section_path", "parent_id")
+    own = spark.createDataFrame(drafts.toArrow(), drafts.schema)
+    n = own.count()
+    lifecycle.write(lifecycle.ingest(own.mapInArrow(noted, own.schema), queries.manual.pages(spark, SF)), str(tmp_path))
+    # the tasks' two branches and the elements, no more
+    assert read.value == 3 * n
