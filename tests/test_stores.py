@@ -373,3 +373,43 @@ def test_later_tables_of_an_ingest_read_the_written_ones(spark, tmp_path):
     lifecycle.write(lifecycle.ingest(own.mapInArrow(noted, own.schema), queries.manual.pages(spark, SF)), str(tmp_path))
     # the tasks' two branches and the elements, no more
     assert read.value == 3 * n
+
+
+def test_a_ledger_run_has_few_tasks_and_few_files(spark, tmp_path, monkeypatch):
+    """Tasks put CALLS results in place at a time; tasks, files and passes over the questions don't grow with the calls by CALLS."""
+    monkeypatch.setattr(ledger, "CALLS", 2)
+    read, at = spark.sparkContext.accumulator(0), str(tmp_path / "ledger")
+    folder = tmp_path / "c"
+    folder.mkdir()
+    here = str(folder)
+
+    def noted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    t = spark.createDataFrame([(f"{i:04d}", "full_page_ocr", f"t{i % 50}") for i in range(600)], "key string, task_type string, text string")
+    out = ledger.run(t.mapInArrow(noted, t.schema), lambda: Counted(here, set()), at)
+    assert read.value == 600 and len(files_below(at)) <= 2 * spark.sparkContext.defaultParallelism
+    assert out.where("result = concat('seen ', text)").count() == 600 and ledger.results(spark, at).count() == 600
+
+
+def test_a_task_tried_again_makes_no_call_twice(spark, tmp_path, monkeypatch):
+    """A task dies after some of its calls: what it put in place stands, and the next run makes the others alone."""
+    monkeypatch.setattr(ledger, "CALLS", 3)
+    folder, at = tmp_path / "c", str(tmp_path / "ledger")
+    folder.mkdir()
+    here = str(folder)
+
+    class Dies(Counted):
+        def ocr_page(self, row):
+            if row["text"] == "t0150":
+                raise SystemExit(1)  # not an error of the call
+            return super().ocr_page(row)
+
+    t = spark.createDataFrame([(f"{i:04d}", "full_page_ocr", f"t{i:04d}") for i in range(300)], "key string, task_type string, text string").coalesce(1)
+    with pytest.raises(Exception):
+        ledger.run(t, lambda: Dies(here, set()), at)
+    paid = {r.key for r in ledger.results(spark, at).collect()}
+    assert ledger.run(t, lambda: Counted(here, set()), at).where("result is null").count() == 0
+    assert all((folder / f"t{k}").read_text() == "x" for k in paid) and len(os.listdir(folder)) == 300
